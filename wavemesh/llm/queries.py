@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, sharding, tokens
+from . import chat, mixing, pii, sharding, tokens, toxicity
 from .shared import WORD
 
 
@@ -89,6 +89,13 @@ SELECT doc_id, slot, owners[slot + 1]::INTEGER AS shard FROM k, slots
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from the labels that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")).where(~toxicity.held_out(F.col("doc_id")))))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT_FROM).cast("int").alias("predicted"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and tokens of every document."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
@@ -98,9 +105,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the plain finds' digest and all spans of every document."""
     found = pii.detect(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op4_tokens": op4_tokens, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_tokens": op4_tokens, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
 ORACLE_SQL = {"op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op9_sharding": OP9_SQL}

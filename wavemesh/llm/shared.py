@@ -62,7 +62,7 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
         return np.empty(0, np.uint64)
     w = np.array([hashes[x] for x in words], np.uint64)
     n = min(len(w), SHINGLE)
-    h = np.full(len(w) - n + 1, _MIX[0] * np.uint64(n) if n < SHINGLE else 0, np.uint64)
+    h = np.full(len(w) - n + 1, n if n < SHINGLE else 0, np.uint64)
     for i in range(n):
         h += w[i : len(w) - n + 1 + i] * _PLACE[i]
     h = mixed(h)
