@@ -36,7 +36,7 @@ LONGEST = 20_000
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT = 32_768, 16_384, 50
 #: A word is typical of toxic texts if its share of them is so many times its share of ordinary ones.
 TYPICAL = 20
-GAINS = (2, 3, 4, 5, 6)
+GAINS, RESTS = (1, 2, 3, 4, 5, 6), (3, 5, 99)
 KEPT_WORDS = 400_000
 
 
@@ -53,13 +53,13 @@ def words(text: str | None) -> list[bytes]:
 class Model:
     ordinary: bytes
     toxic: bytes
-    least_gain: int
+    hit: tuple[int, int]
     weights: tuple[float, float, float]
     prior: float
 
 
 class Gains(dict):
-    """Bytes that the toxic dictionary saves on a word, kept up to a fixed count."""
+    """Of a word: the bytes that the toxic dictionary saves, and those that it needs."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         super().__init__()
@@ -74,13 +74,29 @@ class Gains(dict):
         self.without, self.with_toxic = with_dictionary(ordinary), with_dictionary(ordinary + toxic)
         # the word stands between two runs of known text: blocks this small aren't compressed, and the last bytes never matched
         self.ahead, self.behind = ordinary[-64:-32] + b" ", b" " + ordinary[-32:]
+        self.empty = len(self.with_toxic.compress(self.ahead + self.behind))
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        window = self.ahead + word + self.behind
+        a, b = len(self.without.compress(window)), len(self.with_toxic.compress(window))
+        self[word] = found = (a - b, b - self.empty)
+        return found
+
+
+class Hits(dict):
+    """Whether a word is a hit, kept up to a fixed count."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.gains, (self.least, self.most) = Gains(model.ordinary, model.toxic), model.hit
+
+    def __missing__(self, word: bytes) -> bool:
         if len(self) > KEPT_WORDS:
             self.clear()
-        window = self.ahead + word + self.behind
-        self[word] = g = len(self.without.compress(window)) - len(self.with_toxic.compress(window))
-        return g
+        gain, rest = self.gains.__missing__(word)
+        self.gains.clear()
+        self[word] = hit = gain >= self.least and rest <= self.most
+        return hit
 
 
 def unlike(texts: list[str]) -> list[str]:
@@ -134,20 +150,20 @@ def _features(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), np.log1p(hits), np.log1p(n)], 1)
 
 
-def calibrate(gains: Gains, texts: list[str], labels: list[int]) -> tuple[int, tuple[float, float, float]]:
-    """The least gain of a hit, and the weights of the logistic curve."""
+def calibrate(gains: Gains, texts: list[str], labels: list[int]) -> tuple[tuple[int, int], tuple[float, float, float]]:
+    """The least gain and the greatest rest of a hit, and the weights of the logistic curve."""
     y = np.array(labels)
-    each = [np.array([gains[w] for w in words(t)], int) for t in texts]
+    each = [np.array([gains[w] for w in words(t)], int).reshape(-1, 2) for t in texts]
     n = np.array([len(e) for e in each])
-    hits = {g: np.array([(e >= g).sum() for e in each]) for g in GAINS}
-    g = max(GAINS, key=lambda g: (round(_area(hits[g], y), 4), g))
-    x, w = _features(hits[g], n), np.zeros(3)
+    hits = {(g, c): np.array([((e[:, 0] >= g) & (e[:, 1] <= c)).sum() for e in each]) for g in GAINS for c in RESTS}
+    hit = max(hits, key=lambda h: (round(_area(hits[h], y), 4), h))
+    x, w = _features(hits[hit], n), np.zeros(3)
     for _ in range(50):  # Newton's steps, with a little shrinkage of the slopes
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         shrink = np.diag([1e-6, 0.01, 0.01])
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + shrink, x.T @ (p - y) + shrink @ w)
         w = np.clip(w, -60, 60)
-    return g, tuple(map(float, w))
+    return hit, tuple(map(float, w))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -163,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     split = {(label, part): unlike([t for i, (_, t, y) in enumerate(r for r in rows if r[2] == label) if i % 2 == part]) for label in (0, 1) for part in (0, 1)}
     made = train(split[1, 0], split[0, 0])
     if made is None or not split[1, 1] or not split[0, 1]:
-        return Model(b"", b"", 0, (0.0, 0.0, 0.0), prior)
+        return Model(b"", b"", (0, 0), (0.0, 0.0, 0.0), prior)
     texts = split[1, 1] + split[0, 1]
     return Model(*made, *calibrate(Gains(*made), texts, [1] * len(split[1, 1]) + [0] * len(split[0, 1])), prior)
 
@@ -173,17 +189,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = Gains(model.ordinary, model.toxic) if model.toxic else None
+        known = Hits(model) if model.toxic else None
         a, b, c = model.weights
         for batch in batches:
             scores, found = [], []
             for t in batch.column(1):
                 w = words(t.as_py())
-                if gains is None:
+                if known is None:
                     scores.append(model.prior), found.append(0)
                     continue
-                g = model.least_gain
-                hits = sum(x >= g for x in map(gains.__getitem__, w))
+                hits = sum(map(known.__getitem__, w))
                 x = a + b * math.log1p(hits) + c * math.log1p(len(w))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x))))), found.append(hits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, pa.int64())], names=["doc_id", "score", "n_hits"])
