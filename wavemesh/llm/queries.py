@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, sharding, tokens, toxicity
+from . import chat, decontamination, mixing, pii, sharding, tokens, toxicity
 from .shared import WORD
 
 
@@ -96,6 +96,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT_FROM).cast("int").alias("predicted"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds."""
+    found = decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.concat_ws(",", F.transform("finds", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["distance"].cast("string"))))
+    return found.select("doc_id", (F.size("finds") > 0).alias("contaminated"), F.size("finds").cast("long").alias("n_items"), items.alias("items"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and tokens of every document."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
@@ -110,5 +117,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_tokens": op4_tokens, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
 ORACLE_SQL = {"op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op9_sharding": OP9_SQL}
