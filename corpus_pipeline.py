@@ -1,2 +1,67 @@
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: documents without toxic ones, one of each group of near copies, without benchmark items, mixed
+to the sources' targets, and placed on shards.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the
+last return the columns of documents. Rows whose doc_id is null are never rejected as copies or for benchmark items
+(they can't be told apart by id); rows that share a doc_id share its decision.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavemesh.llm import decontamination, mixing, ngram_join, sharding, toxicity
+from wavemesh.llm.shared import shared_dir, stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't among the rejected ones; no id is only known by the driver."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label")).where(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model, keep=COLUMNS).where(F.col("score") < toxicity.REJECT_FROM).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by n-gram similarity, the one of least doc_id stays."""
+    found = stored(ngram_join.join(docs), "pipeline-groups")
+    return _without(docs, found.where("component_id <> doc_id"))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.find_items(docs, items, keep=COLUMNS).where(F.size("finds") == 0).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once for each epoch that takes words of it; one that the mix's end cuts stays whole."""
+    numbered = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")), "pipeline-numbered")
+    _, entries = mixing.mix(numbered, row_id="row_id")
+    return numbered.join(entries.select("row_id", "epoch"), "row_id").select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.place(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("decontamination", drop_benchmark), ("mixing", mix_sources), ("sharding", shard)]
+#: Compression distance and edit matching have no counterpart in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import small_batches
 
@@ -113,35 +114,32 @@ class Finder:
         return sorted((self.patterns[p].item_id, d) for p, d in best.items())
 
 
+FINDS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
 _FIND = pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])
 
 
-def find_items(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, finds array<struct<item_id, distance>> by item. docs: doc_id, text; items: item_id, text."""
+def find_items(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
+    """The columns to keep, finds array<struct<item_id, distance>> by item. docs: text and those; items: item_id, text."""
     spark = docs.sparkSession
     small_batches(spark)
     known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def pass_over(part: DataFrame, column: str, b: int) -> DataFrame:
+    def pass_over(rows: DataFrame, b: int) -> DataFrame:
         found = [(r.item_id, normal(r.text)) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()]
         sent = spark.sparkContext.broadcast(found)  # about `block` characters
+        schema = T.StructType([*rows.schema.fields, T.StructField(f"_finds_{b}", FINDS)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(sent.value)
             for batch in batches:
-                rows = [[{"item_id": i, "distance": d} for i, d in finder.finds(t.as_py())] for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_FIND))], names=["doc_id", column])
+                got = [[{"item_id": i, "distance": d} for i, d in finder.finds(t.as_py())] for t in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(_FIND))], names=schema.names)
 
-        return part.mapInArrow(run, f"doc_id {kind}, {column} array<struct<item_id:bigint,distance:int>>")
+        return rows.mapInArrow(run, schema)
 
-    text = docs.select("doc_id", "text")
-    if n_blocks == 1:
-        return pass_over(text, "finds", 0)
-    parts = None
+    rows = docs.select(F.col("text").alias("_text"), *keep)
     for b in range(n_blocks):
-        part = pass_over(text, "finds", b)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_set("finds"))).alias("finds"))
+        rows = pass_over(rows, b)
+    return rows.select(*keep, F.array_sort(F.concat(*(f"_finds_{b}" for b in range(n_blocks)))).alias("finds"))

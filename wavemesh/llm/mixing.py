@@ -46,11 +46,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], budget_share: float, epo
     return per.select("no_src", "src", "source_size", F.least(cap, F.coalesce(F.col("level") * F.col("weight"), cap)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, source, text. Returns the documents (row_id, doc_id, size, source_size, target) and the mix: a row
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, seed: str = "mix", row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, source, text, and a column that numbers the rows if row_id names one. Returns the documents (row_id, doc_id, size, source_size, target) and the mix: a row
     per document and epoch that is taken (row_id, epoch, virtual_finish, taken words, position in the mix), sorted."""
     sizes = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"), words_in(F.col("text")).alias("size"),
+        (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"), "doc_id", F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"), words_in(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
     ).withColumn("slice", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % SLICES)
     sizes = stored(sizes, "mix-sizes")

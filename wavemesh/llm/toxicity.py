@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import LOWER, WordHashes, shingle_set, small_batches
 
@@ -184,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(*made, *calibrate(Gains(*made), texts, [1] * len(split[1, 1]) + [0] * len(split[0, 1])), prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1, higher for toxic), n_hits."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, score (0 to 1, higher for toxic), n_hits."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         a, b, c = model.weights
         for batch in batches:
             scores, found = [], []
-            for t in batch.column(1):
+            for t in batch.column(0):
                 w = words(t.as_py())
                 if known is None:
                     scores.append(model.prior), found.append(0)
@@ -201,7 +202,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 hits = sum(map(known.__getitem__, w))
                 x = a + b * math.log1p(hits) + c * math.log1p(len(w))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x))))), found.append(hits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, pa.int64())], names=["doc_id", "score", "n_hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array(found, pa.int64())], names=[*keep, "score", "n_hits"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_hits long")
+    rows = docs.select(F.col("text").alias("_text"), *keep)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType())]))
