@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, ngram_join, pii, sharding, tokens, toxicity
+from . import chat, decontamination, flat_graph, mixing, ngram_join, pii, sharding, tokens, toxicity
 from .shared import WORD
 
 
@@ -113,6 +113,11 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the plain finds' digest and all spans of every document."""
     found = pii.detect(table(spark, sf_dir, "documents"))
@@ -122,5 +127,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op7_embeddings": op7_embeddings, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
 ORACLE_SQL = {"op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op9_sharding": OP9_SQL}
