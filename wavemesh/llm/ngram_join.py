@@ -6,10 +6,13 @@ A document is its set of five-word shingles; two link when their Jaccard similar
    that many documents have last, the others by hash. Only these prefixes are shuffled.
 2. Equal sets become one. Of the documents that share a prefix shingle, each is compared with the least one; what links
    is a group of similar documents.
-3. The matrix holds, for each prefix shingle, the groups (in blocks of bounded size) whose members have it. A document
-   meets the other groups that share a prefix shingle of the rare kind and have a member of fitting size.
-4. For each such block the union of its members' sets is stored. A document that has fewer than 0.8 n of its shingles
-   in a block's union links with none of its members; only blocks that pass are opened, and their members compared.
+3. The matrix holds the groups, in blocks of bounded size: the union of their members' prefix shingles, the last place
+   of the order up to which that union is complete, and the least size of a member. A document meets the other groups
+   that share a prefix shingle and have a member of fitting size.
+4. Prefix shingles of the document that are missing from the complete part of a union are in none of its members, which
+   bounds the overlap with each of them. Only blocks whose bound suffices are opened, and their members compared.
+5. Two documents are compared by their prefixes first, with the same bound; only where it suffices are the texts
+   fetched and the whole sets compared.
 
 So a large group of near copies costs a row for each member, not a row for each pair.
 
@@ -52,18 +55,16 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order. frequent: sorted 32-bit marks."""
+    """The first shingles in the common order, which is that of the numbers returned. frequent: sorted 32-bit marks."""
     n = len(shingles)
-    if not n:
-        return shingles
-    size = n - least_shared(n) + 1
-    if len(frequent):
-        mark = shingles & np.uint64(0xFFFFFFFF)
+    codes = shingles >> np.uint64(2)
+    if n and len(frequent):
+        mark = codes & np.uint64(0xFFFFFFFF)
         at = np.searchsorted(frequent, mark)
         at[at == len(frequent)] = 0
         late = frequent[at] == mark
-        shingles = np.concatenate((shingles[~late], shingles[late]))
-    return shingles[:size]
+        codes = np.concatenate((codes[~late], codes[late] | np.uint64(1 << 62)))
+    return codes[: n - least_shared(n) + 1 if n else 0].astype(np.int64)
 
 
 def _texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[str | None]:
@@ -95,7 +96,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             sets = [shingle_set(t, hashes) for t in _texts(b)]
             heads = [prefix(s, sent.value) for s in sets]
             ends = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
-            flat = np.concatenate([*heads, np.empty(0, np.uint64)]).view(np.int64)
+            flat = np.concatenate([*heads, np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=["doc_id", "n", "same", "prefix"],
@@ -104,8 +105,41 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, same binary, prefix array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. texts: doc_id, text."""
+def least_overlap(n: int, m: int) -> int:
+    """What two sets of these sizes have to share to link."""
+    return -(-SIMILAR * (n + m) // (100 + SIMILAR))
+
+
+def close(n: int, a: np.ndarray, m: int, b: np.ndarray) -> bool:
+    """Whether sets of sizes n and m with the prefixes a and b can link."""
+    if 100 * min(n, m) < SIMILAR * max(n, m):
+        return False
+    last = min(a[-1], b[-1])  # up to here both are known
+    known_a, known_b = int(np.searchsorted(a, last, "right")), int(np.searchsorted(b, last, "right"))
+    return overlap(a[:known_a], b[:known_b]) + min(n - known_a, m - known_b) >= least_overlap(n, m)
+
+
+def _longs(array: pa.Array) -> Iterator[np.ndarray]:
+    flat, ends = array.values.to_numpy(), array.offsets.to_numpy()
+    return (flat[a:b] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes and sizes allow a link. nodes: node, n, prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column(2).to_pylist(), _longs(b.column(3)), b.column(4).to_pylist(), _longs(b.column(5)), strict=True)
+            keep = [close(*r) for r in rows]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a")
+    return rows.select("a", "b", "n_a", "prefix_a", "n_b", "prefix_b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their whole texts. docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sets = WordHashes(), {}
@@ -119,43 +153,41 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         for b in batches:
             keep = [linked(set_of(x), set_of(y)) for x, y in zip(_texts(b, 2), _texts(b, 3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = stored(pairs, "ngram-pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = stored(docs.join(ids, "doc_id", "left_semi"), "ngram-texts")
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "ngram-links")
 
 
-def unions(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """group, block, shingles: the union of the members' sets, as bytes. A block's members have about BLOCK shingles."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(t, hashes).tobytes() for t in _texts(b, 2)], pa.binary())], names=["group", "block", "shingles"])
+def token_matrix(members: DataFrame) -> DataFrame:
+    """group, block, low (least size), known (the union is complete up to here), tokens (the union of the prefixes).
+    members: group, block, n, prefix; those of a block have about BLOCK shingles."""
 
     def union(t: pa.Table) -> pa.Table:
-        every = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]))
-        return pa.table({"group": t.column("group")[:1], "block": t.column("block")[:1], "shingles": pa.array([every.tobytes()], pa.binary())})
+        prefixes = [np.array(p, np.int64) for p in t.column("prefix").to_pylist()]
+        every = np.unique(np.concatenate(prefixes))
+        return pa.table({"group": t.column("group")[:1], "block": t.column("block")[:1], "low": pa.array([min(t.column("n").to_pylist())], pa.int64()), "known": pa.array([int(min(p[-1] for p in prefixes))], pa.int64()), "tokens": pa.array([every], pa.list_(pa.int64()))})
 
-    kind = "group long, block int, shingles binary"
-    rows = members.join(texts.withColumnRenamed("doc_id", "node"), "node").select("group", "block", "text").mapInArrow(sets, kind)
-    return rows.groupBy("group", "block").applyInArrow(union, kind)
+    return members.select("group", "block", "n", "prefix").groupBy("group", "block").applyInArrow(union, "group long, block int, low long, known long, tokens array<long>")
 
 
-def bounded(meetings: DataFrame, matrix: DataFrame, texts: DataFrame) -> DataFrame:
-    """The meetings (node, group, block) whose block has enough of the node's shingles to be opened."""
+def opened(meetings: DataFrame, nodes: DataFrame, matrix: DataFrame) -> DataFrame:
+    """The meetings (node, group, block) whose bound on the overlap suffices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             keep = []
-            for text, shingles in zip(_texts(b, 3), b.column(4), strict=True):
-                s = shingle_set(text, hashes)
-                keep.append(overlap(s, np.frombuffer(shingles.as_py(), np.uint64)) >= least_shared(len(s)))
+            for n, mine, low, known, tokens in zip(b.column(3).to_pylist(), _longs(b.column(4)), b.column(5).to_pylist(), b.column(6).to_pylist(), _longs(b.column(7)), strict=True):
+                sure = mine[: int(np.searchsorted(mine, known, "right"))]
+                missing = len(sure) - overlap(sure, tokens)
+                keep.append(n - missing >= least_overlap(n, max(low, least_shared(n))))
             yield pa.RecordBatch.from_arrays(b.columns[:3], names=["node", "group", "block"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = meetings.join(texts.withColumnRenamed("doc_id", "node"), "node").join(matrix, ["group", "block"])
-    return rows.select("node", "group", "block", "text", "shingles").mapInArrow(run, "node long, group long, block int")
+    rows = meetings.join(nodes, "node").join(matrix, ["group", "block"])
+    return rows.select("node", "group", "block", "n", "prefix", "low", "known", "tokens").mapInArrow(run, "node long, group long, block int")
 
 
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -168,13 +200,14 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
     firsts = filled.groupBy("same").agg(F.min("doc_id").alias("node"))
     copies = stored(filled.select("same", "doc_id").join(firsts, "same").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "ngram-copies")
-    nodes = filled.join(copies.where("a = b").select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", F.explode("prefix").alias("shingle"))
-    nodes = stored(nodes, "ngram-prefixes")
+    nodes = filled.join(copies.where("a = b").select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "prefix")
+    nodes = stored(nodes, "ngram-nodes")
 
-    ends = nodes.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("shingle", "first")
-    shared = stored(nodes.join(ends, "shingle"), "ngram-shared")
-    texts = stored(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "ngram-texts")
-    stars = stored(verified(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), texts), "ngram-stars")
+    rows = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
+    ends = rows.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("shingle", "first")
+    shared = stored(rows.join(ends, "shingle"), "ngram-shared")
+    stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = verified(plausible(stars, nodes), docs)
 
     group = F.coalesce("component", "node").alias("group")
     grouped = shared.select("shingle", "node", "n").join(stored(components(stars), "ngram-groups").withColumnRenamed("id", "node"), "node", "left").select("shingle", "node", "n", group)
@@ -183,15 +216,15 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK)).cast("int").alias("block")
     grouped = stored(grouped.join(several, "shingle", "left_semi").join(sizes, "group").select("shingle", "node", "n", "group", block), "ngram-grouped")
 
-    matrix = grouped.groupBy("shingle", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    cells = grouped.groupBy("shingle", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     queries = grouped.select("shingle", "node", "n", F.col("group").alias("own"))
     fits = f"own > group AND 100 * high >= {SIMILAR} * n AND {SIMILAR} * low <= 100 * n"
-    meetings = stored(queries.join(matrix, "shingle").where(fits).select("node", "group", "block").distinct(), "ngram-meetings")
+    meetings = stored(queries.join(cells, "shingle").where(fits).select("node", "group", "block").distinct(), "ngram-meetings")
     members = grouped.select("node", "group", "block").distinct().join(meetings.select("group", "block").distinct(), ["group", "block"], "left_semi")
     members = stored(members, "ngram-members")
-    opened = stored(bounded(meetings, unions(members, texts), texts), "ngram-opened")
-    pairs = opened.withColumnRenamed("node", "a").join(members.withColumnRenamed("node", "b"), ["group", "block"]).select("a", "b").distinct()
-    links = stars.unionByName(verified(pairs, texts)).unionByName(copies.where("a <> b"))
+    qualified = stored(opened(meetings, nodes, token_matrix(members.join(nodes, "node"))), "ngram-opened")
+    pairs = qualified.withColumnRenamed("node", "a").join(members.withColumnRenamed("node", "b"), ["group", "block"]).select("a", "b").distinct()
+    links = stars.unionByName(verified(plausible(pairs, nodes), docs)).unionByName(copies.where("a <> b"))
     return sets.select("doc_id", "n"), links
 
 
