@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, flat_graph, mixing, ngram_join, pii, sharding, tokens, toxicity
+from . import chat, decontamination, flat_graph, line_dedup, mixing, ngram_join, pii, sharding, tokens, toxicity
 from .shared import WORD
 
 
@@ -118,6 +118,32 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings"))[0]
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and the digest of what stays of every document."""
+    docs = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i AS pos, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id IS NOT NULL)),
+s AS (SELECT w, min((doc_id, pos)) AS f, len(w) AS n, row_number() OVER () AS id FROM l WHERE len(w) > 0 GROUP BY w),
+t AS (SELECT id, n, f, unnest(w) AS word FROM s),
+df AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+r AS (SELECT id, n, f, word, row_number() OVER (PARTITION BY id ORDER BY c, word) AS i FROM t JOIN df USING (word)),
+p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM r a JOIN r b ON a.word = b.word AND a.f > b.f AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  WHERE a.i <= a.n - ceil(0.8 * a.n) + 1 AND b.i <= b.n - ceil(0.8 * b.n) + 1),
+near AS (SELECT DISTINCT x.f AS f FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b
+  WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)),
+g AS (
+  SELECT l.doc_id, l.pos, l.line, l.w, coalesce((l.doc_id, l.pos) <> s.f OR s.f IN (SELECT f FROM near), false) AS gone
+  FROM l LEFT JOIN s ON s.w = l.w)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+FROM g GROUP BY doc_id
+"""
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the plain finds' digest and all spans of every document."""
     found = pii.detect(table(spark, sf_dir, "documents"))
@@ -127,5 +153,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op7_embeddings": op7_embeddings, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
-ORACLE_SQL = {"op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op9_sharding": OP9_SQL}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op7_embeddings": op7_embeddings, "op8_line_dedup": op8_line_dedup, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
+ORACLE_SQL = {"op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
