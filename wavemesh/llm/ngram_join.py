@@ -4,8 +4,10 @@ A document is its set of five-word shingles; two link when their Jaccard similar
 
 1. In any order of all shingles, two linked sets share one of their first n - ceil(0.8 n) + 1. The order puts shingles
    that many documents have last, the others by hash. Only these prefixes are shuffled.
-2. Equal sets become one. Of the documents that share a prefix shingle, each is compared with the least one; what links
-   is a group of similar documents.
+2. Equal sets become one. Of the documents that share a prefix shingle, each is compared with the most central one,
+   that with the most shared shingles, by their prefixes. Pairs that may link, or share a frequent shingle, make groups
+   of similar documents; the texts of those that may link are fetched and compared. Where that doesn't connect a whole group, its members are compared with each other,
+   block by block inside tasks: what leaves a task is a forest over its documents, not pairs.
 3. The matrix holds the groups, in blocks of bounded size: the union of their members' prefix shingles, the last place
    of the order up to which that union is complete, and the least size of a member. A document meets the other groups
    that share a prefix shingle and have a member of fitting size.
@@ -14,7 +16,7 @@ A document is its set of five-word shingles; two link when their Jaccard similar
 5. Two documents are compared by their prefixes first, with the same bound; only where it suffices are the texts
    fetched and the whole sets compared.
 
-So a large group of near copies costs a row for each member, not a row for each pair.
+So a large group of near copies costs a row for each member and block, not a row for each pair.
 
 Defined cases: null and empty texts, and those of white space only, have an empty set and link with nothing; with fewer
 than five words the whole sequence is the one shingle; repeated rows and ties are equal sets; a null doc_id is returned
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WordHashes, overlap, shingle_set, small_batches, stored
+from .shared import overlap, shingle_set, small_batches, stored
 
 #: Least similarity, in hundredths.
 SIMILAR = 80
-#: A shingle in more prefixes than this goes to the end of the order; at most so many shingles do, the most frequent ones.
-FREQUENT, MOST_FREQUENT = 64, 1_000_000
+#: A shingle of more documents than this stands behind the rarer ones; at most so many shingles do, the most frequent ones.
+FREQUENT, MOST_FREQUENT = 8, 1_000_000
+#: Hashes (of 62 bits) below FRONT are counted. The order is: these if rare, these if frequent, the others.
+FRONT, LATE, REST = (1 << 62) * 3 // 10, 1 << 61, 1 << 62
 #: Shingles in a block of a group.
 BLOCK = 65_536
 
@@ -58,13 +62,15 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The first shingles in the common order, which is that of the numbers returned. frequent: sorted 32-bit marks."""
     n = len(shingles)
     codes = shingles >> np.uint64(2)
-    if n and len(frequent):
-        mark = codes & np.uint64(0xFFFFFFFF)
+    front = int(np.searchsorted(codes, np.uint64(FRONT)))
+    head, rest = codes[:front], codes[front:] | np.uint64(REST)
+    if front and len(frequent):
+        mark = head & np.uint64(0xFFFFFFFF)
         at = np.searchsorted(frequent, mark)
         at[at == len(frequent)] = 0
         late = frequent[at] == mark
-        codes = np.concatenate((codes[~late], codes[late] | np.uint64(1 << 62)))
-    return codes[: n - least_shared(n) + 1 if n else 0].astype(np.int64)
+        head = np.concatenate((head[~late], head[late] | np.uint64(LATE)))
+    return np.concatenate((head, rest))[: n - least_shared(n) + 1 if n else 0].astype(np.int64)
 
 
 def _texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[str | None]:
@@ -73,13 +79,12 @@ def _texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[str | None]:
 
 
 def frequent_marks(docs: DataFrame) -> np.ndarray:
-    """The lower 32 bits of shingles in many prefixes; a fixed number at most."""
+    """The lower 32 bits of counted shingles that many documents have; a fixed number at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, none = WordHashes(), np.empty(0, np.uint64)
         for b in batches:
-            marks = [prefix(shingle_set(t, hashes), none).astype(np.uint32) for t in _texts(b, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*marks, none.astype(np.uint32)]).view(np.int32))], names=["mark"])
+            codes = [s[: np.searchsorted(s, np.uint64(FRONT << 2))] >> np.uint64(2) for s in map(shingle_set, _texts(b, 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*codes, np.empty(0, np.uint64)]).astype(np.uint32).view(np.int32))], names=["mark"])
 
     counts = docs.select("text").mapInArrow(run, "mark int").groupBy("mark").count().where(F.col("count") > FREQUENT)
     found = counts.orderBy(F.desc("count"), "mark").limit(MOST_FREQUENT).select("mark").toPandas()["mark"].to_numpy(np.int32)
@@ -91,9 +96,8 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # 8 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, hashes) for t in _texts(b)]
+            sets = [shingle_set(t) for t in _texts(b)]
             heads = [prefix(s, sent.value) for s in sets]
             ends = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
             flat = np.concatenate([*heads, np.empty(0, np.int64)])
@@ -142,13 +146,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole texts. docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets = WordHashes(), {}
+        sets: dict[str, np.ndarray] = {}
 
         def set_of(text: str) -> np.ndarray:
             if text not in sets:
                 if len(sets) > 100:
                     sets.clear()
-                sets[text] = shingle_set(text, hashes)
+                sets[text] = shingle_set(text)
             return sets[text]
 
         for b in batches:
@@ -163,31 +167,87 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def token_matrix(members: DataFrame) -> DataFrame:
-    """group, block, low (least size), known (the union is complete up to here), tokens (the union of the prefixes).
-    members: group, block, n, prefix; those of a block have about BLOCK shingles."""
+    """group, block, low (least size), known (the union is complete up to here), tokens (the union of the prefixes), and
+    the members themselves: ids, sizes, prefixes. members: group, block, node, n, prefix; a block has about BLOCK shingles."""
 
     def union(t: pa.Table) -> pa.Table:
         prefixes = [np.array(p, np.int64) for p in t.column("prefix").to_pylist()]
-        every = np.unique(np.concatenate(prefixes))
-        return pa.table({"group": t.column("group")[:1], "block": t.column("block")[:1], "low": pa.array([min(t.column("n").to_pylist())], pa.int64()), "known": pa.array([int(min(p[-1] for p in prefixes))], pa.int64()), "tokens": pa.array([every], pa.list_(pa.int64()))})
+        every, sizes = np.unique(np.concatenate(prefixes)), t.column("n").to_pylist()
+        row = {"group": t.column("group")[:1], "block": t.column("block")[:1], "low": [min(sizes)], "known": [int(min(p[-1] for p in prefixes))], "tokens": [every], "ids": [t.column("node").to_pylist()], "sizes": [sizes], "prefixes": [prefixes]}
+        return pa.table(row, schema=schema)
 
-    return members.select("group", "block", "n", "prefix").groupBy("group", "block").applyInArrow(union, "group long, block int, low long, known long, tokens array<long>")
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("group", pa.int64()), ("block", pa.int32()), ("low", pa.int64()), ("known", pa.int64()), ("tokens", longs), ("ids", longs), ("sizes", longs), ("prefixes", pa.list_(longs))])
+    kinds = "group long, block int, low long, known long, tokens array<long>, ids array<long>, sizes array<long>, prefixes array<array<long>>"
+    return members.select("group", "block", "node", "n", "prefix").groupBy("group", "block").applyInArrow(union, kinds)
 
 
 def opened(meetings: DataFrame, nodes: DataFrame, matrix: DataFrame) -> DataFrame:
-    """The meetings (node, group, block) whose bound on the overlap suffices."""
+    """Pairs (a, b) of documents and members of the blocks whose bound suffices, as far as their prefixes allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for n, mine, low, known, tokens in zip(b.column(3).to_pylist(), _longs(b.column(4)), b.column(5).to_pylist(), b.column(6).to_pylist(), _longs(b.column(7)), strict=True):
+            left, right = [], []
+            for k, (node, n, mine, low, known, tokens) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _longs(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), _longs(b.column(5)), strict=True)):
                 sure = mine[: int(np.searchsorted(mine, known, "right"))]
-                missing = len(sure) - overlap(sure, tokens)
-                keep.append(n - missing >= least_overlap(n, max(low, least_shared(n))))
-            yield pa.RecordBatch.from_arrays(b.columns[:3], names=["node", "group", "block"]).filter(pa.array(keep, pa.bool_()))
+                if n - len(sure) + overlap(sure, tokens) >= least_overlap(n, max(low, least_shared(n))):
+                    ids, sizes, prefixes = (b.column(c)[k].as_py() for c in (6, 7, 8))
+                    got = [i for i, m, p in zip(ids, sizes, prefixes, strict=True) if close(n, mine, m, np.array(p, np.int64))]
+                    left += [node] * len(got)
+                    right += got
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     rows = meetings.join(nodes, "node").join(matrix, ["group", "block"])
-    return rows.select("node", "group", "block", "n", "prefix", "low", "known", "tokens").mapInArrow(run, "node long, group long, block int")
+    return rows.select("node", "n", "prefix", "low", "known", "tokens", "ids", "sizes", "prefixes").mapInArrow(run, "a long, b long")
+
+
+def with_blocks(members: DataFrame) -> DataFrame:
+    """members (group, node, n) with block, and blocks: how many the group has. A block has about BLOCK shingles."""
+    totals = members.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    return members.join(totals, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def within(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b) that connect what links inside each group. members: group, node, block, blocks."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([shingle_set(t).tobytes() for t in _texts(b, 4)], pa.binary())], names=["group", "node", "block", "blocks", "shingles"])
+
+    def forest(t: pa.Table) -> pa.Table:
+        block, lo, hi = (t.column(c).to_numpy() for c in ("block", "lo", "hi"))
+        ids = t.column("node").to_numpy()
+        each = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
+        rows, others = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        parent = np.arange(len(ids))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        if len(rows) and len(others):
+            sizes = np.array([len(each[j]) for j in others])
+            flat, owner = np.concatenate([each[j] for j in others]), np.repeat(np.arange(len(others)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i in rows:
+                a, b = np.searchsorted(flat, each[i], "left"), np.searchsorted(flat, each[i], "right")
+                hits = [owner[x:y] for x, y in zip(a, b, strict=True) if x < y]
+                shared = np.bincount(np.concatenate(hits), minlength=len(others)) if hits else np.zeros(len(others), int)
+                for j in others[100 * shared >= SIMILAR * (len(each[i]) + sizes - shared)]:
+                    r, s = root(i), root(j)
+                    if r != s:
+                        parent[max(r, s)] = min(r, s)
+        joined = [i for i in range(len(ids)) if root(i) != i]
+        return pa.table({"a": pa.array(ids[joined], pa.int64()), "b": pa.array([int(ids[root(i)]) for i in joined], pa.int64())})
+
+    members = stored(members.select("group", "node", "block", "blocks"), "ngram-apart")
+    texts = docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    rows = members.join(texts, "node").select("group", "node", "block", "blocks", "text").mapInArrow(sets, "group long, node long, block int, blocks int, shingles binary")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    return stored(rows.groupBy("group", "lo", "hi").applyInArrow(forest, "a long, b long"), "ngram-within")
 
 
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,28 +263,36 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = filled.join(copies.where("a = b").select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "prefix")
     nodes = stored(nodes, "ngram-nodes")
 
-    rows = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
-    ends = rows.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("shingle", "first")
-    shared = stored(rows.join(ends, "shingle"), "ngram-shared")
-    stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = verified(plausible(stars, nodes), docs)
-
-    group = F.coalesce("component", "node").alias("group")
-    grouped = shared.select("shingle", "node", "n").join(stored(components(stars), "ngram-groups").withColumnRenamed("id", "node"), "node", "left").select("shingle", "node", "n", group)
-    sizes = grouped.select("group", "node", "n").distinct().groupBy("group").agg(F.sum("n").alias("total"))
-    several = grouped.groupBy("shingle").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("shingle")
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK)).cast("int").alias("block")
-    grouped = stored(grouped.join(several, "shingle", "left_semi").join(sizes, "group").select("shingle", "node", "n", "group", block), "ngram-grouped")
-
+    rows = nodes.select("node", F.explode("prefix").alias("shingle"))
+    several = rows.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("shingle")
+    shared = stored(rows.join(several, "shingle"), "ngram-shared")
+    central = shared.groupBy("node").agg(F.count("*").alias("central"))
+    shared = stored(shared.join(central, "node"), "ngram-central")
+    lead = shared.groupBy("shingle").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("leader"))
+    stars = shared.join(lead, "shingle").where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max(F.col("shingle") >= LATE).alias("late"))
+    stars = stored(stars, "ngram-stars")
+    likely = stored(plausible(stars.select("a", "b"), nodes), "ngram-likely")
+    links = verified(likely, docs)
+
+    # who shares a frequent shingle within the prefix has few others, as near copies do: these are compared inside their
+    # group, so that only rare shingles, of FREQUENT documents at most, make documents meet other groups
+    groups = stored(components(likely.unionByName(stars.where("late").select("a", "b"))).withColumnRenamed("id", "node").withColumnRenamed("component", "group"), "ngram-groups")
+    members = groups.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    apart = members.groupBy("group").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("group")
+    blocked = stored(with_blocks(groups.join(nodes.select("node", "n"), "node")), "ngram-blocks")
+    links = links.unionByName(within(blocked.join(apart, "group", "left_semi"), docs))
+
+    alone = {"group": F.coalesce("group", "node"), "block": F.coalesce("block", F.lit(0))}
+    grouped = shared.select("shingle", "node").join(nodes.select("node", "n"), "node").join(blocked.select("node", "group", "block"), "node", "left").withColumns(alone)
+    open_ = grouped.groupBy("shingle").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("shingle")
+    grouped = stored(grouped.join(open_, "shingle", "left_semi").select("shingle", "node", "n", "group", "block"), "ngram-grouped")
     cells = grouped.groupBy("shingle", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     queries = grouped.select("shingle", "node", "n", F.col("group").alias("own"))
     fits = f"own > group AND 100 * high >= {SIMILAR} * n AND {SIMILAR} * low <= 100 * n"
     meetings = stored(queries.join(cells, "shingle").where(fits).select("node", "group", "block").distinct(), "ngram-meetings")
-    members = grouped.select("node", "group", "block").distinct().join(meetings.select("group", "block").distinct(), ["group", "block"], "left_semi")
-    members = stored(members, "ngram-members")
-    qualified = stored(opened(meetings, nodes, token_matrix(members.join(nodes, "node"))), "ngram-opened")
-    pairs = qualified.withColumnRenamed("node", "a").join(members.withColumnRenamed("node", "b"), ["group", "block"]).select("a", "b").distinct()
-    links = stars.unionByName(verified(plausible(pairs, nodes), docs)).unionByName(copies.where("a <> b"))
+    cards = grouped.select("node", "group", "block").distinct().join(meetings.select("group", "block").distinct(), ["group", "block"], "left_semi")
+    pairs = opened(meetings, nodes, token_matrix(cards.join(nodes, "node")))
+    links = links.unionByName(verified(pairs, docs)).unionByName(copies.where("a <> b"))
     return sets.select("doc_id", "n"), links
 
 

@@ -34,16 +34,6 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept up to a fixed count."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PLACE = [np.uint64(xxhash.xxh64_intdigest(bytes([i])) | 1) for i in range(SHINGLE)]
 
@@ -55,19 +45,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles of a text; with fewer words, of the whole sequence."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    w = np.array([hashes[x] for x in words], np.uint64)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(len(w), SHINGLE)
-    h = np.full(len(w) - n + 1, n if n < SHINGLE else 0, np.uint64)
-    for i in range(n):
-        h += w[i : len(w) - n + 1 + i] * _PLACE[i]
+    m = len(w) - n + 1
+    h = w[:m] * _PLACE[0]
+    for i in range(1, n):
+        h += w[i : m + i] * _PLACE[i]
+    if n < SHINGLE:
+        h += np.uint64(n)
     h = mixed(h)
     h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) > 1 else h
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if m > 1 else h
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER, WordHashes, shingle_set, small_batches
+from .shared import LOWER, shingle_set, small_batches
 
 REJECT_FROM = 0.7
 #: Labelled rows that fitting takes at most, by label; and the longest text, in characters, that it takes.
@@ -103,9 +103,9 @@ class Hits(dict):
 def unlike(texts: list[str]) -> list[str]:
     """The texts without near copies of earlier ones: those that share the least or the greatest shingle hash."""
     seen: set[int] = set()
-    hashes, kept = WordHashes(), []
+    kept = []
     for t in texts:
-        s = shingle_set(t, hashes)
+        s = shingle_set(t)
         ends = {int(s[0]), int(s[-1])} if len(s) else {0}
         if not ends & seen:
             kept.append(t)
