@@ -44,7 +44,7 @@ FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Hashes (of 62 bits) below FRONT are counted. The order is: these if rare, these if frequent, the others.
 FRONT, LATE, REST = (1 << 62) * 3 // 10, 1 << 61, 1 << 62
 #: Shingles in a block of a group.
-BLOCK = 65_536
+BLOCK = 524_288
 
 
 def least_shared(n: int) -> int:
@@ -210,14 +210,10 @@ def with_blocks(members: DataFrame) -> DataFrame:
 def within(members: DataFrame, docs: DataFrame) -> DataFrame:
     """The links (a, b) that connect what links inside each group. members: group, node, block, blocks."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([shingle_set(t).tobytes() for t in _texts(b, 4)], pa.binary())], names=["group", "node", "block", "blocks", "shingles"])
-
     def forest(t: pa.Table) -> pa.Table:
         block, lo, hi = (t.column(c).to_numpy() for c in ("block", "lo", "hi"))
         ids = t.column("node").to_numpy()
-        each = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
+        each = [shingle_set(x.as_py()) for x in t.column("text")]
         rows, others = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         parent = np.arange(len(ids))
 
@@ -245,7 +241,7 @@ def within(members: DataFrame, docs: DataFrame) -> DataFrame:
 
     members = stored(members.select("group", "node", "block", "blocks"), "ngram-apart")
     texts = docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
-    rows = members.join(texts, "node").select("group", "node", "block", "blocks", "text").mapInArrow(sets, "group long, node long, block int, blocks int, shingles binary")
+    rows = members.join(texts, "node").select("group", "node", "block", "blocks", "text")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     return stored(rows.groupBy("group", "lo", "hi").applyInArrow(forest, "a long, b long"), "ngram-within")
 
