@@ -740,7 +740,7 @@ def a32_joint_silence(t):
     return evidence.joint_silence(runs).select(F.round("p_silent", 9).alias("p_silent"))
 
 
-@query("a33_independent", "SELECT packet, round(product(1 - least(0.999, greatest(0, r))), 6) AS p FROM (SELECT packet, node, max(snr) / 40 AS r FROM mesh_rx GROUP BY packet, node) GROUP BY packet")
+@query("a33_independent", "SELECT packet, round(product(1 - least(0.999, greatest(0, r))), 6) AS p FROM (SELECT packet, node, max(snr) / 41.7::DOUBLE AS r FROM mesh_rx GROUP BY packet, node) GROUP BY packet")
 def a33_independent(t):
-    rates = t.mesh_rx.groupBy("packet", "node").agg((F.max("snr") / 40).alias("rate"))
+    rates = t.mesh_rx.groupBy("packet", "node").agg((F.max("snr") / 41.7).alias("rate"))
     return evidence.independent_silence(rates).withColumn("p", F.round("p", 6))
