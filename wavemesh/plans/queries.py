@@ -744,3 +744,165 @@ def a32_joint_silence(t):
 def a33_independent(t):
     rates = t.mesh_rx.groupBy("packet", "node").agg((F.max("snr") / 41.7).alias("rate"))
     return evidence.independent_silence(rates).withColumn("p", F.round("p", 6))
+
+
+# ---- further operators
+
+def _pads(name: str) -> tuple[str, str]:
+    """Both pads of HMAC-SHA256 for a region's key, worked out in plain Python for the check."""
+    import hashlib
+
+    key = hashlib.sha256(name.encode()).digest()[:16].ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
+
+
+_KEYS = ", ".join("('#nation-{}', '{}', '{}')".format(i, *_pads(f"#nation-{i}")) for i in range(25))
+
+
+@query("x2_regions", f"""
+WITH f AS (SELECT id, substr(lpad(printf('%x', (id % 16) * 4), 2, '0') || md5('h' || CAST(id AS VARCHAR)), 1, 30) AS raw FROM mesh_packets),
+g AS (SELECT id, substr(raw, 3, 4) AS code, ('0x' || substr(raw, 11, 2))::INT AS p, raw FROM f), h AS (SELECT *, 6 + (p % 64) * (p // 64 + 1) AS o FROM g),
+m AS (SELECT id, code, unhex(lpad(printf('%x', id % 16), 2, '0') || substr(raw, CAST(2 * o + 1 AS INT))) AS msg FROM h WHERE o <= 15),
+k(name, i, o) AS (VALUES {_KEYS}),
+x AS (SELECT id, name FROM m CROSS JOIN k WHERE substr(sha256(unhex(k.o) || unhex(sha256(unhex(k.i) || m.msg))), 1, 4) = m.code)
+SELECT m.id, min(x.name) AS region, CAST(count(x.name) AS INT) AS n_matches FROM m LEFT JOIN x USING (id) GROUP BY m.id""")
+def x2_regions(t):
+    raw = F.substring(F.concat(F.lpad(F.lower(F.hex((F.col("id") % 16) * 4)), 2, "0"), F.md5(F.concat(F.lit("h"), F.col("id").cast("string")))), 1, 30)
+    return codec.regions_of(t.mesh_packets.select("id", raw.alias("raw_hex")), t.mesh_scopes)
+
+
+@query("f7_accepts", """SELECT k, CASE WHEN k % 6 = 0 THEN k % 4 <> 0 ELSE k % 5 = 0 OR k % 7 = k % 3 END AS accepts FROM mesh_nodes""")
+def f7_accepts(t):
+    name = lambda c: F.concat(F.lit("#"), c.cast("string"))
+    mine = F.when(F.col("k") % 5 == 0, F.array(F.lit("*"))).otherwise(F.array(name(F.col("k") % 7)))
+    wanted = F.when(F.col("k") % 6 == 0, "").otherwise(name(F.col("k") % 3))
+    return t.mesh_nodes.select("k", regions.accepts_region(mine, F.col("k") % 4 == 0, wanted).alias("accepts"))
+
+
+@query("f8_compatible", "SELECT l.src, l.dst FROM mesh_links l WHERE (src % 5 < 3) = (dst % 5 < 3) AND (src % 3 < 2) = (dst % 3 < 2)")
+def f8_compatible(t):
+    radios = t.mesh_nodes.selectExpr("k", "CASE WHEN k % 5 < 3 THEN 868.0D ELSE 869.6D END AS freq", "CASE WHEN k % 3 < 2 THEN 7 ELSE 8 END AS sf")
+    a, b = radios.selectExpr("k AS src", "freq", "sf"), radios.selectExpr("k AS dst", "freq", "sf")
+    return t.mesh_links.join(a, "src").join(b, ["dst", "freq", "sf"]).select("src", "dst")
+
+
+@query("f12_search", "SELECT k FROM mesh_nodes WHERE contains(lower(concat_ws(' ', name, role, public_key)), 'er#00000012')")
+def f12_search(t):
+    return t.mesh_nodes.where(F.lower(F.concat_ws(" ", "name", "role", "public_key")).contains("er#00000012")).select("k")
+
+
+@query("x_snr_counts", """SELECT src, peer, round(CASE WHEN n <= 2 THEN -20.0 ELSE -10 + least(15, 3 * log2(1 + n - 2)) END, 9) AS snr FROM mesh_reach""")
+def x_snr_counts(t):
+    return t.mesh_reach.select("src", "peer", F.round(lora.snr_of_count(F.col("n") - 2, F.lit(8)), 9).alias("snr"))
+
+
+@query("x_raster_height", "SELECT k, CAST(greatest(1, round(2000 * (0.5 + k % 3) * 110.574 / ((0.25 + k % 5) * 111.32 * cos(radians(lat + (0.5 + k % 3) / 2))))) AS INT) AS rows FROM mesh_nodes WHERE lat IS NOT NULL")
+def x_raster_height(t):
+    n = t.mesh_nodes.where("lat IS NOT NULL")
+    return n.select("k", geo.raster_height(2000, F.col("lat"), F.col("lat") + 0.5 + F.col("k") % 3, F.col("lon"), F.col("lon") + 0.25 + F.col("k") % 5).alias("rows"))
+
+
+@query("r10_chain", f"""WITH p AS (SELECT k % 40 AS route, k AS seq, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM mesh_nodes WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY k % 40 ORDER BY k)),
+d AS (SELECT route, seq, {duck_haversine('lat', 'lon', 'lat2', 'lon2')} AS d FROM p WHERE lat2 IS NOT NULL), m AS (SELECT *, 129.0 - (20 * log10(greatest(d, 0.001)) + 20 * log10(868) + 32.44) AS m FROM d)
+SELECT route, seq, round(d, 6) AS d, CASE WHEN d > 100 THEN 'out_of_range' WHEN m < 0 THEN 'blocked' WHEN m < 15 THEN 'marginal' ELSE 'clear' END AS class FROM m""")
+def r10_chain(t):
+    hops = coverage.chain(t.mesh_nodes.where("lat IS NOT NULL").selectExpr("k % 40 AS route", "k AS seq", "lat", "lon"))
+    margin = F.lit(RADIO.budget_db) - geo.free_space_db(F.col("d"), RADIO.frequency_mhz)
+    return hops.select("route", "seq", F.round("d", 6).alias("d"), geo.los_class(F.col("d"), margin, RADIO.max_range_km, RADIO.green_db).alias("class"))
+
+
+@query("w11_weakest_hop", f"""WITH p AS (SELECT k % 40 AS route, k AS seq, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM mesh_nodes WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY k % 40 ORDER BY k))
+SELECT route, arg_max(seq, (round(d, 6), -seq)) AS seq, round(max(d), 6) AS d FROM (SELECT route, seq, {duck_haversine('lat', 'lon', 'lat2', 'lon2')} AS d FROM p WHERE lat2 IS NOT NULL) GROUP BY route""")
+def w11_weakest_hop(t):
+    hops = coverage.chain(t.mesh_nodes.where("lat IS NOT NULL").selectExpr("k % 40 AS route", "k AS seq", "lat", "lon"))
+    return hops.groupBy("route").agg(F.max_by("seq", F.struct(F.round("d", 6), -F.col("seq"))).alias("seq"), F.round(F.max("d"), 6).alias("d"))
+
+
+@query("a12_contention", f"""WITH {_STATS} SELECT node, round(collided * 2.0 + redundant * 0.5 + airtime_ms * 100.0 / 600000, 6) AS score,
+CASE WHEN collided * 2.0 >= redundant * 0.5 AND collided * 2.0 >= airtime_ms * 100.0 / 600000 AND collided > 0 THEN 'collided' WHEN collided * 2.0 >= greatest(redundant * 0.5, airtime_ms * 100.0 / 600000) THEN 'contention'
+WHEN redundant * 0.5 >= airtime_ms * 100.0 / 600000 THEN 'redundant' ELSE 'duty_pct' END AS reason FROM a""")
+def a12_contention(t):
+    stats = reports.node_stats(t.mesh_tx, t.mesh_rx).withColumn("contention", F.lit(0)).withColumn("duty_pct", F.col("airtime_ms") * 100.0 / 600_000)
+    w = (1.0, 2.0, 0.5, 1.0)
+    return stats.select("node", F.round(reports.contention_score(w), 6).alias("score"), reports.main_reason(w).alias("reason"))
+
+
+@query("a13_trial_means", """WITH p AS (SELECT packet % 10 AS trial, from_node % 5 AS candidate, avg(CASE WHEN collided THEN 1.0 ELSE 0.0 END) AS c, avg(CASE WHEN relayed THEN 1.0 ELSE 0.0 END) AS d FROM mesh_rx GROUP BY ALL)
+SELECT candidate, count(*) AS trials, round(avg(c), 9) AS collision, round(avg(d), 9) AS delivery FROM p GROUP BY candidate""")
+def a13_trial_means(t):
+    rate = lambda c: F.avg(F.col(c).cast("int"))
+    per = t.mesh_rx.groupBy((F.col("packet") % 10).alias("trial"), (F.col("from_node") % 5).alias("candidate")).agg(rate("collided").alias("c"), rate("relayed").alias("d"))
+    return per.groupBy("candidate").agg(F.count("*").alias("trials"), F.round(F.avg("c"), 9).alias("collision"), F.round(F.avg("d"), 9).alias("delivery"))
+
+
+@query("o3_ranked", """WITH c AS (SELECT 'c' || CAST(from_node AS VARCHAR) AS name, round(avg(CASE WHEN relayed THEN 1.0 ELSE 0.0 END), 2) AS delivery, round(avg(CASE WHEN collided THEN 1.0 ELSE 0.0 END), 2) AS collision FROM mesh_rx GROUP BY from_node),
+r AS (SELECT *, row_number() OVER (ORDER BY delivery DESC, collision, name) AS rank FROM c) SELECT name, CAST(rank AS INT) AS rank FROM r WHERE rank <= 12""")
+def o3_ranked(t):
+    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 2)
+    c = t.mesh_rx.groupBy(F.concat(F.lit("c"), F.col("from_node").cast("string")).alias("name")).agg(rate("relayed").alias("delivery"), rate("collided").alias("collision"))
+    return policies.ranked(c, 12).select("name", "rank")
+
+
+@query("w8_smoothed", "SELECT observer, round(list_reduce(list(snr ORDER BY heard_ms, id), lambda a, x: 0.4 * x + 0.6 * a), 6) AS rate FROM mesh_packets GROUP BY observer")
+def w8_smoothed(t):
+    values = F.transform(F.sort_array(F.collect_list(F.struct("heard_ms", "id", "snr"))), lambda x: x["snr"])
+    return t.mesh_packets.groupBy("observer").agg(values.alias("v")).select("observer", F.round(operations.smoothed(F.col("v")), 6).alias("rate"))
+
+
+@query("p19_region_lists", "SELECT src, string_agg(DISTINCT '#nation-' || CAST(dst % 4 AS VARCHAR), ', ' ORDER BY '#nation-' || CAST(dst % 4 AS VARCHAR)) AS shown FROM mesh_links GROUP BY src")
+def p19_region_lists(t):
+    typed = t.mesh_links.groupBy("src").agg(F.concat_ws(" ,  ", F.collect_list(F.concat(F.lit("#nation-"), F.col("dst") % 4))).alias("typed"))
+    parts = F.filter(F.transform(F.split("typed", ","), lambda x: F.trim(x)), lambda x: x != "")
+    return typed.select("src", F.array_join(F.array_sort(F.array_distinct(parts)), ", ").alias("shown"))
+
+
+@query("l6_capture", """WITH s AS (SELECT packet, max(snr) AS best, sum(power(10, snr / 10)) - max(power(10, snr / 10)) AS rest, count(*) AS n FROM mesh_rx GROUP BY packet)
+SELECT packet, CASE WHEN n = 1 THEN true ELSE best - 10 * log10(rest) >= 6 END AS captured FROM s WHERE n = 1 OR abs(best - 10 * log10(rest) - 6) > 1e-6""")
+def l6_capture(t):
+    s = t.mesh_rx.groupBy("packet").agg(F.sort_array(F.collect_list("snr"), asc=False).alias("s")).withColumn("rest", F.expr("slice(s, 2, size(s))"))
+    kept = s.withColumn("rest_db", F.expr("CASE WHEN size(rest) > 0 THEN 10 * log10(aggregate(rest, 0D, (a, x) -> a + pow(10D, x / 10))) END"))
+    return kept.where("size(rest) = 0 OR abs(s[0] - rest_db - 6) > 1e-6").select("packet", lora.capture(F.col("s")[0], F.col("rest")).alias("captured"))
+
+
+@query("a19_timeline", """WITH e AS (SELECT id, lower(key) AS a, lead(lower(key)) OVER (PARTITION BY id ORDER BY pos) AS b FROM mesh_hops)
+SELECT hash, a, heard_ms, string_agg(DISTINCT b, ',' ORDER BY b) AS heard_by FROM e JOIN mesh_packets p ON p.id = e.id WHERE a <> '' AND b <> '' GROUP BY hash, a, heard_ms""")
+def a19_timeline(t):
+    pairs = packets.hop_pairs(t.mesh_hops).join(t.mesh_packets.select("id", "hash", "heard_ms"), "id")
+    return pairs.groupBy("hash", "a", "heard_ms").agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("heard_by"))
+
+
+@query("u6_merged_events", """SELECT at_ms, kind, id FROM (SELECT heard_ms AS at_ms, 'observed' AS kind, id FROM mesh_packets WHERE id % 20 = 0 UNION ALL SELECT 1704067200000 + start_ms * 1000, 'predicted', packet FROM mesh_tx WHERE packet % 30 = 0)""")
+def u6_merged_events(t):
+    seen = t.mesh_packets.where("id % 20 = 0").select(F.col("heard_ms").alias("at_ms"), F.lit("observed").alias("kind"), "id")
+    said = t.mesh_tx.where("packet % 30 = 0").select((F.lit(1_704_067_200_000) + F.col("start_ms") * 1000).alias("at_ms"), F.lit("predicted").alias("kind"), F.col("packet").alias("id"))
+    return seen.unionByName(said).orderBy("at_ms", "kind", "id")
+
+
+def _cover(t):
+    return _near(t).selectExpr("a AS site", "b AS cell").unionByName(t.mesh_nodes.where("k % 3 = 0 AND lat IS NOT NULL").selectExpr("k AS site", "k AS cell"))
+
+
+@query("r12_greedy_cover")
+def r12_greedy_cover(t):
+    return coverage.greedy_cover(_cover(t), 6)
+
+
+_CAND = "(SELECT 0 AS ring, 0 AS angle, 0.0::DOUBLE AS north, 0.0::DOUBLE AS east UNION ALL SELECT r, a, r * 0.05 * cos(2 * pi() * a / 16 + r * pi() / 32), r * 0.05 * sin(2 * pi() * a / 16 + r * pi() / 32) FROM range(1, 7) x(r) CROSS JOIN range(16) y(a))"
+
+
+@query("r8_calibrated", f"""
+WITH l AS (SELECT r.src AS node, p.lat AS plat, p.lon AS plon, r.n AS bottleneck FROM mesh_reach r JOIN mesh_nodes p ON p.k = r.peer WHERE r.src % 40 = 1),
+s AS (SELECT n.k AS node, ring, angle, lat + north / 110.574 AS lat, lon + east / (111.32 * cos(radians(lat))) AS lon FROM mesh_nodes n CROSS JOIN {_CAND} c WHERE n.k % 40 = 1 AND n.lat IS NOT NULL),
+e AS (SELECT node FROM l GROUP BY node HAVING count(*) >= 2),
+p AS (SELECT s.node, ring, angle, bottleneck, lat, lon, plat, plon, {_duck_hills('lat', 'lon')} + 1 AS tx, {duck_haversine('lat', 'lon', 'plat', 'plon')} AS d FROM s JOIN l ON l.node = s.node JOIN e ON e.node = s.node WHERE plat IS NOT NULL),
+q AS (SELECT *, CAST(least(greatest(floor(d / 0.05), 8), 300) AS INT) AS n FROM p WHERE d >= 0.01), i AS (SELECT *, unnest(range(1, n)) AS i FROM q),
+v AS (SELECT node, ring, angle, bottleneck, plat, plon, d, {_duck_margin('lat', 'lon', 'tx', 'plat', 'plon', 'd')} AS v FROM i),
+m AS (SELECT node, ring, angle, bottleneck, {_MARGIN} AS margin FROM v GROUP BY node, ring, angle, bottleneck, plat, plon, d),
+w AS (SELECT node, ring, angle, sum(ln(1 + bottleneck) * greatest(0, 15 - margin)) AS score FROM m GROUP BY ALL),
+b AS (SELECT node, max(score) FILTER (ring = 0) AS before, min(score) AS best FROM w GROUP BY node)
+SELECT node, round(before, 4) AS before, round(CASE WHEN before >= 5 AND best < before AND (before - best) / before * 100 >= 2 THEN best ELSE before END, 4) AS after, before >= 5 AND best < before AND (before - best) / before * 100 >= 2 AS adopted FROM b""")
+def r8_calibrated(t):
+    n = t.mesh_nodes.where("k % 40 = 1 AND lat IS NOT NULL").select(F.col("k").alias("node"), "lat", "lon")
+    l = t.mesh_reach.where("src % 40 = 1").join(t.mesh_nodes.select(F.col("k").alias("peer"), F.col("lat").alias("plat"), F.col("lon").alias("plon")), "peer").select(F.col("src").alias("node"), "plat", "plon", F.col("n").alias("bottleneck"))
+    got = coverage.calibrated(coverage.candidates(n, 300.0), l, hills, RADIO, improvement_pct=2.0)
+    return got.select("node", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), "adopted")
