@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, geo, lora, regions
-from ..operators import coverage, evidence, graph, links, nodes, operations, packets, policies, reports
+from ..operators import coverage, evidence, graph, links, nodes, operations, packets, policies, replay, reports
 from .views import Tables, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -906,3 +906,128 @@ def r8_calibrated(t):
     l = t.mesh_reach.where("src % 40 = 1").join(t.mesh_nodes.select(F.col("k").alias("peer"), F.col("lat").alias("plat"), F.col("lon").alias("plon")), "peer").select(F.col("src").alias("node"), "plat", "plon", F.col("n").alias("bottleneck"))
     got = coverage.calibrated(coverage.candidates(n, 300.0), l, hills, RADIO, improvement_pct=2.0)
     return got.select("node", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), "adopted")
+
+
+# ---- replay
+
+@query("p6_confident_hops", "SELECT id, pos, CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN lower(key) ELSE '' END AS key FROM mesh_hops")
+def p6_confident_hops(t):
+    sure = F.when(F.col("id") % 3 == 0, "Low").when(F.col("id") % 2 == 0, "HIGH").otherwise("high")
+    some = F.when(F.col("id") % 4 == 0, F.array("key", "key")).otherwise(F.array("key"))
+    return t.mesh_hops.select("id", "pos", replay.confident_hop(sure, some).alias("key"))
+
+
+@query("p17_prefix_bytes", """SELECT k.id, coalesce(string_agg(CASE WHEN key = '' THEN repeat('00', hash_size) ELSE substr(lower(key), 1, 2 * hash_size) END, '' ORDER BY pos), '') AS bytes FROM mesh_packets k JOIN mesh_hops h ON h.id = k.id GROUP BY k.id""")
+def p17_prefix_bytes(t):
+    return packets.paths(t.mesh_hops).join(t.mesh_packets.select("id", "hash_size"), "id").select("id", replay.path_prefix_bytes(F.col("path"), F.col("hash_size")).alias("bytes"))
+
+
+@query("p18_size_labels", """SELECT id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', round(n / 1048576.0::DOUBLE, 1)) WHEN n >= 1024 THEN printf('%.1f KB', round(n / 1024.0::DOUBLE, 1)) ELSE CAST(n AS VARCHAR) || ' B' END AS label FROM (SELECT id, id * 977 AS n FROM mesh_packets)""")
+def p18_size_labels(t):
+    return t.mesh_packets.select("id", replay.size_label(F.col("id") * 977).alias("label"))
+
+
+@query("p22_presets", "SELECT k AS node, CASE WHEN k % 5 = 0 AND k % 3 = 0 THEN 'a' WHEN k % 5 = 1 THEN 'c' END AS preset FROM mesh_nodes")
+def p22_presets(t):
+    radios = t.mesh_nodes.selectExpr("k AS node", "k % 5 AS freq", "62.5D AS bw", "CASE WHEN k % 5 = 1 THEN 8 ELSE k % 3 END AS sf", "8 AS cr")
+    presets = t.spark.sql("SELECT * FROM VALUES (0, 'a', 0L, 62.5D, 0L, 8), (1, 'b', 0L, 62.5D, 0L, 8), (2, 'c', 1L, 62.5D, 8L, 8) AS p(ord, label, freq, bw, sf, cr)")
+    return replay.preset_of(radios, presets)
+
+
+@query("f13_tier_gate", f"SELECT k AS tier, (last_heard_ms IS NULL OR last_heard_ms // 86400000 <> {AS_OF - 1} // 86400000) AND k % 3 <> 0 AS run FROM mesh_nodes")
+def f13_tier_gate(t):
+    return replay.needs_run(t.mesh_nodes.selectExpr("k AS tier", "last_heard_ms AS made_ms", "k % 3 = 0 AS needs_gpu"), AS_OF - 1, gpu=False)
+
+
+@query("f6_floods", "SELECT id, route_type IN (0, 3) AS scoped FROM mesh_packets WHERE route_type IN (0, 1)")
+def f6_floods(t):
+    return t.mesh_packets.where(F.col("route_type").isin(0, 1)).select("id", F.col("route_type").isin(0, 3).alias("scoped"))
+
+
+@query("j2_placed_links", "SELECT l.src AS a, l.dst AS b, l.snr, x.lat AS lat_a, y.lat AS lat_b FROM mesh_links l JOIN mesh_nodes x ON x.k = l.src AND x.lat IS NOT NULL JOIN mesh_nodes y ON y.k = l.dst AND y.lat IS NOT NULL")
+def j2_placed_links(t):
+    return replay.placed_links(t.mesh_links.selectExpr("src AS a", "dst AS b", "snr"), t.mesh_nodes.selectExpr("k AS id", "lat", "lon")).select("a", "b", "snr", "lat_a", "lat_b")
+
+
+@query("a17_checklist", """WITH o AS (SELECT DISTINCT packet, node FROM mesh_tx WHERE is_origin), p AS (SELECT packet, node, bool_or(NOT collided) AS ok FROM mesh_rx r WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.packet = r.packet AND o.node = r.node) GROUP BY packet, node),
+s AS (SELECT packet, count(*) FILTER (ok) AS r, count(*) FILTER (NOT ok) AS c FROM p GROUP BY packet), q AS (SELECT packet, count(*) AS n FROM o GROUP BY packet)
+SELECT q.packet, n AS origin, coalesce(r, 0) AS received, coalesce(c, 0) AS collided, 60 - n - coalesce(r, 0) - coalesce(c, 0) AS missed FROM q LEFT JOIN s USING (packet)""")
+def a17_checklist(t):
+    return replay.checklist(t.spark.range(60).select(F.col("id").alias("node")), t.mesh_tx, t.mesh_rx)
+
+
+@query("a20_activity", """SELECT node, CAST(sum(s) AS BIGINT) AS sent, CAST(sum(h) AS BIGINT) AS heard, CAST(sum(c) AS BIGINT) AS collided FROM (SELECT node, 1 AS s, 0 AS h, 0 AS c FROM mesh_tx UNION ALL SELECT node, 0, CASE WHEN collided THEN 0 ELSE 1 END, CASE WHEN collided THEN 1 ELSE 0 END FROM mesh_rx) GROUP BY node""")
+def a20_activity(t):
+    return replay.activity(t.mesh_tx, t.mesh_rx)
+
+
+_OBS = "substr(md5(CAST(observer AS VARCHAR)), 1, 16)"
+
+
+@query("e2_events", f"""WITH p AS (SELECT id, hash, heard_ms, {_OBS} AS o, CASE WHEN payload_len > 0 THEN payload_len ELSE 24 END AS bytes FROM mesh_packets)
+SELECT observer, kind, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT o AS observer, 'rx' AS kind, bytes FROM p UNION ALL
+SELECT h.key, 'relay', bytes FROM (SELECT DISTINCT id, lower(key) AS key FROM mesh_hops) h JOIN p USING (id) WHERE h.key IN (SELECT o FROM p)) GROUP BY ALL""")
+def e2_events(t):
+    p = t.mesh_packets.select("id", "hash", F.substring(F.md5(F.col("observer").cast("string")), 1, 16).alias("observer_key"), "heard_ms", F.col("payload_len").alias("bytes"))
+    return replay.observer_events(p, t.mesh_hops).groupBy("observer", "kind").agg(F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"))
+
+
+@query("e7_messages", """SELECT hash, CASE WHEN id % 4 = 0 THEN CAST(observer AS VARCHAR) ELSE 'o' || CAST(id % 10 AS VARCHAR) END AS origin, heard_ms AS at_ms, route_type = 0 AS scoped FROM
+(SELECT *, row_number() OVER (PARTITION BY hash ORDER BY heard_ms, id) AS r FROM mesh_packets WHERE route_type IN (0, 1)) WHERE r = 1""")
+def e7_messages(t):
+    return replay.flood_messages(t.mesh_packets.withColumn("origin", F.when(F.col("id") % 4 == 0, "").otherwise(F.concat(F.lit("o"), F.col("id") % 10))))
+
+
+@query("e3_contradicted", "SELECT packet AS target, node AS observer FROM (SELECT DISTINCT packet, node FROM mesh_rx WHERE drop_reason = 'weak_signal') x WHERE NOT EXISTS (SELECT 1 FROM mesh_tx t WHERE t.packet = x.packet AND t.node = x.node)")
+def e3_contradicted(t):
+    states = t.mesh_rx.where("drop_reason = 'weak_signal'").select(F.col("packet").alias("target"), F.col("node").alias("observer"), F.lit("silent_active").alias("state")).distinct()
+    return replay.contradicted(states, t.mesh_tx.selectExpr("packet AS target", "node AS observer").distinct())
+
+
+@query("e5_frontier", f"""WITH r AS (SELECT DISTINCT packet AS target, node FROM mesh_rx WHERE {_DEL}), l AS (SELECT a, (a * 7 + d) % 60 AS b FROM range(60) x(a) CROSS JOIN range(1, 6) y(d)),
+s AS (SELECT DISTINCT packet AS target, node AS b FROM mesh_rx WHERE drop_reason = 'weak_signal') SELECT r.target, r.node, count(DISTINCT s.b) AS losses FROM r JOIN l ON l.a = r.node JOIN s ON s.target = r.target AND s.b = l.b GROUP BY ALL""")
+def e5_frontier(t):
+    reached = t.mesh_rx.where(reports.delivers()).select(F.col("packet").alias("target"), "node").distinct()
+    l = t.spark.range(60).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("d")).select("a", ((F.col("a") * 7 + F.col("d")) % 60).alias("b"))
+    states = t.mesh_rx.where("drop_reason = 'weak_signal'").select(F.col("packet").alias("target"), F.col("node").alias("observer"), F.lit("silent_active").alias("state")).distinct()
+    return replay.frontier(reached, l, states)
+
+
+@query("u3_involved", f"""WITH k AS (SELECT lower(key) AS key FROM mesh_hops UNION SELECT {_OBS} FROM mesh_packets UNION SELECT substr(md5(CAST(id AS VARCHAR)), 1, 16) FROM mesh_packets WHERE id % 7 = 0) SELECT public_key FROM mesh_nodes WHERE lat IS NOT NULL AND public_key IN (SELECT key FROM k)""")
+def u3_involved(t):
+    md5 = lambda c: F.substring(F.md5(F.col(c).cast("string")), 1, 16)
+    return replay.involved(t.mesh_hops, t.mesh_packets.select(md5("observer").alias("observer_key"), F.when(F.col("id") % 7 == 0, md5("id")).otherwise("").alias("origin")), t.mesh_nodes)
+
+
+@query("u8_pruned", f"SELECT packet, node FROM (SELECT DISTINCT packet, node FROM mesh_rx WHERE {_DEL}) d WHERE node % 7 = 0")
+def u8_pruned(t):
+    d = t.mesh_rx.where(reports.delivers()).select("packet", "node").distinct()
+    return replay.pruned(d, d.where("node % 7 <> 0"))
+
+
+@query("w4_interpolated", """WITH m AS (SELECT observer AS grp, row_number() OVER (PARTITION BY observer ORDER BY heard_ms, id) * 1000 AS play_ms, heard_ms AS at_ms FROM mesh_packets),
+a AS (SELECT grp, play_ms + 250 AS play_ms, at_ms, lead(at_ms) OVER (PARTITION BY grp ORDER BY play_ms) AS nxt FROM m) SELECT grp, play_ms, CAST(floor(at_ms + 0.25::DOUBLE * (coalesce(nxt, at_ms) - at_ms)) AS BIGINT) AS source_ms FROM a""")
+def w4_interpolated(t):
+    from pyspark.sql import Window as W
+
+    m = t.mesh_packets.select(F.col("observer").alias("grp"), (F.row_number().over(W.partitionBy("observer").orderBy("heard_ms", "id")) * 1000).cast("long").alias("play_ms"), F.col("heard_ms").alias("at_ms"))
+    return replay.interpolated(m, m.select("grp", (F.col("play_ms") + 250).alias("play_ms"))).withColumn("source_ms", F.floor("source_ms"))
+
+
+@query("k5_neighbours", "SELECT src, peer, arg_max(heard, o) AS heard FROM (SELECT src, peer % 3 AS peer, heard, peer AS o FROM mesh_reach) GROUP BY ALL")
+def k5_neighbours(t):
+    return replay.exported_neighbours(t.mesh_reach.selectExpr("src", "peer % 3 AS peer", "heard", "peer AS ord"))
+
+
+@query("x_neighbour_class", "SELECT src, dst, CASE WHEN src % 6 = 0 THEN 'unknown' WHEN snr >= 5 THEN 'good' WHEN snr >= -5 THEN 'fair' ELSE 'poor' END AS class FROM mesh_links")
+def x_neighbour_class(t):
+    return t.mesh_links.select("src", "dst", replay.neighbour_class(F.when(F.col("src") % 6 != 0, F.col("snr"))).alias("class"))
+
+
+@query("r6_region_coverage", f"""{_RASTER.replace('b AS (SELECT py, px, max(margin) AS margin FROM m GROUP BY py, px HAVING max(margin) >= 0)', 'b AS (SELECT py, px, site % 3 AS region, max(margin) AS margin FROM m GROUP BY ALL HAVING max(margin) >= 0)')} SELECT region, count(*) AS cells, round(avg(margin), 4) AS mean FROM b GROUP BY region""")
+def r6_region_coverage(t):
+    at = coverage.pixels((56.0, 57.0, -4.5, -3.0), 16, 12, t.spark)
+    sites = t.mesh_nodes.where("k < 60 AND lat BETWEEN 55.8 AND 57.2 AND lon BETWEEN -5 AND -2.5").select(F.col("k").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (hills(F.col("lat"), F.col("lon")) + RADIO.antenna_m).alias("tx_m"))
+    paths = coverage.site_pixels(sites, at, 40.0).select("py", "px", "site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
+    per = coverage.path_margins(paths, hills, RADIO).groupBy((F.col("site") % 3).alias("region"), "py", "px").agg(F.max("margin").alias("margin")).where("margin >= 0")
+    return per.groupBy("region").agg(F.count("*").alias("cells"), F.round(F.avg("margin"), 4).alias("mean"))
