@@ -94,6 +94,19 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+# the shingles as texts, every pair that shares one counted, and reachability by recursion
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * c >= 80 * (na + nb - c)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(m) AS m FROM r GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(m, doc_id) AS component_id FROM s LEFT JOIN m ON m.id = doc_id
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learned from the labels that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -118,6 +131,15 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings"))[0]
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, len(embedding) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.n = b.n AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(id, m) AS (SELECT a, a FROM l UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id), m AS (SELECT id, min(m) AS m FROM r GROUP BY id)
+SELECT x.vec_id, (SELECT count(*) FROM l WHERE l.a = x.vec_id) AS n_links, coalesce(m.m, x.vec_id) AS component_id, coalesce(m.m, x.vec_id) = x.vec_id AS kept FROM embeddings x LEFT JOIN m ON m.id = x.vec_id
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, removed lines and the digest of what stays of every document."""
     docs = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -154,4 +176,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op7_embeddings": op7_embeddings, "op8_line_dedup": op8_line_dedup, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
-ORACLE_SQL = {"op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
+ORACLE_SQL = {"op1_ngram_join": OP1_SQL, "op7_embeddings": OP7_SQL, "op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
