@@ -8,13 +8,11 @@ last return the columns of documents. Rows whose doc_id is null are never reject
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemesh.llm import decontamination, mixing, ngram_join, sharding, toxicity
-from wavemesh.llm.shared import shared_dir, stored
+from wavemesh.llm.shared import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,7 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
