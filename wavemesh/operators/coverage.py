@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .lineage import kept
 
 
 def bilinear(points: DataFrame, grid: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -114,5 +115,5 @@ def greedy_cover(covers: DataFrame, most: int) -> DataFrame:
             break
         picks.append((pick, top[0], top[1]))
         taken = left.where(F.col("site") == top[0]).select("cell")
-        left = left.join(taken, "cell", "left_anti").checkpoint()
+        left = kept(left.join(taken, "cell", "left_anti"))
     return spark.createDataFrame(picks, "pick int, site long, gain long")

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import kept
+
 
 def undirected(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b both ways, distinct; links that touch a missing node, and loops, drop out. nodes: id."""
@@ -30,7 +32,7 @@ def reached(links: DataFrame, start: DataFrame, relays: DataFrame | None = None,
     for step in range(1, most_steps + 1):
         passing = front if relays is None or step == 1 else front.join(relays.select("id"), "id", "left_semi")
         ahead = passing.join(links, passing["id"] == links["a"]).select("start", F.col("b").alias("id")).distinct()
-        front = ahead.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(step)).checkpoint()
+        front = kept(ahead.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(step)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

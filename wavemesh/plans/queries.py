@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, geo, lora, regions
 from ..operators import coverage, evidence, graph, links, nodes, operations, packets, policies, replay, reports
+from ..operators.lineage import kept
 from .views import Tables, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,7 +384,7 @@ def g2_reached(t):
 @query("a9_delivered_share", f"""{_REACH}, a AS (SELECT start, id FROM r WHERE id <> start)
 SELECT s.start, coalesce(x.share, 1.0) AS share FROM (SELECT DISTINCT start FROM r) s LEFT JOIN (SELECT start, round(avg(CASE WHEN (start + id) % 3 = 0 THEN 1.0 ELSE 0.0 END), 9) AS share FROM a GROUP BY start) x USING (start)""")
 def a9_delivered_share(t):
-    reach = _reached(t).checkpoint()
+    reach = kept(_reached(t))
     return graph.delivered_share(reach, reach.where("(start + id) % 3 = 0")).withColumn("share", F.round("share", 9))
 
 
