@@ -12,7 +12,8 @@ def classified(observers: DataFrame, events: DataFrame, targets: DataFrame, slop
     heard: it reported the target. busy: another frame of it overlaps the target's time, widened by the slop, ends
     included. silent_active: some other activity within the liveness window. silent_unknown: none.
     observers: target, observer, heard. events: observer, hash, at_ms, air_ms. targets: target, hash, at_ms, air_ms.
-    Events are counted per observer and time bucket ahead, so that only those near a target join with it."""
+    Frames are shorter than the liveness window. Events go to time buckets of that width, and a target asks its own and
+    the two beside it, so that only those near a target join with it."""
     width = alive_ms
     e = events.select("observer", F.col("hash").alias("e_hash"), F.col("at_ms").alias("e_ms"), F.greatest(F.coalesce("air_ms", F.lit(0)), F.lit(0)).alias("e_air"), F.floor(F.col("at_ms") / width).alias("cell"))
     t = targets.select("target", F.col("hash").alias("t_hash"), F.col("at_ms").alias("t_ms"), F.greatest(F.coalesce("air_ms", F.lit(0)), F.lit(0)).alias("t_air"))
