@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemesh.llm import decontamination, mixing, ngram_join, sharding, toxicity
-from wavemesh.llm.shared import stored
+from wavemesh.llm.shared import by_ids, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs whose doc_id isn't among the rejected ones; no id is only known by the driver."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return by_ids(docs, rejected, "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once for each epoch that takes words of it; one that the mix's end cuts stays whole."""
-    numbered = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")), "pipeline-numbered")
-    _, entries = mixing.mix(numbered, row_id="row_id")
-    return numbered.join(entries.select("row_id", "epoch"), "row_id").select(*COLUMNS)
+    """Every document once for each epoch that takes words of it; one that the mix's end cuts stays whole. Rows that
+    share a doc_id and a size are taken together."""
+    _, entries = mixing.mix(docs)
+    cuts = stored(mixing.cuts(entries), "pipeline-cuts")  # a row per source and epoch
+    queued = docs.select(*COLUMNS, F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"), mixing.place().alias("place"))
+    return queued.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, ["no_src", "src"]).where("place <= cut").select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

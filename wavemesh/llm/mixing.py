@@ -28,6 +28,11 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffled(seed: str) -> Column:
+    """What orders the documents of a source."""
+    return F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], budget_share: float, epochs: int) -> DataFrame:
     """A row per source: src, no_src, source_size, target. sizes: src, no_src, size.
     Only the per-source sums meet in one task."""
@@ -46,12 +51,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], budget_share: float, epo
     return per.select("no_src", "src", "source_size", F.least(cap, F.coalesce(F.col("level") * F.col("weight"), cap)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, seed: str = "mix", row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, source, text, and a column that numbers the rows if row_id names one. Returns the documents (row_id, doc_id, size, source_size, target) and the mix: a row
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, source, text. Returns the documents (row_id, doc_id, size, source_size, target) and the mix: a row
     per document and epoch that is taken (row_id, epoch, virtual_finish, taken words, position in the mix), sorted."""
     sizes = docs.select(
-        (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"), "doc_id", F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"), words_in(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"), words_in(F.col("text")).alias("size"),
+        shuffled(seed).alias("key"),
     ).withColumn("slice", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % SLICES)
     sizes = stored(sizes, "mix-sizes")
     goal = targets(sizes, weights, budget_share, epochs)
@@ -60,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     within = W.partitionBy("no_src", "src", "slice").orderBy("key", "doc_id", "size", "row_id")
     rows = sizes.join(ahead, ["no_src", "src", "slice"]).join(goal, ["no_src", "src"])
     rows = rows.withColumn("begin", F.col("ahead") + F.sum("size").over(within) - F.col("size"))
-    rows = stored(rows.select("row_id", "doc_id", "no_src", "src", "size", "source_size", "target", "begin"), "mix-queue")
+    rows = stored(rows.select("row_id", "doc_id", "no_src", "src", "key", "size", "source_size", "target", "begin"), "mix-queue")
 
     entries = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn("begin", F.col("begin") + F.col("epoch") * F.col("source_size"))
     taken = F.least(F.col("size"), F.floor("target") - F.col("begin")).cast("long")
@@ -70,4 +75,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     spans = spans.select("span", F.coalesce(F.sum("n").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     order = ["virtual_finish", "no_src", "src", "begin", "row_id"]
     entries = entries.join(F.broadcast(spans), "span").withColumn("position", F.col("ahead") + F.sum("taken").over(W.partitionBy("span").orderBy(*order)) - F.col("taken"))
-    return rows.drop("begin", "no_src", "src"), entries.select("row_id", "doc_id", "epoch", "virtual_finish", "taken", "position").orderBy("position")
+    return rows.drop("begin", "no_src", "src", "key"), entries.select("row_id", "doc_id", "no_src", "src", "key", "size", "epoch", "virtual_finish", "taken", "position").orderBy("position")
+
+
+def cuts(entries: DataFrame) -> DataFrame:
+    """no_src, src, epoch, cut: the last document that the mix takes of each source and epoch, in the order of its queue.
+    A document is taken if its `place` isn't behind the cut, so texts needn't move to be mixed."""
+    return entries.groupBy("no_src", "src", "epoch").agg(F.max(F.struct("key", "doc_id", "size")).alias("cut"))
+
+
+def place(seed: str = "mix") -> Column:
+    """A document's place in the queue of its source."""
+    return F.struct(shuffled(seed).alias("key"), F.col("doc_id"), words_in(F.col("text")).alias("size"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import overlap, shingle_set, small_batches, stored
+from .shared import by_ids, overlap, shingle_set, small_batches, stored
 
 #: Least similarity, in hundredths.
 SIMILAR = 80
@@ -160,8 +160,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = stored(pairs, "ngram-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(docs.join(ids, "doc_id", "left_semi"), "ngram-texts")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    texts = stored(by_ids(docs, ids, "left_semi"), "ngram-texts")
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "ngram-links")
 
@@ -240,7 +240,7 @@ def within(members: DataFrame, docs: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array(ids[joined], pa.int64()), "b": pa.array([int(ids[root(i)]) for i in joined], pa.int64())})
 
     members = stored(members.select("group", "node", "block", "blocks"), "ngram-apart")
-    texts = docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    texts = by_ids(docs, members.select(F.col("node").alias("doc_id")), "left_semi").withColumnRenamed("doc_id", "node")
     rows = members.join(texts, "node").select("group", "node", "block", "blocks", "text")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     return stored(rows.groupBy("group", "lo", "hi").applyInArrow(forest, "a long, b long"), "ngram-within")
@@ -256,7 +256,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
     firsts = filled.groupBy("same").agg(F.min("doc_id").alias("node"))
     copies = stored(filled.select("same", "doc_id").join(firsts, "same").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "ngram-copies")
-    nodes = filled.join(copies.where("a = b").select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "prefix")
+    nodes = by_ids(filled, copies.where("a = b").select(F.col("a").alias("doc_id")), "left_semi").select(F.col("doc_id").alias("node"), "n", "prefix")
     nodes = stored(nodes, "ngram-nodes")
 
     rows = nodes.select("node", F.explode("prefix").alias("shingle"))

@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z; every other byte, those of multi-byte characters included, stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -31,6 +32,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast to a join: about the 10 MB that Spark broadcasts by default.
+BROADCAST_IDS = 300_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """rows with (left_semi) or without (left_anti) the ids, by key. Few ids are broadcast, so that texts stay where they
+    are; their number is checked, and beyond it both sides are shuffled."""
+    ids = stored(ids.select(key).distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Rows of texts go to Python a few at a time, so that very long texts don't add up in one Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
