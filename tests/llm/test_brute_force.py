@@ -203,3 +203,22 @@ def test_pipeline(spark, docs):
     holds = {r.doc_id for r in start.collect() if any(f" {i} " in f" {decontamination.normal(r.text)} " for i in items)}
     assert holds and not holds & ids(kept) and len(ids(start)) - len(ids(kept)) == len(holds)
     assert before.count() == stages["mixing"][1].count() and {r.shard for r in before.collect()} <= set(range(16))
+
+
+def test_pipeline_mixes_as_the_operator_does(spark):
+    from collections import Counter
+
+    import corpus_pipeline
+    from wavemesh.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0").withColumn("source", docs["source"].substr(9, 1)).withColumn("doc_id", docs["doc_id"] + 1000))
+    got = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    assert got == Counter(r.doc_id for r in mixing.mix(docs)[1].collect()) and max(got.values()) == 2
+
+
+def test_ids_are_joined_alike_broadcast_or_not(spark, monkeypatch):
+    rows, ids = spark.range(50).withColumnRenamed("id", "doc_id"), spark.range(0, 80, 3).withColumnRenamed("id", "doc_id")
+    few = {h: sorted(r.doc_id for r in shared.by_ids(rows, ids, h).collect()) for h in ("left_semi", "left_anti")}
+    monkeypatch.setattr(shared, "BROADCAST_IDS", 3)
+    assert few == {h: sorted(r.doc_id for r in shared.by_ids(rows, ids, h).collect()) for h in few}
