@@ -153,3 +153,18 @@ def test_plain_spans_equal_the_patterns():
         want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
         want += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
         assert pii.plain_spans(t) == sorted(want)
+
+
+def test_pipeline_stages(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(4, 1), (5, 0), (None, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+    want = {"toxicity": 11, "ngram_join": 9, "decontamination": 9, "sharding": 11}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        n = got.count()
+        # all but the last return the documents' columns; mixing takes documents with words once or twice
+        assert n == want.get(name, n) and (name == "sharding" or tuple(got.columns) == corpus_pipeline.COLUMNS), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
