@@ -142,6 +142,32 @@ def test_pii(odd, none):
     assert r.clean == "mail <email> or <email>, <phone>"
 
 
+MIXED = [
+    "jоhn@example.com", "a@mail.exаmple.com", "john [at] example dot com", "john at example [dot] com", "john@example dot com", "john at mail.example dot com", "john dot doe at example dot com",
+    "john dot doe@example.com", "john [dot] doe at example.com", "john.doe (at) mail dot example (dot) com", "jоhn аt exаmple dоt com", "john ［at］ example dot com", "JOHN At Example DOT com", "john at dot dot dot dot com",
+]
+
+
+@pytest.mark.parametrize("address", MIXED)
+def test_pii_of_mixed_disguises(address):
+    text = f"İt: write <{address}>, or not; bob@y.org"
+    found = pii.spans(text)
+    assert [text[a:b] for a, k, b, base in found if not base and k == 0] == [address]
+    assert [(a, k, b) for a, k, b, base in found if base] == pii.plain_spans(text)
+
+
+def test_pii_leaves_words_alone():
+    for text in ("look at example.com", "meet at noon dot", "the dot is at x", "look. at the dot com", "a@b and x dot y", "at dot at dot at"):
+        assert pii.spans(text) == []
+
+
+def test_redact_leaves_nothing_of_overlapping_spans(spark):
+    for text in MIXED:
+        docs = spark.createDataFrame([(1, f"to {text}, bye")], "doc_id long, text string")
+        found = pii.detect(docs).join(docs, "doc_id")
+        assert found.select(pii.redact(F.col("text"), F.col("spans"))).first()[0] == "to <email>, bye"
+
+
 def test_plain_spans_equal_the_patterns():
     import random
 

@@ -1,9 +1,9 @@
 """Personal data in texts, found also where it is disguised, with spans in the text as it stands.
 
-First the plain detectors run over the text. Then transducers rewrite look-alike characters, spelled-out digits and
-disguises of @ and dot, keeping for every character they put out the span it came from; the detectors run over the
-result, and what they find across a rewritten place is mapped back to the source. Plain finds always stay; a mapped one
-is added where it overlaps none of them.
+First the plain detectors run over the text. Then transducers rewrite look-alike characters, bracketed and spoken @ and
+dot, and spelled-out digits, each on the output of the one before, keeping for every character they put out the span it
+came from; the detectors run over the result, and what they find across a rewritten place is mapped back to the source.
+Plain finds always stay; a mapped one is added unless it lies within one of them.
 
 Defined cases: a null or empty text has no spans; rows that repeat give the same spans each; no rows give no rows; all
 scans are linear in the text, so very long texts and runs of one character are only as slow as they are long; columns
@@ -13,6 +13,7 @@ other than doc_id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -87,73 +88,132 @@ _DIGIT = "(?:" + "|".join(DIGITS) + ")"
 _ODD = re.compile("[" + "".join(map(re.escape, LOOK_ALIKES)) + "！-～٠-٩۰-۹०-९]")
 _SPELLED = re.compile(rf"(?:\bplus[ ,-]+)?\b{_DIGIT}(?:[ ,-]+{_DIGIT}\b)+(?:[ ]+dot[ ]+{_DIGIT}(?:[ ,-]+{_DIGIT}\b)*)*")
 _WORDS = re.compile(rf"\b(?:plus|dot|{_DIGIT})\b")
-_AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?")
-_DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?")
-_SPOKEN = re.compile(r"(?<=[a-z0-9_%+-])([ ]at[ ])[a-z0-9-]++(?:\.[a-z0-9-]++)*+(?:[ ]dot[ ][a-z0-9-]++)+")
-_SPOKEN_DOT = re.compile(r"[ ]dot[ ]")
+_BRACKETED = re.compile(r"[ ]?[\[({<][ ]?(?:(at|@)|dot|\.)[ ]?[\])}>][ ]?")
+_SPOKEN_AT = re.compile(r"@|(?<=[a-z0-9_%+-])[ ]at[ ]")
+_SPOKEN_DOMAIN = re.compile(r"[a-z0-9-]++(?:(?:\.|[ ]dot[ ])[a-z0-9-]++)+")
+_DOT = " dot "
+_SPOKEN_DOT = re.compile(_DOT)
 
 
-def rewrites(text: str) -> list[tuple[int, int, str]]:
-    """What the transducers replace: (start, end, by), sorted, without overlaps."""
+def _lower(text: str) -> str:
     low = text.lower()
-    if len(low) != len(text):  # a few letters change their length
-        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    # a few letters change their length
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+# What the transducers replace: (start, end, by), sorted, without overlaps.
+
+
+def _look_alikes(text: str) -> list[tuple[int, int, str]]:
+    if text.isascii():
+        return []
+    return [(m.start(), m.end(), LOOK_ALIKES.get(c := m[0]) or (chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else str(unicodedata.digit(c)))) for m in _ODD.finditer(text)]
+
+
+def _bracketed(low: str) -> list[tuple[int, int, str]]:
+    if not any(f"{p}{c}" in low for p in ("at", "at ", "@", "@ ", "dot", "dot ", ".", ". ") for c in "])}>"):
+        return []
+    return [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(low)]
+
+
+def _spoken(low: str, dots: list[int]) -> list[tuple[int, int, str]]:
+    """Spoken at and dot in addresses. A spoken at counts only with a spoken dot behind it or a dot of dots, the places
+    of the bracketed ones: 'look at example.com' is no address."""
+    if _DOT not in low and not (dots and " at " in low):
+        return []
+    out, done = [], 0
+    for m in _SPOKEN_AT.finditer(low):
+        a, b = m.span()
+        if a < done or not (domain := _SPOKEN_DOMAIN.match(low, b)):
+            continue
+        start, local = a, []
+        while True:
+            word = start
+            while word > done and low[word - 1] in _LOCAL:
+                word -= 1
+            if word == start:
+                break
+            start = word
+            if word - 6 < done or low[word - 5 : word] != _DOT or low[word - 6] not in _LOCAL or low[word - 6] == ".":
+                break
+            local.append(word - 5)
+            start = word - 5
+        if start == a:
+            continue
+        k = bisect.bisect_left(dots, start)
+        if m[0] == "@" or _DOT in domain[0] or k < len(dots) and dots[k] < domain.end():
+            out += [(at, at + 5, ".") for at in reversed(local)]
+            out += [(a, b, "@")] if m[0] != "@" else []
+            out += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(low, b, domain.end())]
+            done = domain.end()
+    return out
+
+
+def _spelled(low: str) -> list[tuple[int, int, str]]:
     out = []
-    if not text.isascii():
-        for m in _ODD.finditer(text):
-            c = m[0]
-            out.append((m.start(), m.end(), LOOK_ALIKES.get(c) or (chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else str(unicodedata.digit(c)))))
-    if any(f"at{c}" in low or f"at {c}" in low or f"@{c}" in low or f"@ {c}" in low for c in "])}>"):
-        out += [(m.start(), m.end(), "@") for m in _AT.finditer(low)]
-    if any(f"{p}{c}" in low for p in ("dot", "dot ", ".", ". ") for c in "])}>"):
-        out += [(m.start(), m.end(), ".") for m in _DOT.finditer(low)]
-    if " dot " in low and " at " in low:
-        for m in _SPOKEN.finditer(low):
-            out.append((m.start(1), m.end(1), "@"))
-            out += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(low, m.end(1), m.end())]
     if any(w in low for w in DIGITS):
         for m in _SPELLED.finditer(low):
             last = m.start()
             for w in _WORDS.finditer(low, m.start(), m.end()):
                 out.append((last, w.end(), "+" if w[0] == "plus" else "." if w[0] == "dot" else str(DIGITS.index(w[0]))))
                 last = w.end()
-    out.sort()
-    kept, last = [], 0
-    for r in out:
-        if r[0] >= last:
-            kept.append(r)
-            last = r[1]
-    return kept
+    return out
+
+
+class _Layer:
+    """A text with its changes made, and the way back to the places before them."""
+
+    def __init__(self, text: str, changes: list[tuple[int, int, str]]):
+        # the start in the new text and in the old one of every run that was copied or replaced
+        pieces, self.starts, self.ends, self.touched, at, size = [], [], [], [], 0, 0
+        for a, b, by in changes:
+            if a > at:
+                pieces.append(text[at:a]), self.starts.append(size), self.ends.append((at, None))
+                size += a - at
+            pieces.append(by), self.starts.append(size), self.ends.append((a, b)), self.touched.append(size)
+            size += len(by)
+            at = b
+        if at < len(text):
+            pieces.append(text[at:]), self.starts.append(size), self.ends.append((at, None))
+        self.text = "".join(pieces)
+
+    def changed(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.touched, a)
+        return k < len(self.touched) and self.touched[k] < b
+
+    def source(self, i: int, end: bool) -> int:
+        k = bisect.bisect_right(self.starts, i) - 1
+        a, b = self.ends[k]
+        return (b if end else a) if b is not None else a + i - self.starts[k] + end
 
 
 def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     """Finds of the detectors on the rewritten text that hold a rewritten place, as spans of the text."""
-    changes = rewrites(text)
-    if not changes:
-        return []
-    pieces, starts, ends, touched, at, size = [], [], [], [], 0, 0
-    # the start in the rewritten text and in the source of every run that was copied or replaced
-    for a, b, by in changes:
-        if a > at:
-            pieces.append(text[at:a]), starts.append(size), ends.append((at, None))
-            size += a - at
-        pieces.append(by), starts.append(size), ends.append((a, b)), touched.append(size)
-        size += len(by)
-        at = b
-    if at < len(text):
-        pieces.append(text[at:]), starts.append(size), ends.append((at, None))
-
-    def source(i: int, end: bool) -> int:
-        k = bisect.bisect_right(starts, i) - 1
-        a, b = ends[k]
-        return (b if end else a) if b is not None else a + i - starts[k] + end
-
-    found = []
-    for a, kind, b in plain_spans("".join(pieces)):
-        k = bisect.bisect_left(touched, a)
-        if k < len(touched) and touched[k] < b:
-            found.append((source(a, False), kind, source(b - 1, True)))
-    return found
+    layers: list[_Layer] = []
+
+    def rewritten(changes: list[tuple[int, int, str]]) -> None:
+        nonlocal text, low
+        if changes:
+            layers.append(_Layer(text, changes))
+            text = layers[-1].text
+            low = _lower(text)
+
+    low = _lower(text)
+    rewritten(_look_alikes(text))
+    changes = _bracketed(low)
+    rewritten(changes)
+    dots = [at for at, (_, _, by) in zip(layers[-1].touched, changes, strict=True) if by == "."] if changes else []
+    rewritten(_spoken(low, dots))
+    rewritten(_spelled(low))
+    found = set()
+    for a, kind, b in plain_spans(text) if layers else ():
+        changed = False
+        for layer in reversed(layers):
+            changed |= layer.changed(a, b)
+            a, b = layer.source(a, False), layer.source(b - 1, True)
+        if changed:
+            found.add((a, kind, b))
+    return sorted(found)
 
 
 def spans(text: str | None) -> list[tuple[int, int, int, bool]]:
@@ -162,7 +222,9 @@ def spans(text: str | None) -> list[tuple[int, int, int, bool]]:
         return []
     plain = plain_spans(text)
     out = [(*s, True) for s in plain]
-    out += [(*s, False) for s in disguised_spans(text) if not any(s[0] < b and a < s[2] for a, _, b in plain)]
+    # the greatest end of the plain finds up to each start
+    starts, reach = [s[0] for s in plain], list(itertools.accumulate((s[2] for s in plain), max))
+    out += [(*s, False) for s in disguised_spans(text) if not (k := bisect.bisect_right(starts, s[0])) or reach[k - 1] < s[2]]
     return sorted(out, key=lambda s: (s[0], s[1], s[2]))
 
 
@@ -183,12 +245,13 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first counts."""
+    """The text with each span replaced by its kind in angle brackets; overlapping spans are replaced as one, by the
+    first one's kind."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         fresh = s["start"] >= a["at"]
         out = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.when(fresh, s["end"]).otherwise(a["at"]).alias("at"), F.when(fresh, out).otherwise(a["out"]).alias("out"))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
