@@ -177,6 +177,36 @@ def test_embeddings(spark, spread):
     assert sum(rows[i].component_id == comps[i] for i in range(1500)) >= 0.95 * 1500
 
 
+def test_search_goes_on_from_the_query_itself():
+    turn = lambda a: [np.cos(a), np.sin(a)]
+    x = np.array([turn(0.0), turn(0.6), turn(0.2)])  # the second is out of range and leads to the third
+    edges = [np.array([1]), np.array([0, 2]), np.array([1])]
+    assert set(flat_graph.search(x[0], x, edges, np.array([0]), 0)) == {0, 2}
+
+
+def test_recall_is_a_mean_over_vectors():
+    assert flat_graph.mean_recall({1: 10_000, 2: 1, 3: 1, 4: 1}, {1: 10_000}) == 0.25
+
+
+@pytest.mark.parametrize("linked", [2, 40, 600])
+def test_embeddings_when_the_graph_finds_nothing(spark, monkeypatch, linked):
+    monkeypatch.setattr(flat_graph, "found_links", lambda nodes, c, overlap: nodes.selectExpr("node", "0L AS links", "node AS root"))
+    for name, value in (("SAMPLE", 300), ("BLOCK", 250), ("ROWS", 64)):
+        monkeypatch.setattr(flat_graph, name, value)
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(900, 24))
+    for i in range(1, linked):  # a chain whose ends aren't similar
+        x[i] = x[i - 1] / np.linalg.norm(x[i - 1]) + rnd.normal(size=24) * 0.04
+    x[700:705] = x[0]
+    x = x[rnd.permutation(900)]
+    got, recall = flat_graph.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    u = flat_graph.unit(x.tolist())
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    comps = groups(range(900), zip(*np.nonzero(hit), strict=True))
+    assert recall == 1.0 and {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {i: (int(hit[i].sum()), comps[i]) for i in range(900)}
+
+
 def test_pii(spark, docs):
     got = {r.doc_id: r for r in QUERIES["op10_pii"](spark, SF).collect()}
     for i, t, _ in docs:

@@ -5,8 +5,10 @@ salted parts. In each part a graph is built whose edges are pruned robustly (an
 nearer to its end), and a vector's adjacency lists from all its parts are united. Every vector then searches each part
 of its shards: greedily from the part's medoids, and once it meets vectors in range, on over the in-range ones until
 no more turn up. What it finds is verified by cosine in double precision and counted where it is met first; a pair is
-not emitted, only each vector's count and its component within the part. Links to a bounded sample of vectors are
-compared with brute force over all of them; below LEAST_RECALL everything is done again with more overlap.
+not emitted, only each vector's count and its component within the part. The links of vectors drawn by hash are compared
+with brute force, vector by vector, until enough that have links are drawn, or all are; where the mean share found is
+below LEAST_RECALL, everything is done again with more overlap, and where the widest stays below EXACT_BELOW, all pairs
+are compared instead.
 
 Equal vectors are searched once and counted as often as they occur, so a very common vector costs a row for each.
 
@@ -18,6 +20,7 @@ columns, such as labels, are ignored. vec_id is an integer.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import stored
 
+log = logging.getLogger(__name__)
+
 SIMILAR = 0.95
 #: Vectors that a part's graph holds, and queries that a task searches it for.
 PART = 4000
@@ -35,8 +40,11 @@ PART = 4000
 PER_CENTROID, MOST_CENTROIDS, SAMPLE = 1000, 4096, 20_000
 #: Nearest neighbours that pruning chooses from, edges it keeps, how much nearer a neighbour has to be, and the search list.
 CANDIDATES, EDGES, ALPHA, LIST, MEDOIDS = 48, 24, 1.2, 48, 8
-#: Vectors whose links are compared with brute force, and the share of these to be found.
-AUDITED, LEAST_RECALL = 256, 0.95
+#: Vectors drawn first to have their links compared with brute force, how many of all drawn have to have links, the mean
+#: share of these links to be found, and the one below which all pairs are compared.
+AUDITED, LINKED, LEAST_RECALL, EXACT_BELOW = 256, 128, 0.95, 0.9
+#: Vectors that are broadcast at a time to be compared with all others, and vectors compared with them at a time.
+BLOCK, ROWS = 10_000, 256
 OVERLAPS = (3, 6, 12)
 
 
@@ -106,8 +114,8 @@ def medoids(x: np.ndarray) -> np.ndarray:
     return np.array(chosen)
 
 
-def search(q: np.ndarray, x: np.ndarray, edges: list[np.ndarray], entries: np.ndarray) -> np.ndarray:
-    """The places of x in range that a greedy search, then one over the vectors in range, meets."""
+def search(q: np.ndarray, x: np.ndarray, edges: list[np.ndarray], entries: np.ndarray, own: int | None = None) -> np.ndarray:
+    """The places of x in range that a greedy search, then one over the vectors in range, meets. own: the place of q."""
     met = np.zeros(len(x), bool)
     met[entries] = True
     places, sims = entries, x[entries] @ q
@@ -124,7 +132,7 @@ def search(q: np.ndarray, x: np.ndarray, edges: list[np.ndarray], entries: np.nd
         if len(fresh):
             met[fresh] = True
             places, sims, opened = np.concatenate((places, fresh)), np.concatenate((sims, x[fresh] @ q)), np.concatenate((opened, np.zeros(len(fresh), bool)))
-        if sims.max() >= SIMILAR - 1e-9:
+        if (sims[places != (-1 if own is None else own)] >= SIMILAR - 1e-9).any():
             break
     found = front_in = places[sims >= SIMILAR]
     done = np.zeros(len(x), bool)
@@ -170,7 +178,7 @@ def _searched(t: pa.Table) -> pa.Table:
     for a in asks if len(base) else ():
         own = place.get(int(ids[a]))
         start = entries if own is None else np.union1d(entries, [own])
-        for f in search(x[a], base, edges, start):
+        for f in search(x[a], base, edges, start, own):
             b = mine[f]
             if ids[b] == ids[a]:
                 continue
@@ -231,12 +239,89 @@ def true_links(nodes: DataFrame, asked: np.ndarray, ids: np.ndarray) -> dict[int
         total = np.zeros(len(own), np.int64)
         for b in batches:
             if len(b):
-                hit = (unit(b.column(1).to_pylist()) @ q.T >= SIMILAR) & (b.column(0).to_numpy()[:, None] != own)
-                total += (hit * b.column(2).to_numpy()[:, None]).sum(0)
+                ids, x, copies = b.column(0).to_numpy(), unit(b.column(1).to_pylist()), b.column(2).to_numpy()
+                for i in range(0, len(ids), ROWS):
+                    row, col = np.nonzero(x[i : i + ROWS] @ q.T >= SIMILAR)
+                    other = ids[i + row] != own[col]
+                    np.add.at(total, col[other], copies[i + row[other]])
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], names=["node", "links"])
 
     counted = nodes.select("node", "vector", "copies").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    return {r.node: r.links for r in counted.collect()}  # AUDITED rows
+    return {r.node: r.links for r in counted.collect()}  # as many rows as are asked
+
+
+def _blocks(nodes: DataFrame, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All nodes, their unit vectors and copies, about BLOCK at a time, by hash."""
+    n = -(-count // BLOCK)
+    for b in range(n):
+        rows = nodes.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(n)) == b).select("node", "vector", "copies").collect()
+        if rows:
+            yield np.array([r.node for r in rows]), unit([r.vector for r in rows]), np.array([r.copies for r in rows])
+
+
+def audited(nodes: DataFrame, count: int, ids: np.ndarray, x: np.ndarray) -> dict[int, int]:
+    """The links of drawn vectors that have some: of ids first, then of all, until LINKED have or all are drawn."""
+    truth: dict[int, int] = {}
+
+    def draws() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at, size = 0, AUDITED
+        while at < len(ids):
+            yield ids[at : at + size], x[at : at + size]
+            at, size = at + size, size * 4
+        if count > len(ids):
+            yield from (block[:2] for block in _blocks(nodes, count))
+
+    for own, q in draws():
+        truth |= {i: n for i, n in true_links(nodes, q, own).items() if n}
+        if len(truth) >= LINKED:
+            break
+    return truth
+
+
+def mean_recall(truth: dict[int, int], got: dict[int, int]) -> float:
+    """The mean over vectors of the share of links found; no links at all are all found."""
+    return float(np.mean([min(got.get(i, 0), n) / n for i, n in truth.items()])) if truth else 1.0
+
+
+def _connected(ids: np.ndarray, copies: np.ndarray, hit: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    """node, links, root of ids, whose links to a block are hit. least holds what each vector of the block is known to be
+    connected with, and is lowered; every step of that is a row as well, so that no connection is lost."""
+    rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+    hit, root, none = hit[np.ix_(rows, cols)], ids[rows], np.iinfo(np.int64).max
+    links, edges = hit @ copies[cols], []
+    while len(rows):
+        root = np.minimum(root, np.where(hit, least[cols], none).min(1))
+        lower = np.minimum(least[cols], np.where(hit, root[:, None], none).min(0))
+        fresh = lower < least[cols]
+        if not fresh.any():
+            break
+        edges.append(np.unique(np.stack([least[cols][fresh], lower[fresh]]), axis=1))
+        least[cols] = lower
+    more = np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.empty((2, 0), np.int64)
+    out = [np.concatenate((ids[rows], more[0])), np.concatenate((links, np.zeros(more.shape[1], np.int64))), np.concatenate((root, more[1]))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["node", "links", "root"])
+
+
+def exact_links(nodes: DataFrame, count: int) -> DataFrame:
+    """node, links, root by comparing all pairs, in a pass over the nodes for each block."""
+    out = None
+    for ids, x, copies in _blocks(nodes, count):
+        sent = nodes.sparkSession.sparkContext.broadcast((ids, x, copies))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own, q, copies = sent.value
+            least = own.copy()
+            for b in batches:
+                if len(b):
+                    ids, x = b.column(0).to_numpy(), unit(b.column(1).to_pylist())
+                    for i in range(0, len(ids), ROWS):
+                        hit = (x[i : i + ROWS] @ q.T >= SIMILAR) & (ids[i : i + ROWS, None] != own)
+                        yield _connected(ids[i : i + ROWS], copies, hit, least)
+
+        part = stored(nodes.select("node", "vector").mapInArrow(run, "node long, links long, root long"), "flat-exact")
+        out = part if out is None else out.unionByName(part)
+    # every node has a row, as in found_links
+    return out.unionByName(nodes.selectExpr("node", "0L AS links", "node AS root"))
 
 
 def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
@@ -266,14 +351,20 @@ def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
 def _one_size(classes: DataFrame) -> tuple[DataFrame, float]:
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "vector").collect()
     x = unit([r.vector for r in sample])
-    k = int(min(MOST_CENTROIDS, max(1, classes.count() // PER_CENTROID), len(x)))
+    count = classes.count()
+    # every core takes part in the passes over all vectors
+    classes = stored(classes.repartition(max(classes.sparkSession.sparkContext.defaultParallelism, count // BLOCK), "node"), "flat-nodes")
+    k = int(min(MOST_CENTROIDS, max(1, count // PER_CENTROID), len(x)))
     c = centroids(x, k)
-    ids = np.array([r.node for r in sample[:AUDITED]])
-    truth = true_links(classes, x[: len(ids)], ids)
+    truth = audited(classes, count, np.array([r.node for r in sample]), x)
     for overlap in OVERLAPS:
         found = stored(found_links(classes, c, overlap), "flat-found")
-        got = {r.node: r.links for r in found.where(F.col("node").isin(ids.tolist())).groupBy("node").agg(F.sum("links").alias("links")).collect()}
-        recall = sum(min(got.get(i, 0), n) for i, n in truth.items()) / sum(truth.values()) if any(truth.values()) else 1.0
+        got = {r.node: r.links for r in found.where(F.col("node").isin(list(truth))).groupBy("node").agg(F.sum("links").alias("links")).collect()}
+        recall = mean_recall(truth, got)
+        log.log(logging.INFO if recall >= LEAST_RECALL else logging.WARNING, "recall %.4f over %d vectors with links of %d, overlap %d", recall, len(truth), count, overlap)
         if recall >= LEAST_RECALL or overlap >= k:
             break
+    if recall < EXACT_BELOW:
+        log.warning("recall %.4f is below %.2f: comparing all pairs of %d vectors", recall, EXACT_BELOW, count)
+        found, recall = exact_links(classes, count), 1.0
     return found, recall
