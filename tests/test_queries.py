@@ -29,3 +29,19 @@ def test_entry(spark):
     import __spark_entry__
 
     assert {r.status for r in __spark_entry__.entry(spark).collect()} == {"active", "degraded", "silent"}
+
+
+def test_loops_that_end_too_early_raise(spark):
+    from wavemesh.llm.graph import components
+    from wavemesh.operators import graph
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.reached(chain, spark.range(1).withColumnRenamed("id", "start"), most_steps=2)
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=1)
+
+
+def test_last_hearing_collects_no_arrays(spark):
+    plan = QUERIES["p2_last_hearing"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "max(" in plan

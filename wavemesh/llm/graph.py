@@ -28,4 +28,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         down = large.join(least, "hi").where("lo <> m").selectExpr("lo AS hi", "m AS lo")
         links = stored(down.unionByName(least.selectExpr("hi", "m AS lo")).distinct(), "small-star")
+    else:
+        raise RuntimeError(f"components hadn't settled after {most_rounds} rounds")
     return links.selectExpr("hi AS id", "lo AS component").unionByName(links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())

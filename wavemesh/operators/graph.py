@@ -36,6 +36,8 @@ def reached(links: DataFrame, start: DataFrame, relays: DataFrame | None = None,
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    else:
+        raise RuntimeError(f"nodes were still being reached after {most_steps} steps")
     return seen
 
 

@@ -77,8 +77,7 @@ def p10_wire_nodes(t):
 
 @query("p2_last_hearing", "SELECT observer, max(heard_ms) AS last_ms, count(DISTINCT event_type) AS kinds FROM mesh_packets GROUP BY observer")
 def p2_last_hearing(t):
-    per = t.mesh_packets.groupBy("observer").agg(F.collect_set("event_type").alias("k"), F.collect_list("heard_ms").alias("h"))
-    return per.select("observer", F.array_max("h").alias("last_ms"), F.size("k").cast("long").alias("kinds"))
+    return t.mesh_packets.groupBy("observer").agg(F.max("heard_ms").alias("last_ms"), F.count_distinct("event_type").alias("kinds"))
 
 
 @query("p12_features", f"""SELECT public_key, coalesce(name, 'Unnamed repeater') AS name, {STATUS} AS status, lon, lat,
