@@ -3,8 +3,9 @@
 Sources sorted by code point (null last) carry the weights in turn. Their targets share the budget by weight, stop at
 a number of epochs of the source, and what is over goes to the others by weight. Within a source the documents stand
 in a seeded hash order; a document's virtual finish time is the words of its source up to and with it, divided by the
-target. The mix is sorted by that time over all sources and ends where the budget does, at time 1: the document that
-straddles it is taken in part.
+target. All documents, once for each epoch, are range-sorted by that time over all sources, and the mix is the front of
+that order up to the budget: the document that straddles the end is taken in part. So a source comes within a document
+or two of its target.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null doc_id is shuffled like the empty string;
 rows that repeat are documents of their own; ties in the hash order go by doc_id and size; no rows or no words give
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import WORD, stored
 
 WEIGHTS = (5, 2, 1)
-#: Slices of a source, and of virtual time, whose words are summed ahead; a slice is what one window sorts.
+#: Slices of a source whose words are summed ahead; a slice is what one window sorts.
 SLICES = 4096
 
 
@@ -53,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], budget_share: float, epo
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, source, text. Returns the documents (row_id, doc_id, size, source_size, target) and the mix: a row
-    per document and epoch that is taken (row_id, epoch, virtual_finish, taken words, position in the mix), sorted."""
+    per document and epoch that is taken (row_id, epoch, virtual_finish, taken words, position in the mix)."""
     sizes = docs.select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"), words_in(F.col("text")).alias("size"),
         shuffled(seed).alias("key"),
@@ -65,17 +66,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     within = W.partitionBy("no_src", "src", "slice").orderBy("key", "doc_id", "size", "row_id")
     rows = sizes.join(ahead, ["no_src", "src", "slice"]).join(goal, ["no_src", "src"])
     rows = rows.withColumn("begin", F.col("ahead") + F.sum("size").over(within) - F.col("size"))
-    rows = stored(rows.select("row_id", "doc_id", "no_src", "src", "key", "size", "source_size", "target", "begin"), "mix-queue")
-
-    entries = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn("begin", F.col("begin") + F.col("epoch") * F.col("source_size"))
-    taken = F.least(F.col("size"), F.floor("target") - F.col("begin")).cast("long")
-    entries = entries.withColumn("taken", taken).where("taken > 0").withColumn("virtual_finish", (F.col("begin") + F.col("size")) / F.col("target"))
-    entries = entries.withColumn("span", F.least(F.floor(F.col("virtual_finish") * SLICES), F.lit(SLICES - 1)).cast("int"))
-    spans = entries.groupBy("span").agg(F.sum("taken").alias("n"))  # SLICES rows at most
-    spans = spans.select("span", F.coalesce(F.sum("n").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    order = ["virtual_finish", "no_src", "src", "begin", "row_id"]
-    entries = entries.join(F.broadcast(spans), "span").withColumn("position", F.col("ahead") + F.sum("taken").over(W.partitionBy("span").orderBy(*order)) - F.col("taken"))
-    return rows.drop("begin", "no_src", "src", "key"), entries.select("row_id", "doc_id", "no_src", "src", "key", "size", "epoch", "virtual_finish", "taken", "position").orderBy("position")
+    rows = stored(rows.select("row_id", "doc_id", "no_src", "src", "key", "size", "source_size", "target", "begin"), "mix-documents")
+
+    budget = rows.agg(F.floor(F.coalesce(F.sum("size"), F.lit(0)) * budget_share).cast("long")).first()[0]
+    entries = rows.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn("begin", F.col("begin") + F.col("epoch") * F.col("source_size"))
+    entries = entries.withColumn("virtual_finish", (F.col("begin") + F.col("size")) / F.col("target"))
+    taken = F.least(F.col("size"), F.lit(budget) - F.col("position")).cast("long")
+    mixed = positions(entries).withColumn("taken", taken).where("taken > 0")
+    return rows.drop("begin", "no_src", "src", "key"), mixed.select("row_id", "doc_id", "no_src", "src", "key", "size", "epoch", "virtual_finish", "taken", "position")
+
+
+#: What the mix is sorted by, over all sources.
+ORDER = ("virtual_finish", "no_src", "src", "begin", "row_id")
+
+
+def positions(entries: DataFrame) -> DataFrame:
+    """The entries sorted into ranges of ORDER over all sources, with position: the words ahead of each in the mix."""
+    queue = stored(entries.repartitionByRange(*ORDER).withColumn("range", F.spark_partition_id()), "mix-queue")
+    spans = queue.groupBy("range").agg(F.sum("size").alias("n"))  # a row for each range
+    spans = spans.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return queue.join(F.broadcast(spans), "range").withColumn("position", F.col("ahead") + F.sum("size").over(W.partitionBy("range").orderBy(*ORDER)) - F.col("size"))
 
 
 def cuts(entries: DataFrame) -> DataFrame:

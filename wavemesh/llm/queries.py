@@ -69,10 +69,12 @@ lv AS (  -- the level at which the sources' shares, stopped at their caps, use u
     FROM s a CROSS JOIN s b GROUP BY a.source, a.source_size, a.w) WHERE level <= full_at),
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM lv)::DOUBLE * w, 2.0 * source_size)) AS target FROM s),
 q AS (
-  SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS b
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target)::BIGINT - b)) + greatest(0, least(size, floor(target)::BIGINT - b - source_size)))::BIGINT AS taken FROM q
+  SELECT doc_id, d.source, key, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS b, row_number() OVER () AS row
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT row, size, source, b + i * source_size AS b, (b + i * source_size + size)::DOUBLE / target AS finish FROM q CROSS JOIN range(2) r(i) WHERE size > 0),
+p AS (SELECT row, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, b, row ROWS UNBOUNDED PRECEDING) - size AS position FROM e),
+k AS (SELECT row, sum(greatest(0, least(size, (SELECT floor(1.5::DOUBLE * sum(size)) FROM q)::BIGINT - position))) AS taken FROM p GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k USING (row)
 """
 
 
