@@ -2,10 +2,11 @@
 
 A turn reads ``<|turn|>role\\nbody<|end|>\\n``. The body is the turn's content parts in order: text is escaped, an
 image, audio clip or document becomes a placeholder ``<|kind n|>`` that numbers the conversation's attachments. In
-texts and roles ``&``, ``<`` and ``[`` are escaped, so no control string of this or another template survives there,
-and `read_back` restores them exactly.
+texts, roles and kinds ``&``, ``<`` and ``[`` are escaped, so no control string of this or another template survives
+there, and `read_back` restores them exactly; in kinds ``|`` is escaped as well, so none ends its placeholder early.
 
-Defined cases: a null text or role counts as empty; turns sort by turn (null last), then role, then body; rows that
+Defined cases: a null text or role counts as empty; a part of null kind is text; one of a kind not in PER_TOKEN is an
+attachment of no tokens; turns sort by turn (null last), then role, then body; rows that
 repeat are repeated turns; a null conv_id is a conversation of its own; no rows give no rows; other columns are ignored.
 Only built-in functions run here.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 TURN, END = "<|turn|>", "<|end|>\n"
 #: In this order to escape, in reverse to restore.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
+#: Escaped besides in a kind, and in a role.
+BAR, LINE = ("|", "&#124;"), ("\n", "&#10;")
 #: Amount of an attachment that one token stands for: pixels, milliseconds, characters.
 PER_TOKEN = {"image": 784, "audio": 40, "document": 4}
 
@@ -30,7 +33,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    for plain, safe in reversed(ESCAPES):
+    for plain, safe in (BAR, LINE, *reversed(ESCAPES)):
         text = F.replace(text, F.lit(safe), F.lit(plain))
     return text
 
@@ -58,8 +61,8 @@ def format_chat(turns: DataFrame) -> DataFrame:
     before = order.rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("i", F.row_number().over(order)).withColumn("n_before", F.coalesce(F.sum(F.size("files")).over(before), F.lit(0)))
     # a placeholder's number: those of the turns before, and those of this turn up to here
-    body = F.transform("parts", lambda p, k: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), p["kind"], F.lit(" "), (F.col("n_before") + F.size(F.filter(F.slice("parts", F.lit(1), k + 1), lambda q: ~is_text(q)))).cast("string"), F.lit("|>"))))
-    head = F.concat(F.lit(TURN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
+    body = F.transform("parts", lambda p, k: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), F.replace(escape(p["kind"]), *map(F.lit, BAR)), F.lit(" "), (F.col("n_before") + F.size(F.filter(F.slice("parts", F.lit(1), k + 1), lambda q: ~is_text(q)))).cast("string"), F.lit("|>"))))
+    head = F.concat(F.lit(TURN), F.replace(escape(F.col("role")), *map(F.lit, LINE)), F.lit("\n"))
     rows = rows.select("conv_id", "i", "role", "files", head.alias("head"), F.concat_ws("", body).alias("body"))
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("head") + F.length("body") + len(END)).over(W.partitionBy("conv_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.length("head"))
     got = rows.groupBy("conv_id").agg(
@@ -79,8 +82,13 @@ def read_back(formatted: Column) -> Column:
 
     def turn(p: Column) -> Column:
         at = F.locate("\n", p)
-        role = unescape(F.replace(F.substring(p, F.lit(1), at - 1), F.lit("&#10;"), F.lit("\n")))
+        role = unescape(F.substring(p, F.lit(1), at - 1))
         text = unescape(F.substring(p, at + 1, F.length(p) - at - len(END)))
         return F.struct(role.alias("role"), text.alias("text"))
 
     return F.transform(pieces, turn)
+
+
+def under_mask(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask, restored, in order, nothing between."""
+    return unescape(F.concat_ws("", F.transform(loss_spans, lambda s: F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))))

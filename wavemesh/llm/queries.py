@@ -23,8 +23,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     done = chat.format_chat(turns.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
     read = done.withColumn("t", chat.read_back(F.col("formatted")))
-    loss = F.concat_ws("", F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: x["text"]))
-    return read.withColumn("loss", loss).select(
+    return read.withColumn("loss", chat.under_mask(F.col("formatted"), F.col("loss_spans"))).select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),
         F.sha2(F.concat_ws("", F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))), 256).alias("turns_sha256"),
