@@ -8,8 +8,9 @@ distance between the item and any part of the text there, and up to k it is a fi
 The items go to the tasks in blocks of a bounded size; more blocks are more passes over the documents.
 
 Defined cases: null or empty texts hold nothing; null or empty items, and such of neither letters nor digits, are found
-nowhere; items too short for the budget of one edit have to occur unchanged, as whole words; items that repeat are
-found each; repeated rows give the same finds; empty tables give no rows or no finds; other columns are ignored.
+nowhere; items too short for the budget of one edit (of fewer than 15 characters) have to occur unchanged, as whole
+words; items that repeat are found each; one without an id is found with a null item_id; repeated rows give the same
+finds; empty tables give no rows or no finds; columns other than text and those to keep are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from .shared import small_batches
 
-#: Edits allowed for each character of an item; items shorter than SHORT allow none.
-RATE, SHORT = 0.07, 40
+#: Edits allowed for each character of an item.
+RATE = 0.07
 #: Characters of the items that one pass over the documents looks for.
 BLOCK = 8_000_000
 
@@ -42,7 +43,7 @@ class Pattern:
 
     def __init__(self, item_id, text: str):
         self.item_id, self.text = item_id, text
-        self.k = int(RATE * len(text)) if len(text) >= SHORT else 0
+        self.k = int(RATE * len(text))
         self.places: dict[str, int] = {}
         for i, c in enumerate(text):
             self.places[c] = self.places.get(c, 0) | 1 << i
@@ -111,7 +112,7 @@ class Finder:
                 d = pattern.distance(text[max(0, start - pattern.k) : start + len(pattern.text) + pattern.k])
                 if d <= pattern.k and d < best.get(p, d + 1):
                     best[p] = d
-        return sorted((self.patterns[p].item_id, d) for p, d in best.items())
+        return sorted(((self.patterns[p].item_id, d) for p, d in best.items()), key=lambda f: (f[0] is not None, f))
 
 
 FINDS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
@@ -122,14 +123,14 @@ def find_items(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
     """The columns to keep, finds array<struct<item_id, distance>> by item. docs: text and those; items: item_id, text."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block))
 
     def pass_over(rows: DataFrame, b: int) -> DataFrame:
         found = [(r.item_id, normal(r.text)) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()]
         sent = spark.sparkContext.broadcast(found)  # about `block` characters
-        schema = T.StructType([*rows.schema.fields, T.StructField(f"_finds_{b}", FINDS)])
+        schema = T.StructType([*rows.schema.fields, T.StructField(f"finds_{b}", FINDS)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(sent.value)
@@ -139,7 +140,8 @@ def find_items(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
 
         return rows.mapInArrow(run, schema)
 
-    rows = docs.select(F.col("text").alias("_text"), *keep)
+    # what is kept stays apart, so that no name of it clashes
+    rows = docs.select("text", F.struct(*keep).alias("kept"))
     for b in range(n_blocks):
         rows = pass_over(rows, b)
-    return rows.select(*keep, F.array_sort(F.concat(*(f"_finds_{b}" for b in range(n_blocks)))).alias("finds"))
+    return rows.select("kept.*", F.sort_array(F.concat(*(f"finds_{b}" for b in range(n_blocks)))).alias("finds"))

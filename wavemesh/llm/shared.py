@@ -17,8 +17,10 @@ SHINGLE = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a default is set only where the cluster names none, as in tests."""
+    """The folder all executors share; a default is set only on one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return at or "/tmp/checkpoints"
 
 
