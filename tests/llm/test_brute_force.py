@@ -74,15 +74,46 @@ def test_ngram_join_of_a_hot_group(spark, edits):
     assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == want
 
 
-def test_prefixes_of_linked_sets_meet():
+def test_links_come_out_of_opened_blocks(spark, monkeypatch):
+    """Near copies link through the matrix alone, and blocks behind the leader's are needed."""
+    base = [f"w{i}" for i in range(100)]
+    # each a little further from the first than the one before: neighbours link, far ones don't
+    texts = [" ".join([f"x{j}" for j in range(3 * k)] + base[: 100 - 3 * k]) for k in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [plain_shingles(t) for t in texts]
+    want = groups(range(12), [(a, b) for a in range(12) for b in range(a + 1, 12) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    found = lambda: {r.doc_id: r.component_id for r in ngram_join.join(df).collect()}
+    assert set(want.values()) == {0} and found() == want
+    whole, calls = ngram_join.opened, []
+
+    def leaders_only(*args):
+        calls.append(args)
+        links = whole(*args)
+        return links if len(calls) == 1 else links.where("false")
+
+    monkeypatch.setattr(ngram_join, "opened", leaders_only)
+    assert len(set(found().values())) > 1 and len(calls) == 2
+    monkeypatch.setattr(ngram_join, "opened", lambda *args: whole(*args).where("false"))
+    assert found() == {i: i for i in range(12)}
+
+
+def test_bounds_of_a_block_lose_no_link():
     rnd = np.random.default_rng(1)
-    for _ in range(300):
+    shut = links = 0
+    for _ in range(60):
         base = rnd.integers(0, 2**63, 60, dtype=np.uint64)
-        a, b = np.unique(base[: rnd.integers(40, 60)]), np.unique(base[rnd.integers(0, 12) :])
+        sets = [np.unique(np.concatenate((base[rnd.random(60) < 0.93], rnd.integers(0, 2**63, rnd.integers(0, 8), dtype=np.uint64)))) for _ in range(10)]
+        sets.append(np.unique(np.concatenate((base[:30], rnd.integers(0, 2**63, 30, dtype=np.uint64)))))
         frequent = np.unique((base[rnd.random(60) < 0.4] >> np.uint64(2)) & np.uint64(0xFFFFFFFF))
-        if ngram_join.linked(a, b):
-            p, q = ngram_join.prefix(a, frequent), ngram_join.prefix(b, frequent)
-            assert shared.overlap(p, q) and ngram_join.close(len(a), p, len(b), q)
+        heads = [ngram_join.prefix(s, frequent) for s in sets]
+        block = ngram_join.Block(np.arange(5), np.array([len(s) for s in sets[:5]]), heads[:5])
+        for i, (s, head) in enumerate(zip(sets, heads, strict=True)):
+            near = {k for k in range(5) if k != i and ngram_join.linked(s, sets[k])}
+            links += len(near)
+            may = set(block.may_link(i, len(s), head))
+            assert near <= may and (not near or block.opens(len(s), head)) and all(shared.overlap(head, heads[k]) for k in near)
+            shut += not block.opens(len(s), head)
+    assert shut and links
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -134,7 +165,7 @@ def test_decontamination_finds_all_within_the_budget():
     for _ in range(200):
         i, t = items[rnd.integers(20)]
         chars = list(t)
-        for _ in range(int(decontamination.RATE * len(t)) if len(t) >= decontamination.SHORT else 0):
+        for _ in range(int(decontamination.RATE * len(t)) ):
             at = rnd.integers(1, len(chars) - 1)
             chars[at] = "z" if chars[at] != " " and chars[at] != "z" else chars[at]
         assert i in [x for x, _ in finder.finds("zz yy " + "".join(chars) + " yy zz")]

@@ -3,20 +3,21 @@
 A document is its set of five-word shingles; two link when their Jaccard similarity is 0.8 or more. The join is exact:
 
 1. In any order of all shingles, two linked sets share one of their first n - ceil(0.8 n) + 1. The order puts shingles
-   that many documents have last, the others by hash. Only these prefixes are shuffled.
-2. Equal sets become one. Of the documents that share a prefix shingle, each is compared with the most central one,
-   that with the most shared shingles, by their prefixes. Pairs that may link, or share a frequent shingle, make groups
-   of similar documents; the texts of those that may link are fetched and compared. Where that doesn't connect a whole group, its members are compared with each other,
-   block by block inside tasks: what leaves a task is a forest over its documents, not pairs.
-3. The matrix holds the groups, in blocks of bounded size: the union of their members' prefix shingles, the last place
-   of the order up to which that union is complete, and the least size of a member. A document meets the other groups
-   that share a prefix shingle and have a member of fitting size.
-4. Prefix shingles of the document that are missing from the complete part of a union are in none of its members, which
-   bounds the overlap with each of them. Only blocks whose bound suffices are opened, and their members compared.
-5. Two documents are compared by their prefixes first, with the same bound; only where it suffices are the texts
-   fetched and the whole sets compared.
-
-So a large group of near copies costs a row for each member and block, not a row for each pair.
+   that many documents have last, the others by hash. Only these prefixes are shuffled. Equal sets become one.
+2. Similar documents make a group: of the documents that share a prefix shingle the most central one, that with the most
+   shared shingles, leads; a document joins the leader with which it shares most, by frequent shingles first.
+3. The matrix holds the groups in blocks of bounded size: a block of the leader alone, and blocks of all members. Of a
+   block it knows the union of the members' prefix shingles, the place of the order up to which that union is complete,
+   and the least size of a member.
+4. A document queries blocks: first its leader's; then, where the leader didn't link with it, all blocks of its group,
+   and in any case the blocks of other groups that share a prefix shingle and have a member of fitting size.
+5. Prefix shingles of the document that are missing from the complete part of a union are in none of its members, which
+   bounds the overlap with each of them. Only a block whose bound suffices is opened: its members' own prefixes are
+   bounded in the same way, and where one may link, the texts are fetched and whole sets compared.
+
+All links but those of equal sets come out of opened blocks. What leaves a task is a forest over its documents, not
+pairs, and documents already known to be connected aren't compared, so a large group of near copies costs a row for each
+member and block it opens. Queries of one block are dealt over tasks by their number.
 
 Defined cases: null and empty texts, and those of white space only, have an empty set and link with nothing; with fewer
 than five words the whole sequence is the one shingle; repeated rows and ties are equal sets; a null doc_id is returned
@@ -31,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import by_ids, overlap, shingle_set, small_batches, stored
+from .shared import by_ids, few, overlap, shingle_set, small_batches, stored
 
 #: Least similarity, in hundredths.
 SIMILAR = 80
@@ -43,8 +44,10 @@ SIMILAR = 80
 FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Hashes (of 62 bits) below FRONT are counted. The order is: these if rare, these if frequent, the others.
 FRONT, LATE, REST = (1 << 62) * 3 // 10, 1 << 61, 1 << 62
-#: Shingles in a block of a group.
+#: Shingles of the members of a block, and of the queries that a task opens it for.
 BLOCK = 524_288
+#: The block that holds only the leader.
+LEAD = -1
 
 
 def least_shared(n: int) -> int:
@@ -114,136 +117,129 @@ def least_overlap(n: int, m: int) -> int:
     return -(-SIMILAR * (n + m) // (100 + SIMILAR))
 
 
-def close(n: int, a: np.ndarray, m: int, b: np.ndarray) -> bool:
-    """Whether sets of sizes n and m with the prefixes a and b can link."""
-    if 100 * min(n, m) < SIMILAR * max(n, m):
-        return False
-    last = min(a[-1], b[-1])  # up to here both are known
-    known_a, known_b = int(np.searchsorted(a, last, "right")), int(np.searchsorted(b, last, "right"))
-    return overlap(a[:known_a], b[:known_b]) + min(n - known_a, m - known_b) >= least_overlap(n, m)
-
-
 def _longs(array: pa.Array) -> Iterator[np.ndarray]:
     flat, ends = array.values.to_numpy(), array.offsets.to_numpy()
     return (flat[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose prefixes and sizes allow a link. nodes: node, n, prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(b.column(2).to_pylist(), _longs(b.column(3)), b.column(4).to_pylist(), _longs(b.column(5)), strict=True)
-            keep = [close(*r) for r in rows]
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a")
-    return rows.select("a", "b", "n_a", "prefix_a", "n_b", "prefix_b").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole texts. docs: doc_id, text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, np.ndarray] = {}
-
-        def set_of(text: str) -> np.ndarray:
-            if text not in sets:
-                if len(sets) > 100:
-                    sets.clear()
-                sets[text] = shingle_set(text)
-            return sets[text]
-
-        for b in batches:
-            keep = [linked(set_of(x), set_of(y)) for x, y in zip(_texts(b, 2), _texts(b, 3), strict=True)]
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = stored(pairs, "ngram-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = stored(by_ids(docs, ids, "left_semi"), "ngram-texts")
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "ngram-links")
-
-
-def token_matrix(members: DataFrame) -> DataFrame:
-    """group, block, low (least size), known (the union is complete up to here), tokens (the union of the prefixes), and
-    the members themselves: ids, sizes, prefixes. members: group, block, node, n, prefix; a block has about BLOCK shingles."""
-
-    def union(t: pa.Table) -> pa.Table:
-        prefixes = [np.array(p, np.int64) for p in t.column("prefix").to_pylist()]
-        every, sizes = np.unique(np.concatenate(prefixes)), t.column("n").to_pylist()
-        row = {"group": t.column("group")[:1], "block": t.column("block")[:1], "low": [min(sizes)], "known": [int(min(p[-1] for p in prefixes))], "tokens": [every], "ids": [t.column("node").to_pylist()], "sizes": [sizes], "prefixes": [prefixes]}
-        return pa.table(row, schema=schema)
-
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("group", pa.int64()), ("block", pa.int32()), ("low", pa.int64()), ("known", pa.int64()), ("tokens", longs), ("ids", longs), ("sizes", longs), ("prefixes", pa.list_(longs))])
-    kinds = "group long, block int, low long, known long, tokens array<long>, ids array<long>, sizes array<long>, prefixes array<array<long>>"
-    return members.select("group", "block", "node", "n", "prefix").groupBy("group", "block").applyInArrow(union, kinds)
-
-
-def opened(meetings: DataFrame, nodes: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents and members of the blocks whose bound suffices, as far as their prefixes allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = [], []
-            for k, (node, n, mine, low, known, tokens) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _longs(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), _longs(b.column(5)), strict=True)):
-                sure = mine[: int(np.searchsorted(mine, known, "right"))]
-                if n - len(sure) + overlap(sure, tokens) >= least_overlap(n, max(low, least_shared(n))):
-                    ids, sizes, prefixes = (b.column(c)[k].as_py() for c in (6, 7, 8))
-                    got = [i for i, m, p in zip(ids, sizes, prefixes, strict=True) if close(n, mine, m, np.array(p, np.int64))]
-                    left += [node] * len(got)
-                    right += got
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    rows = meetings.join(nodes, "node").join(matrix, ["group", "block"])
-    return rows.select("node", "n", "prefix", "low", "known", "tokens", "ids", "sizes", "prefixes").mapInArrow(run, "a long, b long")
-
-
-def with_blocks(members: DataFrame) -> DataFrame:
-    """members (group, node, n) with block, and blocks: how many the group has. A block has about BLOCK shingles."""
-    totals = members.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    return members.join(totals, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-
-
-def within(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links (a, b) that connect what links inside each group. members: group, node, block, blocks."""
-
-    def forest(t: pa.Table) -> pa.Table:
-        block, lo, hi = (t.column(c).to_numpy() for c in ("block", "lo", "hi"))
-        ids = t.column("node").to_numpy()
-        each = [shingle_set(x.as_py()) for x in t.column("text")]
-        rows, others = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        parent = np.arange(len(ids))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        if len(rows) and len(others):
-            sizes = np.array([len(each[j]) for j in others])
-            flat, owner = np.concatenate([each[j] for j in others]), np.repeat(np.arange(len(others)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            for i in rows:
-                a, b = np.searchsorted(flat, each[i], "left"), np.searchsorted(flat, each[i], "right")
-                hits = [owner[x:y] for x, y in zip(a, b, strict=True) if x < y]
-                shared = np.bincount(np.concatenate(hits), minlength=len(others)) if hits else np.zeros(len(others), int)
-                for j in others[100 * shared >= SIMILAR * (len(each[i]) + sizes - shared)]:
-                    r, s = root(i), root(j)
-                    if r != s:
-                        parent[max(r, s)] = min(r, s)
-        joined = [i for i in range(len(ids)) if root(i) != i]
-        return pa.table({"a": pa.array(ids[joined], pa.int64()), "b": pa.array([int(ids[root(i)]) for i in joined], pa.int64())})
-
-    members = stored(members.select("group", "node", "block", "blocks"), "ngram-apart")
-    texts = by_ids(docs, members.select(F.col("node").alias("doc_id")), "left_semi").withColumnRenamed("doc_id", "node")
-    rows = members.join(texts, "node").select("group", "node", "block", "blocks", "text")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    return stored(rows.groupBy("group", "lo", "hi").applyInArrow(forest, "a long, b long"), "ngram-within")
+class _Sets:
+    """Sets that are asked at once how much each shares with another set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate([*sets, np.empty(0, sets[0].dtype if sets else np.int64)])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner, self.n = flat[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], len(sets)
+
+    def shared(self, one: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.flat, one, "left"), np.searchsorted(self.flat, one, "right")
+        size = b - a
+        at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
+class Block:
+    """A block of the matrix: its members' sizes and prefixes, and what their union bounds."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, prefixes: list[np.ndarray]):
+        self.ids, self.sizes, self.lengths = ids, sizes, np.array([len(p) for p in prefixes])
+        self.last = np.array([p[-1] for p in prefixes])
+        self.low, self.known, self.tokens = int(sizes.min()), int(self.last.min()), np.unique(np.concatenate(prefixes))
+        self.members = _Sets(prefixes)
+
+    def opens(self, n: int, prefix: np.ndarray) -> bool:
+        """Whether a set of n shingles with this prefix may link with any member, by the union alone."""
+        sure = prefix[: int(np.searchsorted(prefix, self.known, "right"))]
+        return n - len(sure) + overlap(sure, self.tokens) >= least_overlap(n, max(self.low, least_shared(n)))
+
+    def may_link(self, node: int, n: int, prefix: np.ndarray) -> np.ndarray:
+        """The places of the members whose own prefixes and sizes allow a link."""
+        inside = self.last <= prefix[-1]  # of these the prefix is known whole, of the others the document's
+        rest = np.where(inside, np.minimum(n - np.searchsorted(prefix, self.last, "right"), self.sizes - self.lengths), n - len(prefix))
+        fits = 100 * np.minimum(n, self.sizes) >= SIMILAR * np.maximum(n, self.sizes)
+        return np.flatnonzero(fits & ((100 + SIMILAR) * (self.members.shared(prefix) + rest) >= SIMILAR * (n + self.sizes)) & (self.ids != node))
+
+
+def _cells(t: pa.Table) -> Iterator[np.ndarray]:
+    """The places of the rows of each block and chunk in a task's share of the matrix."""
+    keys = [t.column(c).to_numpy() for c in ("chunk", "block", "group")]
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return iter(np.split(order, np.flatnonzero(new)))
+
+
+def open_cells(t: pa.Table) -> pa.Table:
+    """The rows of those that have to be compared: documents for which a block opens, and members that may link."""
+    keep: list[int] = []
+    t = t.combine_chunks()
+    asks, node, n = (t.column(c).to_numpy() for c in ("asks", "node", "n"))
+    prefix = list(_longs(t.column("prefix").chunk(0)))
+    for rows in _cells(t):
+        members, queries = rows[~asks[rows]], rows[asks[rows]]
+        if not len(members) or not len(queries):
+            continue
+        block = Block(node[members], n[members], [prefix[i] for i in members])
+        touched = np.zeros(len(members), bool)
+        for q in queries:
+            if block.opens(int(n[q]), prefix[q]):
+                may = block.may_link(node[q], int(n[q]), prefix[q])
+                if len(may):
+                    touched[may] = True
+                    keep.append(q)
+        keep += members[touched].tolist()
+    return t.select(["group", "block", "chunk", "node", "asks", "known_as"]).take(pa.array(np.array(sorted(keep), np.int64)))
+
+
+def compare_cells(t: pa.Table) -> pa.Table:
+    """The links (a, b) that connect the documents of each opened block, by their whole sets."""
+    left, right = [], []
+    asks, node, known = (t.column(c).to_numpy() for c in ("asks", "node", "known_as"))
+    sets = [shingle_set(x.as_py()) for x in t.column("text")]
+    for rows in _cells(t):
+        asking = asks[rows]
+        members, queries = rows[~asking], rows[asking]
+        alike = np.unique(known[rows], return_inverse=True)[1]  # what each is connected with so far
+        ours, sizes, index = np.flatnonzero(~asking), np.array([len(sets[m]) for m in members]), None
+        for i, q in zip(np.flatnonzero(asking), queries, strict=True):
+            mine, size = sets[q], len(sets[q])
+            others = np.flatnonzero((alike[ours] != alike[i]) & (100 * np.minimum(sizes, size) >= SIMILAR * np.maximum(sizes, size)))
+            if len(others) > 32:
+                index = index or _Sets([sets[m] for m in members])
+                both = index.shared(mine)[others]
+                others = others[100 * both >= SIMILAR * (size + sizes[others] - both)]
+            for k in others:
+                if alike[ours[k]] != alike[i] and linked(mine, sets[members[k]]):
+                    alike[alike == alike[ours[k]]] = alike[i]
+                    left.append(int(node[q])), right.append(int(node[members[k]]))
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def spread(rows: DataFrame, key: list[str], weight: str, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows with `name`, into how many parts of a size their key is to be split; and the keys of several parts, few as
+    they each hold more than `size`, but counted before they are broadcast."""
+    large = stored(rows.groupBy(*key).agg(F.ceil(F.sum(weight) / size).cast("int").alias(name)).where(F.col(name) > 1), "ngram-large")
+    return rows.join(few(large), key, "left").withColumn(name, F.coalesce(name, F.lit(1))), large
+
+
+def opened(queries: DataFrame, members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b) that connect the queries with the members of the blocks that open for them. queries and members:
+    group, block, node, n, known_as (documents known as the same are connected already); nodes: node, n, prefix; docs:
+    doc_id, text."""
+    key, columns = ["group", "block"], ["group", "block", "chunk", "node", "asks", "known_as"]
+    queries, large = spread(queries, key, "n", 4 * BLOCK, "chunks")
+    queries = queries.withColumns({"chunk": F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"), "asks": F.lit(True)})
+    members = members.join(few(large), key, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).withColumn("asks", F.lit(False))
+    cells = stored(queries.select(*columns, "n").unionByName(members.select(*columns, "n")), "ngram-cells")
+    tasks = max(1, (cells.agg(F.sum("n")).first()[0] or 0) // (2 * BLOCK))
+
+    def dealt(rows: DataFrame) -> GroupedData:
+        return rows.groupBy(F.pmod(F.xxhash64("group", "block", "chunk"), F.lit(tasks)))
+
+    found = dealt(cells.drop("n").join(nodes, "node").select(*columns, "n", "prefix"))
+    found = stored(found.applyInArrow(open_cells, "group long, block int, chunk int, node long, asks boolean, known_as long"), "ngram-opened")
+    texts = by_ids(docs, found.select(F.col("node").alias("doc_id")), "left_semi").withColumnRenamed("doc_id", "node")
+    return stored(dealt(found.join(texts, "node").select(*columns, "text")).applyInArrow(compare_cells, "a long, b long").distinct(), "ngram-links")
 
 
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -262,33 +258,33 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = nodes.select("node", F.explode("prefix").alias("shingle"))
     several = rows.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("shingle")
     shared = stored(rows.join(several, "shingle"), "ngram-shared")
+    nodes = stored(by_ids(nodes, shared.select("node"), "left_semi", "node"), "ngram-meeting")
+
+    # the groups: frequent shingles come first, so that those who have one in the prefix, as near copies do, meet few groups
     central = shared.groupBy("node").agg(F.count("*").alias("central"))
-    shared = stored(shared.join(central, "node"), "ngram-central")
-    lead = shared.groupBy("shingle").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("leader"))
-    stars = shared.join(lead, "shingle").where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max(F.col("shingle") >= LATE).alias("late"))
-    stars = stored(stars, "ngram-stars")
-    likely = stored(plausible(stars.select("a", "b"), nodes), "ngram-likely")
-    links = verified(likely, docs)
-
-    # who shares a frequent shingle within the prefix has few others, as near copies do: these are compared inside their
-    # group, so that only rare shingles, of FREQUENT documents at most, make documents meet other groups
-    groups = stored(components(likely.unionByName(stars.where("late").select("a", "b"))).withColumnRenamed("id", "node").withColumnRenamed("component", "group"), "ngram-groups")
-    members = groups.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
-    apart = members.groupBy("group").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("group")
-    blocked = stored(with_blocks(groups.join(nodes.select("node", "n"), "node")), "ngram-blocks")
-    links = links.unionByName(within(blocked.join(apart, "group", "left_semi"), docs))
-
-    alone = {"group": F.coalesce("group", "node"), "block": F.coalesce("block", F.lit(0))}
-    grouped = shared.select("shingle", "node").join(nodes.select("node", "n"), "node").join(blocked.select("node", "group", "block"), "node", "left").withColumns(alone)
-    open_ = grouped.groupBy("shingle").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("shingle")
-    grouped = stored(grouped.join(open_, "shingle", "left_semi").select("shingle", "node", "n", "group", "block"), "ngram-grouped")
-    cells = grouped.groupBy("shingle", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = grouped.select("shingle", "node", "n", F.col("group").alias("own"))
-    fits = f"own > group AND 100 * high >= {SIMILAR} * n AND {SIMILAR} * low <= 100 * n"
-    meetings = stored(queries.join(cells, "shingle").where(fits).select("node", "group", "block").distinct(), "ngram-meetings")
-    cards = grouped.select("node", "group", "block").distinct().join(meetings.select("group", "block").distinct(), ["group", "block"], "left_semi")
-    pairs = opened(meetings, nodes, token_matrix(cards.join(nodes, "node")))
-    links = links.unionByName(verified(pairs, docs)).unionByName(copies.where("a <> b"))
+    lead = shared.join(central, "node").groupBy("shingle").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("leader"))
+    ties = shared.join(lead, "shingle").groupBy("node", "leader").agg(F.struct(F.max(F.col("shingle") >= LATE), F.count("*"), -F.col("leader")).alias("tie"))
+    groups = stored(ties.groupBy("node").agg(F.max_by("leader", "tie").alias("group")), "ngram-groups")
+
+    sizes = nodes.select("node", "n")
+    follow = groups.where("node <> group").select("node", "group", F.lit(LEAD).alias("block"), F.col("node").alias("known_as")).join(sizes, "node")
+    leaders = groups.where("node <> group").select(F.col("group").alias("node"), "group", F.lit(LEAD).alias("block"), F.col("group").alias("known_as")).distinct().join(sizes, "node")
+    links = opened(follow, leaders, nodes, docs)
+
+    led = links.select(F.col("a").alias("node"), F.lit(True).alias("led")).distinct()
+    groups = groups.join(led, "node", "left").withColumn("led", F.expr("led IS NOT NULL OR node = group"))
+    blocked, _ = spread(groups.join(sizes, "node"), ["group"], "n", BLOCK, "blocks")
+    blocked = blocked.withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "known_as": F.when(F.col("led"), F.col("group")).otherwise(F.col("node"))})
+    blocked = stored(blocked.select("node", "n", "group", "block", "led", "known_as"), "ngram-blocks")
+    grouped = shared.join(blocked, "node")
+    still = grouped.groupBy("shingle").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.min("led").alias("all_led")).where("g <> h OR NOT all_led").select("shingle")
+    grouped = stored(grouped.join(still, "shingle", "left_semi"), "ngram-grouped")
+    met = grouped.groupBy("shingle", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    queries = grouped.select("shingle", "node", "n", "known_as", "led", F.col("group").alias("own"))
+    fits = f"(own > group OR own = group AND NOT led) AND 100 * high >= {SIMILAR} * n AND {SIMILAR} * low <= 100 * n"
+    queries = stored(queries.join(met, "shingle").where(fits).select("node", "n", "known_as", "group", "block").distinct(), "ngram-queries")
+    members = blocked.join(queries.select("group", "block").distinct(), ["group", "block"], "left_semi")
+    links = links.unionByName(opened(queries, members, nodes, docs)).unionByName(copies.where("a <> b"))
     return sets.select("doc_id", "n"), links
 
 

@@ -38,11 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 300_000
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows (narrow and stored) marked to be broadcast if their number, which is counted, allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def by_ids(rows: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """rows with (left_semi) or without (left_anti) the ids, by key. Few ids are broadcast, so that texts stay where they
     are; their number is checked, and beyond it both sides are shuffled."""
-    ids = stored(ids.select(key).distinct(), "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+    return rows.join(few(stored(ids.select(key).distinct(), "ids")), key, how)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
