@@ -32,14 +32,13 @@ def test_entry(spark):
 
 
 def test_loops_that_end_too_early_raise(spark):
-    from wavemesh.llm.graph import components
     from wavemesh.operators import graph
 
     chain = spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
     with pytest.raises(RuntimeError):
         graph.reached(chain, spark.range(1).withColumnRenamed("id", "start"), most_steps=2)
     with pytest.raises(RuntimeError):
-        components(chain, most_rounds=1)
+        graph.components(chain, most_rounds=1)
 
 
 def test_last_hearing_collects_no_arrays(spark):

@@ -59,3 +59,7 @@ def test_streams_equal_batches(spark, tmp_path):
     assert key(windows) == key(live.memory_windows(rows))
     sessions = played(live.bursts(stream), "sessions", "complete")
     assert key(sessions) == key(live.bursts(rows)) and sessions.count() == 10
+    signs = lambda df: df.select("observer", F.col("ts").alias("s_ts"))
+    targets = lambda df: df.where("hash = '7'").select(F.col("hash").alias("target"), F.col("ts").alias("t_ts"))
+    near = played(live.near_signs(targets(stream), signs(stream)), "near", "append")
+    assert key(near) == key(live.near_signs(targets(rows), signs(rows))) and near.count() > 100

@@ -46,11 +46,17 @@ def region_code(inner_pad: Column, outer_pad: Column, message: Column) -> Column
     return F.substring(F.sha2(F.concat(outer_pad, inner), 256), 1, 4)
 
 
+#: Regions that a packet is tried with.
+MOST_REGIONS = 10_000
+
+
 def regions_of(packets: DataFrame, names: DataFrame) -> DataFrame:
     """id, region (the least name whose code the packet carries, or null), n_matches. packets: id, raw_hex.
 
-    Every packet with a transport code meets every region: the list of regions is a small declared catalogue, and its
-    broadcast is what keeps the packets in place."""
+    Every packet with a transport code meets every region: the list of regions is a declared catalogue of at most
+    MOST_REGIONS, and its broadcast is what keeps the packets in place."""
+    if names.select("name").distinct().limit(MOST_REGIONS + 1).count() > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions")
     parsed = packets.select("id", F.lower("raw_hex").alias("raw"), frame(F.col("raw_hex")).alias("f")).where("f.has_transport AND f.total_bytes >= 6")
     message = F.unhex(F.concat(F.lpad(F.lower(F.hex(F.col("f.payload_type").cast("long"))), 2, "0"), F.substring("raw", F.col("f.payload_offset") * 2 + 1, F.col("f.payload_len") * 2)))
     rows = parsed.select("id", F.substring("raw", 3, 4).alias("code"), message.alias("message"))

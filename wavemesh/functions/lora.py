@@ -103,6 +103,6 @@ def snr_of_count(n: Column, sf: Column) -> Column:
 
 
 def capture(signal: Column, others: Column, floor_db: float = 6.0) -> Column:
-    """Whether a signal survives the interferers' summed power. others: array of SNRs."""
+    """Whether a signal survives the interferers' summed power, the floor included up to rounding. others: array of SNRs."""
     power = F.aggregate(others, F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x / 10))
-    return F.when(power <= 0, True).otherwise(signal - 10 * F.log10(F.when(power > 0, power)) >= floor_db)
+    return F.when(power <= 0, True).otherwise(signal - 10 * F.log10(F.when(power > 0, power)) >= floor_db - 1e-9)

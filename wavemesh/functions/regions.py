@@ -57,11 +57,13 @@ def contains(polygons: list, lon: Column, lat: Column) -> Column:
     return F.coalesce(within, F.lit(False))
 
 
-def points_inside(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """The ids of points (id, lon, lat) inside the boundary, by parity of crossings over a broadcast edge table: for
-    boundaries of many sides. The edges of a boundary are a fixed input of checked size."""
+def points_inside(points: DataFrame, edges: DataFrame, band_deg: float = 0.05) -> DataFrame:
+    """The ids of points (id, lon, lat) inside the boundary, by parity of crossings, for boundaries of many sides. Points
+    and edges meet in bands of latitude, an edge in each that it crosses, so that this is an equi-join."""
+    band = lambda y: F.floor(y / band_deg)
+    banded = edges.where("y1 <> y2").withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
     crossing = F.expr("(y2 > lat) <> (y1 > lat) AND lon < (x1 - x2) * (lat - y2) / (y1 - y2) + x2")
-    hits = points.join(F.broadcast(edges), crossing).groupBy("id", "poly", "ring").count().where("count % 2 = 1")
+    hits = points.withColumn("band", band(F.col("lat"))).join(banded, "band").where(crossing).groupBy("id", "poly", "ring").count().where("count % 2 = 1")
     polys = hits.groupBy("id", "poly").agg(F.max((F.col("ring") == 0).cast("int")).alias("out"), F.max((F.col("ring") > 0).cast("int")).alias("hole"))
     return polys.where("out = 1 AND hole = 0").select("id").distinct()
 

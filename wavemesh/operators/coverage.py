@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -23,23 +23,24 @@ def bilinear(points: DataFrame, grid: DataFrame, rows: int, cols: int) -> DataFr
 
 def path_margins(paths: DataFrame, elevation, radio: geo.Radio) -> DataFrame:
     """paths (id, lat1, lon1, tx_m above sea, lat2, lon2, d km) with margin: free space and the worst knife edge of the
-    terrain, earth curvature included. elevation(lat, lon) is a column expression; the samples stay an array per path."""
+    terrain, earth curvature included. elevation(lat, lon) is a column expression.
+
+    A path's samples are rows that compiled code goes through and a partial maximum takes in where they are, so what is
+    shuffled is a row for each path; rows that repeat are counted and given back as often."""
     wave = geo.LIGHT / (radio.frequency_mhz * 1e6)
     n = F.least(F.greatest(F.floor(F.col("d") / 0.05), F.lit(8)), F.lit(300)).cast("int")
     rx = elevation(F.col("lat2"), F.col("lon2")) + radio.rx_height_m
-    rows = paths.withColumns({"_n": n, "_rx": rx})
-
-    def v(i: Column) -> Column:
-        f = i / F.col("_n")
-        lat, lon = F.col("lat1") + (F.col("lat2") - F.col("lat1")) * f, F.col("lon1") + (F.col("lon2") - F.col("lon1")) * f
-        d1 = F.col("d") * 1000 * f
-        d2 = F.col("d") * 1000 - d1
-        ground = elevation(lat, lon) - d1 * d2 / (2 * geo.REFRACTION * geo.EARTH_KM * 1000)
-        over = ground - (F.col("tx_m") + (F.col("_rx") - F.col("tx_m")) * f)
-        return over * F.sqrt((2 / wave) * (1 / d1 + 1 / d2))
-
-    worst = F.array_max(F.transform(F.sequence(F.lit(1), F.col("_n") - 1), v))
-    return rows.withColumn("margin", geo.bearing_margin(radio, F.col("d"), worst)).drop("_n", "_rx")
+    rows = paths.withColumns({"_n": n, "_rx": rx}).select("*", F.explode(F.sequence(F.lit(1), F.col("_n") - 1)).alias("_i"))
+    f = F.col("_i") / F.col("_n")
+    lat, lon = F.col("lat1") + (F.col("lat2") - F.col("lat1")) * f, F.col("lon1") + (F.col("lon2") - F.col("lon1")) * f
+    d1 = F.col("d") * 1000 * f
+    d2 = F.col("d") * 1000 - d1
+    ground = elevation(lat, lon) - d1 * d2 / (2 * geo.REFRACTION * geo.EARTH_KM * 1000)
+    over = ground - (F.col("tx_m") + (F.col("_rx") - F.col("tx_m")) * f)
+    v = over * F.sqrt((2 / wave) * (1 / d1 + 1 / d2))
+    worst = rows.groupBy(*paths.columns).agg(F.max(v).alias("_worst"), F.count(F.when(F.col("_i") == 1, 1)).alias("_times"))
+    margin = geo.bearing_margin(radio, F.col("d"), F.col("_worst"))
+    return worst.select(*paths.columns, margin.alias("margin"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("col")
 
 
 def pixels(bounds: tuple[float, float, float, float], width: int, height: int, spark) -> DataFrame:
@@ -107,13 +108,26 @@ def chain(points: DataFrame) -> DataFrame:
 
 
 def greedy_cover(covers: DataFrame, most: int) -> DataFrame:
-    """pick, site, gain: sites chosen one by one for the most cells (site, cell) that none before covers."""
-    spark, left, picks = covers.sparkSession, covers.select("site", "cell").distinct(), []
+    """pick, site, gain: sites chosen one by one for the most cells (site, cell) that none before covers; of equals the
+    least. A job for each pick, as each depends on those before; what is left is checkpointed every few picks."""
+    spark, left, picks = covers.sparkSession, kept(covers.select("site", "cell").distinct()), []
     for pick in range(most):
         top = left.groupBy("site").count().orderBy(F.desc("count"), "site").first()
         if top is None:
             break
         picks.append((pick, top[0], top[1]))
-        taken = left.where(F.col("site") == top[0]).select("cell")
-        left = kept(left.join(taken, "cell", "left_anti"))
+        left = left.join(left.where(F.col("site") == top[0]).select("cell"), "cell", "left_anti")
+        left = kept(left) if pick % 4 == 3 else left
     return spark.createDataFrame(picks, "pick int, site long, gain long")
+
+
+def phased_cover(samples: DataFrame, existing: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
+    """phase, pick, site, gain of covering an area: what existing sites cover (phase 0, one row with a null site), then
+    new sites chosen greedily for what is left (phase 1), then what stays uncovered (phase 2, one row with a null site).
+    samples: cell; existing and candidates: site, cell."""
+    done = samples.join(existing.select("cell").distinct(), "cell", "left_semi")
+    left = kept(samples.join(existing.select("cell").distinct(), "cell", "left_anti"))
+    picks = greedy_cover(candidates.join(left, "cell", "left_semi"), most)
+    new = candidates.join(picks.select("site"), "site", "left_semi").select("cell").distinct()
+    count = lambda df, phase: df.agg(F.lit(phase).alias("phase"), F.lit(0).alias("pick"), F.lit(None).cast("long").alias("site"), F.count("*").alias("gain"))
+    return count(done, 0).unionByName(picks.select(F.lit(1).alias("phase"), "pick", "site", "gain")).unionByName(count(left.join(new, "cell", "left_anti"), 2))

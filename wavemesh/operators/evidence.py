@@ -6,24 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def classified(observers: DataFrame, events: DataFrame, targets: DataFrame, slop_ms: int = 2000, alive_ms: int = 300_000) -> DataFrame:
-    """target, observer, state of each observer towards each target packet.
+def classified(events: DataFrame, targets: DataFrame, heard: DataFrame, slop_ms: int = 2000, alive_ms: int = 300_000) -> DataFrame:
+    """target, observer, state of the observers that tell something about a target packet.
 
     heard: it reported the target. busy: another frame of it overlaps the target's time, widened by the slop, ends
-    included. silent_active: some other activity within the liveness window. silent_unknown: none.
-    observers: target, observer, heard. events: observer, hash, at_ms, air_ms. targets: target, hash, at_ms, air_ms.
-    Frames are shorter than the liveness window. Events go to time buckets of that width, and a target asks its own and
-    the two beside it, so that only those near a target join with it."""
-    width = alive_ms
-    e = events.select("observer", F.col("hash").alias("e_hash"), F.col("at_ms").alias("e_ms"), F.greatest(F.coalesce("air_ms", F.lit(0)), F.lit(0)).alias("e_air"), F.floor(F.col("at_ms") / width).alias("cell"))
-    t = targets.select("target", F.col("hash").alias("t_hash"), F.col("at_ms").alias("t_ms"), F.greatest(F.coalesce("air_ms", F.lit(0)), F.lit(0)).alias("t_air"))
-    asked = observers.join(t, "target").where("NOT heard").select("target", "observer", "t_hash", "t_ms", "t_air", F.explode(F.sequence(F.floor(F.col("t_ms") / width) - 1, F.floor(F.col("t_ms") / width) + 1)).alias("cell"))
-    near = asked.join(e, ["observer", "cell"]).where("e_hash <> t_hash")
+    included. silent_active: some other activity within the liveness window. Observers without a row are silent_unknown;
+    `state_counts` counts them. events: observer, hash, at_ms (end), air_ms. targets: target, hash, at_ms, air_ms.
+    heard: target, observer.
+    A frame goes to every time bucket it touches, and a target asks those within its window, so that only what is near a
+    target joins with it."""
+    air = lambda: F.greatest(F.coalesce("air_ms", F.lit(0)), F.lit(0))
+    cell = lambda ms: F.floor(ms / alive_ms)
+    e = events.select("observer", F.col("hash").alias("e_hash"), F.col("at_ms").alias("e_ms"), air().alias("e_air"))
+    e = e.withColumn("cell", F.explode(F.sequence(cell(F.col("e_ms") - F.col("e_air")), cell(F.col("e_ms")))))
+    t = targets.select("target", F.col("hash").alias("t_hash"), F.col("at_ms").alias("t_ms"), air().alias("t_air"))
+    t = t.withColumn("cell", F.explode(F.sequence(cell(F.col("t_ms") - max(alive_ms, slop_ms)), cell(F.col("t_ms") + F.greatest(F.lit(alive_ms), F.col("t_air") + slop_ms)))))
+    near = t.join(e, "cell").where("e_hash <> t_hash")
     busy = (F.col("e_ms") >= F.col("t_ms") - slop_ms) & (F.col("e_ms") - F.col("e_air") <= F.col("t_ms") + F.col("t_air") + slop_ms)
-    signs = near.groupBy("target", "observer").agg(F.max(busy).alias("busy"), F.min(F.abs(F.col("e_ms") - F.col("t_ms"))).alias("nearest"))
-    rows = observers.join(signs, ["target", "observer"], "left")
-    state = F.when(F.col("heard"), "heard").when(F.col("busy"), "busy").when(F.col("nearest") <= alive_ms, "silent_active").otherwise("silent_unknown")
-    return rows.select("target", "observer", state.alias("state"))
+    alive = F.abs(F.col("e_ms") - F.col("t_ms")) <= alive_ms
+    signs = near.where(busy | alive).groupBy("target", "observer").agg(F.max(busy).alias("busy"))
+    rows = signs.join(heard.select("target", "observer", F.lit(True).alias("heard")).distinct(), ["target", "observer"], "full_outer")
+    return rows.select("target", "observer", F.when(F.col("heard"), "heard").when(F.col("busy"), "busy").otherwise("silent_active").alias("state"))
+
+
+def state_counts(states: DataFrame, targets: DataFrame, observers: DataFrame) -> DataFrame:
+    """target, heard, busy, silent_active, silent_unknown: how many observers are in each state, every target and all
+    observers counted. states: target, observer, state; targets: target; observers: observer."""
+    known = ("heard", "busy", "silent_active")
+    per = states.groupBy("target").agg(*(F.count(F.when(F.col("state") == s, 1)).alias(s) for s in known))
+    every = observers.select("observer").distinct().agg(F.count("*").alias("n"))  # one row
+    rows = targets.select("target").distinct().join(per, "target", "left").na.fill(0, known).join(F.broadcast(every))
+    return rows.select("target", *known, (F.col("n") - sum((F.col(s) for s in known), F.lit(0))).alias("silent_unknown"))
 
 
 def constrained(deliveries: DataFrame, contradicted: DataFrame) -> DataFrame:

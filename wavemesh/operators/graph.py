@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,19 +40,43 @@ def reached(links: DataFrame, start: DataFrame, relays: DataFrame | None = None,
     return seen
 
 
-def shortest_path(links: DataFrame, a: int, b: int) -> list[int]:
-    """One shortest path, by the least predecessor at each step back; empty if there is none."""
-    spark = links.sparkSession
-    found = reached(links, spark.range(1).select(F.lit(a).cast("long").alias("start")))
-    end = found.where(F.col("id") == b).select("hops").first()
-    if end is None:
-        return []
-    path, node = [b], b
-    for hops in range(end[0] - 1, -1, -1):
-        before = found.where(F.col("hops") == hops).join(links.where(F.col("b") == node), F.col("id") == F.col("a"), "left_semi")
-        node = before.agg(F.min("id")).first()[0]
-        path.append(node)
-    return path[::-1]
+def widest_hops(links: DataFrame, start: DataFrame, most_hops: int) -> DataFrame:
+    """start, id, hops, weakest, path: to each node reached within so many hops a path of fewest hops, of these one whose
+    weakest link is strongest, then the least path. links: a, b, margin; start: start. A path holds most_hops + 1 nodes
+    at most; each step is a join and an aggregate."""
+    links = links.groupBy("a", "b").agg(F.max("margin").alias("margin"))
+    front = start.select("start", F.col("start").alias("id"), F.lit(0).alias("hops"), F.lit(float("inf")).alias("weakest"), F.array("start").alias("path")).distinct()
+    seen = front
+    for hop in range(1, most_hops + 1):
+        ahead = front.join(links, front["id"] == links["a"]).select("start", F.col("b").alias("id"), F.struct((-F.least("weakest", "margin")).alias("w"), F.concat("path", F.array("b")).alias("path")).alias("best"))
+        ahead = ahead.join(seen.select("start", "id"), ["start", "id"], "left_anti").groupBy("start", "id").agg(F.min("best").alias("best"))
+        front = kept(ahead.select("start", "id", F.lit(hop).alias("hops"), (-F.col("best.w")).alias("weakest"), "best.path"))
+        if front.isEmpty():
+            break
+        seen = kept(seen.unionByName(front))
+    return seen
+
+
+def routes(links: DataFrame, ends: DataFrame, targets: tuple[float, ...] = (12.0, 6.0, 0.0), most_hops: int = 8) -> DataFrame:
+    """a, b, target, hops, weakest, path, rank: how each pair of ends (a, b) is connected by links (a, b, margin, either
+    way) of at least each target margin. Options are ranked by whether their weakest hop is good (the highest target),
+    then by fewer hops, then by the stronger weakest hop; of equal paths the one of the higher target stays."""
+    both = links.select("a", "b", "margin").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "margin"))
+    found = None
+    for target in targets:
+        part = widest_hops(both.where(F.col("margin") >= target), ends.select(F.col("a").alias("start")).distinct(), most_hops)
+        part = part.join(ends, (F.col("start") == F.col("a")) & (F.col("id") == F.col("b"))).select("a", "b", F.lit(target).alias("target"), "hops", "weakest", "path")
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("a", "b", "path", "hops", "weakest").agg(F.max("target").alias("target"))
+    order = W.partitionBy("a", "b").orderBy((F.col("weakest") < targets[0]).cast("int"), "hops", F.desc("weakest"), "path")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
+def shortest_path(links: DataFrame, a: int, b: int, most_hops: int = 64) -> list[int]:
+    """One shortest path, the least of those; empty if there is none within so many hops."""
+    start = links.sparkSession.range(1).select(F.lit(a).cast("long").alias("start"))
+    end = widest_hops(links.select("a", "b", F.lit(0.0).alias("margin")), start, most_hops).where(F.col("id") == b).select("path").first()
+    return list(end[0]) if end else []
 
 
 def marginal_coverage(neighbours: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -63,45 +86,92 @@ def marginal_coverage(neighbours: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(alone, "id", "left").select("id", F.coalesce("marginal", F.lit(0)).alias("marginal"))
 
 
-def articulation_points(neighbours: DataFrame, component: DataFrame) -> DataFrame:
-    """Nodes whose removal splits their component. neighbours: a, b both ways; component: id, component.
-
-    One component is one task's work: a depth-first search is sequential, and a mesh's components are its networks."""
-
-    def search(edges: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in sorted(zip(edges["a"], edges["b"], strict=True)):
-            near.setdefault(a, []).append(b)
-        order, low, cut = {}, {}, set()
-        for top in near:
-            if top in order:
-                continue
-            order[top] = low[top] = len(order)
-            stack, branches = [(top, None, iter(near[top]))], 0
-            while stack:
-                node, parent, rest = stack[-1]
-                for other in rest:
-                    if other not in order:
-                        order[other] = low[other] = len(order)
-                        stack.append((other, node, iter(near[other])))
-                        break
-                    if other != parent:
-                        low[node] = min(low[node], order[other])
-                else:
-                    stack.pop()
-                    if parent is None:
-                        continue
-                    low[parent] = min(low[parent], low[node])
-                    if parent == top:
-                        branches += 1
-                    elif low[node] >= order[parent]:
-                        cut.add(parent)
-            if branches > 1:
-                cut.add(top)
-        return pd.DataFrame({"id": sorted(cut)}, dtype="int64")
-
-    rows = neighbours.join(component.withColumnRenamed("id", "a"), "a")
-    return rows.groupBy("component").applyInPandas(search, "id long")
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """id, component (the least id reachable) of every node of an edge (a, b), by alternating large and small stars: each
+    round links a node's greater neighbours, then its smaller ones, to the least of them, until nothing changes."""
+    links = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    last = None
+    for _ in range(most_rounds):
+        both = links.selectExpr("hi AS u", "lo AS v").unionByName(links.selectExpr("lo AS u", "hi AS v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").selectExpr("v AS hi", "m AS lo").distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        links = kept(large.join(least, "hi").where("lo <> m").selectExpr("lo AS hi", "m AS lo").unionByName(least.selectExpr("hi", "m AS lo")).distinct())
+        state = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if state == last or not state[0]:
+            break
+        last = state
+    else:
+        raise RuntimeError(f"components hadn't settled after {most_rounds} rounds")
+    return links.selectExpr("hi AS id", "lo AS component").unionByName(links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+
+
+def articulation_points(neighbours: DataFrame) -> DataFrame:
+    """id of the nodes whose removal splits their component. neighbours: a, b both ways, distinct, a <> b.
+
+    A spanning forest is grown breadth-first from the least node of each component. Its nodes are numbered in preorder:
+    sizes are summed up level by level, numbers handed down. Each subtree's least and greatest number reached by one edge
+    outside the forest go up in the same way. Tree edges that lie on a common cycle are then linked, and a node whose
+    tree edges fall into several components of these links is a cut. A step for each level, all of them joins and sums."""
+    roots = components(neighbours).where("id = component").select(F.col("id").alias("node"))
+    front = kept(roots.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")))
+    levels = [front]
+    seen = front
+    while not levels[-1].isEmpty():
+        ahead = levels[-1].select(F.col("node").alias("a")).join(neighbours, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        front = kept(ahead.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(len(levels))))
+        levels.append(front)
+        seen = kept(seen.unionByName(front))
+    levels = levels[:-1]
+    if not levels:
+        return neighbours.select(F.col("a").alias("id")).where("false")
+
+    # sizes from the leaves up
+    sizes = [None] * len(levels)
+    below = None
+    for k in range(len(levels) - 1, -1, -1):
+        rows = levels[k].select("node", "parent")
+        inside = F.lit(1).cast("long")
+        if below is not None:
+            rows = rows.join(below.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("inside")), "node", "left")
+            inside = inside + F.coalesce("inside", F.lit(0))
+        below = sizes[k] = kept(rows.select("node", "parent", inside.alias("size")))
+    # numbers from the roots down: a node's own, then those of its children's subtrees
+    ahead = W.partitionBy("parent").orderBy("node").rowsBetween(W.unboundedPreceding, -1)
+    numbered = kept(sizes[0].select("node", "parent", "size", F.lit(0).cast("long").alias("pre")))
+    every = [numbered]
+    for k in range(1, len(levels)):
+        before = sizes[k].withColumn("skip", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+        numbered = kept(before.join(every[-1].select(F.col("node").alias("parent"), "pre"), "parent").select("node", "parent", "size", (F.col("pre") + 1 + F.col("skip")).alias("pre")))
+        every.append(numbered)
+    tree = every[0].withColumn("level", F.lit(0))
+    for k, rows in enumerate(every[1:], 1):
+        tree = tree.unionByName(rows.withColumn("level", F.lit(k)))
+    tree = kept(tree)
+
+    ends = lambda x: tree.select(F.col("node").alias(x), F.col("parent").alias(f"p_{x}"), F.col("pre").alias(f"pre_{x}"), F.col("size").alias(f"size_{x}"))
+    others = neighbours.join(ends("a"), "a").join(ends("b"), "b").where("NOT (p_a <=> b) AND NOT (p_b <=> a)")
+    others = kept(others)
+    own = others.groupBy(F.col("a").alias("node")).agg(F.min("pre_b").alias("lo"), F.max("pre_b").alias("hi"))
+    reach = tree.join(own, "node", "left").select("node", "parent", "level", "pre", "size", F.least("pre", "lo").alias("low"), F.greatest("pre", "hi").alias("high"))
+    reach = kept(reach)
+    below, spans = None, None
+    for k in range(len(levels) - 1, -1, -1):
+        rows = reach.where(F.col("level") == k)
+        if below is not None:
+            rows = rows.join(below.groupBy(F.col("parent").alias("node")).agg(F.min("low").alias("l"), F.max("high").alias("h")), "node", "left")
+            rows = rows.withColumns({"low": F.least("low", "l"), "high": F.greatest("high", "h")}).drop("l", "h")
+        below = kept(rows)
+        spans = below if spans is None else spans.unionByName(below)
+    spans = kept(spans)
+    # a tree edge is named by its lower node
+    across = others.where("pre_a + size_a <= pre_b").select("a", "b")
+    up = spans.alias("w").join(tree.select(F.col("node").alias("v"), F.col("parent").alias("pv"), F.col("pre").alias("pre_v"), F.col("size").alias("size_v")), F.expr("w.parent = v")).where("pv IS NOT NULL AND (low < pre_v OR high >= pre_v + size_v)").select(F.col("node").alias("a"), F.col("v").alias("b"))
+    edges = tree.where("parent IS NOT NULL").select("node", "parent")
+    blocks = components(across.unionByName(up)).withColumnRenamed("id", "node").withColumnRenamed("component", "block")
+    edges = edges.join(blocks, "node", "left").select("node", "parent", F.coalesce("block", "node").alias("block"))
+    touched = edges.select(F.col("node").alias("id"), "block").unionByName(edges.select(F.col("parent").alias("id"), "block"))
+    return touched.groupBy("id").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x <> y").select("id")
 
 
 def delivered_share(reach: DataFrame, delivered: DataFrame) -> DataFrame:

@@ -1,13 +1,23 @@
-"""Cutting the lineage of DataFrames that grow step by step."""
+"""Cutting the lineage of DataFrames that grow step by step, and holding what is broadcast to a bound."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder all executors share; a folder of our own only where the cluster names none."""
+    """df checkpointed in the folder all executors share; a folder of our own only on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir("/tmp/checkpoints")
     return df.checkpoint()
+
+
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, of at most so many rows, to be broadcast; more are an error, not a slow plan."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(df)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .lineage import bounded
 
 
 def synthesised_reach(neighbours: DataFrame, oldest: int | None = None) -> DataFrame:
@@ -56,6 +57,19 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)
 
 
+def pinned(pins: DataFrame, sites: DataFrame, margins, km: float = 35.0, keep: int = 15) -> DataFrame:
+    """pin, site, d, margin, rank: the sites of greatest margin at 0 dB or more towards each planned pin, from 10 m up to
+    km away. pins: pin, lat, lon, at most 10,000; sites: site, lat, lon; margins(rows of pin, site, d, lat1, lon1, lat2,
+    lon2, from the site to the pin) adds margin."""
+    p = bounded(pins.select("pin", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), 10_000, "pins")
+    band = km / geo.KM_PER_LAT
+    near = p.withColumn("band", F.explode(F.sequence(F.floor(F.col("lat2") / band) - 1, F.floor(F.col("lat2") / band) + 1)))
+    rows = sites.select("site", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / band).alias("band")).join(F.broadcast(near), "band").drop("band")
+    rows = rows.withColumn("d", geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).where(f"d >= 0.01 AND d <= {km!r}D")
+    best = W.partitionBy("pin").orderBy(F.desc("margin"), "site")
+    return margins(rows).where("margin >= 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).select("pin", "site", "d", "margin", "rank")
+
+
 def free_space_links(pairs: DataFrame, radio: geo.Radio, sf: int) -> DataFrame:
     """a, b, margin, snr of pairs whose free-space margin is 0 or more."""
     margin = F.lit(radio.budget_db) - geo.free_space_db(F.col("d"), radio.frequency_mhz)

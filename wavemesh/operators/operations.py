@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +70,16 @@ def bounded_log(rows: DataFrame, path: str, keep: int, order: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = spark.createDataFrame([], rows.schema)
-    both = old.unionByName(rows).orderBy(F.desc(order)).limit(keep)
-    kept = both.collect()  # `keep` rows at most
-    spark.createDataFrame(kept, rows.schema).coalesce(1).write.mode("overwrite").json(path)
+    # written aside, then put in place: a write that fails leaves the old log
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    old.unionByName(rows).orderBy(F.desc(order)).limit(keep).coalesce(1).write.json(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    log, fresh = hadoop.Path(path), hadoop.Path(aside)
+    files = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(log):
+        before = hadoop.Path(f"{aside}-before")
+        files.rename(log, before)
+        files.rename(fresh, log)
+        files.delete(before, True)
+    else:
+        files.rename(fresh, log)

@@ -103,3 +103,10 @@ def origin_of(decoded_json: Column, field: str = "pubKey") -> Column:
 
 def frame_bytes(payload_len: Column, hops: Column, hash_size: Column, route_type: Column) -> Column:
     return F.when(payload_len <= 0, 0).otherwise(2 + hops * hash_size + payload_len + F.when(route_type.isin(0, 3), 4).otherwise(0))
+
+
+def with_raw_frames(packets: DataFrame, frames: DataFrame) -> DataFrame:
+    """packets with raw_hex, the frame known for their hash in lower case, the greatest of several; empty without one.
+    frames: hash, raw_hex."""
+    known = frames.where("hash <> '' AND raw_hex <> ''").groupBy(F.lower("hash").alias("hash")).agg(F.max(F.lower("raw_hex")).alias("raw_hex"))
+    return packets.drop("raw_hex").join(known, "hash", "left").withColumn("raw_hex", F.coalesce("raw_hex", F.lit("")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import bounded
+
 
 def confident_hop(confidence: Column, nodes: Column) -> Column:
     """The key of a hop that the backend is sure of: high confidence and exactly one node; empty otherwise, in place."""
@@ -25,7 +27,7 @@ def size_label(n: Column) -> Column:
 
 def preset_of(radios: DataFrame, presets: DataFrame) -> DataFrame:
     """node, preset: the first preset (ord, label, freq, bw, sf, cr) that equals a radio in all four settings."""
-    hit = radios.join(F.broadcast(presets), ["freq", "bw", "sf", "cr"]).groupBy("node").agg(F.min_by("label", "ord").alias("preset"))
+    hit = radios.join(bounded(presets, 10_000, "presets"), ["freq", "bw", "sf", "cr"]).groupBy("node").agg(F.min_by("label", "ord").alias("preset"))
     return radios.select("node").join(hit, "node", "left")
 
 

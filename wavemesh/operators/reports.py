@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Reasons for which a reception that didn't collide still delivers nothing.
@@ -24,7 +25,7 @@ def redundant_relays(tx: DataFrame, rx: DataFrame) -> DataFrame:
 
 
 def node_stats(tx: DataFrame, rx: DataFrame) -> DataFrame:
-    """node, received, collided, tx_busy, delivered, unique_deliveries, relays, redundant, airtime_ms."""
+    """node, success, collided, tx_busy, delivered, unique_deliveries, relays, redundant, airtime_ms."""
     count = lambda c, name: F.count(F.when(c, 1)).alias(name)
     heard = rx.groupBy("node").agg(count(~F.col("collided"), "success"), count(F.col("collided"), "collided"), count(F.col("drop_reason") == "tx_busy", "tx_busy"), count(delivers(), "delivered"))
     spread = rx.where(delivers()).groupBy(F.col("from_node").alias("node")).agg(F.count("*").alias("unique_deliveries"))
@@ -61,21 +62,58 @@ def flood_time(tx: DataFrame, rx: DataFrame) -> DataFrame:
     return rows.select("packet", F.coalesce(F.col("last_ms") - F.col("start_ms"), F.lit(0)).alias("flood_ms"))
 
 
+def full_stats(tx: DataFrame, rx: DataFrame, reach: DataFrame, messages: DataFrame) -> DataFrame:
+    """node_stats with contention_caused (how many collisions of others a node's transmissions had part in), reachable
+    (how many of the messages could reach it) and the map of reasons. rx: also collided_with, an array of nodes; reach:
+    start, id; messages: origin, background ones aren't counted."""
+    caused = rx.select(F.explode("collided_with").alias("node")).groupBy("node").agg(F.count("*").alias("contention_caused"))
+    sent = messages.where("NOT background").groupBy(F.col("origin").alias("start")).agg(F.count("*").alias("n"))
+    aimed = reach.where("id <> start").join(sent, "start").groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("reachable"))
+    rows = node_stats(tx, rx).join(caused, "node", "full_outer").join(aimed, "node", "full_outer").na.fill(0)
+    return rows.join(drop_reasons(rx), "node", "left")
+
+
+#: The outcomes by which an inspector filters events: of transmissions, then of receptions.
+SENT = (("tx", "true"), ("tx_origin", "NOT is_relay"), ("tx_relay", "is_relay"), ("relayed", "is_relay"))
+HEARD = (
+    ("relayed", "NOT collided AND relayed"), ("collided", "collided"), ("collided_no_lock", "collided AND collision_kind = 'no_lock'"), ("collided_corrupted", "collided AND collision_kind = 'corrupted'"),
+    ("tx_busy", "NOT collided AND drop_reason = 'tx_busy'"), ("dropped", "NOT collided AND drop_reason <> '' AND drop_reason <> 'cannot_relay'"),
+    ("received", "NOT collided AND NOT relayed AND drop_reason IN ('', 'cannot_relay')"),
+)
+
+
+def inspected(tx: DataFrame, rx: DataFrame) -> DataFrame:
+    """packet, node, at_ms, kind and filters: the outcomes under which an event shows. tx: packet, node, start_ms,
+    is_origin; rx: packet, node, at_ms, collided, collision_kind, relayed, drop_reason."""
+    names = lambda cases: F.array_compact(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in cases)))
+    sent = tx.withColumn("is_relay", ~F.col("is_origin")).select("packet", "node", F.col("start_ms").alias("at_ms"), F.lit("tx").alias("kind"), names(SENT).alias("filters"))
+    heard = rx.withColumn("drop_reason", F.coalesce("drop_reason", F.lit(""))).select("packet", "node", "at_ms", F.lit("rx").alias("kind"), names(HEARD).alias("filters"))
+    return sent.unionByName(heard)
+
+
+def growth(rx: DataFrame, bucket_ms: int) -> DataFrame:
+    """node, bucket, success, collided: how many receptions of each kind a node had up to the end of each time bucket."""
+    per = rx.groupBy("node", F.floor(F.col("at_ms") / bucket_ms).alias("bucket")).agg(F.count(F.when(~F.col("collided"), 1)).alias("s"), F.count(F.when(F.col("collided"), 1)).alias("c"))
+    so_far = W.partitionBy("node").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    return per.select("node", "bucket", F.sum("s").over(so_far).alias("success"), F.sum("c").over(so_far).alias("collided"))
+
+
 def outcome(rx: DataFrame) -> DataFrame:
     """rx with its outcome, the first that fits."""
     return rx.withColumn("outcome", F.when(F.col("collided"), "collided").when(F.col("relayed"), "relayed").when(F.col("drop_reason") == "tx_busy", "tx_busy").when(F.col("drop_reason") != "", "dropped").otherwise("received"))
 
 
-def overlapping(tx: DataFrame, bucket_ms: int) -> DataFrame:
-    """a, b, overlap_ms: transmissions (id, node, start_ms, air_ms) of different nodes that are on air at once, each
-    pair once. An interval is put into every time bucket it touches, and a pair counts in the first that both touch."""
-    timed = tx.select("id", "node", "start_ms", (F.col("start_ms") + F.col("air_ms")).alias("end_ms"))
+def overlapping(heard: DataFrame, bucket_ms: int) -> DataFrame:
+    """listener, a, b, overlap_ms: transmissions (id, node, start_ms, air_ms) of different nodes that are on air at once
+    where a listener can hear both, each pair once for each listener. heard: a row per transmission and listener.
+    An interval is put into every time bucket it touches, and a pair counts in the first that both touch."""
+    timed = heard.select("listener", "id", "node", "start_ms", (F.col("start_ms") + F.col("air_ms")).alias("end_ms"))
     cell = lambda c: F.floor(F.col(c) / bucket_ms)
     spread = timed.select("*", F.explode(F.sequence(cell("start_ms"), cell("end_ms"))).alias("cell"))
     a, b = spread.alias("a"), spread.alias("b")
-    meet = F.expr("a.cell = b.cell AND a.id < b.id AND a.node <> b.node AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms")
+    meet = F.expr("a.listener = b.listener AND a.cell = b.cell AND a.id < b.id AND a.node <> b.node AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms")
     first = F.col("a.cell") == F.floor(F.greatest("a.start_ms", "b.start_ms") / bucket_ms)
-    return a.join(b, meet).where(first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.least("a.end_ms", "b.end_ms") - F.greatest("a.start_ms", "b.start_ms")).alias("overlap_ms"))
+    return a.join(b, meet).where(first).select(F.col("a.listener").alias("listener"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.least("a.end_ms", "b.end_ms") - F.greatest("a.start_ms", "b.start_ms")).alias("overlap_ms"))
 
 
 #: What a node's figures say, with its weight: name, condition over its columns, weight.
@@ -97,6 +135,12 @@ def contention_score(weights: tuple[float, float, float, float]) -> Column:
     return sum((F.col(c) * w for c, w in zip(("contention", "collided", "redundant", "duty_pct"), weights, strict=True)), F.lit(0.0))
 
 
+def ranked_contention(stats: DataFrame, weights: tuple[float, float, float, float], keep: int) -> DataFrame:
+    """node, score, reason, rank of the nodes of highest score; of equals the lesser node."""
+    scored = stats.select("node", contention_score(weights).alias("score"), main_reason(weights).alias("reason")).orderBy(F.desc("score"), "node").limit(keep)
+    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "node")))  # `keep` rows
+
+
 def main_reason(weights: tuple[float, float, float, float]) -> Column:
     """The name of the greatest part of the score; of equals the first."""
     parts = {c: F.col(c) * w for c, w in zip(("contention", "collided", "redundant", "duty_pct"), weights, strict=True)}

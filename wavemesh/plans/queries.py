@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, geo, lora, regions
-from ..operators import coverage, evidence, graph, links, nodes, operations, packets, policies, replay, reports
+from ..operators import coverage, episodes, evidence, graph, links, nodes, operations, packets, policies, replay, reports
 from ..operators.lineage import kept
+from ..sources import readers
 from .views import Tables, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +122,8 @@ def j16_nearest_site(t):
 WITH m AS (SELECT n.public_key, s.name, row_number() OVER (PARTITION BY n.public_key ORDER BY s.ord DESC) AS r FROM mesh_nodes n JOIN mesh_scopes s ON (n.k + s.ord) % 9 = 0)
 SELECT n.public_key, coalesce(n.default_scope, m.name) AS default_scope FROM mesh_nodes n LEFT JOIN m ON m.public_key = n.public_key AND m.r = 1""")
 def s11_backfilled_scopes(t):
-    members = t.mesh_nodes.join(F.broadcast(t.mesh_scopes), F.expr("(k + ord) % 9 = 0")).select("public_key", "ord", F.concat(F.lit("#nation-"), F.col("ord")).alias("scope"))
+    listed = t.mesh_nodes.select("public_key", F.explode(F.expr("sequence((9 - k % 9) % 9, 26L, 9L)")).alias("ord"))  # those for which (k + ord) % 9 = 0
+    members = listed.join(t.mesh_scopes, "ord").select("public_key", "ord", F.col("name").alias("scope"))
     return nodes.backfilled_scopes(t.mesh_nodes, members)
 
 
@@ -299,11 +301,11 @@ def j8_blended(t):
     return links.blended(seen, t.mesh_links.selectExpr("src AS a", "dst AS b", "snr").distinct()).withColumn("snr", F.round("snr", 6))
 
 
-_NEAR = f"""p AS (SELECT a.k AS a, b.k AS b, {duck_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM mesh_nodes a JOIN mesh_nodes b ON a.k <> b.k AND a.lat IS NOT NULL AND b.lat IS NOT NULL AND a.k % 3 = 0 AND b.k % 3 = 0 AND abs(a.lat - b.lat) < 0.4)"""
+_NEAR = f"""p AS (SELECT a.k AS a, b.k AS b, {duck_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM mesh_nodes a JOIN mesh_nodes b ON a.k <> b.k AND a.lat IS NOT NULL AND b.lat IS NOT NULL AND abs(a.lat - b.lat) < 0.4)"""
 
 
 def _near(t, km=35.0):
-    return links.pairs_in_range(t.mesh_nodes.where("k % 3 = 0").select(F.col("k").alias("id"), "lat", "lon"), km)
+    return links.pairs_in_range(t.mesh_nodes.select(F.col("k").alias("id"), "lat", "lon"), km)
 
 
 @query("j7_pairs_in_range", f"WITH {_NEAR} SELECT a, b, round(d, 6) AS d FROM p WHERE d <= 35")
@@ -321,9 +323,9 @@ def g9_model_links(t):
     return links.free_space_links(_near(t), RADIO, 8).select("a", "b", F.round("margin", 6).alias("margin"), F.round("snr", 6).alias("snr"))
 
 
-@query("g11_isolated", f"WITH {_NEAR} SELECT k AS id FROM mesh_nodes WHERE k % 3 = 0 AND k NOT IN (SELECT a FROM p WHERE d <= 4) AND k NOT IN (SELECT b FROM p WHERE d <= 4)")
+@query("g11_isolated", f"WITH {_NEAR} SELECT k AS id FROM mesh_nodes WHERE k NOT IN (SELECT a FROM p WHERE d <= 4) AND k NOT IN (SELECT b FROM p WHERE d <= 4)")
 def g11_isolated(t):
-    return links.isolated(t.mesh_nodes.where("k % 3 = 0").select(F.col("k").alias("id")), _near(t, 4.0))
+    return links.isolated(t.mesh_nodes.select(F.col("k").alias("id")), _near(t, 4.0))
 
 
 @query("a6_bounds", """SELECT round(min(lat - 10 / 110.574), 6) AS south, round(max(lat + 10 / 110.574), 6) AS north, round(min(lon - 10 / greatest(111.32 * cos(radians(lat)), 1)), 6) AS west,
@@ -366,13 +368,16 @@ def g6_marginal(t):
     return graph.marginal_coverage(_undirected(t), _kept(t))
 
 
-_REACH = """WITH RECURSIVE e AS (SELECT DISTINCT src AS a, (src * 2 + 1) % 300 AS b FROM mesh_links WHERE src < 300 UNION SELECT src, (src * 7 + 3) % 300 FROM mesh_links WHERE src < 300),
-r(start, id) AS (SELECT src, src FROM mesh_links WHERE src < 300 AND src % 50 = 0 UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.id WHERE r.id = r.start OR r.id % 4 <> 0)"""
+#: The nodes that a search starts from.
+STARTS = (1, 2, 3)
+
+_REACH = f"""WITH RECURSIVE e AS (SELECT DISTINCT src AS a, dst AS b FROM mesh_links),
+r(start, id) AS (SELECT x::BIGINT, x::BIGINT FROM (VALUES {', '.join(f'({x})' for x in STARTS)}) v(x) UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.id WHERE r.id = r.start OR r.id % 4 <> 0)"""
 
 
 def _reached(t):
-    e = t.mesh_links.where("src < 300").selectExpr("src AS a", "(src * 2 + 1) % 300 AS b").unionByName(t.mesh_links.where("src < 300").selectExpr("src AS a", "(src * 7 + 3) % 300 AS b")).distinct()
-    return graph.reached(e, t.mesh_links.where("src < 300 AND src % 50 = 0").select(F.col("src").alias("start")), t.mesh_nodes.where("k % 4 <> 0").select(F.col("k").alias("id")))
+    start = t.spark.range(1).select(F.explode(F.array(*(F.lit(x).cast("long") for x in STARTS))).alias("start"))
+    return graph.reached(t.mesh_links.selectExpr("src AS a", "dst AS b"), start, t.mesh_nodes.where("k % 4 <> 0").select(F.col("k").alias("id")))
 
 
 @query("g2_reached", f"{_REACH} SELECT start, id FROM r")
@@ -387,18 +392,11 @@ def a9_delivered_share(t):
     return graph.delivered_share(reach, reach.where("(start + id) % 3 = 0")).withColumn("share", F.round("share", 9))
 
 
-@query("g5_articulation", """
-WITH RECURSIVE k AS (SELECT src AS a, src + 1 AS b FROM mesh_links WHERE src < 40 AND src % 10 <> 9 UNION SELECT src, src + 2 FROM mesh_links WHERE src < 40 AND src % 10 IN (0, 4)),
-n AS (SELECT a, b FROM k UNION SELECT b, a FROM k), v AS (SELECT DISTINCT a AS id FROM n),
-r(x, s, id) AS (SELECT x.id, s.id, s.id FROM v x JOIN v s ON s.id <> x.id UNION SELECT r.x, r.s, n.b FROM r JOIN n ON n.a = r.id WHERE n.b <> r.x),
-full_(s, id) AS (SELECT id, id FROM v UNION SELECT f.s, n.b FROM full_ f JOIN n ON n.a = f.id)
-SELECT DISTINCT x AS id FROM (SELECT r.x, r.s, count(*) AS c FROM r GROUP BY r.x, r.s) q JOIN (SELECT s, count(*) AS c, list(id) AS ids FROM full_ GROUP BY s) w ON w.s = q.s AND list_contains(w.ids, q.x) WHERE q.c < w.c - 1""")
+@query("g5_articulation")
 def g5_articulation(t):
-    base = t.mesh_links.where("src < 40")
-    k = base.where("src % 10 <> 9").selectExpr("src AS a", "src + 1 AS b").unionByName(base.where("src % 10 IN (0, 4)").selectExpr("src AS a", "src + 2 AS b"))
-    n = k.unionByName(k.selectExpr("b AS a", "a AS b")).distinct()
-    component = graph.reached(n, n.select(F.col("a").alias("start")).distinct()).groupBy("id").agg(F.min("start").alias("component"))
-    return graph.articulation_points(n, component)
+    """Cut nodes of all observed links that are strong both ways; tests hold it against removing each node in turn."""
+    strong = t.mesh_links.where("snr >= 8").selectExpr("src AS a", "dst AS b").where("a <> b")
+    return graph.articulation_points(strong.unionByName(strong.selectExpr("b AS a", "a AS b")).distinct())
 
 
 # ---- reports
@@ -460,10 +458,12 @@ def f11_outcomes(t):
     return reports.outcome(t.mesh_rx).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("j9_overlaps", """SELECT a.packet AS a, b.packet AS b, least(a.start_ms + a.air_ms, b.start_ms + b.air_ms) - greatest(a.start_ms, b.start_ms) AS overlap_ms FROM mesh_tx a JOIN mesh_tx b
-ON a.packet < b.packet AND a.node <> b.node AND a.start_ms < b.start_ms + b.air_ms AND b.start_ms < a.start_ms + a.air_ms WHERE a.packet % 4 = 0 AND b.packet % 4 = 0""")
+@query("j9_overlaps", """WITH h AS (SELECT DISTINCT r.node AS listener, t.packet, t.node, t.start_ms, t.start_ms + t.air_ms AS end_ms FROM mesh_rx r JOIN mesh_tx t ON t.packet = r.packet)
+SELECT a.listener, a.packet AS a, b.packet AS b, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS overlap_ms FROM h a JOIN h b
+ON a.listener = b.listener AND a.packet < b.packet AND a.node <> b.node AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms""")
 def j9_overlaps(t):
-    return reports.overlapping(t.mesh_tx.where("packet % 4 = 0").withColumn("id", F.col("packet")), 1000)
+    heard = t.mesh_rx.select("packet", F.col("node").alias("listener")).distinct().join(t.mesh_tx, "packet")
+    return reports.overlapping(heard.select("listener", F.col("packet").alias("id"), "node", "start_ms", "air_ms"), 1000)
 
 
 @query("m4_diagnoses", f"""WITH {_STATS}, d AS (SELECT a.*, (SELECT count(*) FROM mesh_rx r WHERE r.node = a.node AND drop_reason = 'loop_detect') AS l, (SELECT count(*) FROM mesh_rx r WHERE r.node = a.node AND drop_reason = 'hop_limit') AS h,
@@ -574,19 +574,19 @@ _MARGIN = "129.0 - (20 * log10(greatest(d, 0.001)) + 20 * log10(868) + 32.44) -
 
 
 @query("x_path_margin", f"""
-WITH p AS (SELECT k, lat, lon, {_duck_hills('56.5', '-4.2')} + 10 AS tx, {duck_haversine('56.5', '-4.2', 'lat', 'lon')} AS d FROM mesh_nodes WHERE k % 20 = 1 AND lat IS NOT NULL),
+WITH p AS (SELECT k, lat, lon, {_duck_hills('56.5', '-4.2')} + 10 AS tx, {duck_haversine('56.5', '-4.2', 'lat', 'lon')} AS d FROM mesh_nodes WHERE lat IS NOT NULL),
 q AS (SELECT *, CAST(least(greatest(floor(d / 0.05), 8), 300) AS INT) AS n FROM p), s AS (SELECT *, unnest(range(1, n)) AS i FROM q),
 v AS (SELECT k, d, {_duck_margin('56.5', '-4.2', 'tx', 'lat', 'lon', 'd')} AS v FROM s)
 SELECT k, round({_MARGIN}, 5) AS margin FROM v GROUP BY k, d""")
 def x_path_margin(t):
     d = geo.haversine_km(F.lit(56.5), F.lit(-4.2), F.col("lat"), F.col("lon"))
-    paths = t.mesh_nodes.where("k % 20 = 1 AND lat IS NOT NULL").select(F.col("k").alias("id"), F.lit(56.5).alias("lat1"), F.lit(-4.2).alias("lon1"), (hills(F.lit(56.5), F.lit(-4.2)) + 10).alias("tx_m"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), d.alias("d"))
+    paths = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("id"), F.lit(56.5).alias("lat1"), F.lit(-4.2).alias("lon1"), (hills(F.lit(56.5), F.lit(-4.2)) + 10).alias("tx_m"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), d.alias("d"))
     return coverage.path_margins(paths, hills, RADIO).select(F.col("id").alias("k"), F.round("margin", 5).alias("margin"))
 
 
 _RASTER = f"""
 WITH x AS (SELECT py, px, 57.0 - (py + 0.5) * (1.0 / 12) AS lat, -4.5 + (px + 0.5) * (1.5 / 16) AS lon FROM range(12) a(py) CROSS JOIN range(16) b(px)),
-s AS (SELECT k AS site, lat AS slat, lon AS slon, {_duck_hills('lat', 'lon')} + 1 AS tx FROM mesh_nodes WHERE k < 60 AND lat BETWEEN 55.8 AND 57.2 AND lon BETWEEN -5 AND -2.5),
+s AS (SELECT k AS site, lat AS slat, lon AS slon, {_duck_hills('lat', 'lon')} + 1 AS tx FROM mesh_nodes WHERE lat IS NOT NULL),
 p AS (SELECT py, px, site, lat, lon, slat, slon, tx, {duck_haversine('slat', 'slon', 'lat', 'lon')} AS d FROM x CROSS JOIN s),
 q AS (SELECT *, CAST(least(greatest(floor(d / 0.05), 8), 300) AS INT) AS n FROM p WHERE d >= 0.01 AND d <= 40), r AS (SELECT *, unnest(range(1, n)) AS i FROM q),
 v AS (SELECT py, px, site, d, {_duck_margin('slat', 'slon', 'tx', 'lat', 'lon', 'd')} AS v FROM r),
@@ -596,7 +596,7 @@ b AS (SELECT py, px, max(margin) AS margin FROM m GROUP BY py, px HAVING max(mar
 
 def _raster(t):
     at = coverage.pixels((56.0, 57.0, -4.5, -3.0), 16, 12, t.spark)
-    sites = t.mesh_nodes.where("k < 60 AND lat BETWEEN 55.8 AND 57.2 AND lon BETWEEN -5 AND -2.5").select(F.col("k").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (hills(F.col("lat"), F.col("lon")) + RADIO.antenna_m).alias("tx_m"))
+    sites = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (hills(F.col("lat"), F.col("lon")) + RADIO.antenna_m).alias("tx_m"))
     paths = coverage.site_pixels(sites, at, 40.0).select("py", "px", "site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
     return coverage.best_server(coverage.path_margins(paths, hills, RADIO))
 
@@ -697,28 +697,85 @@ def m12_actions(t):
     return policies.actions(own, after)
 
 
-_TARGET = "SELECT id AS target, hash, heard_ms AS at_ms FROM mesh_packets WHERE id % 500 = 7"
+#: Every packet is a target, by its first record.
+_STATES = """t AS (SELECT id AS target, hash, heard_ms AS at_ms FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY heard_ms, id) AS r FROM mesh_packets) WHERE r = 1),
+h AS (SELECT DISTINCT target, observer FROM t JOIN mesh_packets p ON p.hash = t.hash),
+n AS (SELECT target, observer, bool_or(p.heard_ms >= at_ms - 2000 AND p.heard_ms - 40000 <= at_ms + 40000 + 2000) AS busy, min(abs(p.heard_ms - at_ms)) AS near FROM t JOIN mesh_packets p ON p.heard_ms BETWEEN at_ms - 300000 AND at_ms + 300000 AND p.hash <> t.hash GROUP BY ALL),
+s AS (SELECT target, observer, CASE WHEN heard THEN 'heard' WHEN busy THEN 'busy' ELSE 'silent_active' END AS state FROM (SELECT *, true AS heard FROM h) FULL JOIN n USING (target, observer))"""
 
 
-@query("e1_observers", f"""
-WITH t AS ({_TARGET}), o AS (SELECT t.*, ob.observer, EXISTS (SELECT 1 FROM mesh_packets h WHERE h.hash = t.hash AND h.observer = ob.observer) AS heard FROM t CROSS JOIN (SELECT DISTINCT observer FROM mesh_packets) ob),
-s AS (SELECT o.target, o.observer, bool_or(p.heard_ms >= o.at_ms - 2000 AND p.heard_ms - 40000 <= o.at_ms + 40000 + 2000) AS busy, min(abs(p.heard_ms - o.at_ms)) AS near FROM o JOIN mesh_packets p ON p.observer = o.observer AND p.hash <> o.hash GROUP BY ALL)
-SELECT o.target, o.observer, CASE WHEN heard THEN 'heard' WHEN busy THEN 'busy' WHEN near <= 300000 THEN 'silent_active' ELSE 'silent_unknown' END AS state FROM o LEFT JOIN s ON s.target = o.target AND s.observer = o.observer""")
-def e1_observers(t):
-    targets = t.mesh_packets.where("id % 500 = 7").select(F.col("id").alias("target"), "hash", F.col("heard_ms").alias("at_ms"), F.lit(40_000).alias("air_ms"))
-    heard = targets.join(t.mesh_packets.select("hash", "observer").distinct(), "hash").select("target", "observer", F.lit(True).alias("heard"))
-    every = F.broadcast(targets.select("target")).join(t.mesh_packets.select("observer").distinct())
-    observers = every.join(heard, ["target", "observer"], "left").withColumn("heard", F.coalesce("heard", F.lit(False)))
+def _targets(t):
+    return packets.first_of_hash(t.mesh_packets).select(F.col("id").alias("target"), "hash", F.col("heard_ms").alias("at_ms"), F.lit(40_000).alias("air_ms"))
+
+
+def _states(t):
+    targets = _targets(t)
+    heard = targets.select("target", "hash").join(t.mesh_packets.select("hash", "observer"), "hash").select("target", "observer").distinct()
     events = t.mesh_packets.select("observer", "hash", F.col("heard_ms").alias("at_ms"), F.lit(40_000).alias("air_ms"))
-    return evidence.classified(observers, events, targets)
+    return evidence.classified(events, targets, heard)
+
+
+@query("e1_observers", f"WITH {_STATES} SELECT target, observer, state FROM s")
+def e1_observers(t):
+    return _states(t)
+
+
+@query("a26_state_counts", f"""WITH {_STATES}, c AS (SELECT target, count(*) FILTER (state = 'heard') AS heard, count(*) FILTER (state = 'busy') AS busy, count(*) FILTER (state = 'silent_active') AS silent_active FROM s GROUP BY target)
+SELECT target, heard, busy, silent_active, (SELECT count(DISTINCT observer) FROM mesh_packets) - heard - busy - silent_active AS silent_unknown FROM c""")
+def a26_state_counts(t):
+    return evidence.state_counts(_states(t), _targets(t), t.mesh_packets)
+
+
+#: A prediction: each packet reaches ten observers.
+_PREDICTED = "p AS (SELECT DISTINCT target, (target * 7 + j * 11) % (SELECT max(observer) + 1 FROM mesh_packets) AS node FROM t CROSS JOIN range(10) r(j))"
+
 
+def _predicted(t):
+    most = t.mesh_packets.agg((F.max("observer") + 1).alias("n"))  # one row
+    rows = _targets(t).select("target", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")).join(F.broadcast(most))
+    return rows.select("target", ((F.col("target") * 7 + F.col("j") * 11) % F.col("n")).alias("node")).distinct()
 
-@query("e4_constrained", """WITH d AS (SELECT packet, node, from_node, from_node % 7 = 0 OR node % 7 = 0 OR (from_node + 1) % 60 % 7 = 0 AS dirty FROM mesh_rx WHERE packet % 3 = 0)
+
+@query("e9_episode_stats", f"""WITH {_STATES}, {_PREDICTED},
+b AS (SELECT s.target, count(*) FILTER (state = 'heard') AS real, count(*) FILTER (state = 'heard' AND p.node IS NOT NULL) AS reached, count(*) FILTER (state <> 'heard' AND p.node IS NOT NULL) AS over_predicted, count(*) FILTER (state = 'silent_active' AND p.node IS NOT NULL) AS disputed
+  FROM s LEFT JOIN p ON p.target = s.target AND p.node = s.observer GROUP BY s.target),
+m AS (SELECT target, count(*) AS model_reach, count(*) FILTER (NOT EXISTS (SELECT 1 FROM s WHERE s.target = p.target AND s.observer = p.node AND state = 'silent_active')) AS constrained_reach FROM p GROUP BY target)
+SELECT target, real, reached, over_predicted, disputed, model_reach, constrained_reach, CASE WHEN real > 0 THEN reached / real::DOUBLE ELSE 1.0 END AS recall FROM b JOIN m USING (target)""")
+def e9_episode_stats(t):
+    states, delivered = kept(_states(t)), kept(_predicted(t))
+    deliveries = delivered.select(F.col("target").alias("packet"), "node", F.array("node").alias("path"))
+    bad = states.where("state = 'silent_active'").select(F.col("target").alias("packet"), F.col("observer").alias("node"))
+    still = evidence.constrained(deliveries, bad).withColumnRenamed("packet", "target")
+    return episodes.stats(states, delivered, still, _targets(t))
+
+
+@query("a26_over_predicted", f"""WITH {_STATES}, {_PREDICTED}
+SELECT p.target, p.node AS observer, coalesce(state, 'silent_unknown') AS state FROM p LEFT JOIN s ON s.target = p.target AND s.observer = p.node
+WHERE p.node IN (SELECT observer FROM mesh_packets) AND state IS DISTINCT FROM 'heard'""")
+def a26_over_predicted(t):
+    return episodes.over_predicted(_states(t), _predicted(t), t.mesh_packets)
+
+
+@query("e8_senders", """
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY heard_ms, id) AS r FROM mesh_packets), t AS (SELECT id AS target, hash AS th, heard_ms AS tm FROM f WHERE r = 1),
+w AS (SELECT *, row_number() OVER (PARTITION BY target, hash ORDER BY heard_ms, id) AS q FROM t JOIN mesh_packets p ON p.heard_ms BETWEEN tm - 120000 AND tm + 120000),
+k AS (SELECT w.*, CASE WHEN route_type IN (0, 1) AND w.id % 3 = 0 THEN substr(md5(CAST(observer AS VARCHAR)), 1, 16) ELSE lower(h.key) END AS node FROM w LEFT JOIN mesh_hops h ON h.id = w.id AND h.pos = 0 WHERE q = 1)
+SELECT target, hash, CASE WHEN route_type IN (0, 1) THEN 'flood' ELSE 'background' END AS kind, node, greatest(0, heard_ms - tm + 120000) AS at_ms, CASE WHEN payload_len > 0 THEN payload_len ELSE 20 END AS payload_len, hash_size,
+CASE WHEN route_type NOT IN (0, 1) THEN CASE WHEN payload_len > 0 THEN 2 + hops * hash_size + payload_len + CASE WHEN route_type IN (0, 3) THEN 4 ELSE 0 END ELSE 24 END ELSE 0 END AS frame_bytes, route_type IN (0, 3) AS scoped, route_type IN (0, 1) AND hash = th AS is_target
+FROM k WHERE node IN (SELECT public_key FROM mesh_nodes WHERE lat IS NOT NULL)""")
+def e8_senders(t):
+    origin = F.when(F.col("id") % 3 == 0, F.upper(F.substring(F.md5(F.col("observer").cast("string")), 1, 16))).otherwise("")
+    rows = t.mesh_packets.select("id", "hash", "heard_ms", "route_type", origin.alias("origin"), "payload_len", "hash_size", packets.frame_bytes(*(F.col(c) for c in ("payload_len", "hops", "hash_size", "route_type"))).alias("frame_bytes"))
+    targets = packets.first_of_hash(t.mesh_packets).select(F.col("id").alias("target"), F.col("hash").alias("target_hash"), F.col("heard_ms").alias("target_ms"))
+    return episodes.senders(episodes.in_window(rows, targets, 120_000), t.mesh_hops.where("pos = 0"), t.mesh_nodes).na.fill(0, ["frame_bytes"])
+
+
+@query("e4_constrained", """WITH b AS (SELECT DISTINCT packet, node FROM mesh_rx WHERE drop_reason = 'weak_signal'),
+d AS (SELECT packet, node, EXISTS (SELECT 1 FROM b WHERE b.packet = r.packet AND b.node IN (r.node, r.from_node, (r.from_node + 1) % 60)) AS dirty FROM mesh_rx r)
 SELECT packet, node, bool_or(NOT dirty) AS kept FROM d GROUP BY packet, node""")
 def e4_constrained(t):
-    d = t.mesh_rx.where("packet % 3 = 0").select("packet", "node", F.array("from_node", (F.col("from_node") + 1) % 60).alias("path"))
-    bad = t.spark.range(0, 60, 7).select(F.col("id").alias("node")).join(t.mesh_rx.where("packet % 3 = 0").select("packet").distinct())
-    return evidence.constrained(d, bad)
+    d = t.mesh_rx.select("packet", "node", F.array("from_node", (F.col("from_node") + 1) % 60).alias("path"))
+    return evidence.constrained(d, t.mesh_rx.where("drop_reason = 'weak_signal'").select("packet", "node"))
 
 
 @query("e6_compared", """WITH p AS (SELECT DISTINCT src AS a, dst AS b FROM mesh_links), q AS (SELECT src AS a, peer AS b FROM mesh_reach)
@@ -728,10 +785,10 @@ def e6_compared(t):
     return evidence.compared(t.mesh_links.selectExpr("src AS a", "dst AS b").distinct(), t.mesh_reach.selectExpr("src AS a", "peer AS b"), states)
 
 
-@query("j11_recall", f"""WITH w AS (SELECT DISTINCT packet, node FROM mesh_rx WHERE node % 2 = 0), d AS (SELECT DISTINCT packet, node FROM mesh_rx WHERE {_DEL})
+@query("j11_recall", f"""WITH w AS (SELECT DISTINCT packet, node FROM mesh_rx WHERE NOT collided), d AS (SELECT DISTINCT packet, node FROM mesh_rx WHERE {_DEL})
 SELECT w.packet, round(count(d.node) / count(*)::DOUBLE, 9) AS recall FROM w LEFT JOIN d ON d.packet = w.packet AND d.node = w.node GROUP BY w.packet""")
 def j11_recall(t):
-    return evidence.recall(t.mesh_rx.where("node % 2 = 0"), t.mesh_rx.where(reports.delivers())).withColumn("recall", F.round("recall", 9))
+    return evidence.recall(t.mesh_rx.where("NOT collided"), t.mesh_rx.where(reports.delivers())).withColumn("recall", F.round("recall", 9))
 
 
 @query("a32_joint_silence", "SELECT round(avg(CASE WHEN h THEN 0.0 ELSE 1.0 END), 9) AS p_silent FROM (SELECT packet, bool_or(node % 7 = 0) AS h FROM mesh_rx WHERE packet % 2 = 0 GROUP BY packet)")
@@ -857,11 +914,10 @@ def p19_region_lists(t):
 
 
 @query("l6_capture", """WITH s AS (SELECT packet, max(snr) AS best, sum(power(10, snr / 10)) - max(power(10, snr / 10)) AS rest, count(*) AS n FROM mesh_rx GROUP BY packet)
-SELECT packet, CASE WHEN n = 1 THEN true ELSE best - 10 * log10(rest) >= 6 END AS captured FROM s WHERE n = 1 OR abs(best - 10 * log10(rest) - 6) > 1e-6""")
+SELECT packet, CASE WHEN n = 1 THEN true ELSE best - 10 * log10(rest) >= 6 - 1e-9 END AS captured FROM s""")
 def l6_capture(t):
     s = t.mesh_rx.groupBy("packet").agg(F.sort_array(F.collect_list("snr"), asc=False).alias("s")).withColumn("rest", F.expr("slice(s, 2, size(s))"))
-    kept = s.withColumn("rest_db", F.expr("CASE WHEN size(rest) > 0 THEN 10 * log10(aggregate(rest, 0D, (a, x) -> a + pow(10D, x / 10))) END"))
-    return kept.where("size(rest) = 0 OR abs(s[0] - rest_db - 6) > 1e-6").select("packet", lora.capture(F.col("s")[0], F.col("rest")).alias("captured"))
+    return s.select("packet", lora.capture(F.col("s")[0], F.col("rest")).alias("captured"))
 
 
 @query("a19_timeline", """WITH e AS (SELECT id, lower(key) AS a, lead(lower(key)) OVER (PARTITION BY id ORDER BY pos) AS b FROM mesh_hops)
@@ -871,15 +927,15 @@ def a19_timeline(t):
     return pairs.groupBy("hash", "a", "heard_ms").agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("heard_by"))
 
 
-@query("u6_merged_events", """SELECT at_ms, kind, id FROM (SELECT heard_ms AS at_ms, 'observed' AS kind, id FROM mesh_packets WHERE id % 20 = 0 UNION ALL SELECT 1704067200000 + start_ms * 1000, 'predicted', packet FROM mesh_tx WHERE packet % 30 = 0)""")
+@query("u6_merged_events", """SELECT at_ms, kind, id FROM (SELECT heard_ms AS at_ms, 'observed' AS kind, id FROM mesh_packets UNION ALL SELECT 1704067200000 + start_ms * 1000, 'predicted', packet FROM mesh_tx)""")
 def u6_merged_events(t):
-    seen = t.mesh_packets.where("id % 20 = 0").select(F.col("heard_ms").alias("at_ms"), F.lit("observed").alias("kind"), "id")
-    said = t.mesh_tx.where("packet % 30 = 0").select((F.lit(1_704_067_200_000) + F.col("start_ms") * 1000).alias("at_ms"), F.lit("predicted").alias("kind"), F.col("packet").alias("id"))
+    seen = t.mesh_packets.select(F.col("heard_ms").alias("at_ms"), F.lit("observed").alias("kind"), "id")
+    said = t.mesh_tx.select((F.lit(1_704_067_200_000) + F.col("start_ms") * 1000).alias("at_ms"), F.lit("predicted").alias("kind"), F.col("packet").alias("id"))
     return seen.unionByName(said).orderBy("at_ms", "kind", "id")
 
 
 def _cover(t):
-    return _near(t).selectExpr("a AS site", "b AS cell").unionByName(t.mesh_nodes.where("k % 3 = 0 AND lat IS NOT NULL").selectExpr("k AS site", "k AS cell"))
+    return _near(t).selectExpr("a AS site", "b AS cell").unionByName(t.mesh_nodes.where("lat IS NOT NULL").selectExpr("k AS site", "k AS cell"))
 
 
 @query("r12_greedy_cover")
@@ -887,12 +943,12 @@ def r12_greedy_cover(t):
     return coverage.greedy_cover(_cover(t), 6)
 
 
-_CAND = "(SELECT 0 AS ring, 0 AS angle, 0.0::DOUBLE AS north, 0.0::DOUBLE AS east UNION ALL SELECT r, a, r * 0.05 * cos(2 * pi() * a / 16 + r * pi() / 32), r * 0.05 * sin(2 * pi() * a / 16 + r * pi() / 32) FROM range(1, 7) x(r) CROSS JOIN range(16) y(a))"
+_CAND = "(SELECT 0 AS ring, 0 AS angle, 0.0::DOUBLE AS north, 0.0::DOUBLE AS east UNION ALL SELECT r, a, r * 0.05 * cos(2 * pi() * a / 16 + r * pi() / 32), r * 0.05 * sin(2 * pi() * a / 16 + r * pi() / 32) FROM range(1, 3) x(r) CROSS JOIN range(16) y(a))"
 
 
 @query("r8_calibrated", f"""
-WITH l AS (SELECT r.src AS node, p.lat AS plat, p.lon AS plon, r.n AS bottleneck FROM mesh_reach r JOIN mesh_nodes p ON p.k = r.peer WHERE r.src % 40 = 1),
-s AS (SELECT n.k AS node, ring, angle, lat + north / 110.574 AS lat, lon + east / (111.32 * cos(radians(lat))) AS lon FROM mesh_nodes n CROSS JOIN {_CAND} c WHERE n.k % 40 = 1 AND n.lat IS NOT NULL),
+WITH l AS (SELECT r.src AS node, p.lat AS plat, p.lon AS plon, r.n AS bottleneck FROM mesh_reach r JOIN mesh_nodes p ON p.k = r.peer),
+s AS (SELECT n.k AS node, ring, angle, lat + north / 110.574 AS lat, lon + east / (111.32 * cos(radians(lat))) AS lon FROM mesh_nodes n CROSS JOIN {_CAND} c WHERE n.lat IS NOT NULL),
 e AS (SELECT node FROM l GROUP BY node HAVING count(*) >= 2),
 p AS (SELECT s.node, ring, angle, bottleneck, lat, lon, plat, plon, {_duck_hills('lat', 'lon')} + 1 AS tx, {duck_haversine('lat', 'lon', 'plat', 'plon')} AS d FROM s JOIN l ON l.node = s.node JOIN e ON e.node = s.node WHERE plat IS NOT NULL),
 q AS (SELECT *, CAST(least(greatest(floor(d / 0.05), 8), 300) AS INT) AS n FROM p WHERE d >= 0.01), i AS (SELECT *, unnest(range(1, n)) AS i FROM q),
@@ -902,9 +958,9 @@ w AS (SELECT node, ring, angle, sum(ln(1 + bottleneck) * greatest(0, 15 - margin
 b AS (SELECT node, max(score) FILTER (ring = 0) AS before, min(score) AS best FROM w GROUP BY node)
 SELECT node, round(before, 4) AS before, round(CASE WHEN before >= 5 AND best < before AND (before - best) / before * 100 >= 2 THEN best ELSE before END, 4) AS after, before >= 5 AND best < before AND (before - best) / before * 100 >= 2 AS adopted FROM b""")
 def r8_calibrated(t):
-    n = t.mesh_nodes.where("k % 40 = 1 AND lat IS NOT NULL").select(F.col("k").alias("node"), "lat", "lon")
-    l = t.mesh_reach.where("src % 40 = 1").join(t.mesh_nodes.select(F.col("k").alias("peer"), F.col("lat").alias("plat"), F.col("lon").alias("plon")), "peer").select(F.col("src").alias("node"), "plat", "plon", F.col("n").alias("bottleneck"))
-    got = coverage.calibrated(coverage.candidates(n, 300.0), l, hills, RADIO, improvement_pct=2.0)
+    n = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("node"), "lat", "lon")
+    l = t.mesh_reach.join(t.mesh_nodes.select(F.col("k").alias("peer"), F.col("lat").alias("plat"), F.col("lon").alias("plon")), "peer").select(F.col("src").alias("node"), "plat", "plon", F.col("n").alias("bottleneck"))
+    got = coverage.calibrated(coverage.candidates(n, 100.0), l, hills, RADIO, improvement_pct=2.0)
     return got.select("node", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), "adopted")
 
 
@@ -1027,7 +1083,108 @@ def x_neighbour_class(t):
 @query("r6_region_coverage", f"""{_RASTER.replace('b AS (SELECT py, px, max(margin) AS margin FROM m GROUP BY py, px HAVING max(margin) >= 0)', 'b AS (SELECT py, px, site % 3 AS region, max(margin) AS margin FROM m GROUP BY ALL HAVING max(margin) >= 0)')} SELECT region, count(*) AS cells, round(avg(margin), 4) AS mean FROM b GROUP BY region""")
 def r6_region_coverage(t):
     at = coverage.pixels((56.0, 57.0, -4.5, -3.0), 16, 12, t.spark)
-    sites = t.mesh_nodes.where("k < 60 AND lat BETWEEN 55.8 AND 57.2 AND lon BETWEEN -5 AND -2.5").select(F.col("k").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (hills(F.col("lat"), F.col("lon")) + RADIO.antenna_m).alias("tx_m"))
+    sites = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (hills(F.col("lat"), F.col("lon")) + RADIO.antenna_m).alias("tx_m"))
     paths = coverage.site_pixels(sites, at, 40.0).select("py", "px", "site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
     per = coverage.path_margins(paths, hills, RADIO).groupBy((F.col("site") % 3).alias("region"), "py", "px").agg(F.max("margin").alias("margin")).where("margin >= 0")
     return per.groupBy("region").agg(F.count("*").alias("cells"), F.round(F.avg("margin"), 4).alias("mean"))
+
+
+# ---- reports in full, pins, routes, exports
+
+@query("a10_full_stats", f"""
+WITH RECURSIVE {_STATS}, l AS (SELECT a, (a * 7 + d) % 60 AS b FROM range(60) x(a) CROSS JOIN range(1, 3) y(d)),
+r(s, id) AS (SELECT a, a FROM range(60) x(a) UNION SELECT r.s, l.b FROM r JOIN l ON l.a = r.id),
+m AS (SELECT node AS s, count(*) AS n FROM mesh_tx WHERE is_origin AND NOT background GROUP BY node), q AS (SELECT id AS node, CAST(sum(n) AS BIGINT) AS reachable FROM r JOIN m ON m.s = r.s WHERE id <> r.s GROUP BY id),
+c AS (SELECT x AS node, count(*) AS contention_caused FROM (SELECT unnest([(from_node + 1) % 60, (from_node + 5) % 60]) AS x FROM mesh_rx WHERE collided) GROUP BY x)
+SELECT node, coalesce(success, 0) AS success, coalesce(collided, 0) AS collided, coalesce(tx_busy, 0) AS tx_busy, coalesce(delivered, 0) AS delivered, coalesce(unique_deliveries, 0) AS unique_deliveries, coalesce(relays, 0) AS relays,
+coalesce(airtime_ms, 0) AS airtime_ms, coalesce(redundant, 0) AS redundant, coalesce(contention_caused, 0) AS contention_caused, coalesce(reachable, 0) AS reachable FROM a FULL JOIN c USING (node) FULL JOIN q USING (node)""")
+def a10_full_stats(t):
+    rx = t.mesh_rx.withColumn("collided_with", F.when(F.col("collided"), F.array((F.col("from_node") + 1) % 60, (F.col("from_node") + 5) % 60)))
+    l = t.spark.range(60).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("d")).select("a", ((F.col("a") * 7 + F.col("d")) % 60).alias("b"))
+    messages = t.mesh_tx.where("is_origin").select(F.col("node").alias("origin"), "background")
+    reach = graph.reached(l, messages.select(F.col("origin").alias("start")).distinct())
+    return reports.full_stats(t.mesh_tx, rx, reach, messages).drop("reasons")
+
+
+@query("f11_filters", """WITH r AS (SELECT *, CASE WHEN packet % 2 = 0 THEN 'no_lock' ELSE 'corrupted' END AS c FROM mesh_rx)
+SELECT 'tx' AS name, count(*) AS n FROM mesh_tx UNION ALL SELECT 'tx_origin', count(*) FROM mesh_tx WHERE is_origin UNION ALL SELECT 'tx_relay', count(*) FROM mesh_tx WHERE NOT is_origin
+UNION ALL SELECT 'relayed', (SELECT count(*) FROM mesh_tx WHERE NOT is_origin) + count(*) FROM r WHERE NOT collided AND relayed UNION ALL SELECT 'collided', count(*) FROM r WHERE collided
+UNION ALL SELECT 'collided_no_lock', count(*) FROM r WHERE collided AND c = 'no_lock' UNION ALL SELECT 'collided_corrupted', count(*) FROM r WHERE collided AND c = 'corrupted'
+UNION ALL SELECT 'tx_busy', count(*) FROM r WHERE NOT collided AND drop_reason = 'tx_busy' UNION ALL SELECT 'dropped', count(*) FROM r WHERE NOT collided AND drop_reason NOT IN ('', 'cannot_relay')
+UNION ALL SELECT 'received', count(*) FROM r WHERE NOT collided AND NOT relayed AND drop_reason IN ('', 'cannot_relay')""")
+def f11_filters(t):
+    rx = t.mesh_rx.withColumn("collision_kind", F.when(F.col("packet") % 2 == 0, "no_lock").otherwise("corrupted"))
+    return reports.inspected(t.mesh_tx, rx).select(F.explode("filters").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("a21_growth", """WITH p AS (SELECT node, at_ms // 60000 AS bucket, count(*) FILTER (NOT collided) AS s, count(*) FILTER (collided) AS c FROM mesh_rx GROUP BY ALL)
+SELECT node, bucket, CAST(sum(s) OVER w AS BIGINT) AS success, CAST(sum(c) OVER w AS BIGINT) AS collided FROM p WINDOW w AS (PARTITION BY node ORDER BY bucket ROWS UNBOUNDED PRECEDING)""")
+def a21_growth(t):
+    return reports.growth(t.mesh_rx, 60_000)
+
+
+@query("o9_contention", f"""WITH {_STATS}, c AS (SELECT node, collided * 2.0::DOUBLE + redundant * 0.5::DOUBLE + airtime_ms * 100.0::DOUBLE / 600000 AS score FROM a)
+SELECT node, CAST(row_number() OVER (ORDER BY score DESC, node) AS INT) AS rank FROM c QUALIFY rank <= 12""")
+def o9_contention(t):
+    stats = reports.node_stats(t.mesh_tx, t.mesh_rx).withColumn("contention", F.lit(0)).withColumn("duty_pct", F.col("airtime_ms") * 100.0 / 600_000)
+    return reports.ranked_contention(stats, (1.0, 2.0, 0.5, 1.0), 12).select("node", "rank")
+
+
+@query("w1_partners", f"""WITH {_NEAR}, m AS (SELECT a, b, 129.0 - (20 * log10(greatest(d, 0.001)) + 20 * log10(868) + 32.44) AS margin FROM p WHERE d <= 35),
+r AS (SELECT a, b, round(margin, 6) AS margin, row_number() OVER (PARTITION BY a ORDER BY round(margin, 6) DESC, b) AS rank FROM m WHERE margin >= 0) SELECT a, b, margin, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8""")
+def w1_partners(t):
+    return graph.ranked_partners(links.free_space_links(_near(t), RADIO, 8).withColumn("margin", F.round("margin", 6)), 8).select("a", "b", "margin", "rank")
+
+
+@query("w2_pinned", f"""WITH pins(pin, plat, plon) AS (VALUES ('glen', 56.8, -4.6), ('firth', 55.9, -3.1)),
+p AS (SELECT pin, k AS site, lat, lon, plat, plon, {_duck_hills('lat', 'lon')} + 1 AS tx, {duck_haversine('lat', 'lon', 'plat', 'plon')} AS d FROM mesh_nodes CROSS JOIN pins WHERE lat IS NOT NULL),
+q AS (SELECT *, CAST(least(greatest(floor(d / 0.05), 8), 300) AS INT) AS n FROM p WHERE d >= 0.01 AND d <= 35), i AS (SELECT *, unnest(range(1, n)) AS i FROM q),
+v AS (SELECT pin, site, d, {_duck_margin('lat', 'lon', 'tx', 'plat', 'plon', 'd')} AS v FROM i), m AS (SELECT pin, site, round({_MARGIN}, 5) AS margin FROM v GROUP BY pin, site, d)
+SELECT pin, site, margin, CAST(row_number() OVER (PARTITION BY pin ORDER BY margin DESC, site) AS INT) AS rank FROM m WHERE margin >= 0 QUALIFY rank <= 15""")
+def w2_pinned(t):
+    pins = t.spark.createDataFrame([("glen", 56.8, -4.6), ("firth", 55.9, -3.1)], "pin string, lat double, lon double")
+    margins = lambda rows: coverage.path_margins(rows.withColumn("tx_m", hills(F.col("lat1"), F.col("lon1")) + RADIO.antenna_m), hills, RADIO).withColumn("margin", F.round("margin", 5))
+    return links.pinned(pins, t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), "lat", "lon"), margins).select("pin", "site", "margin", "rank")
+
+
+@query("r11_routes", """
+WITH RECURSIVE l AS (SELECT a, b, max(snr) AS m FROM (SELECT src AS a, dst AS b, snr FROM mesh_links UNION ALL SELECT dst, src, snr FROM mesh_links) GROUP BY ALL),
+g(t) AS (VALUES (12.0::DOUBLE), (6.0), (0.0)),
+w(t, id, hops, weakest, path) AS (SELECT t, 1::BIGINT, 0, 1e9::DOUBLE, [1::BIGINT] FROM g
+  UNION ALL SELECT w.t, l.b, hops + 1, least(weakest, l.m), list_append(path, l.b) FROM w JOIN l ON l.a = w.id AND l.m >= w.t WHERE hops < 5 AND NOT list_contains(path, l.b)),
+x AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY hops, weakest DESC, path) AS r FROM w WHERE id = 11),
+y AS (SELECT DISTINCT ON (path) path, hops, weakest, t FROM x WHERE r = 1 ORDER BY path, t DESC)
+SELECT t AS target, hops, weakest, array_to_string(path, '-') AS path, CAST(row_number() OVER (ORDER BY CASE WHEN weakest < 12 THEN 1 ELSE 0 END, hops, weakest DESC, path) AS INT) AS rank FROM y""")
+def r11_routes(t):
+    ends = t.spark.range(1).selectExpr("1L AS a", "11L AS b")
+    found = graph.routes(t.mesh_links.selectExpr("src AS a", "dst AS b", "snr AS margin"), ends, most_hops=5)
+    return found.select("target", "hops", "weakest", F.array_join("path", "-").alias("path"), "rank")
+
+
+@query("m7_methods", """SELECT * FROM (VALUES ('MeshSydney (NSW)', 4, false), ('WNY MeshCore', 4, true), ('TennMesh', 5, false), ('W6HS three-tier', 3, true), ('Upstream proposed minimums (issue #2123)', 1, false)) v(method, rules, needs_altitude)""")
+def m7_methods(t):
+    per = policies.methods(t.spark).groupBy("method").agg(F.count("*").cast("int").alias("rules"), F.max(F.col("kind").startswith("altitude")).alias("needs_altitude"))
+    return per
+
+
+@query("m7_applied_method", """SELECT k AS node, CASE WHEN k % 23 >= 20 THEN 0.3 WHEN k % 23 >= 15 THEN 0.6 WHEN k % 23 >= 5 THEN 1.0 ELSE 1.4 END::DOUBLE AS tx_delay, CASE WHEN k % 23 >= 20 THEN 'CRITICAL' WHEN k % 23 >= 15 THEN 'LINK' WHEN k % 23 >= 5 THEN 'STANDARD' ELSE 'LOCAL' END AS profile FROM mesh_nodes""")
+def m7_applied_method(t):
+    own = t.mesh_nodes.selectExpr("k AS node", "0.7D AS tx_delay", "0.0D AS rx_delay", "64 AS flood_max", "0.0D AS altitude", "k % 23 AS neighbours", "false AS articulation", "0 AS marginal")
+    return policies.applied(own, policies.methods(t.spark, has_altitude=False).where("method = 'MeshSydney (NSW)'")).select("node", "tx_delay", "profile")
+
+
+@query("r14_placemarks", """SELECT k AS id, '<Placemark><name>' || replace(replace(replace(coalesce(name, 'node ' || CAST(k AS VARCHAR)) || ' & <' || role || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</name><Point><coordinates>' || printf('%.5f', lon) || ',' || printf('%.5f', lat) || ',0</coordinates></Point></Placemark>' AS kml FROM mesh_nodes WHERE lat IS NOT NULL""")
+def r14_placemarks(t):
+    label = F.concat(F.coalesce("name", F.concat(F.lit("node "), F.col("k").cast("string"))), F.lit(" & <"), "role", F.lit(">"))
+    return t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("id"), readers.placemark(label, F.col("lat"), F.col("lon")).alias("kml"))
+
+
+@query("h15_raw_frames", """WITH f AS (SELECT lower(hash) AS hash, max('ab' || CAST(id AS VARCHAR)) AS raw_hex FROM mesh_packets WHERE id % 3 <> 0 GROUP BY 1) SELECT id, coalesce(raw_hex, '') AS raw_hex FROM mesh_packets p LEFT JOIN f USING (hash)""")
+def h15_raw_frames(t):
+    frames = t.mesh_packets.select(F.upper("hash").alias("hash"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("AB"), "id")).otherwise("").alias("raw_hex"))
+    return packets.with_raw_frames(t.mesh_packets, frames).select("id", "raw_hex")
+
+
+@query("l5_retransmit_window", "SELECT id, 5 * CAST(trunc((200 + payload_len) * 0.5::DOUBLE) AS BIGINT) AS window_ms FROM mesh_packets")
+def l5_retransmit_window(t):
+    return t.mesh_packets.select("id", lora.retransmit_window_ms(200 + F.col("payload_len"), F.lit(0.5)).alias("window_ms"))

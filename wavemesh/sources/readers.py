@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NODE = "public_key STRING, name STRING, role STRING, lat DOUBLE, lon DOUBLE, last_heard STRING, first_seen STRING, advert_count INT, relay_count_1h INT, relay_count_24h INT, hash_size INT, default_scope STRING"
 PACKET = "hash STRING, timestamp STRING, raw_hex STRING, route_type INT, observer_id STRING, resolved_path ARRAY<STRING>, snr DOUBLE, decoded_json STRING"
@@ -37,6 +40,40 @@ def packets(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("heard_at IS NOT NULL").withColumn("heard_ms", F.unix_millis("heard_at"))
 
 
+REACH = "src STRING, peer STRING, we_hear_them BIGINT, they_hear_us BIGINT, snr DOUBLE, days INT"
+DIRECTORY_PACKET = "packetHash STRING, heardAt BIGINT, routeType INT, nodeId STRING, iata STRING, snr DOUBLE, rawHex STRING"
+
+
+def reach(spark: SparkSession, path: str, days: int | None = None) -> DataFrame:
+    """Observed reach as JSON lines: src, peer, heard, they_hear, snr, age; rows looked back for over more days drop out."""
+    rows = spark.read.schema(REACH).json(path, mode="DROPMALFORMED")
+    rows = rows if days is None else rows.where(F.col("days").isNull() | (F.col("days") <= days))
+    return rows.select(F.lower("src").alias("src"), F.lower("peer").alias("peer"), F.coalesce("we_hear_them", F.lit(0)).alias("heard"), F.coalesce("they_hear_us", F.lit(0)).alias("they_hear"), "snr", F.col("days").alias("age"))
+
+
+def directory_keys(spark: SparkSession, path: str) -> DataFrame:
+    """id, public_key: which key each identifier of the other backend stands for."""
+    rows = spark.read.schema(DIRECTORY_NODE).json(path, mode="DROPMALFORMED")
+    return rows.where("id IS NOT NULL AND publicKey <> ''").select("id", F.lower("publicKey").alias("public_key")).distinct()
+
+
+def airports(spark: SparkSession, path: str) -> DataFrame:
+    """iata, nodes: the airports that hear nodes, and how many."""
+    rows = spark.read.schema(DIRECTORY_NODE).json(path, mode="DROPMALFORMED")
+    return rows.select("publicKey", F.explode("iatas").alias("i")).groupBy(F.col("i.iata").alias("iata")).agg(F.count_distinct("publicKey").alias("nodes"))
+
+
+def directory_packets(spark: SparkSession, path: str, keys: DataFrame, since_ms: int | None = None, until_ms: int | None = None, limit: int = 500) -> DataFrame:
+    """Packets of the other backend, newest first, between two times, both included: hash, heard_ms, route_type, observer
+    (the key of the node's id, else empty), airport, snr, raw_hex. A limit of 0 or less is 500. keys: id, public_key."""
+    rows = spark.read.schema(DIRECTORY_PACKET).json(path, mode="DROPMALFORMED").where("heardAt IS NOT NULL")
+    rows = rows if since_ms is None else rows.where(F.col("heardAt") >= since_ms)
+    rows = rows if until_ms is None else rows.where(F.col("heardAt") <= until_ms)
+    newest = rows.orderBy(F.desc("heardAt"), "packetHash").limit(limit if limit > 0 else 500)
+    named = newest.join(keys.select(F.col("id").alias("nodeId"), "public_key"), "nodeId", "left")
+    return named.select(F.lower("packetHash").alias("hash"), F.col("heardAt").alias("heard_ms"), F.col("routeType").alias("route_type"), F.coalesce("public_key", F.lit("")).alias("observer"), F.col("iata").alias("airport"), "snr", F.lower(F.coalesce("rawHex", F.lit(""))).alias("raw_hex"))
+
+
 def scopes(text: DataFrame) -> DataFrame:
     """name of each scope from JSON texts (value) of either shape: a list of names, or a list of objects with a name."""
     objects = F.from_json("value", "ARRAY<STRUCT<name: STRING>>")
@@ -71,6 +108,44 @@ def write_features(features: DataFrame, path: str) -> None:
     features.select(F.to_json("feature").alias("value")).write.mode("overwrite").text(path)
 
 
+def xml_text(text: Column) -> Column:
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(safe))
+    return text
+
+
+def placemark(label: Column, lat: Column, lon: Column) -> Column:
+    """A KML placemark of a point."""
+    at = F.format_string("%.5f,%.5f,0", lon, lat)
+    return F.concat(F.lit("<Placemark><name>"), xml_text(label), F.lit("</name><Point><coordinates>"), at, F.lit("</coordinates></Point></Placemark>"))
+
+
+def write_kml(placemarks: DataFrame, path: str, name: str) -> None:
+    """One KML document of a plan's placemarks (id, kml), in the order of id; a plan is small enough for one file."""
+    spark = placemarks.sparkSession
+    head = spark.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>'), xml_text(F.lit(name)), F.lit("</name>")).alias("value"))
+    foot = spark.range(1).select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("id"), F.lit("</Document></kml>").alias("value"))
+    body = placemarks.select(F.lit(1).alias("part"), F.col("id").cast("long").alias("id"), F.col("kml").alias("value"))
+    head.unionByName(body).unionByName(foot).coalesce(1).sortWithinPartitions("part", "id").select("value").write.mode("overwrite").text(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows such as policy actions as CSV with a header, every value quoted."""
+    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+
+
+@F.pandas_udf(T.BinaryType())
+def float32_bytes(values: pd.Series) -> pd.Series:
+    """array<float> as little-endian bytes; a null value is not a number."""
+    return values.map(lambda v: None if v is None else np.array(v, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def float32_values(content: pd.Series) -> pd.Series:
+    """The values of little-endian bytes; bytes left over are ignored."""
+    return content.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
+
+
 def write_once(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Adds rows whose keys the table doesn't hold yet, so that a repeated run changes nothing."""
     spark = rows.sparkSession

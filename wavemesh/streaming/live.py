@@ -23,8 +23,12 @@ def bursts(packets: DataFrame, gap: str = "5 minutes", lateness: str = "10 minut
     return s.agg(F.count("*").alias("n")).select("observer", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def near_signs(targets: DataFrame, signs: DataFrame, within: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
-    """Targets (target, t_ts) joined with the signs of life (observer, s_ts) close to them in time; the bound on time
-    lets the state of both sides age out."""
-    t, s = targets.withWatermark("t_ts", lateness), signs.withWatermark("s_ts", lateness)
-    return t.join(s, F.expr(f"s_ts BETWEEN t_ts - INTERVAL {within} AND t_ts + INTERVAL {within}"))
+def near_signs(targets: DataFrame, signs: DataFrame, within_s: int = 300, lateness: str = "10 minutes") -> DataFrame:
+    """Targets (target, t_ts) joined with the signs of life (observer, s_ts) within so many seconds. Both sides go to time
+    cells of that width, a target to the three that its window touches, and meet by cell; the bound on time lets the
+    state of both age out."""
+    cell = lambda ts: F.floor(F.unix_seconds(ts) / within_s)
+    t = targets.withWatermark("t_ts", lateness).withColumn("cell", F.explode(F.sequence(cell(F.col("t_ts")) - 1, cell(F.col("t_ts")) + 1)))
+    s = signs.withWatermark("s_ts", lateness).withColumn("s_cell", cell(F.col("s_ts")))
+    bound = f"s_cell = cell AND s_ts BETWEEN t_ts - INTERVAL {within_s} SECONDS AND t_ts + INTERVAL {within_s} SECONDS"
+    return t.join(s, F.expr(bound)).drop("cell", "s_cell")
