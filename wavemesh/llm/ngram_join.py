@@ -10,7 +10,8 @@ A document is its set of five-word shingles; two link when their Jaccard similar
    block it knows the union of the members' prefix shingles, the place of the order up to which that union is complete,
    and the least size of a member.
 4. A document queries blocks: first its leader's; then, where the leader didn't link with it, all blocks of its group,
-   and in any case the blocks of other groups that share a prefix shingle and have a member of fitting size.
+   and in any case the blocks of other groups that share a prefix shingle and have a member of fitting size that isn't
+   known to be connected with it.
 5. Prefix shingles of the document that are missing from the complete part of a union are in none of its members, which
    bounds the overlap with each of them. Only a block whose bound suffices is opened: its members' own prefixes are
    bounded in the same way, and where one may link, the texts are fetched and whole sets compared.
@@ -44,8 +45,8 @@ SIMILAR = 80
 FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Hashes (of 62 bits) below FRONT are counted. The order is: these if rare, these if frequent, the others.
 FRONT, LATE, REST = (1 << 62) * 3 // 10, 1 << 61, 1 << 62
-#: Shingles of the members of a block, and of the queries that a task opens it for.
-BLOCK = 524_288
+#: Shingles of the members of a block, and of the queries that a cell opens it for; a leader's block is smaller.
+BLOCK, LED = 524_288, 131_072
 #: The block that holds only the leader.
 LEAD = -1
 
@@ -222,24 +223,25 @@ def spread(rows: DataFrame, key: list[str], weight: str, size: int, name: str) -
     return rows.join(few(large), key, "left").withColumn(name, F.coalesce(name, F.lit(1))), large
 
 
-def opened(queries: DataFrame, members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def opened(queries: DataFrame, members: DataFrame, nodes: DataFrame, docs: DataFrame, size: int = BLOCK) -> DataFrame:
     """The links (a, b) that connect the queries with the members of the blocks that open for them. queries and members:
     group, block, node, n, known_as (documents known as the same are connected already); nodes: node, n, prefix; docs:
-    doc_id, text."""
+    doc_id, text. Queries of more than `size` shingles are dealt over several cells, each with the members of its block."""
     key, columns = ["group", "block"], ["group", "block", "chunk", "node", "asks", "known_as"]
-    queries, large = spread(queries, key, "n", 4 * BLOCK, "chunks")
+    queries, large = spread(queries, key, "n", size, "chunks")
     queries = queries.withColumns({"chunk": F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"), "asks": F.lit(True)})
     members = members.join(few(large), key, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).withColumn("asks", F.lit(False))
     cells = stored(queries.select(*columns, "n").unionByName(members.select(*columns, "n")), "ngram-cells")
-    tasks = max(1, (cells.agg(F.sum("n")).first()[0] or 0) // (2 * BLOCK))
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, (cells.agg(F.sum("n")).first()[0] or 0) // BLOCK)
 
     def dealt(rows: DataFrame) -> GroupedData:
         return rows.groupBy(F.pmod(F.xxhash64("group", "block", "chunk"), F.lit(tasks)))
 
-    found = dealt(cells.drop("n").join(nodes, "node").select(*columns, "n", "prefix"))
+    # few cells or documents are sent to what they ask for, so that prefixes and texts move once
+    found = dealt(nodes.join(few(cells.drop("n")), "node").select(*columns, "n", "prefix"))
     found = stored(found.applyInArrow(open_cells, "group long, block int, chunk int, node long, asks boolean, known_as long"), "ngram-opened")
     texts = by_ids(docs, found.select(F.col("node").alias("doc_id")), "left_semi").withColumnRenamed("doc_id", "node")
-    return stored(dealt(found.join(texts, "node").select(*columns, "text")).applyInArrow(compare_cells, "a long, b long").distinct(), "ngram-links")
+    return stored(dealt(texts.join(few(found), "node").select(*columns, "text")).applyInArrow(compare_cells, "a long, b long").distinct(), "ngram-links")
 
 
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -255,33 +257,41 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = by_ids(filled, copies.where("a = b").select(F.col("a").alias("doc_id")), "left_semi").select(F.col("doc_id").alias("node"), "n", "prefix")
     nodes = stored(nodes, "ngram-nodes")
 
-    rows = nodes.select("node", F.explode("prefix").alias("shingle"))
+    # dealt by shingle once, for the count and for the join with it
+    rows = nodes.select("node", F.explode("prefix").alias("shingle")).repartition("shingle")
     several = rows.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("shingle")
     shared = stored(rows.join(several, "shingle"), "ngram-shared")
     nodes = stored(by_ids(nodes, shared.select("node"), "left_semi", "node"), "ngram-meeting")
 
     # the groups: frequent shingles come first, so that those who have one in the prefix, as near copies do, meet few groups
     central = shared.groupBy("node").agg(F.count("*").alias("central"))
-    lead = shared.join(central, "node").groupBy("shingle").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("leader"))
-    ties = shared.join(lead, "shingle").groupBy("node", "leader").agg(F.struct(F.max(F.col("shingle") >= LATE), F.count("*"), -F.col("leader")).alias("tie"))
+    ranked = shared.join(few(stored(central, "ngram-central")), "node").repartition("shingle")
+    lead = ranked.groupBy("shingle").agg(F.max(F.struct("central", (-F.col("node")).alias("node"))).alias("most")).select("shingle", (-F.col("most.node")).alias("leader"))
+    ties = ranked.join(lead, "shingle").groupBy("node", "leader").agg(F.struct(F.max(F.col("shingle") >= LATE), F.count("*"), -F.col("leader")).alias("tie"))
     groups = stored(ties.groupBy("node").agg(F.max_by("leader", "tie").alias("group")), "ngram-groups")
 
     sizes = nodes.select("node", "n")
     follow = groups.where("node <> group").select("node", "group", F.lit(LEAD).alias("block"), F.col("node").alias("known_as")).join(sizes, "node")
     leaders = groups.where("node <> group").select(F.col("group").alias("node"), "group", F.lit(LEAD).alias("block"), F.col("group").alias("known_as")).distinct().join(sizes, "node")
-    links = opened(follow, leaders, nodes, docs)
+    links = opened(follow, leaders, nodes, docs, LED)
 
     led = links.select(F.col("a").alias("node"), F.lit(True).alias("led")).distinct()
-    groups = groups.join(led, "node", "left").withColumn("led", F.expr("led IS NOT NULL OR node = group"))
+    groups = groups.join(few(led), "node", "left").withColumn("led", F.expr("led IS NOT NULL OR node = group"))
+    # who is linked with a leader is known as that one, or as whom that one is known as
+    groups = stored(groups.withColumn("known_as", F.when(F.col("led"), F.col("group")).otherwise(F.col("node"))), "ngram-led")
+    for _ in range(2):
+        ahead = groups.where("node <> known_as").select(F.col("node").alias("known_as"), F.col("known_as").alias("ahead"))
+        groups = stored(groups.join(few(ahead), "known_as", "left").withColumn("known_as", F.coalesce("ahead", "known_as")).drop("ahead"), "ngram-led")
     blocked, _ = spread(groups.join(sizes, "node"), ["group"], "n", BLOCK, "blocks")
-    blocked = blocked.withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "known_as": F.when(F.col("led"), F.col("group")).otherwise(F.col("node"))})
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocked = stored(blocked.select("node", "n", "group", "block", "led", "known_as"), "ngram-blocks")
-    grouped = shared.join(blocked, "node")
-    still = grouped.groupBy("shingle").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.min("led").alias("all_led")).where("g <> h OR NOT all_led").select("shingle")
-    grouped = stored(grouped.join(still, "shingle", "left_semi"), "ngram-grouped")
-    met = grouped.groupBy("shingle", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # shingles whose documents are all known as the same ask for nothing more
+    owners = shared.join(few(stored(blocked.select("node", "known_as").distinct(), "ngram-owners")), "node")
+    still = owners.groupBy("shingle").agg(F.min("known_as").alias("g"), F.max("known_as").alias("h")).where("g <> h").select("shingle")
+    grouped = stored(shared.join(still, "shingle", "left_semi").join(blocked, "node"), "ngram-grouped")
+    met = grouped.groupBy("shingle", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("known_as").alias("first"), F.max("known_as").alias("last"))
     queries = grouped.select("shingle", "node", "n", "known_as", "led", F.col("group").alias("own"))
-    fits = f"(own > group OR own = group AND NOT led) AND 100 * high >= {SIMILAR} * n AND {SIMILAR} * low <= 100 * n"
+    fits = f"(own > group OR own = group AND NOT led) AND (first <> known_as OR last <> known_as) AND 100 * high >= {SIMILAR} * n AND {SIMILAR} * low <= 100 * n"
     queries = stored(queries.join(met, "shingle").where(fits).select("node", "n", "known_as", "group", "block").distinct(), "ngram-queries")
     members = blocked.join(queries.select("group", "block").distinct(), ["group", "block"], "left_semi")
     links = links.unionByName(opened(queries, members, nodes, docs)).unionByName(copies.where("a <> b"))
