@@ -10,7 +10,7 @@ Fitting takes a sample of the labelled rows, bounded by `SAMPLE` and `LONGEST`;
 A word's gain is computed once a task and kept, so frequent words cost a look-up.
 
 Defined cases: a null or empty text scores like a text of no words; a doc_id with several labels counts as toxic if one
-says so, null labels are left out; without labels of both kinds the score is the share of toxic labels, 0 with none;
+says so, one with several texts is learned from by the least of them, null labels are left out; without labels of both kinds the score is the share of toxic labels, 0 with none;
 repeated rows score alike; no rows give no rows; columns other than doc_id and text are ignored.
 """
 
@@ -35,8 +35,9 @@ REJECT_FROM = 0.7
 SAMPLE = {1: 3000, 0: 6000}
 LONGEST = 20_000
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT = 32_768, 16_384, 50
-#: A word is typical of toxic texts if its share of them is so many times its share of ordinary ones.
-TYPICAL = 20
+#: A word is typical of toxic texts if its share of them is so many times its share of ordinary ones, and if so many of
+#: them, and this share of them, have it: with open vocabularies, a few texts share some words by chance.
+TYPICAL, LEAST_TEXTS, LEAST_SHARE = 20, 3, 0.007
 GAINS, RESTS = (1, 2, 3, 4, 5, 6), (3, 5, 99)
 KEPT_WORDS = 400_000
 
@@ -120,7 +121,7 @@ def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
         for t in texts:
             met[label].update(set(words(t)))
     n1, n0 = max(1, len(toxic)), max(1, len(ordinary))
-    typical = {w for w, c in met[1].items() if c >= max(3, 0.007 * n1) and c / n1 > TYPICAL * (met[0][w] + 0.5) / n0}
+    typical = {w for w, c in met[1].items() if c >= max(LEAST_TEXTS, LEAST_SHARE * n1) and c / n1 > TYPICAL * (met[0][w] + 0.5) / n0}
     own = [b" " + b" ".join(sorted(typical.intersection(words(t)))) + b" " for t in toxic]
     own = [s for s in own if len(s) > 8]
     plain = []
@@ -174,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for label, n in SAMPLE.items():
         some = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").collect()  # at most SAMPLE rows
-    rows = sorted({(r.doc_id, r.text, r.label) for r in rows})
+    texts = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = sorted((r.doc_id, r.text, r.label) for r in texts.collect())  # at most SAMPLE rows, a text for each id
     prior = sum(r[2] for r in rows) / len(rows) if rows else 0.0
     split = {(label, part): unlike([t for i, (_, t, y) in enumerate(r for r in rows if r[2] == label) if i % 2 == part]) for label in (0, 1) for part in (0, 1)}
     made = train(split[1, 0], split[0, 0])
