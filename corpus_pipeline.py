@@ -15,6 +15,8 @@ from wavemesh.llm import decontamination, mixing, ngram_join, sharding, toxicity
 from wavemesh.llm.shared import by_ids, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Ends of sources in the mix that are broadcast; beyond, a source's documents are dealt over so many tasks.
+MOST_CUTS, SALTS = 100_000, 64
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -45,7 +47,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, entries = mixing.mix(docs)
     cuts = stored(mixing.cuts(entries), "pipeline-cuts")  # a row per source and epoch
     queued = docs.select(*COLUMNS, F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"), mixing.place().alias("place"))
-    return queued.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, ["no_src", "src"]).where("place <= cut").select(*COLUMNS)
+    key = ["no_src", "src"]
+    if cuts.count() <= MOST_CUTS:
+        cuts = F.broadcast(cuts)
+    else:  # a source may hold a third of all documents, so each is dealt over several tasks
+        cuts = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        queued, key = queued.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int")), [*key, "salt"]
+    return queued.join(cuts, key).where("place <= cut").select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
