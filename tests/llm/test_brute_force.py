@@ -358,7 +358,7 @@ def test_lookup_table_is_filled_by_turns():
     assert sharding.lookup_table(shards, size) == [owner[x] for x in range(size)]
 
 
-def test_pipeline_mixes_as_the_operator_does(spark):
+def test_pipeline_mixes_as_the_operator_does(spark, monkeypatch):
     from collections import Counter
 
     import corpus_pipeline
@@ -368,6 +368,8 @@ def test_pipeline_mixes_as_the_operator_does(spark):
     docs = docs.unionByName(docs.where("doc_id % 9 = 0").withColumn("source", docs["source"].substr(9, 1)).withColumn("doc_id", docs["doc_id"] + 1000))
     got = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
     assert got == Counter(r.doc_id for r in mixing.mix(docs)[1].collect()) and max(got.values()) == 2
+    monkeypatch.setattr(corpus_pipeline, "MOST_CUTS", 1)
+    assert got == Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
 
 
 def test_ids_are_joined_alike_broadcast_or_not(spark, monkeypatch):
