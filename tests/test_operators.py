@@ -145,3 +145,12 @@ def test_methods(spark):
     assert len(rows) == 17 and len({r.method for r in rows}) == 5
     assert {r.method for r in policies.methods(spark, has_altitude=False).collect()} == {"MeshSydney (NSW)", "TennMesh", "Upstream proposed minimums (issue #2123)"}
     assert list(itertools.chain(*[[r.tx_delay] for r in rows if r.method == "TennMesh"])) == [0.3, 0.5, 1.0, 1.5, 2.0]
+
+
+def test_headlines(spark):
+    from wavemesh.operators import reports
+
+    names = "node success collided tx_busy delivered unique_deliveries relays airtime_ms redundant loop_detect hop_limit region_mismatch cannot_relay weak_signal contention".split()
+    rows = [(1, 3, 0, 0, 3, 0, 0, 0, 0, 5, 0, 0, 0, 0, 0), (2, 3, 0, 0, 3, 0, 0, 0, 0, 0, 0, 0, 2, 0, 0), (3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (4, 3, 0, 0, 3, 1, 2, 0, 0, 0, 0, 0, 0, 0, 0), (5, 3, 1, 0, 3, 1, 2, 0, 0, 0, 0, 0, 0, 1, 2)]
+    got = {r.node: r.headline for r in reports.headlines(spark.createDataFrame(rows, " int, ".join(names) + " int"), 1000).collect()}
+    assert got == {1: "relayed_none", 2: "cannot_relay", 3: "received_nothing", 4: "healthy", 5: "causes_contention"}

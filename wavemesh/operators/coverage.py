@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -66,6 +67,30 @@ def best_server(margins: DataFrame) -> DataFrame:
     return margins.groupBy("py", "px").agg(F.max("margin").alias("margin"), F.max_by("site", F.struct("margin", -F.col("site"))).alias("site")).where("margin >= 0")
 
 
+def tiers(positions: dict[str, DataFrame], grids: dict[str, DataFrame], elevation, radio: geo.Radio, km: float) -> DataFrame:
+    """tier, py, px, margin, site: the best servers of each grid for each kind of position, such as the reported and the
+    calibrated ones. positions: site, slat, slon, tx_m; grids: py, px, lat, lon."""
+    found = None
+    for p, sites in positions.items():
+        for g, at in grids.items():
+            ends = ("site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
+            part = best_server(path_margins(site_pixels(sites, at, km).select("py", "px", *ends), elevation, radio)).withColumn("tier", F.lit(f"{p}/{g}"))
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
+def preview(pin: DataFrame, at: DataFrame, sites: DataFrame, elevation, radio: geo.Radio, km: float = 35.0, keep: int = 8) -> tuple[DataFrame, DataFrame]:
+    """What a planned site would cover, py, px, margin of the pixels at 0 dB or more, and the sites that it would hear and
+    be heard by best: site, d, margin, rank. pin: site, slat, slon, tx_m, a row for the planned site; at: py, px, lat,
+    lon; sites: site, lat, lon."""
+    ends = ("site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
+    covered = path_margins(site_pixels(pin, at, km).select("py", "px", *ends), elevation, radio).where("margin >= 0").select("py", "px", "margin")
+    near = path_margins(site_pixels(pin, sites.withColumnRenamed("site", "other"), km).select("other", *ends), elevation, radio).where("margin >= 0")
+    best = W.partitionBy("site").orderBy(F.desc("margin"), "other")
+    ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
+    return covered, ranked.select(F.col("other").alias("site"), "d", "margin", "rank")
+
+
 def downsampled(raster: DataFrame, factor: int) -> DataFrame:
     """Means of blocks of factor x factor pixels over the covered ones; ragged edges count what they have."""
     return raster.groupBy(F.floor(F.col("py") / factor).alias("py"), F.floor(F.col("px") / factor).alias("px")).agg(F.avg("margin").alias("margin"))
@@ -100,8 +125,6 @@ def calibrated(positions: DataFrame, links: DataFrame, elevation, radio: geo.Rad
 
 def chain(points: DataFrame) -> DataFrame:
     """Neighbouring points of a route (route, seq, lat, lon): route, seq, d, of each hop."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("route").orderBy("seq")
     ahead = points.withColumns({"lat2": F.lead("lat").over(order), "lon2": F.lead("lon").over(order)}).where("lat2 IS NOT NULL")
     return ahead.withColumn("d", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))

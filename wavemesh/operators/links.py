@@ -90,6 +90,14 @@ def padded_bounds(sites: DataFrame, km: float) -> DataFrame:
     return sites.agg(F.min(F.col("lat") - lat_pad).alias("south"), F.max(F.col("lat") + lat_pad).alias("north"), F.min(F.col("lon") - lon_pad).alias("west"), F.max(F.col("lon") + lon_pad).alias("east"))
 
 
+def padded_box(sites: DataFrame, km: float) -> DataFrame:
+    """south, north, west, east of the box around all sites, padded as a whole: the pad in longitude is that at the middle
+    latitude; nulls without sites."""
+    box = sites.agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    lat_pad, lon_pad = F.lit(km / geo.KM_PER_LAT), km / (geo.KM_PER_LON * F.cos(F.radians((F.col("s") + F.col("n")) / 2)))
+    return box.select((F.col("s") - lat_pad).alias("south"), (F.col("n") + lat_pad).alias("north"), (F.col("w") - lon_pad).alias("west"), (F.col("e") + lon_pad).alias("east"))
+
+
 def edge_snr(seen: DataFrame, default: float = 20.0, clamp: float = 25.0) -> DataFrame:
     """a, b, snr: the first measured SNR of an edge, clamped; the default where none was measured. seen: a, b, ord, snr."""
     first = F.min_by(F.greatest(F.least("snr", F.lit(clamp)), F.lit(-clamp)), F.when(F.col("snr").isNotNull(), F.col("ord")))

@@ -121,3 +121,13 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: list[str])
 
 def identities(nodes: DataFrame) -> DataFrame:
     return nodes.select("public_key", codec.uuid_of(F.col("public_key")).alias("uuid"), type_code(F.col("role")).alias("node_type"))
+
+
+def reported(nodes: DataFrame, participation: DataFrame, positions: DataFrame, sites: DataFrame) -> DataFrame:
+    """nodes with relays (how many hops of packets they were, 0 without any), lat and lon moved to the calibrated position
+    where one was adopted, calibrated, and the site they belong to. participation: public_key, n; positions: public_key,
+    lat, lon; sites: public_key, site."""
+    seen = participation.groupBy("public_key").agg(F.sum("n").alias("relays"))
+    moved = positions.select("public_key", F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon"))
+    rows = nodes.join(seen, "public_key", "left").join(moved, "public_key", "left").join(sites.select("public_key", "site"), "public_key", "left")
+    return rows.withColumns({"relays": F.coalesce("relays", F.lit(0)), "calibrated": F.col("new_lat").isNotNull(), "lat": F.coalesce("new_lat", "lat"), "lon": F.coalesce("new_lon", "lon")}).drop("new_lat", "new_lon")

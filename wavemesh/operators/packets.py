@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import codec
+
 SERVER_CAP = 500
 
 
@@ -110,3 +112,16 @@ def with_raw_frames(packets: DataFrame, frames: DataFrame) -> DataFrame:
     frames: hash, raw_hex."""
     known = frames.where("hash <> '' AND raw_hex <> ''").groupBy(F.lower("hash").alias("hash")).agg(F.max(F.lower("raw_hex")).alias("raw_hex"))
     return packets.drop("raw_hex").join(known, "hash", "left").withColumn("raw_hex", F.coalesce("raw_hex", F.lit("")))
+
+
+def representatives(packets: DataFrame, hops: DataFrame) -> DataFrame:
+    """hash, id, path, snr: of each packet the first observation, which stands for it. packets: hash, id, heard_ms, snr."""
+    first = packets.groupBy("hash").agg(F.min(F.struct("heard_ms", "id", "snr")).alias("f")).select("hash", "f.id", "f.snr")
+    return first.join(paths(hops), "id", "left").select("hash", "id", F.coalesce("path", F.array().cast("array<string>")).alias("path"), "snr")
+
+
+def canonical(packets: DataFrame, scopes: DataFrame) -> DataFrame:
+    """packets (id, raw_hex and others) with the fields of their frame, null where it can't be read, and region, that of
+    their transport code. scopes: name, at most codec.MOST_REGIONS."""
+    regions = codec.regions_of(packets.select("id", "raw_hex"), scopes).select("id", "region")
+    return packets.withColumn("frame", codec.frame(F.col("raw_hex"))).join(regions, "id", "left")

@@ -131,6 +131,16 @@ def diagnoses(stats: DataFrame, window_ms: int) -> DataFrame:
     return stats.select("node", F.array_join(F.transform(F.sort_array(found), lambda x: x["n"]), ",").alias("findings"))
 
 
+def headlines(stats: DataFrame, window_ms: int) -> DataFrame:
+    """node, headline: what matters most about a node. relayed_none if it received packets, relayed none and isn't kept
+    from relaying; else its weightiest finding; else received_nothing, or healthy. stats: as for diagnoses."""
+    received = F.col("success") + F.col("collided")
+    found = diagnoses(stats, window_ms).select("node", F.split("findings", ",")[0].alias("first"))
+    rows = stats.select("node", "relays", "cannot_relay", received.alias("received")).join(found, "node")
+    case = F.when((F.col("received") > 0) & (F.col("relays") == 0) & (F.col("cannot_relay") == 0), "relayed_none").when(F.col("first") != "", F.col("first")).when(F.col("received") == 0, "received_nothing").otherwise("healthy")
+    return rows.select("node", case.alias("headline"))
+
+
 def contention_score(weights: tuple[float, float, float, float]) -> Column:
     return sum((F.col(c) * w for c, w in zip(("contention", "collided", "redundant", "duty_pct"), weights, strict=True)), F.lit(0.0))
 

@@ -1188,3 +1188,82 @@ def h15_raw_frames(t):
 @query("l5_retransmit_window", "SELECT id, 5 * CAST(trunc((200 + payload_len) * 0.5::DOUBLE) AS BIGINT) AS window_ms FROM mesh_packets")
 def l5_retransmit_window(t):
     return t.mesh_packets.select("id", lora.retransmit_window_ms(200 + F.col("payload_len"), F.lit(0.5)).alias("window_ms"))
+
+
+@query("p7_representatives", """WITH f AS (SELECT hash, id, snr FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY heard_ms, id) AS r FROM mesh_packets) WHERE r = 1),
+p AS (SELECT id, string_agg(lower(key), '/' ORDER BY pos) AS path FROM mesh_hops GROUP BY id) SELECT hash, f.id, coalesce(path, '') AS path, snr FROM f LEFT JOIN p ON p.id = f.id""")
+def p7_representatives(t):
+    return packets.representatives(t.mesh_packets, t.mesh_hops).withColumn("path", F.array_join("path", "/"))
+
+
+@query("j3_reported", f"""WITH {_RESOLVED}, r AS (SELECT public_key, count(*) AS n FROM h JOIN mesh_packets USING (id) WHERE route_type <> 2 GROUP BY public_key)
+SELECT m.public_key, coalesce(n, 0) AS relays, k % 4 = 0 AND lat IS NOT NULL AS calibrated, round(CASE WHEN k % 4 = 0 THEN lat + 0.001 ELSE lat END, 6) AS lat, CASE WHEN k % 3 > 0 THEN 'site-' || CAST(k % 3 AS VARCHAR) ELSE '' END AS site FROM mesh_nodes m LEFT JOIN r ON r.public_key = m.public_key""")
+def j3_reported(t):
+    counts = packets.participation(t.mesh_packets, t.mesh_hops, t.mesh_nodes, F.lit("#r"))
+    moved = t.mesh_nodes.where("k % 4 = 0 AND lat IS NOT NULL").select("public_key", (F.col("lat") + 0.001).alias("lat"), "lon")
+    sites = t.mesh_nodes.where("k % 3 > 0").select("public_key", F.concat(F.lit("site-"), (F.col("k") % 3).cast("string")).alias("site"))
+    return nodes.reported(t.mesh_nodes, counts, moved, sites).select("public_key", "relays", "calibrated", F.round("lat", 6).alias("lat"), F.coalesce("site", F.lit("")).alias("site"))
+
+
+@query("x_padded_box", "SELECT round(min(lat) - 12 / 110.574, 6) AS south, round(max(lat) + 12 / 110.574, 6) AS north, round(min(lon) - 12 / (111.32 * cos(radians((min(lat) + max(lat)) / 2))), 6) AS west, round(max(lon) + 12 / (111.32 * cos(radians((min(lat) + max(lat)) / 2))), 6) AS east FROM mesh_nodes WHERE lat IS NOT NULL")
+def x_padded_box(t):
+    b = links.padded_box(t.mesh_nodes.where("lat IS NOT NULL"), 12.0)
+    return b.select(*(F.round(c, 6).alias(c) for c in b.columns))
+
+
+@query("p4_canonical")
+def p4_canonical(t):
+    """Frames and regions of all packets; x1_frames and x2_regions hold both parts against SQL."""
+    raw = F.substring(F.concat(F.lpad(F.lower(F.hex((F.col("id") % 16) * 4)), 2, "0"), F.md5(F.concat(F.lit("h"), F.col("id").cast("string")))), 1, 30)
+    return packets.canonical(t.mesh_packets.withColumn("raw_hex", raw), t.mesh_scopes).select("id", F.col("frame").isNotNull().alias("readable"), "frame.payload_type", "region")
+
+
+@query("r12_phased_cover")
+def r12_phased_cover(t):
+    """What room servers cover, six greedily chosen repeaters besides, and what stays; tests hold it against brute force."""
+    role = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), "role")
+    cover = _cover(t).join(role, "site")
+    return coverage.phased_cover(role.select(F.col("site").alias("cell")), cover.where("role = 'room_server'"), cover.where("role = 'repeater'"), 6)
+
+
+@query("m4_headlines", f"""WITH {_STATS}, d AS (SELECT a.*, (SELECT count(*) FROM mesh_rx r WHERE r.node = a.node AND drop_reason = 'loop_detect') AS l, (SELECT count(*) FROM mesh_rx r WHERE r.node = a.node AND drop_reason = 'hop_limit') AS h,
+  (SELECT count(*) FROM mesh_rx r WHERE r.node = a.node AND drop_reason = 'weak_signal') AS k FROM a)
+SELECT node, CASE WHEN success + collided > 0 AND relays = 0 THEN 'relayed_none' WHEN node % 3 = 0 AND l > 0 THEN 'loop_detect_drops' WHEN node % 3 = 0 AND h > 0 THEN 'hop_limit_drops' WHEN redundant > 0 THEN 'redundant_relays' WHEN tx_busy > 0 THEN 'tx_busy_misses'
+WHEN airtime_ms >= 0.4 * 60000 THEN 'high_duty_cycle' WHEN k > 0 THEN 'weak_signal' WHEN collided > 0 THEN 'own_receptions_collided' WHEN success + collided = 0 THEN 'received_nothing' ELSE 'healthy' END AS headline FROM d""")
+def m4_headlines(t):
+    why = t.mesh_rx.groupBy("node").pivot("drop_reason", ["loop_detect", "hop_limit", "region_mismatch", "cannot_relay", "weak_signal"]).count()
+    stats = reports.node_stats(t.mesh_tx, t.mesh_rx).join(why, "node", "left").na.fill(0).withColumn("contention", F.lit(0))
+    # a node in three has drops of its own making
+    own = [F.when(F.col("node") % 3 == 0, F.col(c)).otherwise(0).alias(c) for c in ("loop_detect", "hop_limit")]
+    return reports.headlines(stats.select(*own, *(c for c in stats.columns if c not in ("loop_detect", "hop_limit"))), 60_000)
+
+
+@query("r9_preview", f"""WITH x AS (SELECT 'pixel' AS kind, py AS a, px AS b, 57.0 - (py + 0.5) * (1.0 / 12) AS lat, -4.5 + (px + 0.5) * (1.5 / 16) AS lon FROM range(12) a(py) CROSS JOIN range(16) b(px) UNION ALL SELECT 'site', k, 0, lat, lon FROM mesh_nodes WHERE lat IS NOT NULL),
+p AS (SELECT *, 56.48 AS slat, -3.81 AS slon, {_duck_hills('56.48', '-3.81')} + 1 AS tx, {duck_haversine('56.48', '-3.81', 'lat', 'lon')} AS d FROM x),
+q AS (SELECT *, CAST(least(greatest(floor(d / 0.05), 8), 300) AS INT) AS n FROM p WHERE d >= 0.01 AND d <= 35), i AS (SELECT *, unnest(range(1, n)) AS i FROM q),
+v AS (SELECT kind, a, b, d, {_duck_margin('slat', 'slon', 'tx', 'lat', 'lon', 'd')} AS v FROM i), m AS (SELECT kind, a, b, round({_MARGIN}, 5) AS margin FROM v GROUP BY kind, a, b, d),
+r AS (SELECT kind, a, CASE WHEN kind = 'site' THEN row_number() OVER (PARTITION BY kind ORDER BY margin DESC, a) ELSE b END AS b, margin FROM m WHERE margin >= 0) SELECT kind, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, margin FROM r WHERE kind = 'pixel' OR b <= 8""")
+def r9_preview(t):
+    pin = t.spark.range(1).select(F.col("id").alias("site"), F.lit(56.48).alias("slat"), F.lit(-3.81).alias("slon"), (hills(F.lit(56.48), F.lit(-3.81)) + RADIO.antenna_m).alias("tx_m"))
+    at = coverage.pixels((56.0, 57.0, -4.5, -3.0), 16, 12, t.spark)
+    covered, near = coverage.preview(pin, at, t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), "lat", "lon"), hills, RADIO)
+    long = lambda *c: [F.col(x).cast("long").alias(y) for x, y in zip(c, "ab", strict=True)]
+    return covered.select(F.lit("pixel").alias("kind"), *long("py", "px"), F.round("margin", 5).alias("margin")).unionByName(near.select(F.lit("site").alias("kind"), *long("site", "rank"), F.round("margin", 5).alias("margin")))
+
+
+def _tier_sql(name: str, lat: str, width: int, height: int) -> str:
+    sql = _RASTER.replace("(1.0 / 12)", f"(1.0 / {height})").replace("(1.5 / 16)", f"(1.5 / {width})").replace("range(12)", f"range({height})").replace("range(16)", f"range({width})")
+    sql = sql.replace("lat AS slat, lon AS slon", f"{lat} AS slat, lon AS slon").replace(f"{_duck_hills('lat', 'lon')} + 1 AS tx", f"{_duck_hills(lat, 'lon')} + 1 AS tx")
+    return f"SELECT * FROM ({sql} SELECT '{name}' AS tier, count(*) AS cells, round(avg(margin), 4) AS mean FROM b)"
+
+
+_MOVED = "(CASE WHEN k % 4 = 0 THEN lat + 0.002 ELSE lat END)"
+
+
+@query("r5_tiers", " UNION ALL ".join(_tier_sql(f"{p}/{g}", lat, w, h) for p, lat in (("reported", "lat"), ("calibrated", _MOVED)) for g, w, h in (("standard", 8, 6), ("precision", 16, 12))))
+def r5_tiers(t):
+    site = lambda lat: t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), lat.alias("slat"), F.col("lon").alias("slon"), (hills(lat, F.col("lon")) + RADIO.antenna_m).alias("tx_m"))
+    moved = F.when(F.col("k") % 4 == 0, F.col("lat") + 0.002).otherwise(F.col("lat"))
+    grid = lambda w, h: coverage.pixels((56.0, 57.0, -4.5, -3.0), w, h, t.spark)
+    made = coverage.tiers({"reported": site(F.col("lat")), "calibrated": site(moved)}, {"standard": grid(8, 6), "precision": grid(16, 12)}, hills, RADIO, 40.0)
+    return made.groupBy("tier").agg(F.count("*").alias("cells"), F.round(F.avg("margin"), 4).alias("mean"))
