@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, flat_graph, line_dedup, mixing, ngram_join, pii, sharding, tokens, toxicity
+from . import chat, decontamination, filter_audit, flat_graph, hnsw, line_dedup, mixing, ngram_join, pii, sharding, tokens, toxicity, whitening
 from .shared import WORD
 
 
@@ -176,5 +176,55 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op7_embeddings": op7_embeddings, "op8_line_dedup": op8_line_dedup, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding}
-ORACLE_SQL = {"op1_ngram_join": OP1_SQL, "op7_embeddings": OP7_SQL, "op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters takes in every order, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT unnest(range(5)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (
+  SELECT array_to_string(list_transform(o, lambda i: chr(CAST(65 + i AS INT))), '') AS filter_order, (x.i + 1)::INT AS step, (1 << o[x.i + 1])::INT AS own,
+    coalesce(list_sum(list_transform(o[1:x.i], lambda i: 1 << i)), 0)::INT AS before FROM o, x),
+r AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (mask & (own | before) = 0) AS kept, sum(n) FILTER (mask & own <> 0 AND mask & before = 0) AS removed,
+    sum(n) FILTER (mask & own <> 0 AND mask & before <> 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+    sum(good) FILTER (mask & own <> 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM r
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector projected on the 16 leading components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every fiftieth."""
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)[0]
+
+
+OP13_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, len(embedding) AS n FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.n = b.n AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+QUERIES = {
+    "op1_ngram_join": op1_ngram_join, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_tokens": op4_tokens, "op7_embeddings": op7_embeddings, "op8_line_dedup": op8_line_dedup, "op10_pii": op10_pii, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding,
+    "op11_filter_audit": op11_filter_audit, "op12_whitening": op12_whitening, "op13_nearest": op13_nearest}
+ORACLE_SQL = {"op1_ngram_join": OP1_SQL, "op7_embeddings": OP7_SQL, "op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL, "op11_filter_audit": OP11_SQL, "op13_nearest": OP13_SQL}

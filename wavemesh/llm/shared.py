@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,32 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs that run send so many rows at a time to Python; afterwards the caller's setting holds again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def merged(rows: DataFrame, merge: Callable[[list[bytes]], bytes], fan: int = 16) -> bytes | None:
+    """What is left when all rows (id int, blob binary; ids from 0 on) are merged, fan at a time, level by level."""
+
+    def run(t: pa.Table) -> pa.Table:
+        blobs = sorted(zip(t.column("id").to_pylist(), t.column("blob").to_pylist(), strict=True))
+        return pa.table({"id": pa.array([t.column("to")[0].as_py()], pa.int32()), "blob": pa.array([merge([x for _, x in blobs])], pa.binary())})
+
+    rows = stored(rows, "merge")
+    while rows.count() > 1:
+        rows = stored(rows.withColumn("to", F.floor(F.col("id") / fan).cast("int")).groupBy("to").applyInArrow(run, "id int, blob binary"), "merge")
+    found = rows.first()
+    return bytes(found.blob) if found else None
+
+
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PLACE = [np.uint64(xxhash.xxh64_intdigest(bytes([i])) | 1) for i in range(SHINGLE)]
 
