@@ -223,11 +223,12 @@ def _read(t: pa.Table) -> tuple[pa.Table, Graph]:
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows, summed in the order of the dimensions."""
     total = lambda x: np.add.accumulate(x, axis=1)[:, -1]
-    with np.errstate(over="ignore", invalid="ignore"):
-        out = total(a * b) / np.sqrt(total(a * a) * total(b * b))
-    odd = ~np.isfinite(out)
-    if odd.any():  # squares too large or too small for doubles
-        out[odd] = np.add.accumulate(unit(a[odd]) * unit(b[odd]), axis=1)[:, -1]
+    with np.errstate(all="ignore"):
+        both = total(a * a) * total(b * b)
+        out = total(a * b) / np.sqrt(both)
+    odd = ~((both > 1e-280) & (both < 1e300))  # squares too large or too small for doubles
+    if odd.any():
+        out[odd] = total(unit(a[odd]) * unit(b[odd]))
     return np.clip(out, -1.0, 1.0)
 
 
