@@ -51,9 +51,9 @@ def test_region_of_a_packet_by_its_code(spark):
 
 
 def test_ambiguous_and_unknown_prefixes_resolve_to_nothing(spark):
-    keys = spark.createDataFrame([("aabbcc01",), ("aabbcc02",), ("096EB3FF",)], "public_key string")
-    hops = spark.createDataFrame([(1, 0, "aabbcc"), (1, 1, "096eb3"), (1, 2, "112233"), (1, 3, "")], "id long, pos int, prefix string")
-    assert [(r.pos, r.public_key) for r in packets.resolved_hops(hops, keys).collect()] == [(1, "096eb3ff")]
+    keys = spark.createDataFrame([("aabbcc01",), ("aabbcc02",), ("70D1E5FF",)], "public_key string")
+    hops = spark.createDataFrame([(1, 0, "aabbcc"), (1, 1, "70d1e5"), (1, 2, "112233"), (1, 3, "")], "id long, pos int, prefix string")
+    assert [(r.pos, r.public_key) for r in packets.resolved_hops(hops, keys).collect()] == [(1, "70d1e5ff")]
 
 
 def undirected(spark, edges):
@@ -63,15 +63,40 @@ def undirected(spark, edges):
 @pytest.mark.parametrize(
     ("edges", "cut"),
     [
-        ([(0, 1), (1, 2), (2, 3), (3, 4)], {1, 2, 3}),
-        ([(i, (i + 1) % 6) for i in range(6)], set()),
-        ([(0, 1), (1, 2), (2, 0), (0, 3), (3, 4), (4, 0)], {0}),
+        ([(7, 3), (3, 9), (9, 1)], {3, 9}),
+        ([(2, 5), (5, 8), (8, 4), (4, 2)], set()),
+        ([(1, 6), (6, 8), (8, 1), (8, 9), (9, 3), (3, 7), (7, 8), (7, 9)], {8}),
     ],
 )
 def test_articulation_points(spark, edges, cut):
-    n = undirected(spark, edges)
-    component = n.select(F.col("a").alias("id")).distinct().withColumn("component", F.lit(0))
-    assert {r.id for r in graph.articulation_points(n, component).collect()} == cut
+    assert {r.id for r in graph.articulation_points(undirected(spark, edges)).collect()} == cut
+
+
+def test_links_to_missing_nodes_drop_out(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 2), (2, 900), (-4, 1), (3, 2)], "a long, b long")
+    assert sorted(tuple(r) for r in graph.undirected(links, spark.range(1, 5)).collect()) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+
+
+def test_marginal_coverage_equals_two_paths(spark):
+    import random
+
+    rnd = random.Random(11)
+    edges = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(150)} | {(60, i) for i in range(0, 60, 2)}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {i: sum(not any(b in near[c] for c in near[i] if c != b) for b in near.get(i, ())) for i in range(63)}
+    got = {r.id: r.marginal for r in graph.marginal_coverage(undirected(spark, edges), spark.range(63)).collect()}
+    assert got == want and 0 < sum(want.values())
+
+
+def test_a_hub_makes_no_pairs_of_its_leaves(spark):
+    star = spark.range(1, 100_001).selectExpr("0L AS a", "id AS b")
+    both = star.unionByName(star.selectExpr("b AS a", "a AS b"))
+    assert graph.in_triangles(both).count() == 0
+    got = graph.marginal_coverage(both, spark.range(100_001))
+    assert got.where("id = 0").first().marginal == 100_000 and got.where("marginal = 1").count() == 100_000
 
 
 def test_marginal_coverage_of_a_star(spark):
@@ -154,5 +179,7 @@ def test_status_limits_are_included(spark):
 
 
 def test_overlaps_are_counted_once(spark):
-    tx = spark.createDataFrame([(1, 1, 0, 5000), (2, 2, 4999, 10), (3, 3, 5000, 10), (4, 1, 100, 10)], "id long, node long, start_ms long, air_ms long")
-    assert sorted((r.a, r.b, r.overlap_ms) for r in reports.overlapping(tx, 1000).collect()) == [(1, 2, 1), (2, 3, 9)]
+    rows = [(1, 1, 0, 5000), (2, 2, 4999, 10), (3, 3, 5000, 10), (4, 1, 100, 10)]
+    tx = spark.createDataFrame([(n, *r) for n in (7, 8) for r in rows if r[0] + n != 11], "listener long, id long, node long, start_ms long, air_ms long")
+    got = sorted((r.listener, r.a, r.b, r.overlap_ms) for r in reports.overlapping(tx, 1000).collect())
+    assert got == [(7, 1, 2, 1), (7, 2, 3, 9), (8, 1, 2, 1)]

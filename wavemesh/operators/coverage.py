@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import links, terrain
 from .lineage import kept
 
 
@@ -22,24 +23,25 @@ def bilinear(points: DataFrame, grid: DataFrame, rows: int, cols: int) -> DataFr
     return asked.join(grid, ["gy", "gx"]).groupBy("id").agg(F.sum(F.col("elev") * F.col("wy") * F.col("wx")).alias("elev"))
 
 
-def path_margins(paths: DataFrame, elevation, radio: geo.Radio) -> DataFrame:
+def path_margins(paths: DataFrame, ground, radio: geo.Radio, rx_ground: str | None = None, rx_height: Column | None = None) -> DataFrame:
     """paths (id, lat1, lon1, tx_m above sea, lat2, lon2, d km) with margin: free space and the worst knife edge of the
-    terrain, earth curvature included. elevation(lat, lon) is a column expression.
+    terrain, earth curvature included. ground: terrain.Tiles, or a function of latitude and longitude columns; rx_ground
+    names the column with the elevation at the receiver, if it is known; rx_height is its height in metres, else the radio's.
 
     A path's samples are rows that compiled code goes through and a partial maximum takes in where they are, so what is
-    shuffled is a row for each path; rows that repeat are counted and given back as often."""
-    wave = geo.LIGHT / (radio.frequency_mhz * 1e6)
+    shuffled is a row for each path; rows that repeat are counted and given back as often. Stored tiles are met by pieces
+    of paths."""
     n = F.least(F.greatest(F.floor(F.col("d") / 0.05), F.lit(8)), F.lit(300)).cast("int")
-    rx = elevation(F.col("lat2"), F.col("lon2")) + radio.rx_height_m
-    rows = paths.withColumns({"_n": n, "_rx": rx}).select("*", F.explode(F.sequence(F.lit(1), F.col("_n") - 1)).alias("_i"))
-    f = F.col("_i") / F.col("_n")
-    lat, lon = F.col("lat1") + (F.col("lat2") - F.col("lat1")) * f, F.col("lon1") + (F.col("lon2") - F.col("lon1")) * f
-    d1 = F.col("d") * 1000 * f
-    d2 = F.col("d") * 1000 - d1
-    ground = elevation(lat, lon) - d1 * d2 / (2 * geo.REFRACTION * geo.EARTH_KM * 1000)
-    over = ground - (F.col("tx_m") + (F.col("_rx") - F.col("tx_m")) * f)
-    v = over * F.sqrt((2 / wave) * (1 / d1 + 1 / d2))
-    worst = rows.groupBy(*paths.columns).agg(F.max(v).alias("_worst"), F.count(F.when(F.col("_i") == 1, 1)).alias("_times"))
+    rows = paths.withColumn("_rx", F.col(rx_ground)) if rx_ground else terrain.with_ground(paths, ground, "lat2", "lon2", "_rx")
+    rows = rows.withColumns({"_n": n, "_rx": F.col("_rx") + (F.lit(radio.rx_height_m) if rx_height is None else rx_height)})
+    if isinstance(ground, terrain.Tiles):
+        worst = terrain.worst_obstructions(rows, ground, radio)
+    else:
+        samples = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("_n") - 1)).alias("_i"))
+        f = F.col("_i") / F.col("_n")
+        lat, lon = F.col("lat1") + (F.col("lat2") - F.col("lat1")) * f, F.col("lon1") + (F.col("lon2") - F.col("lon1")) * f
+        v = terrain.obstruction(radio, ground(lat, lon), F.col("d"), f, F.col("tx_m"), F.col("_rx"))
+        worst = samples.groupBy(*paths.columns).agg(F.max(v).alias("_worst"), F.count(F.when(F.col("_i") == 1, 1)).alias("_times"))
     margin = geo.bearing_margin(radio, F.col("d"), F.col("_worst"))
     return worst.select(*paths.columns, margin.alias("margin"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("col")
 
@@ -52,14 +54,8 @@ def pixels(bounds: tuple[float, float, float, float], width: int, height: int, s
 
 
 def site_pixels(sites: DataFrame, at: DataFrame, km: float) -> DataFrame:
-    """Pixels and the sites (site, slat, slon, tx_m) from 10 m up to km away, with d.
-
-    Both sides go to cells of a latitude band as high as the range, so that a site meets its own and two more bands."""
-    band = km / geo.KM_PER_LAT
-    near = sites.select("*", F.explode(F.sequence(F.floor(F.col("slat") / band) - 1, F.floor(F.col("slat") / band) + 1)).alias("band"))
-    d = geo.haversine_km(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))
-    wide = F.abs(F.col("lon") - F.col("slon")) * geo.KM_PER_LON * F.cos(F.radians(F.greatest(F.abs("lat"), F.abs("slat")))) <= km * 1.05
-    return at.withColumn("band", F.floor(F.col("lat") / band)).join(near, "band").where(wide).withColumn("d", d).where(f"d >= 0.01 AND d <= {km!r}D")
+    """Pixels and the sites (site, slat, slon, tx_m) from 10 m up to km away, with d. They meet by the cells of a grid."""
+    return links.within(at, sites, km).where("d >= 0.01")
 
 
 def best_server(margins: DataFrame) -> DataFrame:
@@ -67,25 +63,61 @@ def best_server(margins: DataFrame) -> DataFrame:
     return margins.groupBy("py", "px").agg(F.max("margin").alias("margin"), F.max_by("site", F.struct("margin", -F.col("site"))).alias("site")).where("margin >= 0")
 
 
-def tiers(positions: dict[str, DataFrame], grids: dict[str, DataFrame], elevation, radio: geo.Radio, km: float) -> DataFrame:
+def bounded_best_server(sites: DataFrame, at: DataFrame, ground, radio: geo.Radio, km: float, stages: tuple[int, ...] = (2, 8)) -> DataFrame:
+    """py, px, margin, site, traced: the strongest site of each pixel as by best_server, by branch and bound.
+
+    No terrain makes a path better than free space, so the nearest site has the highest bound. The nearest few sites of a
+    pixel are traced first; then, stage by stage, the next ones whose bound isn't below the best margin found so far, and
+    at last all of these. traced counts a pixel's paths; pixels without any covering site have no row. sites: site, slat,
+    slon, tx_m; at: py, px, lat, lon."""
+    at = kept(terrain.with_ground(at.select("py", "px", "lat", "lon"), ground, "lat", "lon", "ground"))
+    sites = sites.select("site", "slat", "slon", "tx_m")
+    bound = F.lit(radio.budget_db) - geo.free_space_db(F.col("d"), radio.frequency_mhz)
+    pairs = site_pixels(sites, at, km).withColumn("bound", bound).where("bound >= 0")
+    nearest = W.partitionBy("py", "px").orderBy("d", "site")
+    state = None
+    for most in (*stages, None):
+        left = pairs
+        if state is not None:  # of equal margins the least site is chosen, so an equal bound is still traced
+            left = left.join(state, ["py", "px"]).where("(d > last.d OR d = last.d AND site > last.site) AND (best IS NULL OR bound >= best.margin - 1e-9)").drop("best", "last", "traced")
+        if most is not None:
+            left = left.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= most).drop("rank")
+        paths = left.select("py", "px", "site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d", "ground")
+        here = path_margins(paths, ground, radio, "ground").groupBy("py", "px").agg(F.max(F.when(F.col("margin") >= 0, F.struct("margin", (-F.col("site")).alias("minus")))).alias("best"), F.max(F.struct("d", "site")).alias("last"), F.count("*").alias("traced"))
+        state = here if state is None else state.unionByName(here).groupBy("py", "px").agg(F.max("best").alias("best"), F.max("last").alias("last"), F.sum("traced").alias("traced"))
+        state = kept(state)
+    return state.where("best IS NOT NULL").select("py", "px", "best.margin", (-F.col("best.minus")).alias("site"), "traced")
+
+
+def supersampled(sites: DataFrame, bounds: tuple[float, float, float, float], width: int, ground, radio: geo.Radio, km: float, factor: int = 1) -> DataFrame:
+    """py, px, margin of a raster with square pixels over bounds (south, north, west, east), each the mean of the covered
+    ones of factor x factor finer pixels. The height follows from the bounds, as in geo.raster_height."""
+    s, n, w, e = bounds
+    wide, high = (e - w) * geo.KM_PER_LON * math.cos(math.radians((s + n) / 2)), (n - s) * geo.KM_PER_LAT
+    height = max(1, math.floor(width * high / wide + 0.5)) if wide > 0 and high > 0 and width > 0 else 0
+    fine = pixels(bounds, width * factor, height * factor, sites.sparkSession)
+    return downsampled(bounded_best_server(sites, fine, ground, radio, km), factor)
+
+
+def tiers(positions: dict[str, DataFrame], grids: dict[str, DataFrame], ground, radio: geo.Radio, km: float) -> DataFrame:
     """tier, py, px, margin, site: the best servers of each grid for each kind of position, such as the reported and the
     calibrated ones. positions: site, slat, slon, tx_m; grids: py, px, lat, lon."""
     found = None
     for p, sites in positions.items():
         for g, at in grids.items():
             ends = ("site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
-            part = best_server(path_margins(site_pixels(sites, at, km).select("py", "px", *ends), elevation, radio)).withColumn("tier", F.lit(f"{p}/{g}"))
+            part = best_server(path_margins(site_pixels(sites, at, km).select("py", "px", *ends), ground, radio)).withColumn("tier", F.lit(f"{p}/{g}"))
             found = part if found is None else found.unionByName(part)
     return found
 
 
-def preview(pin: DataFrame, at: DataFrame, sites: DataFrame, elevation, radio: geo.Radio, km: float = 35.0, keep: int = 8) -> tuple[DataFrame, DataFrame]:
+def preview(pin: DataFrame, at: DataFrame, sites: DataFrame, ground, radio: geo.Radio, km: float = 35.0, keep: int = 8) -> tuple[DataFrame, DataFrame]:
     """What a planned site would cover, py, px, margin of the pixels at 0 dB or more, and the sites that it would hear and
     be heard by best: site, d, margin, rank. pin: site, slat, slon, tx_m, a row for the planned site; at: py, px, lat,
     lon; sites: site, lat, lon."""
     ends = ("site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
-    covered = path_margins(site_pixels(pin, at, km).select("py", "px", *ends), elevation, radio).where("margin >= 0").select("py", "px", "margin")
-    near = path_margins(site_pixels(pin, sites.withColumnRenamed("site", "other"), km).select("other", *ends), elevation, radio).where("margin >= 0")
+    covered = path_margins(site_pixels(pin, at, km).select("py", "px", *ends), ground, radio).where("margin >= 0").select("py", "px", "margin")
+    near = path_margins(site_pixels(pin, sites.withColumnRenamed("site", "other"), km).select("other", *ends), ground, radio).where("margin >= 0")
     best = W.partitionBy("site").orderBy(F.desc("margin"), "other")
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
     return covered, ranked.select(F.col("other").alias("site"), "d", "margin", "rank")
@@ -105,18 +137,19 @@ def candidates(nodes: DataFrame, max_offset_m: float, step_m: float = 50.0, angl
     return moved.select("node", "s.ring", "s.angle", (F.col("lat") + F.col("s.north") / geo.KM_PER_LAT).alias("lat"), (F.col("lon") + F.col("s.east") / (geo.KM_PER_LON * F.cos(F.radians("lat")))).alias("lon"))
 
 
-def calibrated(positions: DataFrame, links: DataFrame, elevation, radio: geo.Radio, min_links: int = 2, needs: float = 5.0, improvement_pct: float = 20.0) -> DataFrame:
+def calibrated(positions: DataFrame, seen: DataFrame, ground, radio: geo.Radio, min_links: int = 2, needs: float = 5.0, improvement_pct: float = 20.0) -> DataFrame:
     """node, ring, angle, before, after, adopted: the candidate whose links fall short of a comfortable margin least.
 
     A shortfall counts by the log of the link's observations. A node without enough links, or whose reported position
     falls short by less than needed, keeps its place; so does one whose best candidate doesn't improve enough.
-    links: node, plat, plon (null ones count as links only), bottleneck."""
-    enough = links.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= min_links).select("node")
-    usable = links.where("plat IS NOT NULL AND plon IS NOT NULL AND bottleneck > 0").join(enough, "node", "left_semi")
+    seen: node, plat, plon (null ones count as links only), bottleneck, the links; ground: as for path_margins."""
+    enough = seen.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= min_links).select("node")
+    usable = seen.where("plat IS NOT NULL AND plon IS NOT NULL AND bottleneck > 0").join(enough, "node", "left_semi")
+    positions = terrain.with_ground(positions, ground, "lat", "lon", "ground")
     rows = positions.join(usable, "node").withColumn("d", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where("d >= 0.01")
-    rows = rows.select("node", "ring", "angle", "bottleneck", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (elevation(F.col("lat"), F.col("lon")) + radio.antenna_m).alias("tx_m"), F.col("plat").alias("lat2"), F.col("plon").alias("lon2"), "d")
+    rows = rows.select("node", "ring", "angle", "bottleneck", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("ground") + radio.antenna_m).alias("tx_m"), F.col("plat").alias("lat2"), F.col("plon").alias("lon2"), "d")
     short = F.log1p("bottleneck") * F.greatest(F.lit(0.0), radio.green_db - F.col("margin"))
-    scores = path_margins(rows, elevation, radio).groupBy("node", "ring", "angle").agg(F.sum(short).alias("score"))
+    scores = path_margins(rows, ground, radio).groupBy("node", "ring", "angle").agg(F.sum(short).alias("score"))
     best = scores.groupBy("node").agg(F.max(F.when(F.col("ring") == 0, F.col("score"))).alias("before"), F.min(F.struct(F.round("score", 9).alias("r"), "ring", "angle", "score")).alias("b"))
     gained = (F.col("before") - F.col("b.score")) / F.col("before") * 100
     adopted = (F.col("before") > 0) & (F.col("before") >= needs) & (F.col("b.ring") > 0) & (gained >= improvement_pct)
@@ -154,3 +187,20 @@ def phased_cover(samples: DataFrame, existing: DataFrame, candidates: DataFrame,
     new = candidates.join(picks.select("site"), "site", "left_semi").select("cell").distinct()
     count = lambda df, phase: df.agg(F.lit(phase).alias("phase"), F.lit(0).alias("pick"), F.lit(None).cast("long").alias("site"), F.count("*").alias("gain"))
     return count(done, 0).unionByName(picks.select(F.lit(1).alias("phase"), "pick", "site", "gain")).unionByName(count(left.join(new, "cell", "left_anti"), 2))
+
+
+def terrain_links(sites: DataFrame, ground, radio: geo.Radio, km: float = 35.0) -> DataFrame:
+    """a, b, margin, snr: which sites hear which over the terrain, from a to b. Both ends have heights of their own; a
+    site's own power counts in full; only sites of equal channel meet, and the SNR is at b's spreading factor.
+
+    sites: id, lat, lon, height_m (null: the radio's), power_dbm (null: the radio's), channel, sf."""
+    height = F.coalesce("height_m", F.lit(radio.antenna_m))
+    placed = terrain.with_ground(sites.where("lat IS NOT NULL AND lon IS NOT NULL"), ground, "lat", "lon", "ground")
+    placed = kept(placed.select("id", "lat", "lon", "ground", height.alias("height"), F.coalesce("power_dbm", F.lit(radio.tx_power_dbm)).alias("power"), "channel", "sf"))
+    senders = placed.select(F.col("id").alias("a"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (F.col("ground") + F.col("height")).alias("tx_m"), "power", F.col("channel").alias("from_channel"))
+    pairs = links.within(placed.select(F.col("id").alias("b"), "lat", "lon", "ground", "height", "channel", "sf"), senders, km).where("a <> b AND channel = from_channel")
+    paths = pairs.select("a", "b", "power", "sf", "ground", "height", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
+    margin = F.col("margin") + F.col("power") - radio.tx_power_dbm
+    heard = path_margins(paths, ground, radio, "ground", F.col("height")).select("a", "b", "sf", margin.alias("margin")).where("margin >= 0")
+    floor = -7.5 - 2.5 * (F.greatest(F.lit(7), F.least("sf", F.lit(12))) - 7)
+    return heard.select("a", "b", "margin", (F.col("margin") + floor).alias("snr"))

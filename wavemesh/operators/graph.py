@@ -34,7 +34,7 @@ def reached(links: DataFrame, start: DataFrame, relays: DataFrame | None = None,
         front = kept(ahead.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(step)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = kept(seen.unionByName(front))
     else:
         raise RuntimeError(f"nodes were still being reached after {most_steps} steps")
     return seen
@@ -79,10 +79,25 @@ def shortest_path(links: DataFrame, a: int, b: int, most_hops: int = 64) -> list
     return list(end[0]) if end else []
 
 
+def in_triangles(neighbours: DataFrame) -> DataFrame:
+    """a, b, both ways, of the edges that lie on a triangle. neighbours: a, b both ways, distinct, a <> b.
+
+    Edges point from the node of fewer neighbours to that of more, so a hub has few edges of its own to pair up: two edges
+    that leave a node make a triangle if their ends are joined, and no other pairs are looked at."""
+    degree = neighbours.groupBy("a").agg(F.count("*").alias("n"))
+    known = neighbours.join(degree, "a").join(degree.selectExpr("a AS b", "n AS m"), "b")
+    ahead = kept(known.where("n < m OR n = m AND a < b").select("a", "b", "m"))
+    first, second = ahead.selectExpr("a", "b", "m"), ahead.selectExpr("a", "b AS c", "m AS o")
+    pairs = first.join(second, "a").where("m < o OR m = o AND b < c").select("a", "b", "c")
+    found = kept(pairs.join(ahead.selectExpr("a AS b", "b AS c"), ["b", "c"], "left_semi"))
+    sides = found.select("a", "b").unionByName(found.selectExpr("a", "c AS b")).unionByName(found.selectExpr("b AS a", "c AS b"))
+    return sides.unionByName(sides.selectExpr("b AS a", "a AS b")).distinct()
+
+
 def marginal_coverage(neighbours: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, marginal: how many neighbours of a node no other neighbour of it reaches. neighbours: a, b both ways."""
-    second = neighbours.alias("x").join(neighbours.alias("y"), F.expr("x.b = y.a")).selectExpr("x.a AS a", "y.b AS b").distinct()
-    alone = neighbours.join(second, ["a", "b"], "left_anti").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("marginal"))
+    """id, marginal: how many neighbours of a node no other neighbour of it reaches, which are those over edges on no
+    triangle. neighbours: a, b both ways, distinct."""
+    alone = neighbours.join(in_triangles(neighbours), ["a", "b"], "left_anti").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("marginal"))
     return nodes.select("id").join(alone, "id", "left").select("id", F.coalesce("marginal", F.lit(0)).alias("marginal"))
 
 

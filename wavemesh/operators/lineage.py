@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, for what is wide and read column by column again and again; it goes
+    when the application ends."""
+    spark = df.sparkSession
+    kept(spark.range(0))  # sees to the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder all executors share; a folder of our own only on one machine."""
     context = df.sparkSession.sparkContext

@@ -52,6 +52,25 @@ def pairs_in_range(sites: DataFrame, km: float) -> DataFrame:
     return home.join(near, ["row", "col"]).where("id <> b").select(F.col("id").alias("a"), "b", d.alias("d")).where(F.col("d") <= km)
 
 
+def within(at: DataFrame, sites: DataFrame, km: float, fine: int = 2) -> DataFrame:
+    """Rows of at (lat, lon, ...) and the sites (slat, slon, ...) up to km away, with d.
+
+    Both go to the cells of a grid, `fine` to a range: a row to its own, a site to all that its range reaches, so that this
+    is an equi-join. A cell is as high as wide at its row's latitude furthest from the equator; how many degrees of longitude a range spans there is exact."""
+    step = km / geo.KM_PER_LAT / fine
+    far = lambda row: F.least(F.greatest(F.abs(row * step), F.abs((row + 1) * step)), F.lit(89.9))
+    wide = lambda row: step / F.cos(F.radians(far(row)))
+    home = at.withColumn("_row", F.floor(F.col("lat") / step)).withColumn("_col", F.floor(F.col("lon") / wide(F.col("_row"))))
+    reach = fine + 1
+    spread = sites.withColumn("_row", F.explode(F.sequence(F.floor(F.col("slat") / step) - reach, F.floor(F.col("slat") / step) + reach)))
+    # half the angle between meridians that a chord of the range can span between both latitudes
+    half = F.sin(F.lit(km / (2 * geo.EARTH_KM))) / F.sqrt(F.cos(F.radians("slat")) * F.cos(F.radians(far(F.col("_row")))))
+    span = F.degrees(2 * F.asin(F.least(F.lit(1.0), half))) + 1e-6
+    spread = spread.withColumn("_span", span).withColumn("_col", F.explode(F.sequence(F.floor((F.col("slon") - F.col("_span")) / wide(F.col("_row"))), F.floor((F.col("slon") + F.col("_span")) / wide(F.col("_row")))))).drop("_span")
+    d = geo.haversine_km(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))
+    return home.join(spread, ["_row", "_col"]).withColumn("d", d).where(F.col("d") <= km).drop("_row", "_col")
+
+
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k partners of least distance of each site. pairs: a, b, d."""
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)

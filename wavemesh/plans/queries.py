@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, geo, lora, regions
 from ..operators import coverage, episodes, evidence, graph, links, nodes, operations, packets, policies, replay, reports
 from ..operators.lineage import kept
 from ..sources import readers
-from .views import Tables, oracle
+from .registry import DUCK_MARGIN, ORACLE_SQL, QUERIES, RADIO, duck_haversine, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: The moment as of which nodes are judged.
 AS_OF = 1_706_572_800_000
@@ -23,21 +19,6 @@ BOUNDARY = [[[(-5.0, 55.5), (-1.5, 55.5), (-1.5, 58.0), (-5.0, 58.0)], [(-4.0, 5
 #: The same in SQL: the square without its hole, or under both slopes of the triangle.
 INSIDE = "((lon >= -5 AND lon < -1.5 AND lat >= 55.5 AND lat < 58 AND NOT (lon >= -4 AND lon < -3 AND lat >= 56 AND lat < 57)) OR (lat >= 58.2 AND lat < 59 AND lon > -6 + (lat - 58.2) * 1.25 AND lon < -4 - (lat - 58.2) * 1.25))"
 STATUS = f"CASE WHEN last_heard_ms IS NULL THEN 'silent' WHEN {AS_OF} - last_heard_ms <= 21600000 THEN 'active' WHEN {AS_OF} - last_heard_ms <= 86400000 THEN 'degraded' ELSE 'silent' END"
-RADIO = geo.Radio()
-
-
-def query(name: str, sql: str | None = None):
-    def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLE_SQL[name] = oracle(sql)
-        return build
-
-    return register
-
-
-def duck_haversine(a: str, b: str, c: str, d: str) -> str:
-    return f"(2 * 6371.0088 * asin(sqrt(power(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * power(sin(radians({d} - {b}) / 2), 2))))"
 
 
 # ---- nodes
@@ -341,7 +322,7 @@ def a25_edge_snr(t):
     return links.edge_snr(t.mesh_links.selectExpr("src AS a", "dst AS b", "CASE WHEN src % 4 = 0 THEN NULL ELSE snr * 2 END AS snr", "CAST(snr AS BIGINT) AS ord"))
 
 
-_UND = """k AS (SELECT src AS a, dst AS b FROM mesh_links WHERE src % 5 <> 0 AND dst % 5 <> 0 AND src <> dst), n AS (SELECT a, b FROM k UNION SELECT b, a FROM k)"""
+_UND = """k AS (SELECT src AS a, dst AS b FROM mesh_links WHERE src <> dst AND src IN (SELECT k FROM mesh_nodes) AND dst IN (SELECT k FROM mesh_nodes)), n AS (SELECT a, b FROM k UNION SELECT b, a FROM k)"""
 
 
 def _undirected(t):
@@ -349,7 +330,7 @@ def _undirected(t):
 
 
 def _kept(t):
-    return t.mesh_nodes.where("k % 5 <> 0").select(F.col("k").alias("id"))
+    return t.mesh_nodes.select(F.col("k").alias("id"))
 
 
 @query("g3_undirected", f"WITH {_UND} SELECT a, b FROM n")
@@ -357,13 +338,13 @@ def g3_undirected(t):
     return _undirected(t)
 
 
-@query("g4_degrees", f"WITH {_UND} SELECT k.k AS id, count(n.a) AS degree FROM (SELECT k FROM mesh_nodes WHERE k % 5 <> 0) k LEFT JOIN n ON n.a = k.k GROUP BY k.k".replace("(SELECT k FROM mesh_nodes WHERE k % 5 <> 0) k", "(SELECT k FROM mesh_nodes WHERE k % 5 <> 0) AS k"))
+@query("g4_degrees", f"WITH {_UND} SELECT q.k AS id, count(n.a) AS degree FROM mesh_nodes q LEFT JOIN n ON n.a = q.k GROUP BY q.k")
 def g4_degrees(t):
     return graph.degrees(_undirected(t), _kept(t))
 
 
 @query("g6_marginal", f"""WITH {_UND}, s AS (SELECT DISTINCT x.a, y.b FROM n x JOIN n y ON x.b = y.a), m AS (SELECT a, count(*) AS c FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.a = n.a AND s.b = n.b) GROUP BY a)
-SELECT q.k AS id, coalesce(m.c, 0) AS marginal FROM mesh_nodes q LEFT JOIN m ON m.a = q.k WHERE q.k % 5 <> 0""")
+SELECT q.k AS id, coalesce(m.c, 0) AS marginal FROM mesh_nodes q LEFT JOIN m ON m.a = q.k""")
 def g6_marginal(t):
     return graph.marginal_coverage(_undirected(t), _kept(t))
 
@@ -488,9 +469,9 @@ def a14_paired(t):
     return reports.paired_differences(per("is_origin"), per("NOT is_origin"), 1.64).select("n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@query("a18_waves", "SELECT packet, from_node, at_ms, string_agg(DISTINCT CAST(node AS VARCHAR), ',') AS nodes FROM (SELECT DISTINCT packet, from_node, at_ms, node FROM mesh_rx ORDER BY node) GROUP BY ALL HAVING count(DISTINCT node) = 1")
+@query("a18_waves", "SELECT packet, from_node, at_ms, array_to_string(list_sort(list(DISTINCT node)), ',') AS nodes FROM mesh_rx GROUP BY packet, from_node, at_ms")
 def a18_waves(t):
-    return packets.waves(t.mesh_rx).where("nodes NOT LIKE '%,%'")
+    return packets.waves(t.mesh_rx)
 
 
 # ---- LoRa and propagation
@@ -570,7 +551,7 @@ def _duck_margin(lat1, lon1, tx, lat2, lon2, d):
     return f"({_duck_hills(lat, lon)} - {d1} * ({D} - {d1}) / (2 * (4.0::DOUBLE / 3) * 6371008.8) - ({tx} + ({_duck_hills(lat2, lon2)} + 2 - {tx}) * {f})) * sqrt((2 / ({wave})) * (1 / {d1} + 1 / ({D} - {d1})))"
 
 
-_MARGIN = "129.0 - (20 * log10(greatest(d, 0.001)) + 20 * log10(868) + 32.44) - CASE WHEN max(v) > -0.78 THEN 6.9 + 20 * log10(sqrt(power(max(v) - 0.1, 2) + 1) + max(v) - 0.1) ELSE 0 END"
+_MARGIN = DUCK_MARGIN
 
 
 @query("x_path_margin", f"""
@@ -597,8 +578,7 @@ b AS (SELECT py, px, max(margin) AS margin FROM m GROUP BY py, px HAVING max(mar
 def _raster(t):
     at = coverage.pixels((56.0, 57.0, -4.5, -3.0), 16, 12, t.spark)
     sites = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (hills(F.col("lat"), F.col("lon")) + RADIO.antenna_m).alias("tx_m"))
-    paths = coverage.site_pixels(sites, at, 40.0).select("py", "px", "site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
-    return coverage.best_server(coverage.path_margins(paths, hills, RADIO))
+    return coverage.bounded_best_server(sites, at, hills, RADIO, 40.0)
 
 
 @query("r1_best_server", f"{_RASTER} SELECT CAST(py AS INT) AS py, CAST(px AS INT) AS px, round(margin, 5) AS margin FROM b")
@@ -1161,12 +1141,6 @@ def r11_routes(t):
     return found.select("target", "hops", "weakest", F.array_join("path", "-").alias("path"), "rank")
 
 
-@query("m7_methods", """SELECT * FROM (VALUES ('MeshSydney (NSW)', 4, false), ('WNY MeshCore', 4, true), ('TennMesh', 5, false), ('W6HS three-tier', 3, true), ('Upstream proposed minimums (issue #2123)', 1, false)) v(method, rules, needs_altitude)""")
-def m7_methods(t):
-    per = policies.methods(t.spark).groupBy("method").agg(F.count("*").cast("int").alias("rules"), F.max(F.col("kind").startswith("altitude")).alias("needs_altitude"))
-    return per
-
-
 @query("m7_applied_method", """SELECT k AS node, CASE WHEN k % 23 >= 20 THEN 0.3 WHEN k % 23 >= 15 THEN 0.6 WHEN k % 23 >= 5 THEN 1.0 ELSE 1.4 END::DOUBLE AS tx_delay, CASE WHEN k % 23 >= 20 THEN 'CRITICAL' WHEN k % 23 >= 15 THEN 'LINK' WHEN k % 23 >= 5 THEN 'STANDARD' ELSE 'LOCAL' END AS profile FROM mesh_nodes""")
 def m7_applied_method(t):
     own = t.mesh_nodes.selectExpr("k AS node", "0.7D AS tx_delay", "0.0D AS rx_delay", "64 AS flood_max", "0.0D AS altitude", "k % 23 AS neighbours", "false AS articulation", "0 AS marginal")
@@ -1267,3 +1241,6 @@ def r5_tiers(t):
     grid = lambda w, h: coverage.pixels((56.0, 57.0, -4.5, -3.0), w, h, t.spark)
     made = coverage.tiers({"reported": site(F.col("lat")), "calibrated": site(moved)}, {"standard": grid(8, 6), "precision": grid(16, 12)}, hills, RADIO, 40.0)
     return made.groupBy("tier").agg(F.count("*").alias("cells"), F.round(F.avg("margin"), 4).alias("mean"))
+
+
+from . import terrain_queries  # noqa: E402, F401  registers its own
