@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wavemesh.operators import coverage, episodes, evidence, graph, lineage, policies
+from wavemesh.operators import coverage, episodes, evidence, graph, lineage, planning, policies
 from wavemesh.sources import readers
 
 
@@ -65,8 +65,8 @@ def test_greedy_and_phased_cover(spark):
             break
         want.append((pick, -site, gain))
         left -= covers[-site]
-    assert [tuple(r) for r in coverage.greedy_cover(rows, 7).orderBy("pick").collect()] == want
-    phases = coverage.phased_cover(spark.range(40).withColumnRenamed("id", "cell"), rows.where("site < 3"), rows.where("site >= 3"), 2).collect()
+    assert [tuple(r) for r in planning.greedy_cover(rows, 7).orderBy("pick").collect()] == want
+    phases = planning.phased_cover(spark.range(40).withColumnRenamed("id", "cell"), rows.where("site < 3"), rows.where("site >= 3"), 2).collect()
     done = set().union(*(covers[s] for s in range(3)))
     first = max((len(covers[s] - done), -s) for s in range(3, 12))
     assert [(r.phase, r.gain) for r in phases if r.phase == 0] == [(0, len(done))] and (1, 0, -first[1], first[0]) in [tuple(r) for r in phases]

@@ -163,32 +163,6 @@ def chain(points: DataFrame) -> DataFrame:
     return ahead.withColumn("d", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
 
 
-def greedy_cover(covers: DataFrame, most: int) -> DataFrame:
-    """pick, site, gain: sites chosen one by one for the most cells (site, cell) that none before covers; of equals the
-    least. A job for each pick, as each depends on those before; what is left is checkpointed every few picks."""
-    spark, left, picks = covers.sparkSession, kept(covers.select("site", "cell").distinct()), []
-    for pick in range(most):
-        top = left.groupBy("site").count().orderBy(F.desc("count"), "site").first()
-        if top is None:
-            break
-        picks.append((pick, top[0], top[1]))
-        left = left.join(left.where(F.col("site") == top[0]).select("cell"), "cell", "left_anti")
-        left = kept(left) if pick % 4 == 3 else left
-    return spark.createDataFrame(picks, "pick int, site long, gain long")
-
-
-def phased_cover(samples: DataFrame, existing: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
-    """phase, pick, site, gain of covering an area: what existing sites cover (phase 0, one row with a null site), then
-    new sites chosen greedily for what is left (phase 1), then what stays uncovered (phase 2, one row with a null site).
-    samples: cell; existing and candidates: site, cell."""
-    done = samples.join(existing.select("cell").distinct(), "cell", "left_semi")
-    left = kept(samples.join(existing.select("cell").distinct(), "cell", "left_anti"))
-    picks = greedy_cover(candidates.join(left, "cell", "left_semi"), most)
-    new = candidates.join(picks.select("site"), "site", "left_semi").select("cell").distinct()
-    count = lambda df, phase: df.agg(F.lit(phase).alias("phase"), F.lit(0).alias("pick"), F.lit(None).cast("long").alias("site"), F.count("*").alias("gain"))
-    return count(done, 0).unionByName(picks.select(F.lit(1).alias("phase"), "pick", "site", "gain")).unionByName(count(left.join(new, "cell", "left_anti"), 2))
-
-
 def terrain_links(sites: DataFrame, ground, radio: geo.Radio, km: float = 35.0) -> DataFrame:
     """a, b, margin, snr: which sites hear which over the terrain, from a to b. Both ends have heights of their own; a
     site's own power counts in full; only sites of equal channel meet, and the SNR is at b's spreading factor.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codec, geo, lora, regions
-from ..operators import coverage, episodes, evidence, graph, links, nodes, operations, packets, policies, replay, reports
+from ..operators import coverage, episodes, evidence, graph, links, nodes, operations, packets, planning, policies, replay, reports
 from ..operators.lineage import kept
 from ..sources import readers
 from .registry import DUCK_MARGIN, ORACLE_SQL, QUERIES, RADIO, duck_haversine, query
@@ -920,7 +920,7 @@ def _cover(t):
 
 @query("r12_greedy_cover")
 def r12_greedy_cover(t):
-    return coverage.greedy_cover(_cover(t), 6)
+    return planning.greedy_cover(_cover(t), 6)
 
 
 _CAND = "(SELECT 0 AS ring, 0 AS angle, 0.0::DOUBLE AS north, 0.0::DOUBLE AS east UNION ALL SELECT r, a, r * 0.05 * cos(2 * pi() * a / 16 + r * pi() / 32), r * 0.05 * sin(2 * pi() * a / 16 + r * pi() / 32) FROM range(1, 3) x(r) CROSS JOIN range(16) y(a))"
@@ -1197,7 +1197,7 @@ def r12_phased_cover(t):
     """What room servers cover, six greedily chosen repeaters besides, and what stays; tests hold it against brute force."""
     role = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), "role")
     cover = _cover(t).join(role, "site")
-    return coverage.phased_cover(role.select(F.col("site").alias("cell")), cover.where("role = 'room_server'"), cover.where("role = 'repeater'"), 6)
+    return planning.phased_cover(role.select(F.col("site").alias("cell")), cover.where("role = 'room_server'"), cover.where("role = 'repeater'"), 6)
 
 
 @query("m4_headlines", f"""WITH {_STATS}, d AS (SELECT a.*, (SELECT count(*) FROM mesh_rx r WHERE r.node = a.node AND drop_reason = 'loop_detect') AS l, (SELECT count(*) FROM mesh_rx r WHERE r.node = a.node AND drop_reason = 'hop_limit') AS h,
@@ -1243,4 +1243,4 @@ def r5_tiers(t):
     return made.groupBy("tier").agg(F.count("*").alias("cells"), F.round(F.avg("margin"), 4).alias("mean"))
 
 
-from . import terrain_queries  # noqa: E402, F401  registers its own
+from . import planning_queries, terrain_queries  # noqa: E402, F401  register their own
