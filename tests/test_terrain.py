@@ -189,8 +189,9 @@ def test_tiles_are_read_from_images(spark, tmp_path):
 
 def test_model_links_count_heights_power_and_channels(spark):
     flat = lambda lat, lon: lat * 0
-    rows = [(1, 56.0, -4.0, 30.0, None, 1, 8), (2, 56.05, -4.0, 10.0, 4.0, 1, 12), (3, 56.02, -4.0, 10.0, None, 2, 8), (4, None, None, 1.0, None, 1, 8)]
+    rows = [(1, 56.0, -4.0, 30.0, None, 1, 8), (2, 56.05, -4.0, 10.0, 4.0, 1, 12), (3, 56.02, -4.0, 10.0, None, 2, 8), (4, None, None, 1.0, None, 1, 8), (5, 56.02, -4.0, 9.0, None, 2, 8)]
     got = {(r.a, r.b): r for r in coverage.terrain_links(spark.createDataFrame(rows, "id int, lat double, lon double, height_m double, power_dbm double, channel int, sf int"), flat, geo.Radio()).collect()}
-    assert set(got) == {(1, 2), (2, 1)}
+    assert set(got) == {(1, 2), (2, 1), (3, 5), (5, 3)}  # two at one place hear each other
+    assert got[3, 5].margin == got[5, 3].margin > got[1, 2].margin
     assert got[1, 2].margin - got[2, 1].margin == pytest.approx(18, abs=1e-6)
     assert got[1, 2].snr == got[1, 2].margin - 20 and got[2, 1].snr == got[2, 1].margin - 10

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import kept
+
 
 def classified(events: DataFrame, targets: DataFrame, heard: DataFrame, slop_ms: int = 2000, alive_ms: int = 300_000) -> DataFrame:
     """target, observer, state of the observers that tell something about a target packet.
@@ -13,20 +16,39 @@ def classified(events: DataFrame, targets: DataFrame, heard: DataFrame, slop_ms:
     included. silent_active: some other activity within the liveness window. Observers without a row are silent_unknown;
     `state_counts` counts them. events: observer, hash, at_ms (end), air_ms. targets: target, hash, at_ms, air_ms.
     heard: target, observer.
-    A frame goes to every time bucket it touches, and a target asks those within its window, so that only what is near a
-    target joins with it."""
-    air = lambda: F.greatest(F.coalesce("air_ms", F.lit(0)), F.lit(0))
-    cell = lambda ms: F.floor(ms / alive_ms)
-    e = events.select("observer", F.col("hash").alias("e_hash"), F.col("at_ms").alias("e_ms"), air().alias("e_air"))
-    e = e.withColumn("cell", F.explode(F.sequence(cell(F.col("e_ms") - F.col("e_air")), cell(F.col("e_ms")))))
-    t = targets.select("target", F.col("hash").alias("t_hash"), F.col("at_ms").alias("t_ms"), air().alias("t_air"))
-    t = t.withColumn("cell", F.explode(F.sequence(cell(F.col("t_ms") - max(alive_ms, slop_ms)), cell(F.col("t_ms") + F.greatest(F.lit(alive_ms), F.col("t_air") + slop_ms)))))
-    near = t.join(e, "cell").where("e_hash <> t_hash")
-    busy = (F.col("e_ms") >= F.col("t_ms") - slop_ms) & (F.col("e_ms") - F.col("e_air") <= F.col("t_ms") + F.col("t_air") + slop_ms)
-    alive = F.abs(F.col("e_ms") - F.col("t_ms")) <= alive_ms
-    signs = near.where(busy | alive).groupBy("target", "observer").agg(F.max(busy).alias("busy"))
-    rows = signs.join(heard.select("target", "observer", F.lit(True).alias("heard")).distinct(), ["target", "observer"], "full_outer")
-    return rows.select("target", "observer", F.when(F.col("heard"), "heard").when(F.col("busy"), "busy").otherwise("silent_active").alias("state"))
+    A target occurs once; targets and events without a hash tell nothing.
+
+    Per observer and range of time, events and the targets asked about are merged in one sorted run, and the latest end of
+    an event so far is carried along: by end up to the liveness window after a target, that tells activity; by start up to
+    the end of the target's own frame, it tells an overlap. Events near a border go to both ranges. A target meets the
+    observers of its range, not their events, so the work grows with events and states. Only where an observer has frames
+    of the target's own hash, which don't count, and still isn't among the ones that heard it, are its events looked
+    through one by one."""
+    air = F.greatest(F.coalesce("air_ms", F.lit(0)), F.lit(0))
+    e = events.where("hash IS NOT NULL AND at_ms IS NOT NULL").select("observer", F.col("hash").alias("e_hash"), F.col("at_ms").alias("e_ms"), (F.col("at_ms") - air).alias("e_start"))
+    t = targets.where("hash IS NOT NULL AND at_ms IS NOT NULL").select("target", F.col("hash").alias("t_hash"), F.col("at_ms").alias("t_ms"), (F.col("at_ms") + air + slop_ms).alias("t_end"))
+    longest = t.agg(F.max(F.col("t_end") - F.col("t_ms"))).first()[0] or slop_ms
+    heard = heard.select("target", "observer").distinct()
+    width = 2 * alive_ms
+    cell = lambda ms: F.floor(ms / width)
+    low, high = F.least(F.col("e_start") - longest, F.col("e_ms") - alive_ms), F.col("e_ms") + max(alive_ms, slop_ms)
+    e = kept(e.withColumn("cell", F.explode(F.sequence(cell(low), cell(high)))))
+    t = t.withColumn("cell", cell(F.col("t_ms")))
+    asked = t.join(e.select("cell", "observer").distinct(), "cell").join(heard, ["target", "observer"], "left_anti")
+    own = kept(t.join(e.select("observer", F.col("e_hash").alias("t_hash")).distinct(), "t_hash").select("target", "observer").distinct().join(heard, ["target", "observer"], "left_anti"))
+
+    # events come before the targets that are asked for at the same time
+    met = e.select("observer", "cell", F.lit(0).alias("asks"), F.col("e_ms").alias("by_end"), F.col("e_start").alias("by_start"), F.col("e_ms").alias("end"), F.lit(None).cast("long").alias("t_ms"), F.lit(None).cast(t.schema["target"].dataType).alias("target"))
+    met = met.unionByName(asked.join(own, ["target", "observer"], "left_anti").select("observer", "cell", F.lit(1).alias("asks"), (F.col("t_ms") + alive_ms).alias("by_end"), F.col("t_end").alias("by_start"), F.lit(None).cast("long").alias("end"), "t_ms", "target"))
+    latest = lambda key: F.max("end").over(W.partitionBy("observer", "cell").orderBy(key, "asks").rowsBetween(W.unboundedPreceding, 0))
+    told = met.withColumn("alive", latest("by_end")).withColumn("overlaps", latest("by_start")).where("asks = 1")
+    signs = told.select("target", "observer", F.coalesce(F.col("overlaps") >= F.col("t_ms") - slop_ms, F.lit(False)).alias("busy"), F.coalesce(F.col("alive") >= F.col("t_ms") - alive_ms, F.lit(False)).alias("alive")).where("busy OR alive").select("target", "observer", "busy")
+
+    near = t.join(own, "target").join(e, ["observer", "cell"]).where("e_hash <> t_hash")
+    busy, alive = (F.col("e_ms") >= F.col("t_ms") - slop_ms) & (F.col("e_start") <= F.col("t_end")), F.abs(F.col("e_ms") - F.col("t_ms")) <= alive_ms
+    signs = signs.unionByName(near.where(busy | alive).groupBy("target", "observer").agg(F.max(busy).alias("busy")))
+    states = signs.select("target", "observer", F.when(F.col("busy"), "busy").otherwise("silent_active").alias("state"))
+    return states.unionByName(heard.withColumn("state", F.lit("heard")))
 
 
 def state_counts(states: DataFrame, targets: DataFrame, observers: DataFrame) -> DataFrame:

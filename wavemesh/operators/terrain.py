@@ -88,11 +88,12 @@ def with_ground(rows: DataFrame, ground, lat: str, lon: str, name: str) -> DataF
 
 
 def obstruction(radio: geo.Radio, ground: Column, d: Column, f: Column, tx_m: Column, rx_m: Column) -> Column:
-    """The Fresnel parameter of ground at the share f of a path of d km, earth curvature included."""
+    """The Fresnel parameter of ground at the share f of a path of d km, earth curvature included; null at no distance,
+    where nothing is in the way."""
     d1 = d * 1000 * f
     d2 = d * 1000 - d1
     over = ground - d1 * d2 / (2 * geo.REFRACTION * geo.EARTH_KM * 1000) - (tx_m + (rx_m - tx_m) * f)
-    return over * F.sqrt((2 / (geo.LIGHT / (radio.frequency_mhz * 1e6))) * (1 / d1 + 1 / d2))
+    return F.when(d > 0, over * F.sqrt((2 / (geo.LIGHT / (radio.frequency_mhz * 1e6))) * (1 / d1 + 1 / d2)))
 
 
 def worst_obstructions(paths: DataFrame, tiles: Tiles, radio: geo.Radio) -> DataFrame:

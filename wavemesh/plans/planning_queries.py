@@ -19,7 +19,7 @@ def r11_new_routes(t):
     repeaters = placed.where("role = 'repeater'").unionByName(placed.where("role <> 'repeater'").join(ends.selectExpr("a AS id").unionByName(ends.selectExpr("b AS id")), "id", "left_semi"))
     sites = repeaters.selectExpr("id", "lat", "lon", "10.0D AS height_m", "CAST(NULL AS DOUBLE) AS power_dbm", "1 AS channel", "8 AS sf")
     known = kept(coverage.terrain_links(sites, ground, RADIO, 15.0))
-    found = planning.connected(ends, placed, known, ground, RADIO, targets=(6.0,), most_hops=3, tried=2, beam=2, reach=2, steps=4, rings=1, angles=8, most_new=3)
+    found = planning.connected(ends, placed, known, ground, RADIO, targets=(6.0,), most_hops=3, tried=1, beam=2, reach=2, steps=3, rings=1, angles=6, most_new=2)
     spot = F.array_join(F.transform("sites", lambda s: F.format_string("%.4f:%.4f", s["lat"], s["lon"])), " ")
     return found.select("a", "b", "rank", "n_new", F.round("weakest", 4).alias("weakest"), "target", spot.alias("sites"), F.array_join("path_a", "-").alias("path_a"), F.array_join("path_b", "-").alias("path_b"))
 
