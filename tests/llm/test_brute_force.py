@@ -377,3 +377,32 @@ def test_ids_are_joined_alike_broadcast_or_not(spark, monkeypatch):
     few = {h: sorted(r.doc_id for r in shared.by_ids(rows, ids, h).collect()) for h in ("left_semi", "left_anti")}
     monkeypatch.setattr(shared, "BROADCAST_IDS", 3)
     assert few == {h: sorted(r.doc_id for r in shared.by_ids(rows, ids, h).collect()) for h in few}
+
+
+def test_links_are_counted_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "PER_CENTROID", 120)
+    monkeypatch.setattr(flat_graph, "PART", 150)
+    rng = np.random.default_rng(31)
+    middle = rng.normal(size=(300, 32))
+    x = np.repeat(middle, 8, axis=0) + rng.normal(size=(2400, 32)) * 0.22
+    x[500:540] = x[499]
+    u = flat_graph.unit(x.tolist())
+    hit = u @ u.T >= flat_graph.SIMILAR
+    np.fill_diagonal(hit, False)
+    got, _ = flat_graph.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    links = np.array([r.n_links for r in got.orderBy("vec_id").collect()])
+    want = hit.sum(1)
+    assert want.sum() > 4000 and (want > 0).mean() < 0.96
+    assert links.sum() % 2 == 0 and links.sum() >= 0.98 * want.sum()
+    # what is counted at one end is counted at the other: a vector can only lack links to ones that lack as many
+    lacks = want - links
+    assert (lacks >= 0).all() and all(lacks[np.flatnonzero(hit[i])].sum() >= lacks[i] for i in np.flatnonzero(lacks))
+
+
+def test_the_audit_ends(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "AUDITED", 10)
+    monkeypatch.setattr(flat_graph, "MOST_DRAWN", 75)
+    x = flat_graph.unit(np.random.default_rng(1).normal(size=(300, 16)).tolist())
+    nodes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "node long, vector array<double>, copies long")
+    assert flat_graph.audited(nodes, np.arange(300), x) == ({}, 75)
+    assert flat_graph.least_recall({}, {}) == 0 and 0.9 < flat_graph.least_recall(dict.fromkeys(range(200), 3), dict.fromkeys(range(200), 3)) < 1

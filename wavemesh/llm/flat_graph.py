@@ -4,11 +4,13 @@ Vectors go to the shards of their nearest centroids, so that shards overlap; a s
 salted parts. In each part a graph is built whose edges are pruned robustly (an edge goes if a kept neighbour is much
 nearer to its end), and a vector's adjacency lists from all its parts are united. Every vector then searches each part
 of its shards: greedily from the part's medoids, and once it meets vectors in range, on over the in-range ones until
-no more turn up. What it finds is verified by cosine in double precision and counted where it is met first; a pair is
-not emitted, only each vector's count and its component within the part. The links of vectors drawn by hash are compared
-with brute force, vector by vector, until enough that have links are drawn, or all are; where the mean share found is
-below LEAST_RECALL, everything is done again with more overlap, and where the widest stays below EXACT_BELOW, all pairs
-are compared instead.
+no more turn up. That tells which vectors have links, from either side. The links of these are verified by cosine in double
+precision among all members of the shards they share, and counted at both ends, each in the first shard that both are in; a
+pair is not emitted, only each vector's count and its component within the part. The links of vectors drawn by hash are
+compared with brute force, vector by vector, until enough that have links are drawn, MOST_DRAWN at most; where the mean
+share found is below LEAST_RECALL, everything is done again with more overlap, and where the widest stays below EXACT_BELOW,
+all pairs are compared instead. Where few drawn vectors have links, there is more overlap from the start, and the log says
+how little the audit has seen.
 
 Equal vectors are searched once and counted as often as they occur, so a very common vector costs a row for each.
 
@@ -40,9 +42,9 @@ PART = 4000
 PER_CENTROID, MOST_CENTROIDS, SAMPLE = 1000, 4096, 20_000
 #: Nearest neighbours that pruning chooses from, edges it keeps, how much nearer a neighbour has to be, and the search list.
 CANDIDATES, EDGES, ALPHA, LIST, MEDOIDS = 48, 24, 1.2, 48, 8
-#: Vectors drawn first to have their links compared with brute force, how many of all drawn have to have links, the mean
-#: share of these links to be found, and the one below which all pairs are compared.
-AUDITED, LINKED, LEAST_RECALL, EXACT_BELOW = 256, 128, 0.95, 0.9
+#: Vectors drawn first to have their links compared with brute force, how many of all drawn have to have links, most that
+#: are drawn, the mean share of these links to be found, and the one below which all pairs are compared.
+AUDITED, LINKED, MOST_DRAWN, LEAST_RECALL, EXACT_BELOW = 256, 128, 4096, 0.95, 0.9
 #: Vectors that are broadcast at a time to be compared with all others, and vectors compared with them at a time.
 BLOCK, ROWS = 10_000, 256
 OVERLAPS = (3, 6, 12)
@@ -154,44 +156,51 @@ def _built(t: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(ids, pa.int64()), "near": pa.array([ids[e] for e in edges], pa.list_(pa.int64()))})
 
 
+def _opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: ids, unit vectors, the places of the part's members and of the queries."""
+    ids, x = t.column("node").to_numpy(), unit(t.column("vector").to_pylist())
+    places = lambda c: np.flatnonzero(np.array(t.column(c).to_pylist(), bool))
+    return ids, x, places("member"), places("asks")
+
+
 def _searched(t: pa.Table) -> pa.Table:
-    """What the queries of a chunk find in a part: node, links, root (the least node of their component here)."""
-    member = np.array(t.column("member").to_pylist(), bool)
-    ids, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
-    x = unit(t.column("vector").to_pylist())
-    mine, asks = np.flatnonzero(member), np.flatnonzero(np.array(t.column("asks").to_pylist(), bool))
+    """The nodes that a search of the chunk's queries links, both ends of every pair found."""
+    ids, x, mine, asks = _opened(t)
     place = {int(i): k for k, i in enumerate(ids[mine])}
     edges = [np.array(sorted({place[v] for v in near or () if v in place} - {k}), np.int64) for k, near in enumerate(t.column("near").take(pa.array(mine)).to_pylist())]
-    shards = [set(s) for s in t.column("shards").to_pylist()]
-    shard = t.column("shard")[0].as_py()
-    base = x[mine]
+    base, linked = x[mine], np.zeros(len(ids), bool)
     entries = medoids(base) if len(base) else np.empty(0, np.int64)
-    parent = np.arange(len(ids))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = np.zeros(len(ids), np.int64)
     for a in asks if len(base) else ():
         own = place.get(int(ids[a]))
-        start = entries if own is None else np.union1d(entries, [own])
-        for f in search(x[a], base, edges, start, own):
-            b = mine[f]
-            if ids[b] == ids[a]:
-                continue
-            r, s = root(a), root(b)
-            if r != s:
-                parent[max(r, s)] = min(r, s)
-            if min(shards[a] & shards[b]) == shard:  # a pair that meets in several shards counts in the first
-                links[a] += copies[b]
-    least: dict[int, int] = {}
-    for i in range(len(ids)):
-        r = root(i)
-        least[r] = min(least.get(r, int(ids[i])), int(ids[i]))
-    return pa.table({"node": pa.array(ids, pa.int64()), "links": pa.array(links), "root": pa.array([least[root(i)] for i in range(len(ids))], pa.int64())})
+        found = mine[search(x[a], base, edges, entries if own is None else np.union1d(entries, [own]), own)]
+        found = found[ids[found] != ids[a]]
+        if len(found):
+            linked[a] = linked[found] = True
+    return pa.table({"node": pa.array(np.unique(ids[linked]), pa.int64())})
+
+
+def _verified(t: pa.Table) -> pa.Table:
+    """node, links, root: the links between the chunk's queries, which are linked nodes, and the part's members, by cosine.
+
+    A pair that meets in several shards counts in the first. Between two linked nodes each one's search counts its own end;
+    a node that no search linked doesn't ask, so the other end counts for both."""
+    ids, x, mine, asks = _opened(t)
+    shard, copies = t.column("shard")[0].as_py(), t.column("copies").to_numpy()
+    shards, linked = t.column("shards").to_pylist(), np.array(t.column("linked").to_pylist(), bool)
+    earlier = {s: k for k, s in enumerate(sorted({s for row in shards for s in row if s < shard}))}
+    within = np.zeros((len(ids), max(1, len(earlier))), np.float32)
+    for i, row in enumerate(shards):
+        within[i, [earlier[s] for s in row if s < shard]] = 1
+    least, silent, more = ids[mine].copy(), ~linked[mine], np.zeros(len(mine), np.int64)
+    out = []
+    for i in range(0, len(asks) if len(mine) else 0, ROWS):
+        rows = asks[i : i + ROWS]
+        hit = (x[rows] @ x[mine].T >= SIMILAR) & (ids[rows, None] != ids[mine])
+        counted = hit & (within[rows] @ within[mine].T == 0)
+        out.append(_connected(ids[rows], copies[mine], hit, least, counted))
+        more += np.where(silent, copies[rows] @ counted, 0)
+    out.append(pa.RecordBatch.from_arrays([pa.array(ids[mine][more > 0], pa.int64()), pa.array(more[more > 0], pa.int64()), pa.array(ids[mine][more > 0], pa.int64())], names=["node", "links", "root"]))
+    return pa.Table.from_batches(out)
 
 
 def _assigned(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
@@ -210,7 +219,10 @@ def _assigned(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
 
 
 def found_links(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
-    """node, links, root for every part that a node is in. nodes: node, vector, copies."""
+    """node, links, root: what verified links say of a node, in several rows. nodes: node, vector, copies.
+
+    The graphs are searched for which nodes have links at all; the links of these are then counted, both ways, among all
+    members of the shards they share."""
     put = stored(_assigned(nodes, c, overlap), "flat-shards")
     each = put.select("*", F.explode("shards").alias("shard"))
     parts = each.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # MOST_CENTROIDS rows
@@ -227,7 +239,14 @@ def found_links(nodes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
     queries = queries.withColumn("near", F.lit(None).cast("array<long>")).withColumn("member", F.lit(False)).withColumn("asks", F.lit(True))
     columns = ["node", "vector", "copies", "shards", "near", "shard", "part", "chunk", "member", "asks"]
     rows = one.select(*columns).unionByName(members.select(*columns)).unionByName(queries.select(*columns))
-    return rows.groupBy("shard", "part", "chunk").applyInArrow(_searched, "node long, links long, root long")
+    by = ("shard", "part", "chunk")
+    linked = stored(rows.groupBy(*by).applyInArrow(_searched, "node long").distinct(), "flat-linked")
+    # chunks without a linked query have nothing to verify
+    asked = rows.drop("near").join(linked.withColumn("linked", F.lit(True)), "node", "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("asks", F.col("asks") & F.col("linked"))
+    busy = asked.where("asks").select(*by).distinct()
+    found = asked.where("member OR asks").join(busy, list(by), "left_semi").groupBy(*by).applyInArrow(_verified, "node long, links long, root long")
+    # every node has a row, as in exact_links
+    return found.unionByName(nodes.selectExpr("node", "0L AS links", "node AS root"))
 
 
 def true_links(nodes: DataFrame, asked: np.ndarray, ids: np.ndarray) -> dict[int, int]:
@@ -259,23 +278,21 @@ def _blocks(nodes: DataFrame, count: int) -> Iterator[tuple[np.ndarray, np.ndarr
             yield np.array([r.node for r in rows]), unit([r.vector for r in rows]), np.array([r.copies for r in rows])
 
 
-def audited(nodes: DataFrame, count: int, ids: np.ndarray, x: np.ndarray) -> dict[int, int]:
-    """The links of drawn vectors that have some: of ids first, then of all, until LINKED have or all are drawn."""
+def audited(nodes: DataFrame, ids: np.ndarray, x: np.ndarray) -> tuple[dict[int, int], int]:
+    """The links of drawn vectors that have some, and how many were drawn: until LINKED have links, MOST_DRAWN at most."""
     truth: dict[int, int] = {}
+    at, size = 0, AUDITED
+    while at < min(len(ids), MOST_DRAWN) and len(truth) < LINKED:
+        size = min(size, MOST_DRAWN - at)
+        truth |= {i: n for i, n in true_links(nodes, x[at : at + size], ids[at : at + size]).items() if n}
+        at, size = at + size, size * 4
+    return truth, min(at, len(ids))
 
-    def draws() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        at, size = 0, AUDITED
-        while at < len(ids):
-            yield ids[at : at + size], x[at : at + size]
-            at, size = at + size, size * 4
-        if count > len(ids):
-            yield from (block[:2] for block in _blocks(nodes, count))
-
-    for own, q in draws():
-        truth |= {i: n for i, n in true_links(nodes, q, own).items() if n}
-        if len(truth) >= LINKED:
-            break
-    return truth
+
+def least_recall(truth: dict[int, int], got: dict[int, int]) -> float:
+    """A lower bound of the recall at 95 %: the mean share found, less 1.64 standard errors; 0 without evidence."""
+    shares = [min(got.get(i, 0), n) / n for i, n in truth.items()]
+    return max(0.0, float(np.mean(shares)) - 1.64 * max(float(np.std(shares)), 0.5 / len(shares)) / len(shares) ** 0.5) if shares else 0.0
 
 
 def mean_recall(truth: dict[int, int], got: dict[int, int]) -> float:
@@ -283,12 +300,13 @@ def mean_recall(truth: dict[int, int], got: dict[int, int]) -> float:
     return float(np.mean([min(got.get(i, 0), n) / n for i, n in truth.items()])) if truth else 1.0
 
 
-def _connected(ids: np.ndarray, copies: np.ndarray, hit: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+def _connected(ids: np.ndarray, copies: np.ndarray, hit: np.ndarray, least: np.ndarray, counted: np.ndarray | None = None) -> pa.RecordBatch:
     """node, links, root of ids, whose links to a block are hit. least holds what each vector of the block is known to be
-    connected with, and is lowered; every step of that is a row as well, so that no connection is lost."""
+    connected with, and is lowered; every step of that is a row as well, so that no connection is lost. counted: the hits
+    that count, all if not given."""
     rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
     hit, root, none = hit[np.ix_(rows, cols)], ids[rows], np.iinfo(np.int64).max
-    links, edges = hit @ copies[cols], []
+    links, edges = (hit if counted is None else counted[np.ix_(rows, cols)]) @ copies[cols], []
     while len(rows):
         root = np.minimum(root, np.where(hit, least[cols], none).min(1))
         lower = np.minimum(least[cols], np.where(hit, root[:, None], none).min(0))
@@ -356,12 +374,13 @@ def _one_size(classes: DataFrame) -> tuple[DataFrame, float]:
     classes = stored(classes.repartition(max(classes.sparkSession.sparkContext.defaultParallelism, count // BLOCK), "node"), "flat-nodes")
     k = int(min(MOST_CENTROIDS, max(1, count // PER_CENTROID), len(x)))
     c = centroids(x, k)
-    truth = audited(classes, count, np.array([r.node for r in sample]), x)
-    for overlap in OVERLAPS:
+    truth, drawn = audited(classes, np.array([r.node for r in sample]), x)
+    # with little evidence there is more overlap from the start
+    for overlap in OVERLAPS if len(truth) >= LINKED else OVERLAPS[1:]:
         found = stored(found_links(classes, c, overlap), "flat-found")
         got = {r.node: r.links for r in found.where(F.col("node").isin(list(truth))).groupBy("node").agg(F.sum("links").alias("links")).collect()}
         recall = mean_recall(truth, got)
-        log.log(logging.INFO if recall >= LEAST_RECALL else logging.WARNING, "recall %.4f over %d vectors with links of %d, overlap %d", recall, len(truth), count, overlap)
+        log.log(logging.INFO if recall >= LEAST_RECALL else logging.WARNING, "recall %.4f, at least %.4f, over %d vectors with links of %d drawn of %d, overlap %d", recall, least_recall(truth, got), len(truth), drawn, count, overlap)
         if recall >= LEAST_RECALL or overlap >= k:
             break
     if recall < EXACT_BELOW:
