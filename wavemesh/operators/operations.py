@@ -43,24 +43,6 @@ def thinned(rows: DataFrame, by: list[str], order: list[Column], most: int) -> D
     return placed.where(taken).drop("_i", "_n")
 
 
-def warped_times(events: DataFrame, low_ms: int = 120, high_ms: int = 1500) -> DataFrame:
-    """Events (grp, at_ms, id) with play_ms: gaps between neighbours held within limits, added up from 0."""
-    order = W.partitionBy("grp").orderBy("at_ms", "id")
-    gap = F.col("at_ms") - F.lag("at_ms").over(order)
-    held = F.when(gap.isNull(), 0).when(gap == 0, 0).otherwise(F.least(F.greatest(gap, F.lit(low_ms)), F.lit(high_ms)))
-    return events.withColumn("_gap", held).withColumn("play_ms", F.sum("_gap").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_gap")
-
-
-def running_count(events: DataFrame) -> DataFrame:
-    """Events (grp, at_ms, id) with how many of the group happened up to their time."""
-    return events.withColumn("so_far", F.count("*").over(W.partitionBy("grp").orderBy("at_ms").rangeBetween(W.unboundedPreceding, 0)))
-
-
-def smoothed(values: Column, alpha: float = 0.4) -> Column:
-    """Exponentially weighted mean of an array, from its first value on; null if it is empty."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(alpha * x + (1 - alpha) * a))
-
-
 def bounded_log(rows: DataFrame, path: str, keep: int, order: str) -> None:
     """Appends JSON lines to a log of limited length: the newest rows stay. A bad line in the log is skipped."""
     spark = rows.sparkSession

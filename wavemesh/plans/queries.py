@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codec, geo, lora, regions
-from ..operators import coverage, episodes, evidence, graph, links, nodes, operations, packets, planning, policies, replay, reports
+from ..operators import coverage, episodes, evidence, graph, links, nodes, operations, packets, planning, policies, replay, reports, scans
 from ..operators.lineage import kept
 from ..sources import readers
 from .registry import DUCK_MARGIN, ORACLE_SQL, QUERIES, RADIO, duck_haversine, query
@@ -638,12 +638,12 @@ def w10_thinned(t):
 @query("w3_warped", """WITH g AS (SELECT observer, id, heard_ms, heard_ms - lag(heard_ms) OVER (PARTITION BY observer ORDER BY heard_ms, id) AS gap FROM mesh_packets)
 SELECT observer, id, CAST(sum(CASE WHEN gap IS NULL OR gap = 0 THEN 0 ELSE least(greatest(gap, 120), 1500) END) OVER (PARTITION BY observer ORDER BY heard_ms, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS play_ms FROM g""")
 def w3_warped(t):
-    return operations.warped_times(t.mesh_packets.selectExpr("observer AS grp", "id", "heard_ms AS at_ms")).selectExpr("grp AS observer", "id", "play_ms")
+    return scans.warped_times(t.mesh_packets.selectExpr("observer AS grp", "id", "heard_ms AS at_ms")).selectExpr("grp AS observer", "id", "play_ms")
 
 
 @query("w5_running", "SELECT observer, id, count(*) OVER (PARTITION BY observer ORDER BY heard_ms RANGE UNBOUNDED PRECEDING) AS so_far FROM mesh_packets")
 def w5_running(t):
-    return operations.running_count(t.mesh_packets.selectExpr("observer AS grp", "id", "heard_ms AS at_ms")).selectExpr("grp AS observer", "id", "so_far")
+    return scans.running_count(t.mesh_packets.selectExpr("observer AS grp", "id", "heard_ms AS at_ms")).selectExpr("grp AS observer", "id", "so_far")
 
 
 # ---- policies and evidence
@@ -882,8 +882,7 @@ def o3_ranked(t):
 
 @query("w8_smoothed", "SELECT observer, round(list_reduce(list(snr ORDER BY heard_ms, id), lambda a, x: 0.4 * x + 0.6 * a), 6) AS rate FROM mesh_packets GROUP BY observer")
 def w8_smoothed(t):
-    values = F.transform(F.sort_array(F.collect_list(F.struct("heard_ms", "id", "snr"))), lambda x: x["snr"])
-    return t.mesh_packets.groupBy("observer").agg(values.alias("v")).select("observer", F.round(operations.smoothed(F.col("v")), 6).alias("rate"))
+    return scans.smoothed_rates(t.mesh_packets.selectExpr("observer AS grp", "id", "heard_ms AS at_ms", "snr AS value")).select(F.col("grp").alias("observer"), F.round("rate", 6).alias("rate"))
 
 
 @query("p19_region_lists", "SELECT src, string_agg(DISTINCT '#nation-' || CAST(dst % 4 AS VARCHAR), ', ' ORDER BY '#nation-' || CAST(dst % 4 AS VARCHAR)) AS shown FROM mesh_links GROUP BY src")
