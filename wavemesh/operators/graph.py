@@ -121,6 +121,85 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return links.selectExpr("hi AS id", "lo AS component").unionByName(links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 
 
+def strong_components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """id, component of every node of a link (a, b) whose strongly connected component has other members; all others are
+    alone. component is a member.
+
+    Forward and backward colouring: each node takes the greatest id that reaches it as its colour; backwards from a node
+    that has its own, within its colour, lies its component. Links between colours, and at what is found, drop out, and so
+    do links at nodes that nothing reaches or that reach nothing, until no link is left. Every step is a join and an
+    aggregate; a colouring takes as many as its longest way."""
+    left = kept(links.where("a <> b").select("a", "b").distinct())
+    found = left.selectExpr("a AS id", "a AS component").where("false")
+    for _ in range(most_rounds):
+        left = left.join(left.selectExpr("b AS a").distinct(), "a", "left_semi").join(left.selectExpr("a AS b").distinct(), "b", "left_semi")
+        left = kept(left.select("a", "b"))
+        if left.isEmpty():
+            return found
+        colours = kept(left.selectExpr("a AS id").distinct().unionByName(left.selectExpr("b AS id").distinct()).distinct().selectExpr("id", "id AS colour"))
+        moved = colours
+        while not moved.isEmpty():  # only what has a new colour passes it on
+            told = left.join(moved.selectExpr("id AS a", "colour"), "a").groupBy(F.col("b").alias("id")).agg(F.max("colour").alias("told"))
+            moved = kept(told.join(colours, "id").where("told > colour").select("id", F.col("told").alias("colour")))
+            colours = kept(colours.join(moved.withColumnRenamed("colour", "better"), "id", "left").select("id", F.coalesce("better", "colour").alias("colour")))
+        ends = left.join(colours.selectExpr("id AS a", "colour AS of_a"), "a").join(colours.selectExpr("id AS b", "colour AS of_b"), "b")
+        same = kept(ends.where("of_a = of_b").selectExpr("a", "b"))
+        front = kept(colours.where("id = colour").select("id", F.col("id").alias("component")))
+        inside = front
+        while not front.isEmpty():
+            back = same.join(front.selectExpr("id AS b", "component"), "b").select(F.col("a").alias("id"), "component").distinct()
+            front = kept(back.join(inside.select("id"), "id", "left_anti"))
+            inside = kept(inside.unionByName(front))
+        several = inside.join(inside.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi")
+        found = kept(found.unionByName(several.select("id", "component")))
+        left = kept(same.join(inside.selectExpr("id AS a"), "a", "left_anti").join(inside.selectExpr("id AS b"), "b", "left_anti"))
+    raise RuntimeError(f"strong components hadn't settled after {most_rounds} rounds")
+
+
+class Reach:
+    """What every node reaches over links (a, b), held as reach between components: of relays, the strongly connected ones;
+    other nodes end a way and are alone. Only relays pass traffic on, all nodes if not given, but each node sends its own.
+
+    nodes: id, all of them; relays: id. Pairs of nodes are never made: a component's reach is that of all its members."""
+
+    def __init__(self, links: DataFrame, nodes: DataFrame, relays: DataFrame | None = None):
+        ids = nodes.select("id").distinct()
+        known = links.where("a <> b").select("a", "b").distinct().join(ids.selectExpr("id AS a"), "a", "left_semi").join(ids.selectExpr("id AS b"), "b", "left_semi")
+        passing = ids if relays is None else ids.join(relays.select("id").distinct(), "id", "left_semi")
+        self.links = kept(known.join(passing.selectExpr("id AS a", "true AS a_passes"), "a", "left").join(passing.selectExpr("id AS b", "true AS b_passes"), "b", "left").na.fill(False))
+        found = strong_components(self.links.where("a_passes AND b_passes"))
+        rows = ids.join(passing.withColumn("passes", F.lit(True)), "id", "left").join(found, "id", "left")
+        #: id, component, passes
+        self.members = kept(rows.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("passes", F.lit(False)).alias("passes")))
+        of = lambda x: self.members.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+        ends = kept(self.links.join(of("a"), "a").join(of("b"), "b"))
+        between = ends.where("a_passes AND of_a <> of_b").selectExpr("of_a AS a", "of_b AS b").distinct()
+        sources = self.members.where("passes").select(F.col("component").alias("start")).distinct()
+        closed = kept(reached(between, sources).select("start", F.col("id").alias("component")))
+        # a node that doesn't pass traffic on starts with its own links
+        own = ends.where("NOT a_passes").select(F.col("a").alias("sender"), F.col("of_b").alias("start")).distinct()
+        senders = own.select("sender", F.col("start").alias("component")).unionByName(own.join(closed, "start").select("sender", "component")).distinct()
+        #: start (a component that passes traffic on, or another node) and the components it reaches
+        self.closed = kept(closed.unionByName(senders.select(F.col("sender").alias("start"), "component")))
+
+    def counts(self) -> DataFrame:
+        """id, reached: how many other nodes each node reaches."""
+        sizes = self.members.groupBy("component").agg(F.count("*").alias("size"))
+        totals = self.closed.join(sizes, "component").groupBy("start").agg(F.sum("size").alias("total"), F.max(F.col("component") == F.col("start")).alias("itself"))
+        rows = self.members.join(totals, self.members["component"] == totals["start"], "left")
+        return rows.select("id", (F.coalesce("total", F.lit(0)) - F.coalesce(F.col("itself").cast("int"), F.lit(0))).alias("reached"))
+
+    def shares(self, delivered: DataFrame) -> DataFrame:
+        """start, share: the part of what each node reaches that got its message; 1 where it reaches nobody. delivered:
+        start, id."""
+        of = lambda x, y: self.members.select(F.col("id").alias(x), F.col("component").alias(y))
+        got = delivered.where("start <> id").select("start", "id").distinct().join(of("start", "from_component"), "start").join(of("id", "to_component"), "id")
+        pairs = self.closed.select(F.col("start").alias("from_component"), F.col("component").alias("to_component"))
+        hits = got.join(pairs, ["from_component", "to_component"], "left_semi").groupBy("start").agg(F.count("*").alias("hits"))
+        rows = self.counts().withColumnRenamed("id", "start").join(hits, "start", "left")
+        return rows.select("start", F.when(F.col("reached") > 0, F.coalesce("hits", F.lit(0)) / F.greatest("reached", F.lit(1))).otherwise(1.0).alias("share"))
+
+
 def articulation_points(neighbours: DataFrame) -> DataFrame:
     """id of the nodes whose removal splits their component. neighbours: a, b both ways, distinct, a <> b.
 
