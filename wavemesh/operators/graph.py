@@ -121,6 +121,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return links.selectExpr("hi AS id", "lo AS component").unionByName(links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 
 
+#: Steps of a colouring that are one plan.
+STEPS = 4
+
+
 def strong_components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """id, component of every node of a link (a, b) whose strongly connected component has other members; all others are
     alone. component is a member.
@@ -128,7 +132,7 @@ def strong_components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     Forward and backward colouring: each node takes the greatest id that reaches it as its colour; backwards from a node
     that has its own, within its colour, lies its component. Links between colours, and at what is found, drop out, and so
     do links at nodes that nothing reaches or that reach nothing, until no link is left. Every step is a join and an
-    aggregate; a colouring takes as many as its longest way."""
+    aggregate; a colouring takes as many as its longest way, STEPS of them between checkpoints."""
     left = kept(links.where("a <> b").select("a", "b").distinct())
     found = left.selectExpr("a AS id", "a AS component").where("false")
     for _ in range(most_rounds):
@@ -137,19 +141,26 @@ def strong_components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
         if left.isEmpty():
             return found
         colours = kept(left.selectExpr("a AS id").distinct().unionByName(left.selectExpr("b AS id").distinct()).distinct().selectExpr("id", "id AS colour"))
-        moved = colours
-        while not moved.isEmpty():  # only what has a new colour passes it on
-            told = left.join(moved.selectExpr("id AS a", "colour"), "a").groupBy(F.col("b").alias("id")).agg(F.max("colour").alias("told"))
-            moved = kept(told.join(colours, "id").where("told > colour").select("id", F.col("told").alias("colour")))
-            colours = kept(colours.join(moved.withColumnRenamed("colour", "better"), "id", "left").select("id", F.coalesce("better", "colour").alias("colour")))
+        while True:
+            better = colours
+            for _ in range(STEPS):
+                told = left.join(better.selectExpr("id AS a", "colour"), "a").groupBy(F.col("b").alias("id")).agg(F.max("colour").alias("told"))
+                better = better.join(told, "id", "left").select("id", F.greatest("colour", "told").alias("colour"))
+            better = kept(better.join(colours.withColumnRenamed("colour", "before"), "id"))
+            colours = better.select("id", "colour")
+            if better.where("colour <> before").isEmpty():
+                break
         ends = left.join(colours.selectExpr("id AS a", "colour AS of_a"), "a").join(colours.selectExpr("id AS b", "colour AS of_b"), "b")
-        same = kept(ends.where("of_a = of_b").selectExpr("a", "b"))
-        front = kept(colours.where("id = colour").select("id", F.col("id").alias("component")))
-        inside = front
-        while not front.isEmpty():
-            back = same.join(front.selectExpr("id AS b", "component"), "b").select(F.col("a").alias("id"), "component").distinct()
-            front = kept(back.join(inside.select("id"), "id", "left_anti"))
-            inside = kept(inside.unionByName(front))
+        same = kept(ends.where("of_a = of_b").selectExpr("a", "b", "of_a AS colour"))
+        inside, size = colours.where("id = colour").select("id", F.col("id").alias("component")), -1
+        while True:
+            for _ in range(STEPS):
+                back = same.join(inside.selectExpr("id AS b", "component"), "b").select(F.col("a").alias("id"), "component")
+                inside = inside.unionByName(back).distinct()
+            inside = kept(inside)
+            if (n := inside.count()) == size:
+                break
+            size = n
         several = inside.join(inside.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi")
         found = kept(found.unionByName(several.select("id", "component")))
         left = kept(same.join(inside.selectExpr("id AS a"), "a", "left_anti").join(inside.selectExpr("id AS b"), "b", "left_anti"))
@@ -175,27 +186,32 @@ class Reach:
         ends = kept(self.links.join(of("a"), "a").join(of("b"), "b"))
         between = ends.where("a_passes AND of_a <> of_b").selectExpr("of_a AS a", "of_b AS b").distinct()
         sources = self.members.where("passes").select(F.col("component").alias("start")).distinct()
-        closed = kept(reached(between, sources).select("start", F.col("id").alias("component")))
-        # a node that doesn't pass traffic on starts with its own links
-        own = ends.where("NOT a_passes").select(F.col("a").alias("sender"), F.col("of_b").alias("start")).distinct()
-        senders = own.select("sender", F.col("start").alias("component")).unionByName(own.join(closed, "start").select("sender", "component")).distinct()
-        #: start (a component that passes traffic on, or another node) and the components it reaches
-        self.closed = kept(closed.unionByName(senders.select(F.col("sender").alias("start"), "component")))
+        closed = kept(reached(between, sources).select(F.col("start").cast("string").alias("start"), F.col("id").alias("component")))
+        # a node that doesn't pass traffic on starts with its own links; those with links to the same components are one start
+        own = ends.where("NOT a_passes").groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_set("of_b")).alias("first"))
+        own = own.select("id", "first", F.concat(F.lit("to "), F.md5(F.array_join("first", " "))).alias("start"))
+        first = own.groupBy("start").agg(F.first("first").alias("first")).select("start", F.explode("first").alias("component"))
+        beyond = first.withColumnRenamed("start", "sender").join(closed, first["component"].cast("string") == closed["start"]).select(F.col("sender").alias("start"), closed["component"])
+        #: start (a component that passes traffic on, or those of links) and the components it reaches
+        self.closed = kept(closed.unionByName(first).unionByName(beyond).distinct())
+        #: id, component, start: where a node's traffic starts
+        start = F.when(F.col("passes"), F.col("component").cast("string")).otherwise(F.col("start"))
+        self.starts = kept(self.members.join(own.select("id", "start"), "id", "left").select("id", "component", start.alias("start")))
 
     def counts(self) -> DataFrame:
         """id, reached: how many other nodes each node reaches."""
         sizes = self.members.groupBy("component").agg(F.count("*").alias("size"))
-        totals = self.closed.join(sizes, "component").groupBy("start").agg(F.sum("size").alias("total"), F.max(F.col("component") == F.col("start")).alias("itself"))
-        rows = self.members.join(totals, self.members["component"] == totals["start"], "left")
-        return rows.select("id", (F.coalesce("total", F.lit(0)) - F.coalesce(F.col("itself").cast("int"), F.lit(0))).alias("reached"))
+        totals = self.closed.join(sizes, "component").groupBy("start").agg(F.sum("size").alias("total"))
+        itself = self.starts.join(self.closed, ["start", "component"], "left_semi").select("id", F.lit(1).alias("itself"))
+        rows = self.starts.join(totals, "start", "left").join(itself, "id", "left")
+        return rows.select("id", (F.coalesce("total", F.lit(0)) - F.coalesce("itself", F.lit(0))).alias("reached"))
 
     def shares(self, delivered: DataFrame) -> DataFrame:
         """start, share: the part of what each node reaches that got its message; 1 where it reaches nobody. delivered:
         start, id."""
-        of = lambda x, y: self.members.select(F.col("id").alias(x), F.col("component").alias(y))
-        got = delivered.where("start <> id").select("start", "id").distinct().join(of("start", "from_component"), "start").join(of("id", "to_component"), "id")
-        pairs = self.closed.select(F.col("start").alias("from_component"), F.col("component").alias("to_component"))
-        hits = got.join(pairs, ["from_component", "to_component"], "left_semi").groupBy("start").agg(F.count("*").alias("hits"))
+        sent = self.starts.select(F.col("id").alias("start"), F.col("start").alias("of"))
+        got = delivered.where("start <> id").select("start", "id").distinct().join(sent, "start").join(self.members.select("id", "component"), "id")
+        hits = got.join(self.closed.withColumnRenamed("start", "of"), ["of", "component"], "left_semi").groupBy("start").agg(F.count("*").alias("hits"))
         rows = self.counts().withColumnRenamed("id", "start").join(hits, "start", "left")
         return rows.select("start", F.when(F.col("reached") > 0, F.coalesce("hits", F.lit(0)) / F.greatest("reached", F.lit(1))).otherwise(1.0).alias("share"))
 

@@ -373,6 +373,28 @@ def a9_delivered_share(t):
     return graph.delivered_share(reach, reach.where("(start + id) % 3 = 0")).withColumn("share", F.round("share", 9))
 
 
+_ALL_REACH = """WITH RECURSIVE e AS (SELECT DISTINCT src AS a, dst AS b FROM mesh_links WHERE src <> dst AND src IN (SELECT k FROM mesh_nodes) AND dst IN (SELECT k FROM mesh_nodes)),
+r(start, id) AS (SELECT k, k FROM mesh_nodes UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.id WHERE r.id = r.start OR r.id % 4 <> 0)"""
+
+
+def _all_reach(t):
+    ids = t.mesh_nodes.select(F.col("k").alias("id"))
+    return graph.Reach(t.mesh_links.selectExpr("src AS a", "dst AS b"), ids, ids.where("id % 4 <> 0"))
+
+
+@query("g2_all_reach", f"{_ALL_REACH} SELECT start AS id, count(*) - 1 AS reached FROM r GROUP BY start")
+def g2_all_reach(t):
+    """Every node is a start; a node in four doesn't relay."""
+    return _all_reach(t).counts()
+
+
+@query("a9_all_shares", f"""{_ALL_REACH}, got AS (SELECT DISTINCT o.node AS start, x.node AS id FROM mesh_tx o JOIN mesh_rx x ON x.packet = o.packet WHERE o.is_origin AND NOT x.collided)
+SELECT r.start, round(CASE WHEN count(*) > 1 THEN count(got.id) / (count(*) - 1.0::DOUBLE) ELSE 1.0 END, 9) AS share FROM r LEFT JOIN got ON got.start = r.start AND got.id = r.id AND r.id <> r.start GROUP BY r.start""")
+def a9_all_shares(t):
+    got = t.mesh_tx.where("is_origin").select("packet", F.col("node").alias("start")).join(t.mesh_rx.where("NOT collided").select("packet", F.col("node").alias("id")), "packet")
+    return _all_reach(t).shares(got.select("start", "id")).withColumn("share", F.round("share", 9))
+
+
 @query("g5_articulation")
 def g5_articulation(t):
     """Cut nodes of all observed links that are strong both ways; tests hold it against removing each node in turn."""
