@@ -34,5 +34,5 @@ def r12_area_cover(t):
     ground = tiles(t)
     servers = t.mesh_nodes.where("lat IS NOT NULL AND role = 'room_server'").select(F.col("k").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
     sites = terrain.with_ground(servers, ground, "slat", "slon", "g").select("site", "slat", "slon", (F.col("g") + RADIO.antenna_m).alias("tx_m"))
-    found = planning.area_cover(sites, AREA, ground, RADIO, most=4, km=15.0, attempts=2)
+    found = planning.area_cover(sites, AREA, ground, RADIO, most=4, km=8.0, sample_columns=18, candidate_columns=8, attempts=2)
     return found.select("pick", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "gain", "covered", "before", "samples")
