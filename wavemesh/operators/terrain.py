@@ -24,8 +24,8 @@ PIECE = 64
 
 @dataclass(frozen=True)
 class Tiles:
-    """table: x, y, body, right, below, corner (the halo). extent: the least and greatest tile x and y, to whose outermost
-    pixels points are held, or None for the whole world."""
+    """table: x, y, grid (row by row, a tile's pixels with the next column and row: its halo). extent: the least and
+    greatest tile x and y, to whose outermost pixels points are held, or None for the whole world."""
 
     table: DataFrame
     zoom: int
@@ -35,13 +35,18 @@ class Tiles:
 def prepared(tiles: DataFrame, zoom: int, extent: tuple[int, int, int, int] | None = None) -> Tiles:
     """Tiles (z, x, y, elev: row by row from the north-west; a key occurs once) of one zoom with their halos, stored."""
     own = tiles.where((F.col("z") == zoom) & (F.size("elev") == SIZE * SIZE)).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("elev").cast("array<float>").alias("body"))
-    none = F.lit(None).cast("array<float>")
+    none, edge = F.lit(None).cast("array<float>"), F.lit(None).cast("float")
     column = F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda r: F.get("body", r * SIZE))
-    left = own.select((F.col("x") - 1).alias("x"), "y", column.alias("right"), none.alias("below"), F.lit(None).cast("float").alias("corner"))
-    upper = own.select("x", (F.col("y") - 1).alias("y"), none.alias("right"), F.slice("body", 1, SIZE).alias("below"), F.lit(None).cast("float").alias("corner"))
-    both = own.select((F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), none.alias("right"), none.alias("below"), F.col("body")[0].alias("corner"))
-    halo = left.unionByName(upper).unionByName(both).groupBy("x", "y").agg(*(F.max(c).alias(c) for c in ("right", "below", "corner")))
-    return Tiles(stored(own.join(halo, ["x", "y"], "full_outer").select("x", "y", "body", "right", "below", "corner"), "terrain"), zoom, extent)
+    part = lambda dx, dy, body=none, right=none, below=none, corner=edge: F.struct((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), body.alias("body"), right.alias("right"), below.alias("below"), corner.alias("corner"))
+    # a tile is its own body, and the halo of the tiles to the west, to the north and between them
+    parts = F.array(part(0, 0, body=F.col("body")), part(1, 0, right=column), part(0, 1, below=F.slice("body", 1, SIZE)), part(1, 1, corner=F.col("body")[0]))
+    known = own.select(F.inline(parts)).groupBy("x", "y").agg(*(F.max(c).alias(c) for c in ("body", "right", "below", "corner")))
+    zeros = lambda c, n: F.coalesce(c, F.array_repeat(F.lit(0.0).cast("float"), n))
+    line = lambda r: F.concat(F.slice("body", r * SIZE + 1, SIZE), F.slice("right", r + 1, 1))
+    lines = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), line))
+    grid = F.concat(lines, F.col("below"), F.array(F.coalesce("corner", F.lit(0.0).cast("float"))))
+    full = known.withColumns({"body": zeros(F.col("body"), SIZE * SIZE), "right": zeros(F.col("right"), SIZE), "below": zeros(F.col("below"), SIZE)})
+    return Tiles(stored(full.select("x", "y", grid.alias("grid")), "terrain"), zoom, extent)
 
 
 def global_pixel(tiles: Tiles, lat: Column, lon: Column) -> tuple[Column, Column]:
@@ -52,28 +57,24 @@ def global_pixel(tiles: Tiles, lat: Column, lon: Column) -> tuple[Column, Column
     return hold(x, x0, x1), hold(y, y0, y1)
 
 
-def _bilinear(px: Column, py: Column) -> Column:
-    """Elevation at a place of the tile in the row, in pixels from its corner."""
+def _with_elevation(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the elevation at _gx, _gy on the tile they met, as steps of few columns each: what is used several times
+    is a column of its own, so that the compiled loop stays small enough to be optimised."""
     place = lambda v: F.greatest(F.lit(0), F.least(F.floor(v), F.lit(SIZE - 1))).cast("int")
-    x, y = place(px), place(py)
-    inside = lambda dx, dy: F.get("body", (y + dy) * SIZE + x + dx)
-    last_x, last_y = x == SIZE - 1, y == SIZE - 1
-    corners = (
-        inside(0, 0),
-        F.when(last_x, F.get("right", y)).otherwise(inside(1, 0)),
-        F.when(last_y, F.get("below", x)).otherwise(inside(0, 1)),
-        F.when(last_x & last_y, F.col("corner")).when(last_x, F.get("right", y + 1)).when(last_y, F.get("below", x + 1)).otherwise(inside(1, 1)),
-    )
-    a, b, c, d = (F.coalesce(v.cast("double"), F.lit(0.0)) for v in corners)
-    fx, fy = px - x, py - y
-    top, bottom = a + (b - a) * fx, c + (d - c) * fx
-    return top + (bottom - top) * fy
+    at = rows.withColumns({"_px": F.col("_gx") - F.col("_tx") * SIZE, "_py": F.col("_gy") - F.col("_ty") * SIZE})
+    at = at.withColumns({"_x": place(F.col("_px")), "_y": place(F.col("_py"))})
+    at = at.withColumns({"_at": F.col("_y") * (SIZE + 1) + F.col("_x"), "_fx": F.col("_px") - F.col("_x"), "_fy": F.col("_py") - F.col("_y")})
+    corner = lambda step: F.coalesce(F.get("grid", F.col("_at") + step).cast("double"), F.lit(0.0))
+    at = at.withColumns({"_a": corner(0), "_b": corner(1), "_c": corner(SIZE + 1), "_d": corner(SIZE + 2)})
+    side = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("_fx")
+    at = at.withColumns({"_top": side("_a", "_b"), "_bottom": side("_c", "_d")})
+    return at.withColumn(name, F.col("_top") + (F.col("_bottom") - F.col("_top")) * F.col("_fy"))
 
 
 def _on_tiles(rows: DataFrame, tiles: Tiles) -> DataFrame:
     """rows with the tile at their _tx, _ty, nulls where there is none."""
-    table = tiles.table.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "body", "right", "below", "corner").hint("merge")
-    return rows.join(table, (F.col("_tx") == F.col("_x")) & (F.col("_ty") == F.col("_y")), "left")
+    table = tiles.table.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "grid").hint("merge")
+    return rows.join(table, (F.col("_tx") == F.col("_x")) & (F.col("_ty") == F.col("_y")), "left").drop("_x", "_y")
 
 
 def with_ground(rows: DataFrame, ground, lat: str, lon: str, name: str) -> DataFrame:
@@ -83,7 +84,7 @@ def with_ground(rows: DataFrame, ground, lat: str, lon: str, name: str) -> DataF
         return rows.withColumn(name, ground(F.col(lat), F.col(lon)))
     gx, gy = global_pixel(ground, F.col(lat), F.col(lon))
     at = rows.withColumns({"_gx": gx, "_gy": gy}).withColumns({"_tx": F.floor(F.col("_gx") / SIZE).cast("int"), "_ty": F.floor(F.col("_gy") / SIZE).cast("int")})
-    found = _on_tiles(at, ground).withColumn("_ground", _bilinear(F.col("_gx") - F.col("_tx") * SIZE, F.col("_gy") - F.col("_ty") * SIZE))
+    found = _with_elevation(_on_tiles(at, ground), "_ground")
     return found.select(*(c for c in rows.columns if c != name), F.col("_ground").alias(name))
 
 
@@ -118,6 +119,6 @@ def worst_obstructions(paths: DataFrame, tiles: Tiles, radio: geo.Radio) -> Data
     # a sample belongs to one tile of its piece, whatever the last bit of a coordinate says
     own = lambda v, a: F.greatest(F.col(f"_{a}lo"), F.least(tile(v), F.col(f"_{a}hi")))
     samples = samples.where((own(F.col("_gx"), "x") == F.col("_tx")) & (own(F.col("_gy"), "y") == F.col("_ty")))
-    ground = _bilinear(F.col("_gx") - F.col("_tx") * SIZE, F.col("_gy") - F.col("_ty") * SIZE)
-    v = obstruction(radio, ground, F.col("d"), share(F.col("_i")), F.col("tx_m"), F.col("_rx"))
-    return samples.groupBy(*paths.columns).agg(F.max(v).alias("_worst"), F.count(F.when(F.col("_i") == 1, 1)).alias("_times"))
+    samples = _with_elevation(samples, "_ground").withColumn("_f", share(F.col("_i")))
+    v = obstruction(radio, F.col("_ground"), F.col("d"), F.col("_f"), F.col("tx_m"), F.col("_rx"))
+    return samples.withColumn("_v", v).groupBy(*paths.columns).agg(F.max("_v").alias("_worst"), F.count(F.when(F.col("_i") == 1, 1)).alias("_times"))
