@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lineage import kept
+from .lineage import kept, stored
 
 
 def undirected(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -79,6 +79,53 @@ def shortest_path(links: DataFrame, a: int, b: int, most_hops: int = 64) -> list
     return list(end[0]) if end else []
 
 
+def merges(links: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """id, ups: for each node of a link (a, b, margin, either way) the components that it comes to be in, round by round,
+    each with the margin of the link by which the one before joined it.
+
+    In every round each component picks its strongest link to another one (ties by the ends' ids), and what these links
+    join becomes a component, named by a member; the picked links make a maximum spanning forest. The number of
+    components that aren't done halves at least, so a node has log2(n) ups at most. The weakest link between two nodes in
+    the forest is the weakest of their ups as far as they meet."""
+    ends = links.where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("margin").alias("margin"))
+    # tables, since what a checkpoint keeps of how columns follow from each other would grow round by round
+    left = stored(ends.select("x", "y", F.struct("margin", (-F.col("x")).alias("x"), (-F.col("y")).alias("y")).alias("link")), "merging")
+    ids = left.select(F.col("x").alias("id")).unionByName(left.select(F.col("y").alias("id"))).distinct()
+    tree = stored(ids.select("id", F.col("id").alias("of"), F.expr("CAST(array() AS array<struct<of:bigint,weakest:double>>)").alias("ups")), "merges")
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            return tree.select("id", "ups")
+        both = left.select(F.col("x").alias("c"), F.col("y").alias("to"), "link").unionByName(left.select(F.col("y").alias("c"), F.col("x").alias("to"), "link"))
+        best = kept(both.groupBy("c").agg(F.max(F.struct("link", "to")).alias("best")).select("c", "best.to", F.col("best.link.margin").alias("margin")))
+        # two that picked the same link: the lesser one is what the others come to
+        mutual = best.select("c", "to").join(best.select(F.col("c").alias("to"), F.col("to").alias("c")), ["c", "to"], "left_semi").where("c < to").select("c", F.lit(True).alias("top"))
+        heads = kept(best.join(mutual, "c", "left").select("c", F.when(F.col("top"), F.col("c")).otherwise(F.col("to")).alias("to")))
+        while True:
+            ahead = heads.join(heads.selectExpr("c AS to", "to AS next"), "to")
+            heads = kept(ahead.select("c", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            moved = not heads.where("moved").isEmpty()
+            heads = heads.select("c", "to")
+            if not moved:
+                break
+        joined = best.select("c", "margin").join(heads, "c").select(F.col("c").alias("of"), "to", "margin")
+        up = F.when(F.col("to").isNull(), F.col("ups")).otherwise(F.concat("ups", F.array(F.struct(F.col("to").alias("of"), F.col("margin").cast("double").alias("weakest")))))
+        tree = stored(tree.join(joined, "of", "left").select("id", F.coalesce("to", "of").alias("of"), up.alias("ups")), "merges")
+        moved = left.join(heads.selectExpr("c AS x", "to AS u"), "x").join(heads.selectExpr("c AS y", "to AS v"), "y").where("u <> v")
+        left = stored(moved.groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).agg(F.max("link").alias("link")), "merging")
+    raise RuntimeError(f"components were still merging after {most_rounds} rounds")
+
+
+def widest_between(pairs: DataFrame, merged: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with weakest: the weakest link of the best path between a and b, on which this is as strong as can
+    be; infinite from a node to itself, null where no path is. merged: from `merges`. Two joins for any number of pairs."""
+    rows = pairs.join(merged.select(F.col("id").alias("a"), F.col("ups").alias("_of_a")), "a", "left").join(merged.select(F.col("id").alias("b"), F.col("ups").alias("_of_b")), "b", "left")
+    meet = F.array_position(F.zip_with("_of_a", "_of_b", lambda x, y: F.coalesce(x["of"] == y["of"], F.lit(False))), True).cast("int")
+    weakest = lambda c: F.array_min(F.slice(c, F.lit(1), F.col("_meet"))["weakest"])
+    rows = rows.withColumn("_meet", meet)
+    found = F.when(F.col("a") == F.col("b"), F.lit(float("inf"))).when(F.col("_meet") > 0, F.least(weakest("_of_a"), weakest("_of_b")))
+    return rows.select(*pairs.columns, found.alias("weakest"))
+
+
 def in_triangles(neighbours: DataFrame) -> DataFrame:
     """a, b, both ways, of the edges that lie on a triangle. neighbours: a, b both ways, distinct, a <> b.
 

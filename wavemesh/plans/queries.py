@@ -1264,4 +1264,4 @@ def r5_tiers(t):
     return made.groupBy("tier").agg(F.count("*").alias("cells"), F.round(F.avg("margin"), 4).alias("mean"))
 
 
-from . import planning_queries, terrain_queries  # noqa: E402, F401  register their own
+from . import network_queries, planning_queries, terrain_queries  # noqa: E402, F401  register their own
