@@ -1,11 +1,11 @@
-"""Widest paths by merging components against plain search; large snapshots by digests of buckets."""
+"""Widest paths by merging components against plain search; large snapshots by digests of buckets; capture at a listener."""
 
 import math
 import random
 
 import pytest
 
-from wavemesh.operators import graph, nodes
+from wavemesh.operators import graph, nodes, reports
 
 
 def plain_widest(edges, a, b):
@@ -67,3 +67,17 @@ def test_snapshots_meet_in_changed_buckets_only(spark):
     assert nodes.bucketed_differences(a, b, "k", ["name"]).count() == 4
     with pytest.raises(ValueError):
         nodes.bucketed_differences(left, right.selectExpr("CAST(k AS int) AS k", "name"), "k", ["name"])
+
+
+def test_outcomes_at_a_listener(spark):
+    schema = "listener int, id int, node int, start_ms long, air_ms long, preamble_ms double, snr double"
+    rows = [
+        (1, 1, 1, 0, 400, 100.0, 10.0), (1, 2, 2, 99, 50, 10.0, 4.5),  # 5.5 dB weaker, in the preamble
+        (2, 1, 1, 0, 400, 100.0, 10.0), (2, 2, 2, 100, 50, 10.0, 4.5),  # the same behind it
+        (3, 1, 1, 0, 400, 100.0, 10.0), (3, 2, 2, 100, 50, 10.0, 4.0),  # 6 dB weaker
+        (4, 1, 1, 0, 400, 100.0, 10.0), (4, 2, 2, 50, 50, 10.0, 2.0), (4, 3, 3, 300, 50, 10.0, 2.0), (4, 4, 1, 10, 50, 10.0, 99.0),  # two of 8 dB weaker; its own sender's
+        (5, 1, 1, 0, 400, 100.0, 10.0), (5, 2, 2, 400, 50, 10.0, 20.0),  # one begins where the other ends
+    ]
+    got = {(r.listener, r.id): (r.outcome, r.interferers) for r in reports.capture_outcomes(spark.createDataFrame(rows, schema), 64).collect()}
+    assert {k: got[k] for k in got if k[1] == 1} == {(1, 1): ("no_lock", 1), (2, 1): ("corrupted", 1), (3, 1): ("captured", 1), (4, 1): ("corrupted", 2), (5, 1): ("captured", 0)}
+    assert len(got) == len(rows)

@@ -116,6 +116,28 @@ def overlapping(heard: DataFrame, bucket_ms: int) -> DataFrame:
     return a.join(b, meet).where(first).select(F.col("a.listener").alias("listener"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.least("a.end_ms", "b.end_ms") - F.greatest("a.start_ms", "b.start_ms")).alias("overlap_ms"))
 
 
+def capture_outcomes(heard: DataFrame, bucket_ms: int, lock_db: float = 6.0, payload_db: float = 6.0) -> DataFrame:
+    """listener, id, outcome, interferers of each transmission at each listener: no_lock if one that begins before the end
+    of its preamble is less than lock_db weaker; else corrupted if the summed power of all that overlap it is less than
+    payload_db weaker; else captured. heard: listener, id, node, start_ms, air_ms, preamble_ms, snr, a row per transmission
+    and listener; a node doesn't interfere with itself. Margins hold up to rounding.
+
+    As in `overlapping`, intervals meet in the first time bucket that both touch; a transmission also meets itself there, so
+    that one without interferers keeps its row, and sums are formed before anything else shuffles."""
+    timed = heard.select("listener", "id", "node", "start_ms", (F.col("start_ms") + F.col("air_ms")).alias("end_ms"), (F.col("start_ms") + F.floor("preamble_ms")).alias("lock_ms"), "snr")
+    cell = lambda c: F.floor(F.col(c) / bucket_ms)
+    spread = timed.select("*", F.explode(F.sequence(cell("start_ms"), cell("end_ms"))).alias("cell"))
+    a, b = spread.alias("a"), spread.select("listener", "cell", "id", "node", "start_ms", "end_ms", "snr").alias("b")
+    meet = F.expr("a.listener = b.listener AND a.cell = b.cell AND (a.id = b.id OR a.node <> b.node AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms)")
+    first = F.col("a.cell") == F.floor(F.greatest("a.start_ms", "b.start_ms") / bucket_ms)
+    other = F.col("a.id") != F.col("b.id")
+    early = F.max(F.when(other & (F.col("b.start_ms") < F.col("a.lock_ms")), F.col("b.snr")))
+    power = F.sum(F.when(other, F.pow(F.lit(10.0), F.col("b.snr") / 10)))
+    sums = a.join(b, meet).where(first).groupBy(F.col("a.listener").alias("listener"), F.col("a.id").alias("id"), F.col("a.snr").alias("snr")).agg(early.alias("early"), power.alias("power"), F.count(F.when(other, 1)).alias("interferers"))
+    outcome = F.when(F.col("snr") - F.col("early") < lock_db - 1e-9, "no_lock").when(F.col("snr") - 10 * F.log10("power") < payload_db - 1e-9, "corrupted").otherwise("captured")
+    return sums.select("listener", "id", outcome.alias("outcome"), "interferers")
+
+
 #: What a node's figures say, with its weight: name, condition over its columns, weight.
 FINDINGS = (
     ("loop_detect_drops", "loop_detect > 0", 90), ("hop_limit_drops", "hop_limit > 0", 80), ("region_mismatch_drops", "region_mismatch > 0", 80), ("cannot_relay", "cannot_relay > 0", 10),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import budgets, graph, nodes
+from ..operators import budgets, graph, nodes, reports
 from .registry import query
 
 #: Small enough for the fixture's senders to run out: 5000 ms when full.
@@ -54,3 +54,19 @@ def j17_changed_buckets(t):
     """All nodes against a later snapshot, in which few have another role or are gone."""
     later = t.mesh_nodes.where("first_seen_ms IS NOT NULL OR role <> 'sensor'").withColumn("role", F.when(F.col("last_heard_ms") > 1706572700000, "other").otherwise(F.col("role")))
     return nodes.bucketed_differences(t.mesh_nodes, later, "k", ["name", "role", "default_scope"])
+
+
+@query("l6_outcomes", """
+WITH h AS (
+  SELECT r.node AS listener, t.packet, t.node, t.start_ms, t.start_ms + t.air_ms AS end_ms, t.start_ms + t.air_ms // 4 AS lock_ms, max(r.snr) AS snr
+  FROM mesh_rx r JOIN mesh_tx t ON t.packet = r.packet GROUP BY ALL),
+met AS (
+  SELECT a.listener, a.packet, a.snr, max(b.snr) FILTER (b.start_ms < a.lock_ms) AS early, 10 * log10(sum(power(10.0::DOUBLE, b.snr / 10))) AS level, count(b.packet) AS interferers
+  FROM h a LEFT JOIN h b ON a.listener = b.listener AND a.node <> b.node AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms
+  GROUP BY a.listener, a.packet, a.snr)
+SELECT listener, packet, interferers, CASE WHEN snr - early < 6 - 1e-9 THEN 'no_lock' WHEN snr - level < 6 - 1e-9 THEN 'corrupted' ELSE 'captured' END AS outcome FROM met""")
+def l6_outcomes(t):
+    """What becomes of every transmission at every listener, if a quarter of its airtime is the preamble."""
+    strongest = t.mesh_rx.groupBy("packet", F.col("node").alias("listener")).agg(F.max("snr").alias("snr"))
+    heard = strongest.join(t.mesh_tx, "packet").select("listener", F.col("packet").alias("id"), "node", "start_ms", "air_ms", (F.col("air_ms") / 4).alias("preamble_ms"), "snr")
+    return reports.capture_outcomes(heard, 1000).select("listener", F.col("id").alias("packet"), "interferers", "outcome")
