@@ -88,7 +88,7 @@ def merges(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     components that aren't done halves at least, so a node has log2(n) ups at most. The weakest link between two nodes in
     the forest is the weakest of their ups as far as they meet."""
     ends = links.where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("margin").alias("margin"))
-    # tables, since what a checkpoint keeps of how columns follow from each other would grow round by round
+    # tables, since with checkpoints each round took longer to plan than the one before, whatever its rows
     left = stored(ends.select("x", "y", F.struct("margin", (-F.col("x")).alias("x"), (-F.col("y")).alias("y")).alias("link")), "merging")
     ids = left.select(F.col("x").alias("id")).unionByName(left.select(F.col("y").alias("id"))).distinct()
     tree = stored(ids.select("id", F.col("id").alias("of"), F.expr("CAST(array() AS array<struct<of:bigint,weakest:double>>)").alias("ups")), "merges")

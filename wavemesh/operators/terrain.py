@@ -59,7 +59,7 @@ def global_pixel(tiles: Tiles, lat: Column, lon: Column) -> tuple[Column, Column
 
 def _with_elevation(rows: DataFrame, name: str) -> DataFrame:
     """rows with the elevation at _gx, _gy on the tile they met, as steps of few columns each: what is used several times
-    is a column of its own, so that the compiled loop stays small enough to be optimised."""
+    is a column of its own, which keeps the compiled loop small."""
     place = lambda v: F.greatest(F.lit(0), F.least(F.floor(v), F.lit(SIZE - 1))).cast("int")
     at = rows.withColumns({"_px": F.col("_gx") - F.col("_tx") * SIZE, "_py": F.col("_gy") - F.col("_ty") * SIZE})
     at = at.withColumns({"_x": place(F.col("_px")), "_y": place(F.col("_py"))})
