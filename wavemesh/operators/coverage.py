@@ -100,13 +100,12 @@ def supersampled(sites: DataFrame, bounds: tuple[float, float, float, float], wi
 
 
 def tiers(positions: dict[str, DataFrame], grids: dict[str, DataFrame], ground, radio: geo.Radio, km: float) -> DataFrame:
-    """tier, py, px, margin, site: the best servers of each grid for each kind of position, such as the reported and the
-    calibrated ones. positions: site, slat, slon, tx_m; grids: py, px, lat, lon."""
+    """tier, py, px, margin, site, traced: the best servers of each grid for each kind of position, such as the reported
+    and the calibrated ones. positions: site, slat, slon, tx_m; grids: py, px, lat, lon."""
     found = None
     for p, sites in positions.items():
         for g, at in grids.items():
-            ends = ("site", F.col("slat").alias("lat1"), F.col("slon").alias("lon1"), "tx_m", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "d")
-            part = best_server(path_margins(site_pixels(sites, at, km).select("py", "px", *ends), ground, radio)).withColumn("tier", F.lit(f"{p}/{g}"))
+            part = bounded_best_server(sites, at, ground, radio, km).withColumn("tier", F.lit(f"{p}/{g}"))
             found = part if found is None else found.unionByName(part)
     return found
 
@@ -156,6 +155,14 @@ def calibrated(positions: DataFrame, seen: DataFrame, ground, radio: geo.Radio,
     return best.select("node", F.when(adopted, F.col("b.ring")).otherwise(0).alias("ring"), F.when(adopted, F.col("b.angle")).otherwise(0).alias("angle"), "before", F.when(adopted, F.col("b.score")).otherwise(F.col("before")).alias("after"), F.coalesce(adopted, F.lit(False)).alias("adopted"))
 
 
+def placed(positions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node, lat, lon: each node at the candidate that calibration adopted for it, else at its reported position (ring 0).
+    positions: as of candidates; chosen: as of calibrated."""
+    adopted = chosen.where("adopted").select("node", F.col("ring").alias("_ring"), F.col("angle").alias("_angle"))
+    there = (F.col("ring") == F.coalesce("_ring", F.lit(0))) & (F.col("angle") == F.coalesce("_angle", F.lit(0)))
+    return positions.join(adopted, "node", "left").where(there).select("node", "lat", "lon")
+
+
 def chain(points: DataFrame) -> DataFrame:
     """Neighbouring points of a route (route, seq, lat, lon): route, seq, d, of each hop."""
     order = W.partitionBy("route").orderBy("seq")

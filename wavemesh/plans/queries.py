@@ -818,12 +818,14 @@ def _pads(name: str) -> tuple[str, str]:
 _KEYS = ", ".join("('#nation-{}', '{}', '{}')".format(i, *_pads(f"#nation-{i}")) for i in range(25))
 
 
-@query("x2_regions", f"""
-WITH f AS (SELECT id, substr(lpad(printf('%x', (id % 16) * 4), 2, '0') || md5('h' || CAST(id AS VARCHAR)), 1, 30) AS raw FROM mesh_packets),
+_REGIONS = f"""f AS (SELECT id, substr(lpad(printf('%x', (id % 16) * 4), 2, '0') || md5('h' || CAST(id AS VARCHAR)), 1, 30) AS raw FROM mesh_packets),
 g AS (SELECT id, substr(raw, 3, 4) AS code, ('0x' || substr(raw, 11, 2))::INT AS p, raw FROM f), h AS (SELECT *, 6 + (p % 64) * (p // 64 + 1) AS o FROM g),
 m AS (SELECT id, code, unhex(lpad(printf('%x', id % 16), 2, '0') || substr(raw, CAST(2 * o + 1 AS INT))) AS msg FROM h WHERE o <= 15),
 k(name, i, o) AS (VALUES {_KEYS}),
-x AS (SELECT id, name FROM m CROSS JOIN k WHERE substr(sha256(unhex(k.o) || unhex(sha256(unhex(k.i) || m.msg))), 1, 4) = m.code)
+x AS (SELECT id, name FROM m CROSS JOIN k WHERE substr(sha256(unhex(k.o) || unhex(sha256(unhex(k.i) || m.msg))), 1, 4) = m.code)"""
+
+
+@query("x2_regions", f"""WITH {_REGIONS}
 SELECT m.id, min(x.name) AS region, CAST(count(x.name) AS INT) AS n_matches FROM m LEFT JOIN x USING (id) GROUP BY m.id""")
 def x2_regions(t):
     raw = F.substring(F.concat(F.lpad(F.lower(F.hex((F.col("id") % 16) * 4)), 2, "0"), F.md5(F.concat(F.lit("h"), F.col("id").cast("string")))), 1, 30)
@@ -947,8 +949,8 @@ def r12_greedy_cover(t):
 _CAND = "(SELECT 0 AS ring, 0 AS angle, 0.0::DOUBLE AS north, 0.0::DOUBLE AS east UNION ALL SELECT r, a, r * 0.05 * cos(2 * pi() * a / 16 + r * pi() / 32), r * 0.05 * sin(2 * pi() * a / 16 + r * pi() / 32) FROM range(1, 3) x(r) CROSS JOIN range(16) y(a))"
 
 
-@query("r8_calibrated", f"""
-WITH l AS (SELECT r.src AS node, p.lat AS plat, p.lon AS plon, r.n AS bottleneck FROM mesh_reach r JOIN mesh_nodes p ON p.k = r.peer),
+_CALIBRATION = f"""
+l AS (SELECT r.src AS node, p.lat AS plat, p.lon AS plon, r.n AS bottleneck FROM mesh_reach r JOIN mesh_nodes p ON p.k = r.peer),
 s AS (SELECT n.k AS node, ring, angle, lat + north / 110.574 AS lat, lon + east / (111.32 * cos(radians(lat))) AS lon FROM mesh_nodes n CROSS JOIN {_CAND} c WHERE n.lat IS NOT NULL),
 e AS (SELECT node FROM l GROUP BY node HAVING count(*) >= 2),
 p AS (SELECT s.node, ring, angle, bottleneck, lat, lon, plat, plon, {_duck_hills('lat', 'lon')} + 1 AS tx, {duck_haversine('lat', 'lon', 'plat', 'plon')} AS d FROM s JOIN l ON l.node = s.node JOIN e ON e.node = s.node WHERE plat IS NOT NULL),
@@ -956,15 +958,26 @@ q AS (SELECT *, CAST(least(greatest(floor(d / 0.05), 8), 300) AS INT) AS n FROM
 v AS (SELECT node, ring, angle, bottleneck, plat, plon, d, {_duck_margin('lat', 'lon', 'tx', 'plat', 'plon', 'd')} AS v FROM i),
 m AS (SELECT node, ring, angle, bottleneck, {_MARGIN} AS margin FROM v GROUP BY node, ring, angle, bottleneck, plat, plon, d),
 w AS (SELECT node, ring, angle, sum(ln(1 + bottleneck) * greatest(0, 15 - margin)) AS score FROM m GROUP BY ALL),
-b AS (SELECT node, max(score) FILTER (ring = 0) AS before, min(score) AS best FROM w GROUP BY node)
-SELECT node, round(before, 4) AS before, round(CASE WHEN before >= 5 AND best < before AND (before - best) / before * 100 >= 2 THEN best ELSE before END, 4) AS after, before >= 5 AND best < before AND (before - best) / before * 100 >= 2 AS adopted FROM b""")
+b AS (SELECT node, max(score) FILTER (ring = 0) AS before, min(score) AS best, arg_min({{'ring': ring, 'angle': angle}}, (round(score, 9), ring, angle)) AS spot FROM w GROUP BY node)"""
+_ADOPTED = "before >= 5 AND best < before AND (before - best) / before * 100 >= 2"
+
+
+@query("r8_calibrated", f"""WITH {_CALIBRATION}
+SELECT node, round(before, 4) AS before, round(CASE WHEN {_ADOPTED} THEN best ELSE before END, 4) AS after, {_ADOPTED} AS adopted FROM b""")
 def r8_calibrated(t):
-    n = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("node"), "lat", "lon")
-    l = t.mesh_reach.join(t.mesh_nodes.select(F.col("k").alias("peer"), F.col("lat").alias("plat"), F.col("lon").alias("plon")), "peer").select(F.col("src").alias("node"), "plat", "plon", F.col("n").alias("bottleneck"))
-    got = coverage.calibrated(coverage.candidates(n, 100.0), l, hills, RADIO, improvement_pct=2.0)
+    _, got = _calibrated(t)
     return got.select("node", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), "adopted")
 
 
+def _calibrated(t):
+    """Candidate positions of all nodes, and what calibration makes of them."""
+    n = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("node"), "lat", "lon")
+    peers = t.mesh_nodes.select(F.col("k").alias("peer"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    seen = t.mesh_reach.join(peers, "peer").select(F.col("src").alias("node"), "plat", "plon", F.col("n").alias("bottleneck"))
+    spots = coverage.candidates(n, 100.0)
+    return spots, coverage.calibrated(spots, seen, hills, RADIO, improvement_pct=2.0)
+
+
 # ---- replay
 
 @query("p6_confident_hops", "SELECT id, pos, CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN lower(key) ELSE '' END AS key FROM mesh_hops")
@@ -1206,9 +1219,10 @@ def x_padded_box(t):
     return b.select(*(F.round(c, 6).alias(c) for c in b.columns))
 
 
-@query("p4_canonical")
+@query("p4_canonical", f"""WITH {_REGIONS}, r AS (SELECT id, min(name) AS region FROM x GROUP BY id)
+SELECT h.id, o <= 15 AS readable, CAST(CASE WHEN o <= 15 THEN h.id % 16 END AS INT) AS payload_type, r.region FROM h LEFT JOIN r ON r.id = h.id""")
 def p4_canonical(t):
-    """Frames and regions of all packets; x1_frames and x2_regions hold both parts against SQL."""
+    """Frames and regions of all packets."""
     raw = F.substring(F.concat(F.lpad(F.lower(F.hex((F.col("id") % 16) * 4)), 2, "0"), F.md5(F.concat(F.lit("h"), F.col("id").cast("string")))), 1, 30)
     return packets.canonical(t.mesh_packets.withColumn("raw_hex", raw), t.mesh_scopes).select("id", F.col("frame").isNotNull().alias("readable"), "frame.payload_type", "region")
 
@@ -1246,21 +1260,27 @@ def r9_preview(t):
     return covered.select(F.lit("pixel").alias("kind"), *long("py", "px"), F.round("margin", 5).alias("margin")).unionByName(near.select(F.lit("site").alias("kind"), *long("site", "rank"), F.round("margin", 5).alias("margin")))
 
 
-def _tier_sql(name: str, lat: str, width: int, height: int) -> str:
-    sql = _RASTER.replace("(1.0 / 12)", f"(1.0 / {height})").replace("(1.5 / 16)", f"(1.5 / {width})").replace("range(12)", f"range({height})").replace("range(16)", f"range({width})")
-    sql = sql.replace("lat AS slat, lon AS slon", f"{lat} AS slat, lon AS slon").replace(f"{_duck_hills('lat', 'lon')} + 1 AS tx", f"{_duck_hills(lat, 'lon')} + 1 AS tx")
-    return f"SELECT * FROM ({sql} SELECT '{name}' AS tier, count(*) AS cells, round(avg(margin), 4) AS mean FROM b)"
+#: Positions after calibration: a node's adopted candidate, or the reported place.
+_PLACED = f"""(WITH {_CALIBRATION}, a AS (SELECT node, spot.ring AS ring, spot.angle AS angle FROM b WHERE {_ADOPTED})
+SELECT s.node AS k, s.lat, s.lon FROM s LEFT JOIN a ON a.node = s.node WHERE s.ring = coalesce(a.ring, 0) AND s.angle = coalesce(a.angle, 0))"""
 
 
-_MOVED = "(CASE WHEN k % 4 = 0 THEN lat + 0.002 ELSE lat END)"
+def _tier_sql(name: str, nodes_sql: str, width: int, height: int) -> str:
+    sql = _RASTER.replace("(1.0 / 12)", f"(1.0 / {height})").replace("(1.5 / 16)", f"(1.5 / {width})").replace("range(12)", f"range({height})").replace("range(16)", f"range({width})")
+    sql = sql.replace("FROM mesh_nodes WHERE lat", f"FROM {nodes_sql} WHERE lat")
+    return f"SELECT * FROM ({sql} SELECT '{name}' AS tier, count(*) AS cells, round(avg(margin), 4) AS mean FROM b)"
 
 
-@query("r5_tiers", " UNION ALL ".join(_tier_sql(f"{p}/{g}", lat, w, h) for p, lat in (("reported", "lat"), ("calibrated", _MOVED)) for g, w, h in (("standard", 8, 6), ("precision", 16, 12))))
+@query("r5_tiers", " UNION ALL ".join(_tier_sql(f"{p}/{g}", at, w, h) for p, at in (("reported", "mesh_nodes"), ("calibrated", _PLACED)) for g, w, h in (("standard", 8, 6), ("precision", 16, 12))))
 def r5_tiers(t):
-    site = lambda lat: t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), lat.alias("slat"), F.col("lon").alias("slon"), (hills(lat, F.col("lon")) + RADIO.antenna_m).alias("tx_m"))
-    moved = F.when(F.col("k") % 4 == 0, F.col("lat") + 0.002).otherwise(F.col("lat"))
-    grid = lambda w, h: coverage.pixels((56.0, 57.0, -4.5, -3.0), w, h, t.spark)
-    made = coverage.tiers({"reported": site(F.col("lat")), "calibrated": site(moved)}, {"standard": grid(8, 6), "precision": grid(16, 12)}, hills, RADIO, 40.0)
+    def sites(at, key):
+        return at.where("lat IS NOT NULL").select(F.col(key).alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (hills(F.col("lat"), F.col("lon")) + RADIO.antenna_m).alias("tx_m"))
+
+    spots, chosen = _calibrated(t)
+    moved = kept(coverage.placed(spots, chosen))
+    box = (56.0, 57.0, -4.5, -3.0)
+    grids = {"standard": coverage.pixels(box, 8, 6, t.spark), "precision": coverage.pixels(box, 16, 12, t.spark)}
+    made = coverage.tiers({"reported": sites(t.mesh_nodes, "k"), "calibrated": sites(moved, "node")}, grids, hills, RADIO, 40.0)
     return made.groupBy("tier").agg(F.count("*").alias("cells"), F.round(F.avg("margin"), 4).alias("mean"))
 
 
