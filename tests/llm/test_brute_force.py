@@ -285,6 +285,43 @@ def test_pii_digests_and_mapped_spans(spark):
     assert cut(3) == [texts[3]] and cut(4) == [texts[4]] and cut(5) == [texts[5]]
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("pay four 111 1111 1111 1111 now", ["card four 111 1111 1111 1111"]),
+    ("pay 4111 one 111 1111 1111 now", ["card 4111 one 111 1111 1111"]),
+    ("write john_at_example_dot_com today", ["email john_at_example_dot_com"]),
+    ("write j_dot_roe_at_mail_dot_example_dot_org today", ["email j_dot_roe_at_mail_dot_example_dot_org"]),
+    ("to ann\u200b@\u200bex\u00adample.com.", ["email ann\u200b@\u200bex\u00adample.com"]),
+    ("host 2l7.1O.0.1 is down", ["ip 2l7.1O.0.1"]),
+    ("host ten one.two.3.four is down", ["ip one.two.3.four"]),
+    ("call +1 2I7 555 o134 today", ["phone +1 2I7 555 o134"]),
+    ("look_at_me and the_dot_com boom, I 2 am one of 3 lo", []),
+    ("meet_at_noon, no_dot_here 10.0.0.1 O", ["ip 10.0.0.1"]),
+])
+def test_pii_disguises(text, want):
+    assert [f"{pii.KINDS[k]} {text[a:b]}" for a, k, b, _ in pii.spans(text)] == want
+
+
+def test_pii_of_random_texts_and_long_runs():
+    """Plain finds are the contract's, whatever is rewritten; mapped spans lie in the text; scans are linear."""
+    import random
+    import time
+
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    size = lambda t: len(re.sub("[^0-9]", "", t))
+    checks = {"email": lambda t: True, "ip": lambda t: all(int(p) <= 255 for p in t.split(".")), "card": lambda t: 12 <= size(t) <= 19 and pii.luhn(re.sub("[^0-9]", "", t)), "phone": lambda t: 9 <= size(t) <= 15}
+    draw = random.Random(7)
+    parts = ["one", "four", " ", " ", ".", "-", "l", "O", "o", "1", "41", "111", "0", "_at_", "_dot_", "@", " at ", " dot ", "a", "x.co", "+", "\u200b", "а", "(", "[at]", "1111 1111 1111"]
+    for _ in range(20_000):
+        text = "".join(draw.choices(parts, k=draw.randrange(25)))
+        found = pii.spans(text)
+        base = sorted((m.start(), list(patterns).index(k), m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if checks[k](m[0]))
+        assert [f[:3] for f in found if f[3]] == base and all(0 <= a < b <= len(text) for a, _, b, _ in found)
+    began = time.process_time()
+    for run in ("1 ", "l.", "one ", "one.1 ", "a_at_", "a_dot_", "a_at_b_dot_", "1 1a ", "\u200b", "O"):
+        pii.spans(run * 200_000)
+    assert time.process_time() - began < 60
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

@@ -1,8 +1,9 @@
 """Personal data in texts, found also where it is disguised, with spans in the text as it stands.
 
-First the plain detectors run over the text. Then transducers rewrite look-alike characters, bracketed and spoken @ and
-dot, and spelled-out digits, each on the output of the one before, keeping for every character they put out the span it
-came from; the detectors run over the result, and what they find across a rewritten place is mapped back to the source.
+First the plain detectors run over the text. Then transducers rewrite look-alike characters, take out invisible ones, and
+rewrite bracketed, underscored and spoken @ and dot, spelled-out digits, alone among numerals too, and letters that stand
+for numerals, each on the output of the one before, keeping for every character they put out the span it came from; the
+detectors run over the result, and what they find across a rewritten place is mapped back to the source.
 Plain finds always stay; a mapped one is added unless it lies within one of them.
 
 Defined cases: a null or empty text has no spans; rows that repeat give the same spans each; no rows give no rows; all
@@ -81,13 +82,23 @@ LOOK_ALIKES = {
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "υ": "u", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Ζ": "Z",
     "․": ".", "。": ".", "﹒": ".", "·": ".", "﹫": "@", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-",
 }
+# Characters of no width, and letters written for numerals.
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+NUMERALS = {"l": "1", "I": "1", "O": "0", "o": "0"}
 #: The spelled digits, in the order of their values.
 DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 _DIGIT = "(?:" + "|".join(DIGITS) + ")"
-_ODD = re.compile("[" + "".join(map(re.escape, LOOK_ALIKES)) + "！-～٠-٩۰-۹०-९]")
+_ODD = re.compile("[" + "".join(map(re.escape, LOOK_ALIKES)) + INVISIBLE + "！-～٠-٩۰-۹०-९]")
 _SPELLED = re.compile(rf"(?:\bplus[ ,-]+)?\b{_DIGIT}(?:[ ,-]+{_DIGIT}\b)+(?:[ ]+dot[ ]+{_DIGIT}(?:[ ,-]+{_DIGIT}\b)*)*")
 _WORDS = re.compile(rf"\b(?:plus|dot|{_DIGIT})\b")
+# what follows a token is looked at with it, so that a chain is gone through once
+_MIXED = re.compile(rf"\b(?:{_DIGIT}|[0-9]++)\b(?:[ .-](?:{_DIGIT}|[0-9]++)\b)++")
+_LETTERS = "".join(NUMERALS)
+_NUMBER = re.compile(rf"(?<![A-Za-z0-9])[0-9{_LETTERS}]++(?![A-Za-z0-9])(?:[ .-][0-9{_LETTERS}]++(?![A-Za-z0-9]))*+")
+_NUMERAL, _LETTER = re.compile(r"[0-9]"), re.compile(f"[{_LETTERS}]")
+_UNDERSCORED_AT = re.compile(r"(?<=[a-z0-9%+-])_at_(?=[a-z0-9-]++_dot_[a-z0-9])")
+_UNDERSCORED_DOT = re.compile(r"(?<=[a-z0-9%+-])_dot_(?=[a-z0-9])")
 _BRACKETED = re.compile(r"[ ]?[\[({<][ ]?(?:(at|@)|dot|\.)[ ]?[\])}>][ ]?")
 _SPOKEN_AT = re.compile(r"@|(?<=[a-z0-9_%+-])[ ]at[ ]")
 _SPOKEN_DOMAIN = re.compile(r"[a-z0-9-]++(?:(?:\.|[ ]dot[ ])[a-z0-9-]++)+")
@@ -107,7 +118,15 @@ def _lower(text: str) -> str:
 def _look_alikes(text: str) -> list[tuple[int, int, str]]:
     if text.isascii():
         return []
-    return [(m.start(), m.end(), LOOK_ALIKES.get(c := m[0]) or (chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else str(unicodedata.digit(c)))) for m in _ODD.finditer(text)]
+    plain = lambda c: "" if c in INVISIBLE else LOOK_ALIKES.get(c) or (chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else str(unicodedata.digit(c)))
+    return [(m.start(), m.end(), plain(m[0])) for m in _ODD.finditer(text)]
+
+
+def _underscored(low: str) -> list[tuple[int, int, str]]:
+    """Underscored at and dot as spoken ones, if an at is followed by a dot."""
+    if "_dot_" not in low or not (ats := [m.span() for m in _UNDERSCORED_AT.finditer(low)]):
+        return []
+    return sorted([(a, b, " at ") for a, b in ats] + [(m.start(), m.end(), _DOT) for m in _UNDERSCORED_DOT.finditer(low)])
 
 
 def _bracketed(low: str) -> list[tuple[int, int, str]]:
@@ -160,6 +179,20 @@ def _spelled(low: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _mixed(low: str) -> list[tuple[int, int, str]]:
+    """Spelled digits that stand in a chain with numerals or others."""
+    if not any(w in low for w in DIGITS):
+        return []
+    return [(w.start(), w.end(), str(DIGITS.index(w[0]))) for m in _MIXED.finditer(low) for w in _WORDS.finditer(low, m.start(), m.end())]
+
+
+def _numerals(text: str) -> list[tuple[int, int, str]]:
+    """Letters for numerals in chains of tokens of such letters and numerals, which hold both."""
+    if not _NUMERAL.search(text):
+        return []
+    return [(c.start(), c.end(), NUMERALS[c[0]]) for m in _NUMBER.finditer(text) if _NUMERAL.search(m[0]) for c in _LETTER.finditer(text, m.start(), m.end())]
+
+
 class _Layer:
     """A text with its changes made, and the way back to the places before them."""
 
@@ -200,11 +233,14 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
 
     low = _lower(text)
     rewritten(_look_alikes(text))
+    rewritten(_underscored(low))
     changes = _bracketed(low)
     rewritten(changes)
     dots = [at for at, (_, _, by) in zip(layers[-1].touched, changes, strict=True) if by == "."] if changes else []
     rewritten(_spoken(low, dots))
     rewritten(_spelled(low))
+    rewritten(_mixed(low))
+    rewritten(_numerals(text))
     found = set()
     for a, kind, b in plain_spans(text) if layers else ():
         changed = False
