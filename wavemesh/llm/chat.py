@@ -7,7 +7,7 @@ there, and `read_back` restores them exactly; in kinds ``|`` is escaped as well,
 
 Defined cases: a null text or role counts as empty; a part of null kind is text; one of a kind not in PER_TOKEN is an
 attachment of no tokens; turns sort by turn (null last), then role, then body; rows that
-repeat are repeated turns; a null conv_id is a conversation of its own; no rows give no rows; other columns are ignored.
+repeat are repeated turns; very long texts are formatted whole, and a conversation is one string; a null conv_id is a conversation of its own; no rows give no rows; other columns are ignored.
 Only built-in functions run here.
 """
 

@@ -10,7 +10,7 @@ The items go to the tasks in blocks of a bounded size; more blocks are more pass
 Defined cases: null or empty texts hold nothing; null or empty items, and such of neither letters nor digits, are found
 nowhere; items too short for the budget of one edit (of fewer than 15 characters) have to occur unchanged, as whole
 words; items that repeat are found each; one without an id is found with a null item_id; repeated rows give the same
-finds; empty tables give no rows or no finds; columns other than text and those to keep are ignored, whatever their names.
+finds; very long texts are searched whole, in the one pass of each block; empty tables give no rows or no finds; columns other than text and those to keep are ignored, whatever their names.
 """
 
 from __future__ import annotations

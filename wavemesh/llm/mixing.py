@@ -8,7 +8,8 @@ that order up to the budget: the document that straddles the end is taken in par
 or two of its target.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null doc_id is shuffled like the empty string;
-rows that repeat are documents of their own; ties in the hash order go by doc_id and size; no rows or no words give
+rows that repeat are documents of their own; a very long text counts in
+whole, and if the end of the mix falls into it, so many of its words are taken; ties in the hash order go by doc_id and size; no rows or no words give
 targets of 0; other columns are ignored.
 """
 

@@ -23,7 +23,8 @@ member and block it opens. Queries of one block are dealt over tasks by their nu
 Defined cases: null and empty texts, and those of white space only, have an empty set and link with nothing; with fewer
 than five words the whole sequence is the one shingle; repeated rows and ties are equal sets; a null doc_id is returned
 with its set's size and a null component, and links with nothing; rows that share a doc_id are one node with several
-sets; no rows give no rows; columns other than doc_id and text are ignored. doc_id is an integer.
+sets; very long texts are compared whole, and go to Python in batches of
+few rows; no rows give no rows; columns other than doc_id and text are ignored. doc_id is an integer.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ of its name, so that its order is a permutation. Shards take turns to claim thei
 they own the same number of slots, but for one. A document's hash picks its slot, and the broadcast table its shard.
 
 Defined cases: a document with a null doc_id is placed by its text, with neither in slot hash('') mod size; rows that
-repeat are placed alike; no rows give no rows; other columns stay, and a column named shard or slot is replaced.
+repeat are placed alike; the length of a text plays no part, if it has a doc_id; no rows give no rows; other columns stay, and a column named shard or slot is replaced.
 Only built-in functions run on the documents; the table's size is fixed by its parameters.
 """
 

@@ -11,6 +11,7 @@ A word's gain is computed once a task and kept, so frequent words cost a look-up
 
 Defined cases: a null or empty text scores like a text of no words; a doc_id with several labels counts as toxic if one
 says so, one with several texts is learned from by the least of them, null labels are left out; without labels of both kinds the score is the share of toxic labels, 0 with none;
+very long texts are scored whole, only fitting leaves out those of more than LONGEST characters;
 repeated rows score alike; no rows give no rows; columns other than doc_id and text are ignored.
 """
 
