@@ -4,6 +4,11 @@ to the sources' targets, and placed on shards.
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the
 last return the columns of documents. Rows whose doc_id is null are never rejected as copies or for benchmark items
 (they can't be told apart by id); rows that share a doc_id share its decision.
+
+Defined cases: a null or empty text is no copy, holds no item and is toxic only if texts of no words score so; in the mix
+it passes with the documents around it in its source's queue, once an epoch, and beyond the last of them not at all. Very
+long texts are judged whole. Ties go as in each operator: of equal texts the least doc_id stays. An empty table gives no
+rows. docs has to have all of COLUMNS; further columns, whatever their names, are dropped by the first stage that selects.
 """
 
 from __future__ import annotations
