@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wavemesh.operators import evidence
+from wavemesh.operators import episodes, evidence
 
 
 def plain(events, targets, heard, slop=2000, alive=300_000):
@@ -58,3 +58,23 @@ def test_work_grows_with_events_and_states(spark):
         return max([own, *(joined(node.children().apply(i)) for i in range(node.children().length()))])
 
     assert 6000 <= joined(found._jdf.queryExecution().executedPlan()) <= 4 * 6000
+
+
+def test_episodes_hold_the_earliest_record_of_each_hash(spark):
+    """Against looking through all packets, with many records a hash, windows that begin within bursts, and ties."""
+    rnd = random.Random(3)
+    heard = [(i, h, b + rnd.randrange(9)) for i, (h, b) in enumerate((h, b) for h in "abcdef" for b in rnd.choices(range(0, 400), k=6) for _ in range(8))]
+    heard += [(len(heard) + i, None, 7 * i) for i in range(5)] + [(1000, "a", -50)]
+    targets = [(t, "a", rnd.randrange(-20, 420)) for t in range(40)]
+    packets = spark.createDataFrame(heard, "id long, hash string, heard_ms long")
+    around = spark.createDataFrame(targets, "target long, target_hash string, target_ms long")
+    for window, parts in ((60, 16), (60, 1), (7, 16), (0, 4)):
+        want = set()
+        for t, _, ms in targets:
+            first = {}
+            for i, h, at in heard:
+                if abs(at - ms) <= window:
+                    first[h] = min(first.get(h, (at, i)), (at, i))
+            want |= {(t, h, i, at - (ms - window)) for h, (at, i) in first.items()}
+        got = [(r.target, r.hash, r.id, r.at_ms) for r in episodes.in_window(packets, around, window, parts).collect()]
+        assert len(got) == len(want) and set(got) == want

@@ -162,6 +162,13 @@ def test_calibration_moves_only_where_it_pays(spark):
     assert got == {1: (True, True)}
 
 
+def test_retransmit_delays_are_spread_and_repeatable(spark):
+    draw = lambda seed: [r.d for r in spark.range(6000).orderBy("id").select(lora.retransmit_delay_ms(F.lit(21), F.lit(0.1), seed, F.col("id")).alias("d")).collect()]
+    got = draw("a")
+    assert got == draw("a") != draw("b") and set(got) == set(range(11))
+    assert all(400 < got.count(d) < 700 for d in range(11))
+
+
 def test_thinning_and_logs(spark, tmp_path):
     rows = spark.range(23).select(F.lit(1).alias("g"), "id")
     assert [r.id for r in operations.thinned(rows, ["g"], [F.col("id")], 7).orderBy("id").collect()] == [i * 23 // 7 for i in range(7)]

@@ -52,6 +52,13 @@ def retransmit_window_ms(airtime: Column, factor: Column) -> Column:
     return 5 * (airtime * factor).cast("long")
 
 
+def retransmit_delay_ms(airtime: Column, factor: Column, seed: str, *of: Column) -> Column:
+    """A delay drawn from 0 up to the longest one, all equally likely. What it is drawn for, such as a packet and the
+    relaying node, and the seed decide it, so a task that runs again draws the same."""
+    bits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), *(c.cast("string") for c in of))), 1, 12)
+    return F.pmod(F.conv(bits, 16, 10).cast("long"), retransmit_window_ms(airtime, factor) + 1)
+
+
 def loop_limit(level: Column, hash_size: Column) -> Column:
     """How often a node's hash may stand in a path before it refuses; 0 never refuses."""
     return (

@@ -1,6 +1,6 @@
 """Episodes: what happened around a target packet, rebuilt from what was heard, and how a prediction compares with it.
 
-All targets are worked on at once: packets and targets meet in time buckets as wide as the window.
+All targets are worked on at once: packets and targets meet in time buckets that are a fraction of the window.
 """
 
 from __future__ import annotations
@@ -14,14 +14,22 @@ FLOOD = (0, 1)
 PAYLOAD, FRAME, HASH_SIZE = 20, 24, 3
 
 
-def in_window(packets: DataFrame, targets: DataFrame, window_ms: int) -> DataFrame:
+def in_window(packets: DataFrame, targets: DataFrame, window_ms: int, parts: int = 16) -> DataFrame:
     """Packets (hash, heard_ms, id and others) within the window around each target (target, target_hash, target_ms):
-    the earliest record of each hash, with at_ms, its time from the window's start."""
-    cell = lambda ms: F.floor(ms / window_ms)
-    t = targets.select("target", "target_hash", "target_ms", F.explode(F.sequence(cell(F.col("target_ms") - window_ms), cell(F.col("target_ms") + window_ms))).alias("cell"))
-    near = packets.withColumn("cell", cell(F.col("heard_ms"))).join(t, "cell").where(F.abs(F.col("heard_ms") - F.col("target_ms")) <= window_ms)
+    the earliest record of each hash, with at_ms, its time from the window's start.
+
+    A packet is recorded by many observers within moments, so of each hash a bucket's earliest record meets targets, and
+    the others only those whose window begins within the bucket."""
+    step = max(1, -(-window_ms // parts))
+    cell = lambda ms: F.floor(ms / step)
+    begin, end = cell(F.col("target_ms") - window_ms), cell(F.col("target_ms") + window_ms)
+    met = F.concat(F.transform(F.sequence(begin, end), lambda c: F.struct(c.alias("cell"), F.lit(True).alias("earliest"))), F.array(F.struct(begin.alias("cell"), F.lit(False).alias("earliest"))))
+    t = targets.select("target", "target_hash", "target_ms", F.inline(met).alias("_cell", "_earliest"))
+    placed = packets.withColumn("_cell", cell(F.col("heard_ms")))
+    placed = placed.withColumn("_earliest", F.row_number().over(W.partitionBy("hash", "_cell").orderBy("heard_ms", "id")) == 1)
+    near = placed.join(t, ["_cell", "_earliest"]).where(F.abs(F.col("heard_ms") - F.col("target_ms")) <= window_ms)
     first = near.withColumn("place", F.row_number().over(W.partitionBy("target", "hash").orderBy("heard_ms", "id"))).where("place = 1")
-    return first.withColumn("at_ms", F.greatest(F.lit(0), F.col("heard_ms") - (F.col("target_ms") - window_ms))).drop("cell", "place")
+    return first.withColumn("at_ms", F.greatest(F.lit(0), F.col("heard_ms") - (F.col("target_ms") - window_ms))).drop("_cell", "_earliest", "place")
 
 
 def senders(window: DataFrame, first_hops: DataFrame, nodes: DataFrame) -> DataFrame:

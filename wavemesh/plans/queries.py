@@ -1193,6 +1193,13 @@ def h15_raw_frames(t):
     return packets.with_raw_frames(t.mesh_packets, frames).select("id", "raw_hex")
 
 
+@query("l5_retransmit_delay", """SELECT DISTINCT packet, node, ('0x' || substr(md5('draw:' || CAST(packet AS VARCHAR) || ':' || CAST(node AS VARCHAR)), 1, 12))::BIGINT % (1 + 5 * CAST(trunc((200 + packet % 300) * 0.5::DOUBLE) AS BIGINT)) AS delay_ms
+FROM mesh_rx WHERE relayed""")
+def l5_retransmit_delay(t):
+    relays = t.mesh_rx.where("relayed").select("packet", "node").distinct()
+    return relays.select("packet", "node", lora.retransmit_delay_ms(200 + F.col("packet") % 300, F.lit(0.5), "draw", F.col("packet"), F.col("node")).alias("delay_ms"))
+
+
 @query("l5_retransmit_window", "SELECT id, 5 * CAST(trunc((200 + payload_len) * 0.5::DOUBLE) AS BIGINT) AS window_ms FROM mesh_packets")
 def l5_retransmit_window(t):
     return t.mesh_packets.select("id", lora.retransmit_window_ms(200 + F.col("payload_len"), F.lit(0.5)).alias("window_ms"))
