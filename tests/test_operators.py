@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wavemesh.operators import coverage, episodes, evidence, graph, lineage, planning, policies
+from wavemesh.operators import coverage, episodes, evidence, graph, lineage, links, planning, policies
 from wavemesh.sources import readers
 
 
@@ -154,3 +154,25 @@ def test_headlines(spark):
     rows = [(1, 3, 0, 0, 3, 0, 0, 0, 0, 5, 0, 0, 0, 0, 0), (2, 3, 0, 0, 3, 0, 0, 0, 0, 0, 0, 0, 2, 0, 0), (3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (4, 3, 0, 0, 3, 1, 2, 0, 0, 0, 0, 0, 0, 0, 0), (5, 3, 1, 0, 3, 1, 2, 0, 0, 0, 0, 0, 0, 1, 2)]
     got = {r.node: r.headline for r in reports.headlines(spark.createDataFrame(rows, " int, ".join(names) + " int"), 1000).collect()}
     assert got == {1: "relayed_none", 2: "cannot_relay", 3: "received_nothing", 4: "healthy", 5: "causes_contention"}
+
+
+def test_sites_at_one_place_are_compared_once(spark):
+    """Best partners, isolated sites and covers of crowded places are those of all pairs, without rows for these."""
+    rnd = random.Random(5)
+    spots = [(56 + rnd.random() / 5, -4 + rnd.random() / 5) for _ in range(9)]
+    rows = [(i, *(spots[i % 8] if i % 11 else spots[8])) for i in range(200)] + [(200, 70.0, 5.0), (201, None, 5.0), (202, 71.0, 5.0), (203, 71.0, 5.0)]
+    sites = spark.createDataFrame(rows, "id long, lat double, lon double")
+    pairs = links.pairs_in_range(sites, 12.0)
+    want = {(r.a, r.b, r["rank"]) for r in links.nearest(pairs, 3).collect()}
+    best = links.best_in_range(sites, 12.0, 3, lambda d: d)
+    assert {(r.a, r.b, r["rank"]) for r in best.collect()} == want and len(want) == 602
+    coarse = links.nearest(pairs.withColumn("d", F.floor(F.col("d") / 5)).where("d < 2"), 3)  # ties between places
+    assert {(r.a, r.b) for r in links.best_in_range(sites, 12.0, 3, lambda d: F.when(d < 10, F.floor(d / 5))).collect()} == {(r.a, r.b) for r in coarse.collect()}
+    assert {r.id for r in links.isolated_sites(sites, 12.0).collect()} == {200, 201} == {r.id for r in links.isolated(sites, pairs).collect()}
+    every = links.places(sites)
+    assert every.count() == 11 and every.agg(F.sum("n")).first()[0] == 203
+    cover = pairs.selectExpr("a AS site", "b AS cell").unionByName(sites.where("lat IS NOT NULL").selectExpr("id AS site", "id AS cell"))
+    near = links.pairs_in_range(every.selectExpr("place AS id", "lat", "lon"), 12.0).selectExpr("a AS site", "b AS cell").unionByName(every.selectExpr("place AS site", "place AS cell"))
+    weighed = near.join(every.selectExpr("place AS cell", "n AS weight"), "cell")
+    assert planning.lazy_cover(weighed, 4) == planning.lazy_cover(cover, 4)
+    assert weighed.count() <= 121

@@ -123,23 +123,28 @@ def connected(ends: DataFrame, sites: DataFrame, known: DataFrame, ground, radio
 BLOCK, HELD = 64, 4096
 
 
+def _weight(cells: DataFrame):
+    return F.col("weight") if "weight" in cells.columns else F.lit(1).cast("long")
+
+
 def lazy_cover(covers: DataFrame, most: int, done: DataFrame | None = None) -> list[tuple[int, int]]:
     """site, gain of up to `most` sites chosen one by one for the most cells that none before covers, of equals the least.
-    covers: site, cell; done: cells covered already.
+    covers: site, cell and, where a cell stands for several, weight (how many; the same in all rows of a cell, 1 without
+    it); done: cells covered already.
 
     A site's gain never rises, so its last count is an upper bound: only the block of the highest bounds is recounted,
     until the best of it beats the next bound. Counts stay in tables ordered by site, of which a recount reads a block's
     rows; the driver holds a block and at most HELD recounted gains."""
-    rows = covers.select("site", "cell").distinct()
+    rows = covers.select("site", "cell", _weight(covers).alias("weight")).distinct()
     rows = rows if done is None else rows.join(done.select("cell").distinct(), "cell", "left_anti")
     rows = stored(rows.repartitionByRange("site").sortWithinPartitions("site"), "cover")
-    bounds, fresh, chosen = stored(rows.groupBy("site").agg(F.count("*").alias("bound")), "cover-bounds"), {}, []
+    bounds, fresh, chosen = stored(rows.groupBy("site").agg(F.sum("weight").alias("bound")), "cover-bounds"), {}, []
 
     def recounted(block: list[int]) -> dict[int, int]:
         mine = rows.where(F.col("site").isin(block))
         if chosen:
             mine = mine.join(rows.where(F.col("site").isin([s for s, _ in chosen])).select("cell"), "cell", "left_anti")
-        return dict.fromkeys(block, 0) | {r.site: r.n for r in mine.groupBy("site").agg(F.count("*").alias("n")).collect()}
+        return dict.fromkeys(block, 0) | {r.site: r.n for r in mine.groupBy("site").agg(F.sum("weight").alias("n")).collect()}
 
     for _ in range(most):
         exact: dict[int, int] = {}
@@ -166,7 +171,7 @@ def lazy_cover(covers: DataFrame, most: int, done: DataFrame | None = None) -> l
 
 
 def greedy_cover(covers: DataFrame, most: int) -> DataFrame:
-    """pick, site, gain of lazy_cover. covers: site, cell."""
+    """pick, site, gain of lazy_cover. covers: site, cell and weight, if cells have one."""
     picks = [(i, s, n) for i, (s, n) in enumerate(lazy_cover(covers, most))]
     return covers.sparkSession.createDataFrame(picks, "pick int, site long, gain long")
 
@@ -174,12 +179,13 @@ def greedy_cover(covers: DataFrame, most: int) -> DataFrame:
 def phased_cover(samples: DataFrame, existing: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
     """phase, pick, site, gain of covering an area: what existing sites cover (phase 0, one row with a null site), then
     new sites chosen greedily for what is left (phase 1), then what stays uncovered (phase 2, one row with a null site).
-    samples: cell; existing and candidates: site, cell."""
+    samples: cell and weight, if cells have one; existing and candidates: site, cell."""
+    samples = samples.select("cell", _weight(samples).alias("weight"))
     done = samples.join(existing.select("cell").distinct(), "cell", "left_semi")
     left = kept(samples.join(existing.select("cell").distinct(), "cell", "left_anti"))
-    picks = greedy_cover(candidates.join(left, "cell", "left_semi"), most)
+    picks = greedy_cover(candidates.select("site", "cell").join(left, "cell"), most)
     new = candidates.join(picks.select("site"), "site", "left_semi").select("cell").distinct()
-    count = lambda df, phase: df.agg(F.lit(phase).alias("phase"), F.lit(0).alias("pick"), F.lit(None).cast("long").alias("site"), F.count("*").alias("gain"))
+    count = lambda df, phase: df.agg(F.lit(phase).alias("phase"), F.lit(0).alias("pick"), F.lit(None).cast("long").alias("site"), F.coalesce(F.sum("weight"), F.lit(0)).alias("gain"))
     return count(done, 0).unionByName(picks.select(F.lit(1).alias("phase"), "pick", "site", "gain")).unionByName(count(left.join(new, "cell", "left_anti"), 2))
 
 
