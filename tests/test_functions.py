@@ -190,3 +190,13 @@ def test_overlaps_are_counted_once(spark):
     tx = spark.createDataFrame([(n, *r) for n in (7, 8) for r in rows if r[0] + n != 11], "listener long, id long, node long, start_ms long, air_ms long")
     got = sorted((r.listener, r.a, r.b, r.overlap_ms) for r in reports.overlapping(tx, 1000).collect())
     assert got == [(7, 1, 2, 1), (7, 2, 3, 9), (8, 1, 2, 1)]
+
+
+def test_size_labels_of_large_numbers(spark):
+    """Where labels end at MB, as the query's SQL has them, a gigabyte is 1024 of these."""
+    from wavemesh.operators import replay
+
+    sizes = [0, 1023, 1024, 1536, 1024**2 - 1, 1024**2, 1024**3 - 1, 1024**3, 11_699_999_023]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select(replay.size_label(F.col("n")).alias("all"), replay.size_label(F.col("n"), "MB").alias("mb")).collect()
+    assert [r["mb"] for r in rows] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1024.0 KB", "1.0 MB", "1024.0 MB", "1024.0 MB", "11158.0 MB"]
+    assert [r["all"] for r in rows][-2:] == ["1.0 GB", "10.9 GB"]

@@ -19,10 +19,13 @@ def path_prefix_bytes(path: Column, hash_size: Column) -> Column:
     return F.array_join(F.transform(path, lambda k: F.when(k == "", F.rpad(F.lit(""), 2 * hash_size, F.lit("0"))).otherwise(F.substring(k, F.lit(1), 2 * hash_size))), "")
 
 
-def size_label(n: Column) -> Column:
-    """Bytes in the largest unit that leaves 1 or more, with one decimal."""
+def size_label(n: Column, largest: str = "GB") -> Column:
+    """Bytes in the largest unit up to `largest` (KB, MB or GB) that leaves 1 or more, with one decimal."""
     step = lambda k, unit: F.format_string(f"%.1f {unit}", F.round(n / float(1024**k), 1))
-    return F.when(n >= 1024**3, step(3, "GB")).when(n >= 1024**2, step(2, "MB")).when(n >= 1024, step(1, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    label = F.concat(n.cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KB", "MB", "GB")[: ("KB", "MB", "GB").index(largest) + 1], 1):
+        label = F.when(n >= 1024**k, step(k, unit)).otherwise(label)
+    return label
 
 
 def preset_of(radios: DataFrame, presets: DataFrame) -> DataFrame:
