@@ -195,3 +195,49 @@ def test_model_links_count_heights_power_and_channels(spark):
     assert got[3, 5].margin == got[5, 3].margin > got[1, 2].margin
     assert got[1, 2].margin - got[2, 1].margin == pytest.approx(18, abs=1e-6)
     assert got[1, 2].snr == got[1, 2].margin - 20 and got[2, 1].snr == got[2, 1].margin - 10
+
+
+def counted_margins(monkeypatch):
+    """The numbers of paths that are traced from now on."""
+    counts, plain = [], coverage.path_margins
+
+    def counting(paths, *args):
+        counts.append(paths.count())
+        return plain(paths, *args)
+
+    monkeypatch.setattr(coverage, "path_margins", counting)
+    return counts, plain
+
+
+def test_crowded_places_are_traced_once(spark, monkeypatch):
+    """Calibration, terrain links and best servers of many sites at few places: the results of all paths, of few traced."""
+    ground = lambda lat, lon: 120 + 110 * F.sin(lat * 90) * F.cos(lon * 70)
+    rnd, radio = random.Random(4), geo.Radio()
+    spots = [(56 + rnd.random() / 6, -4 + rnd.random() / 6) for _ in range(5)]
+    nodes = spark.createDataFrame([(i, *spots[i % 5]) for i in range(60)], "node long, lat double, lon double")
+    seen = spark.createDataFrame([(i, *spots[(i + j) % 5], rnd.randint(1, 90)) for i in range(60) for j in range(4) if i % 7 or j == 1], "node long, plat double, plon double, bottleneck int")
+    at = coverage.candidates(nodes, 100.0, angles=6)
+    counts, plain = counted_margins(monkeypatch)
+    got = {r.node: r for r in coverage.calibrated(at, seen, ground, radio, improvement_pct=0.5).collect()}
+    assert counts == [5 * 4 * 13 - 5]  # at its own place nothing lies between
+    rows = at.join(seen, "node").withColumn("d", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where("d >= 0.01")
+    rows = rows.select("node", "ring", "angle", "bottleneck", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (ground(F.col("lat"), F.col("lon")) + radio.antenna_m).alias("tx_m"), F.col("plat").alias("lat2"), F.col("plon").alias("lon2"), "d")
+    scores = plain(rows, ground, radio).groupBy("node", "ring", "angle").agg(F.sum(F.log1p("bottleneck") * F.greatest(F.lit(0.0), radio.green_db - F.col("margin"))).alias("s")).collect()
+    assert set(got) == {i for i in range(60) if i % 7}
+    for node, r in got.items():
+        own = {(x.ring, x.angle): x.s for x in scores if x.node == node}
+        assert (r.before or 0) == pytest.approx(own.get((0, 0), 0)) and r.after == (pytest.approx(min(own.values())) if r.adopted else r.before) and own[r.ring, r.angle] == pytest.approx(r.after)
+
+    counts.clear()
+    sites = nodes.selectExpr("node AS id", "lat", "lon", "CAST(1 + node % 2 AS DOUBLE) AS height_m", "IF(node % 3 = 0, 14.0D, NULL) AS power_dbm", "1 AS channel", "CAST(7 + node % 4 AS INT) AS sf")
+    links_ = {(r.a, r.b): (r.margin, r.snr) for r in coverage.terrain_links(sites, ground, radio, 30.0).collect()}
+    assert counts == [5 * 5 * 2 * 2]
+    x, y = sites.selectExpr("id AS a", "lat AS lat1", "lon AS lon1", "height_m AS h", "coalesce(power_dbm, 22) AS power"), sites.selectExpr("id AS b", "lat AS lat2", "lon AS lon2", "height_m", "sf")
+    each = x.crossJoin(y).where("a <> b").withColumn("d", geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).where("d <= 30").withColumn("tx_m", ground(F.col("lat1"), F.col("lon1")) + F.col("h"))
+    want = {(r.a, r.b): (r.margin + r.power - 22, r.margin + r.power - 22 - 7.5 - 2.5 * (r.sf - 7)) for r in plain(each, ground, radio, None, F.col("height_m")).collect() if r.margin + r.power - 22 >= 0}
+    assert set(links_) == set(want) and len(want) > 700 and all(links_[k] == pytest.approx(want[k]) for k in want)
+
+    at = coverage.pixels((56.0, 56.2, -4.0, -3.8), 4, 4, spark)
+    crowd = nodes.select(F.col("node").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (ground(F.col("lat"), F.col("lon")) + 5).alias("tx_m"))
+    best = coverage.bounded_best_server(crowd, at, ground, radio, 60.0).collect()
+    assert best and all(r.traced <= 5 and r.site < 5 for r in best)

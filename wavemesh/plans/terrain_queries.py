@@ -94,8 +94,8 @@ BOX, COLUMNS, ROWS = (56.0, 57.0, -4.5, -3.0), 16, 12
 
 
 def _sites(t, ground) -> DataFrame:
-    """site, slat, slon, tx_m of all placed nodes."""
-    placed = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    """site, slat, slon, tx_m of all places of nodes, each with the least node there: of equals it is the best server."""
+    placed = t.mesh_nodes.where("lat IS NOT NULL").groupBy(F.col("lat").alias("slat"), F.col("lon").alias("slon")).agg(F.min("k").alias("site"))
     return terrain.with_ground(placed, ground, "slat", "slon", "g").select("site", "slat", "slon", (F.col("g") + RADIO.antenna_m).alias("tx_m"))
 
 
