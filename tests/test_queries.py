@@ -44,3 +44,16 @@ def test_loops_that_end_too_early_raise(spark):
 def test_last_hearing_collects_no_arrays(spark):
     plan = QUERIES["p2_last_hearing"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "max(" in plan
+
+
+def test_receptions_are_dealt_into_more_parts_as_they_grow(spark, monkeypatch):
+    """A task of the receptions' join holds no more of a larger table; the rows stay the same."""
+    from wavemesh.plans import views
+
+    plain = views.Tables(spark, SF).mesh_rx
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 500)
+    dealt = views.Tables(spark, SF).mesh_rx
+    assert "Repartition" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    parts = views.Tables(spark, SF).lineitem.count() / 500
+    assert dealt.rdd.getNumPartitions() >= parts > 4
+    assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
