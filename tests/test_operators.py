@@ -176,3 +176,16 @@ def test_sites_at_one_place_are_compared_once(spark):
     weighed = near.join(every.selectExpr("place AS cell", "n AS weight"), "cell")
     assert planning.lazy_cover(weighed, 4) == planning.lazy_cover(cover, 4)
     assert weighed.count() <= 121
+
+
+def test_pairs_by_place_do_the_work_once_and_deal_the_rows(spark, monkeypatch):
+    """Crowded places: all pairs of sites as before, worked out between places, made in more parts as they grow."""
+    spots = [(55.0, -3.0), (55.1, -3.0), (55.0, -2.7), (57.0, -3.0)]
+    at = spark.createDataFrame([(i, *spots[i % 4 if i < 40 else 0]) for i in range(300)] + [(900, 56.0, 1.0), (901, None, 1.0)], "id long, lat double, lon double")
+    monkeypatch.setattr(links, "ROWS_PER_TASK", 10_000)
+    seen = []
+    got = links.pairs_by_place(at, 35.0, lambda p: seen.append(p.count()) or p)
+    assert seen[0] == 10  # four places with themselves, three of them in range of each other
+    want = links.pairs_in_range(at, 35.0)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    assert got.rdd.getNumPartitions() >= got.count() // 10_000 > 4
