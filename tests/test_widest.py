@@ -81,3 +81,27 @@ def test_outcomes_at_a_listener(spark):
     got = {(r.listener, r.id): (r.outcome, r.interferers) for r in reports.capture_outcomes(spark.createDataFrame(rows, schema), 64).collect()}
     assert {k: got[k] for k in got if k[1] == 1} == {(1, 1): ("no_lock", 1), (2, 1): ("corrupted", 1), (3, 1): ("captured", 1), (4, 1): ("corrupted", 2), (5, 1): ("captured", 0)}
     assert len(got) == len(rows)
+
+
+def test_outcomes_of_crowded_listeners_equal_those_of_all_pairs(spark, monkeypatch):
+    """Odd lengths, no airtime, missing values, much stronger own signals, and buckets that most transmissions cross; no
+    joins of transmissions with each other."""
+    import math
+    import random
+
+    r = random.Random(7)
+    rows = [(i % 3, i, r.choice([1, 2, 3, 4, 5, None]), r.randrange(0, 1500), r.choice([0, 0, 1, 7, 60, 300]), r.choice([0.0, 5.5, 40.0, 500.0, None]), r.choice([None, -30.0, -3.25, 0.0, 4.5, 10.0, 140.0])) for i in range(900)]
+    monkeypatch.setattr(reports, "MET_TOGETHER", 100)
+    df = reports.capture_outcomes(spark.createDataFrame(rows, "listener int, id int, node int, start_ms long, air_ms long, preamble_ms double, snr double"), 64)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    got = {(x.listener, x.id): (x.outcome, x.interferers) for x in df.collect()}
+    want = {}
+    for n, i, node, start, air, preamble, snr in rows:
+        met = [b for b in rows if b[0] == n and b[1] != i and None not in (b[2], node) and b[2] != node and b[3] < start + air and start < b[3] + b[4]]
+        early = max((b[6] for b in met if b[6] is not None and preamble is not None and b[3] < start + math.floor(preamble)), default=None)
+        power = math.fsum(10 ** (b[6] / 10) for b in met if b[6] is not None)
+        lost = snr is not None and early is not None and snr - early < 6 - 1e-9
+        want[n, i] = ("no_lock" if lost else "corrupted" if snr is not None and power > 0 and snr - 10 * math.log10(power) < 6 - 1e-9 else "captured", len(met))
+    assert got == want
+    assert {o for o, _ in got.values()} == {"no_lock", "corrupted", "captured"}
