@@ -92,9 +92,10 @@ def test_outcomes_of_crowded_listeners_equal_those_of_all_pairs(spark, monkeypat
     r = random.Random(7)
     rows = [(i % 3, i, r.choice([1, 2, 3, 4, 5, None]), r.randrange(0, 1500), r.choice([0, 0, 1, 7, 60, 300]), r.choice([0.0, 5.5, 40.0, 500.0, None]), r.choice([None, -30.0, -3.25, 0.0, 4.5, 10.0, 140.0])) for i in range(900)]
     monkeypatch.setattr(reports, "MET_TOGETHER", 100)
+    monkeypatch.setattr(reports, "GROUPS_PER_TASK", 1)
     df = reports.capture_outcomes(spark.createDataFrame(rows, "listener int, id int, node int, start_ms long, air_ms long, preamble_ms double, snr double"), 64)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 2
     got = {(x.listener, x.id): (x.outcome, x.interferers) for x in df.collect()}
     want = {}
     for n, i, node, start, air, preamble, snr in rows:
