@@ -158,3 +158,41 @@ def test_a_thin_area_is_sampled_in_its_middle(spark):
     assert planning.grid(spark, thin, 3).count() >= 1
 
 
+
+
+def test_groups_of_nodes_connect_as_their_nodes_do(spark):
+    """Links between groups and their members give what links between all of their nodes give; ties, loops and all."""
+    from wavemesh.operators import links
+
+    rnd = random.Random(8)
+    heads, spots, members = [0, 10, 20, 30, 40, 50, 60, 70], {}, []
+    for g in heads:
+        at = (56 + rnd.random() / 5, -4 + rnd.random() / 2)
+        for i in range(g, g + rnd.randint(1, 4)):
+            spots[i] = at
+            members.append((g, i))
+    spots |= {99: (56.3, -3.2), 98: (56.05, -3.9), 97: None}  # without links, or a place
+    sites = spark.createDataFrame([(i, *(p or (None, None))) for i, p in spots.items()], "id long, lat double, lon double")
+    of = [(a, b, rnd.choice([5.0, 8.0, 8.0, 13.0])) for a in heads for b in heads if a < b and rnd.random() < 0.25] + [(g, g, m) for g, m in zip(heads, (20.0, 7.0, 3.0, 20.0), strict=False)]
+    of, members = spark.createDataFrame(of, "a long, b long, margin double"), spark.createDataFrame(members, "grp long, id long")
+    ends = spark.createDataFrame([(i, rnd.choice(list(spots))) for i in spots for _ in range(3)], "a long, b long")
+    search = {"targets": (12.0, 6.0), "most_hops": 3, "steps": 3, "rings": 1, "angles": 4, "most_new": 1, "tried": 2}
+    grouped = planning.connected(ends, sites, of, ground, RADIO, members=members, **search)
+    single = planning.connected(ends, sites, links.expanded(of, members), ground, RADIO, **search)
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert len(plain(single)) > 20 and plain(grouped) == plain(single)
+
+
+def test_new_routes_make_no_links_between_single_nodes(spark, monkeypatch):
+    """Many nodes at a place make a search for each place, not links of all with all."""
+    from wavemesh.operators import graph, links
+    from wavemesh.plans.queries import QUERIES
+
+    def refused(*args):
+        raise AssertionError("links between all nodes of two places")
+
+    starts, search = [], graph.widest_hops
+    monkeypatch.setattr(links, "expanded", refused)
+    monkeypatch.setattr(graph, "widest_hops", lambda *args: (starts.append(args[1].count()), search(*args))[1])
+    QUERIES["r11_new_routes"](spark, "/root/testdata/sf0.01")
+    assert max(starts) <= 200  # places of room servers and of the nodes after them: 1,500 nodes at 1,000 places

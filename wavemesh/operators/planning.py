@@ -78,40 +78,77 @@ def distinct_routes(routes: DataFrame, options: int, good: float) -> DataFrame:
     return ranked.select("a", "b", (F.col("rank") + 1).alias("rank"), "r.n_new", "r.sites", "r.weakest", *(f"r.{c}" for c in others))
 
 
-def connected(ends: DataFrame, sites: DataFrame, known: DataFrame, ground, radio: geo.Radio, targets: tuple[float, ...] = (12.0, 6.0, 0.0), most_hops: int = 8, tried: int = 3, options: int = 3, good: float = 5.0, **search) -> DataFrame:
+def ways(strong: DataFrame, starts: DataFrame, most_hops: int) -> DataFrame:
+    """grp, to, weakest, via: how a member of each starting group gets to those of each group in reach, itself left out; via
+    are the nodes between both. strong: links between groups (a, b, margin, both ways), which are named by their least
+    members; starts: start, groups.
+
+    Members of a group hear alike, so all have the same way but for its ends, and the least path leads over least members.
+    A group's own members are next to each other if it is linked with itself, else they meet by its strongest neighbour."""
+    seen = graph.widest_hops(strong, starts, most_hops).where("hops > 0")
+    far = seen.select(F.col("start").alias("grp"), F.col("id").alias("to"), "weakest", F.slice("path", 2, F.col("hops") - 1).alias("via"))
+    own, other = F.col("a") == F.col("b"), F.col("a") != F.col("b")
+    near = strong.join(starts.select(F.col("start").alias("a")), "a").groupBy("a").agg(F.max(F.when(own, F.col("margin"))).alias("m"), F.min(F.when(other, F.struct((-F.col("margin")).alias("w"), "b"))).alias("by"))
+    near = near.where(F.lit(most_hops >= 1) & (F.col("m").isNotNull() | F.lit(most_hops >= 2)))
+    none = F.array().cast(seen.schema["path"].dataType)
+    home = near.select(F.col("a").alias("grp"), F.col("a").alias("to"), F.coalesce("m", -F.col("by.w")).alias("weakest"), F.when(F.col("m").isNotNull(), none).otherwise(F.array("by.b")).alias("via"))
+    return far.unionByName(home)
+
+
+def connected(ends: DataFrame, sites: DataFrame, known: DataFrame, ground, radio: geo.Radio, targets: tuple[float, ...] = (12.0, 6.0, 0.0), most_hops: int = 8, tried: int = 3, options: int = 3, good: float = 5.0, members: DataFrame | None = None, **search) -> DataFrame:
     """a, b, rank, n_new, sites, weakest, target, path_a, path_b: how to connect each pair of ends (a, b), over known links
     where they do, else with new sites that bridge the gap between what both reach.
 
     For each target margin the networks of both ends are searched over known links of that margin. Where they don't meet,
     the `tried` nodes of each that lie nearest to the other end make attempts, the nearest pairs first, and every attempt
     is bridged at once. path_a leads from a to the gap and path_b from it to b; a route without new sites has all of it in
-    path_a. A pair that is connected at one target isn't tried at lower ones. sites: id, lat, lon; known: a, b, margin."""
+    path_a. A pair that is connected at one target isn't tried at lower ones. sites: id, lat, lon; known: a, b, margin.
+
+    With members (grp, id), known are links between groups, of which each is named by its least member: nodes at one
+    position that all hear alike, each other too where the group is linked with itself (as of coverage.kind_links).
+    Searches run between groups, once for all that start in one, and a gap between two positions is bridged once; so many
+    nodes on one mast or roof don't multiply links, searches or gaps."""
     both = kept(known.select("a", "b", "margin").unionByName(known.selectExpr("b AS a", "a AS b", "margin")).groupBy("a", "b").agg(F.max("margin").alias("margin")))
-    open_ends = kept(ends.select("a", "b").distinct())
+    members = kept(both.selectExpr("a AS grp", "a AS id").distinct() if members is None else members.select("grp", "id").distinct())
     where = sites.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon")
+    group = lambda side: members.selectExpr(f"id AS {side}", f"grp AS g_{side}")
     at = lambda side: where.selectExpr(f"id AS {side}", f"lat AS lat_{side}", f"lon AS lon_{side}")
+    open_ends = ends.select("a", "b").distinct().join(group("a"), "a", "left").join(group("b"), "b", "left")
+    open_ends = kept(open_ends.join(at("a"), "a", "left").join(at("b"), "b", "left"))
+    spots = members.join(where, "id")
+    least = W.partitionBy("grp").orderBy("id")
+    few = kept(spots.withColumn("r", F.row_number().over(least)).where(F.col("r") <= tried + 1).select(F.col("grp").alias("to"), "id", "lat", "lon"))
     found = None
     for target in targets:
         strong = both.where(F.col("margin") >= target)
-        starts = open_ends.select(F.col("a").alias("start")).unionByName(open_ends.select(F.col("b").alias("start"))).distinct()
-        seen = graph.widest_hops(strong, starts, most_hops).select("start", "id", "weakest", "path")
-        side = lambda name: seen.selectExpr(f"start AS {name}", f"id AS {name}_id", f"weakest AS w_{name}", f"path AS p_{name}")  # noqa: E731, B023
-        direct = kept(open_ends.join(side("a"), "a").where("a_id = b").select("a", "b", F.array().cast(f"array<{SITE}>").alias("sites"), F.col("w_a").alias("weakest"), F.lit(target).alias("target"), F.col("p_a").alias("path_a"), F.slice("p_a", 1, 0).alias("path_b")))
+        starts = open_ends.select(F.col("g_a").alias("start")).unionByName(open_ends.select(F.col("g_b").alias("start"))).where("start IS NOT NULL").distinct()
+        reach = kept(ways(strong, starts, most_hops))
+        path = lambda *parts: F.concat(*(F.array(p) if p != "via" else F.col(p) for p in parts))
+        straight = open_ends.where("a <> b").join(reach.withColumnsRenamed({"grp": "g_a", "to": "g_b"}), ["g_a", "g_b"]).select("a", "b", "weakest", path("a", "via", "b").alias("path_a"))
+        straight = straight.unionByName(open_ends.where("a = b").select("a", "b", F.lit(float("inf")).alias("weakest"), path("a").alias("path_a")))
+        direct = kept(straight.select("a", "b", F.array().cast(f"array<{SITE}>").alias("sites"), "weakest", F.lit(target).alias("target"), "path_a", F.slice("path_a", 1, 0).alias("path_b")))
         open_ends = kept(open_ends.join(direct.select("a", "b"), ["a", "b"], "left_anti"))
         found = direct if found is None else found.unionByName(direct)
         if open_ends.isEmpty():
             break
 
-        def nearest(own: str, other: str, seen_from: DataFrame):
-            rows = open_ends.join(seen_from, own).join(where.selectExpr(f"id AS {own}_id", "lat", "lon"), f"{own}_id").join(at(other), other)  # noqa: B023
-            d = F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col(f"lat_{other}"), F.col(f"lon_{other}")), 9)
-            ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy(d, f"{own}_id"))).where(F.col("r") <= tried)
-            return ranked.select("a", "b", f"{own}_id", f"w_{own}", f"p_{own}", F.col("lat").alias(f"{own}_lat"), F.col("lon").alias(f"{own}_lon"))
-
-        pairs = nearest("a", "b", side("a")).join(nearest("b", "a", side("b")), ["a", "b"])
-        gap = F.concat_ws("/", F.lit(str(target)), *(F.col(c).cast("string") for c in ("a", "b", "a_id", "b_id")))
-        attempts = kept(pairs.withColumn("gap", gap))
-        bridges = bridged(attempts.select("gap", F.col("a_lat").alias("lat1"), F.col("a_lon").alias("lon1"), F.col("b_lat").alias("lat2"), F.col("b_lon").alias("lon2"), F.lit(target).alias("target")), ground, radio, **search)
+        def nearest(own: str, other: str):
+            pairs = open_ends.where(f"lat_{own} IS NOT NULL AND lat_{other} IS NOT NULL")  # noqa: B023
+            goal = [f"lat_{other}", f"lon_{other}"]
+            far = lambda lat, lon: F.round(geo.haversine_km(F.col(lat), F.col(lon), F.col(goal[0]), F.col(goal[1])), 9)
+            # a group's nearest nodes to a goal, one more than asked for, as one of them may be the end itself
+            asked = pairs.select(F.col(f"g_{own}").alias("grp"), *goal).where("grp IS NOT NULL").distinct()
+            rows = asked.join(reach, "grp").join(few, "to").withColumn("d", far("lat", "lon"))  # noqa: B023
+            rows = rows.withColumn("r", F.row_number().over(W.partitionBy("grp", *goal).orderBy("d", "id"))).where(F.col("r") <= tried + 1)
+            others = pairs.withColumnRenamed(f"g_{own}", "grp").join(rows, ["grp", *goal]).where(f"id <> {own}").select("a", "b", "id", "d", "lat", "lon", "weakest", path(own, "via", "id").alias("path"))
+            itself = pairs.select("a", "b", F.col(own).alias("id"), far(f"lat_{own}", f"lon_{own}").alias("d"), F.col(f"lat_{own}").alias("lat"), F.col(f"lon_{own}").alias("lon"), F.lit(float("inf")).alias("weakest"), path(own).alias("path"))
+            ranked = others.unionByName(itself).withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy("d", "id"))).where(F.col("r") <= tried)
+            return ranked.select("a", "b", F.col("weakest").alias(f"w_{own}"), F.col("path").alias(f"p_{own}"), F.col("lat").alias(f"{own}_lat"), F.col("lon").alias(f"{own}_lon"))
+
+        gap = F.concat_ws("/", *(F.col(c).cast("string") for c in ("a_lat", "a_lon", "b_lat", "b_lon")))
+        attempts = kept(nearest("a", "b").join(nearest("b", "a"), ["a", "b"]).withColumn("gap", gap))
+        gaps = attempts.select("gap", F.col("a_lat").alias("lat1"), F.col("a_lon").alias("lon1"), F.col("b_lat").alias("lat2"), F.col("b_lon").alias("lon2"), F.lit(target).alias("target")).dropDuplicates(["gap"])
+        bridges = bridged(gaps, ground, radio, **search)
         made = attempts.join(bridges, "gap").select("a", "b", "sites", F.least("weakest", "w_a", "w_b").alias("weakest"), F.lit(target).alias("target"), F.col("p_a").alias("path_a"), F.reverse("p_b").alias("path_b"))
         found = kept(found.unionByName(made))
     return distinct_routes(found, options, good)
