@@ -57,3 +57,22 @@ def test_receptions_are_dealt_into_more_parts_as_they_grow(spark, monkeypatch):
     parts = views.Tables(spark, SF).lineitem.count() / 500
     assert dealt.rdd.getNumPartitions() >= parts > 4
     assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
+
+
+def test_receptions_are_dealt_however_many_shuffle_partitions_there_are(spark, monkeypatch):
+    """Adaptive execution would put many small partitions together, so receptions and what meets relays are dealt by number."""
+    from wavemesh.operators import reports
+    from wavemesh.plans import views
+
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 500)
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        t = views.Tables(spark, SF)
+        assert 4 < t.parts < 50
+        wasted = reports.redundant_relays(t.mesh_tx, t.mesh_rx, t.parts)
+        for rows in (t.mesh_rx, wasted):
+            assert rows.rdd.getNumPartitions() >= t.parts
+        plain = reports.redundant_relays(t.mesh_tx, t.mesh_rx)
+        assert wasted.count() > 0 and wasted.exceptAll(plain).isEmpty() and plain.exceptAll(wasted).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
