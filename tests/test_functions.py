@@ -200,3 +200,25 @@ def test_size_labels_of_large_numbers(spark):
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select(replay.size_label(F.col("n")).alias("all"), replay.size_label(F.col("n"), "MB").alias("mb")).collect()
     assert [r["mb"] for r in rows] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1024.0 KB", "1.0 MB", "1024.0 MB", "1024.0 MB", "11158.0 MB"]
     assert [r["all"] for r in rows][-2:] == ["1.0 GB", "10.9 GB"]
+
+
+def test_overlaps_equal_all_pairs_in_tasks_dealt_by_pairs(spark, monkeypatch):
+    """Whole buckets over several batches, ties, rows of no length, unknown nodes, times before zero; no join of all pairs."""
+    import random
+
+    rnd = random.Random(3)
+    heard = [(rnd.choice("pqr"), i, rnd.choice([1, 2, 3, None]), rnd.randint(-30, 90) * 10, rnd.choice([0, 10, 50, 400])) for i in range(150)] + [(None, 900, 1, 0, 50), ("p", 901, 2, None, 10)]
+    want = sorted(
+        (x[0], min(x[1], y[1]), max(x[1], y[1]), min(x[3] + x[4], y[3] + y[4]) - max(x[3], y[3]))
+        for k, x in enumerate(heard[:150]) for y in heard[:k]
+        if x[0] == y[0] and None not in (x[2], y[2]) and x[2] != y[2] and x[3] < y[3] + y[4] and y[3] < x[3] + x[4]
+    )
+    monkeypatch.setattr(reports, "PAIRS_AT_ONCE", 9)
+    monkeypatch.setattr(reports, "PAIRS_PER_TASK", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = reports.overlapping(spark.createDataFrame(heard, "listener string, id long, node long, start_ms long, air_ms long"), 100)
+        assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 200
+        assert found.rdd.getNumPartitions() > 4 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
