@@ -196,3 +196,51 @@ def test_new_routes_make_no_links_between_single_nodes(spark, monkeypatch):
     monkeypatch.setattr(graph, "widest_hops", lambda *args: (starts.append(args[1].count()), search(*args))[1])
     QUERIES["r11_new_routes"](spark, "/root/testdata/sf0.01")
     assert max(starts) <= 200  # places of room servers and of the nodes after them: 1,500 nodes at 1,000 places
+
+
+def test_all_distinct_routes_stay_without_a_number_of_options(spark):
+    rows = [(1, 2, [(56.0, lon)], w) for lon, w in ((-4.0, 9.0), (-3.9, 8.0), (-3.8, 7.0), (-3.7, 6.0), (-3.999, 5.5), (-3.6, 4.0))]
+    routes = spark.createDataFrame(rows, f"a long, b long, sites array<{planning.SITE}>, weakest double")
+    got = sorted((r["rank"], r.weakest) for r in planning.distinct_routes(routes, None, 5.0).collect())
+    assert got == list(enumerate((9.0, 8.0, 7.0, 6.0, 4.0), 1))  # 5.5 has the site of 9.0
+    assert planning.distinct_routes(routes, 3, 5.0).count() == 3
+
+
+def test_attempts_start_from_places_not_from_nodes_of_one_place(spark, monkeypatch):
+    """However many nodes a mast holds, each of the nearest places makes an attempt, for each target."""
+    spots = {1: (56.0, -4.0), 2: (56.0, -3.98), 3: (56.0, -3.98), 4: (56.0, -3.98), 5: (56.0, -3.99), 9: (56.0, -3.0)}
+    sites = spark.createDataFrame([(i, *p) for i, p in spots.items()], "id long, lat double, lon double")
+    known = spark.createDataFrame([(1, i, 20.0) for i in (2, 3, 4, 5)], "a long, b long, margin double")
+    asked, bridged = [], planning.bridged
+    monkeypatch.setattr(planning, "bridged", lambda gaps, *args, **search: (asked.extend(gaps.collect()), bridged(gaps, *args, **search))[1])
+    planning.connected(spark.createDataFrame([(1, 9)], "a long, b long"), sites, known, ground, RADIO, targets=(12.0, 6.0), tried=3, steps=3, rings=1, angles=4, most_new=1)
+    assert sorted((g.target, g.lon1, g.lon2) for g in asked) == [(t, lon, -3.0) for t in (6.0, 12.0) for lon in (-4.0, -3.99, -3.98)]
+
+
+def test_new_routes_leave_no_part_of_the_search_out(spark, monkeypatch):
+    from wavemesh.operators import coverage
+    from wavemesh.plans.queries import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    def caught(*args, **search):
+        assert search.pop("options") is None and search.pop("most_hops") >= 64 and set(search) == {"members"}
+        raise Seen
+
+    made = coverage.kind_links
+    monkeypatch.setattr(coverage, "kind_links", lambda *args, **more: (lambda km=35.0: made(*args, **more) if km >= 35.0 else None)(*args[3:], **more))
+    monkeypatch.setattr(planning, "connected", caught)
+    with pytest.raises(Seen):
+        QUERIES["r11_new_routes"](spark, "/root/testdata/sf0.001")
+
+
+def test_a_bound_of_few_samples_changes_no_bridge(spark, monkeypatch):
+    rnd = random.Random(21)
+    gaps = [(f"g{i}", 56 + rnd.random() / 2, -4 + rnd.random() / 2, t) for i, t in enumerate([12.0, 6.0, 0.0, 12.0, 25.0, 0.0])]
+    df = spark.createDataFrame([(g, a, b, a + rnd.uniform(-0.25, 0.25), b + rnd.uniform(0.1, 0.5), t) for g, a, b, t in gaps], "gap string, lat1 double, lon1 double, lat2 double, lon2 double, target double")
+    found = []
+    for every in (1, 16):
+        monkeypatch.setattr(planning, "COARSE", every)
+        found.append(sorted(map(repr, planning.bridged(df, ground, RADIO, most_new=2, beam=2, reach=2, steps=4, rings=1, angles=6).collect())))
+    assert found[0] and found[0] == found[1]

@@ -13,6 +13,8 @@ from . import coverage, graph, links, terrain
 from .lineage import kept, stored
 
 SITE = "struct<lat: double, lon: double>"
+#: Of so many samples of a path to a place that is tried one is looked at first: most are blocked there already.
+COARSE = 16
 
 
 def bridged(gaps: DataFrame, ground, radio: geo.Radio, most_new: int = 6, km: float = 35.0, beam: int = 4, reach: int = 3, steps: int = 12, rings: int = 3, angles: int = 16) -> DataFrame:
@@ -24,7 +26,8 @@ def bridged(gaps: DataFrame, ground, radio: geo.Radio, most_new: int = 6, km: fl
     `steps` shares of the way, at each the point itself and `rings` of `angles` points up to 15 km or 15 % of the way off.
     Of the places of a share that are heard well enough the highest is taken, and of the shares the furthest `reach`. Per
     gap the `beam` states with the strongest weakest hop go on, then those nearer to the goal. A beam and a reach of one
-    make it greedy. States are rows; a step is a join with the terrain and two windows over a gap's few states."""
+    make it greedy. States are rows; a step is a join with the terrain and two windows over a gap's few states. Places that
+    free space or a few samples show to be below the target aren't traced in full."""
     state = kept(gaps.select("gap", "target", "lat1", "lon1", "lat2", "lon2", F.lit(1).alias("place"), F.lit(float("inf")).alias("weakest"), F.array().cast(f"array<{SITE}>").alias("sites"), (F.greatest(F.lit(1.0), geo.KM_PER_LON * F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2)))).alias("per_lon")))
     spots = [(0, 0, 0.0, 0.0)] + [(r, a, r / rings * math.cos(2 * math.pi * a / angles), r / rings * math.sin(2 * math.pi * a / angles)) for r in range(1, rings + 1) for a in range(angles)]
     spot = F.explode(F.array(*(F.struct(F.lit(r).alias("ring"), F.lit(a).alias("angle"), F.lit(n).alias("north"), F.lit(e).alias("east")) for r, a, n, e in spots)))
@@ -43,14 +46,17 @@ def bridged(gaps: DataFrame, ground, radio: geo.Radio, most_new: int = 6, km: fl
             break
         share = F.col("i") / steps
         off = F.least(F.lit(15.0), F.col("d") * 0.15)
+        rest = rest.repartition(rest.sparkSession.sparkContext.defaultParallelism, *key)  # a row makes hundreds
         tried = rest.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("i")).select("*", spot.alias("s")).select(
             *key, "target", "i", "s.ring", "s.angle", "lat1", "lon1", "tx_m",
             (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * share + F.col("s.north") * off / geo.KM_PER_LAT).alias("lat"),
             (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * share + F.col("s.east") * off / F.col("per_lon")).alias("lon"),
         )
         tried = tried.withColumn("d", geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))).where((F.col("d") >= 0.01) & (F.col("d") <= km))
+        tried = tried.where(F.lit(radio.budget_db) - geo.free_space_db(F.col("d"), radio.frequency_mhz) >= F.col("target") - 1e-9)
         tried = terrain.with_ground(tried, ground, "lat", "lon", "height").withColumnsRenamed({"lat": "lat2", "lon": "lon2"})
-        heard = coverage.path_margins(tried, ground, radio, "height").where("margin >= target")
+        bound = coverage.path_margins(tried, ground, radio, "height", every=COARSE).where(F.col("margin") >= F.col("target") - 1e-9)
+        heard = coverage.path_margins(bound.drop("margin"), ground, radio, "height").where("margin >= target")
         highest = heard.groupBy(*key, "i").agg(F.max_by(F.struct("lat2", "lon2", "margin"), F.struct("height", -F.col("ring"), -F.col("angle"))).alias("b"))
         furthest = highest.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("i")))).where(F.col("r") <= reach).select(*key, F.col("b.lat2").alias("lat"), F.col("b.lon2").alias("lon"), F.col("b.margin").alias("margin"))
         ahead = rest.drop("lat1", "lon1", "tx_m", "d").join(furthest, key).select("gap", "target", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "lat2", "lon2", F.least("weakest", "margin").alias("weakest"), F.concat("sites", F.array(F.struct("lat", "lon"))).alias("sites"), "per_lon")
@@ -66,14 +72,15 @@ def overlapping(x, y):
     return (F.size(x) == F.size(y)) & F.forall(apart, lambda d: d <= 1.0)
 
 
-def distinct_routes(routes: DataFrame, options: int, good: float) -> DataFrame:
+def distinct_routes(routes: DataFrame, options: int | None, good: float) -> DataFrame:
     """routes (a, b, sites, weakest, ...) ranked per pair of ends: good weakest hops first, then fewer new sites, then the
-    stronger weakest hop; a route whose sites overlap those of a better one is left out, and the first `options` stay."""
+    stronger weakest hop; a route whose sites overlap those of a better one is left out. The first `options` stay, or all."""
     others = [c for c in routes.columns if c not in ("a", "b", "sites", "weakest")]
     row = F.struct((F.col("weakest") < good).cast("int").alias("weak"), F.size("sites").alias("n_new"), (-F.round("weakest", 9)).alias("w"), "sites", "weakest", *others)
     per = routes.groupBy("a", "b").agg(F.sort_array(F.collect_list(row)).alias("rows"))  # a few attempts for each pair of ends
     keep = lambda acc, r: F.when(F.exists(acc, lambda k: overlapping(k["sites"], r["sites"])), acc).otherwise(F.concat(acc, F.array(r)))
-    chosen = F.slice(F.aggregate("rows", F.slice("rows", 1, 0), keep), 1, options)
+    chosen = F.aggregate("rows", F.slice("rows", 1, 0), keep)
+    chosen = chosen if options is None else F.slice(chosen, 1, options)
     ranked = per.select("a", "b", F.posexplode(chosen).alias("rank", "r"))
     return ranked.select("a", "b", (F.col("rank") + 1).alias("rank"), "r.n_new", "r.sites", "r.weakest", *(f"r.{c}" for c in others))
 
@@ -95,13 +102,13 @@ def ways(strong: DataFrame, starts: DataFrame, most_hops: int) -> DataFrame:
     return far.unionByName(home)
 
 
-def connected(ends: DataFrame, sites: DataFrame, known: DataFrame, ground, radio: geo.Radio, targets: tuple[float, ...] = (12.0, 6.0, 0.0), most_hops: int = 8, tried: int = 3, options: int = 3, good: float = 5.0, members: DataFrame | None = None, **search) -> DataFrame:
+def connected(ends: DataFrame, sites: DataFrame, known: DataFrame, ground, radio: geo.Radio, targets: tuple[float, ...] = (12.0, 6.0, 0.0), most_hops: int = 8, tried: int = 3, options: int | None = 3, good: float = 5.0, members: DataFrame | None = None, **search) -> DataFrame:
     """a, b, rank, n_new, sites, weakest, target, path_a, path_b: how to connect each pair of ends (a, b), over known links
     where they do, else with new sites that bridge the gap between what both reach.
 
     For each target margin the networks of both ends are searched over known links of that margin. Where they don't meet,
-    the `tried` nodes of each that lie nearest to the other end make attempts, the nearest pairs first, and every attempt
-    is bridged at once. path_a leads from a to the gap and path_b from it to b; a route without new sites has all of it in
+    the `tried` places of each that lie nearest to the other end make attempts, each by the end itself or its node of least
+    id, and all attempts of all targets are bridged at once. path_a leads from a to the gap and path_b from it to b; a route without new sites has all of it in
     path_a. A pair that is connected at one target isn't tried at lower ones. sites: id, lat, lon; known: a, b, margin.
 
     With members (grp, id), known are links between groups, of which each is named by its least member: nodes at one
@@ -116,9 +123,8 @@ def connected(ends: DataFrame, sites: DataFrame, known: DataFrame, ground, radio
     open_ends = ends.select("a", "b").distinct().join(group("a"), "a", "left").join(group("b"), "b", "left")
     open_ends = kept(open_ends.join(at("a"), "a", "left").join(at("b"), "b", "left"))
     spots = members.join(where, "id")
-    least = W.partitionBy("grp").orderBy("id")
-    few = kept(spots.withColumn("r", F.row_number().over(least)).where(F.col("r") <= tried + 1).select(F.col("grp").alias("to"), "id", "lat", "lon"))
-    found = None
+    least = kept(spots.groupBy(F.col("grp").alias("to"), "lat", "lon").agg(F.min("id").alias("id")))
+    found = attempts = None
     for target in targets:
         strong = both.where(F.col("margin") >= target)
         starts = open_ends.select(F.col("g_a").alias("start")).unionByName(open_ends.select(F.col("g_b").alias("start"))).where("start IS NOT NULL").distinct()
@@ -136,21 +142,24 @@ def connected(ends: DataFrame, sites: DataFrame, known: DataFrame, ground, radio
             pairs = open_ends.where(f"lat_{own} IS NOT NULL AND lat_{other} IS NOT NULL")  # noqa: B023
             goal = [f"lat_{other}", f"lon_{other}"]
             far = lambda lat, lon: F.round(geo.haversine_km(F.col(lat), F.col(lon), F.col(goal[0]), F.col(goal[1])), 9)
-            # a group's nearest nodes to a goal, one more than asked for, as one of them may be the end itself
+            # a group's nearest places to a goal, one more than asked for, as one of them may be that of the end itself
             asked = pairs.select(F.col(f"g_{own}").alias("grp"), *goal).where("grp IS NOT NULL").distinct()
-            rows = asked.join(reach, "grp").join(few, "to").withColumn("d", far("lat", "lon"))  # noqa: B023
+            rows = asked.join(reach, "grp").join(least, "to").withColumn("d", far("lat", "lon"))  # noqa: B023
+            rows = rows.withColumn("r", F.row_number().over(W.partitionBy("grp", *goal, "lat", "lon").orderBy("id"))).where("r = 1")
             rows = rows.withColumn("r", F.row_number().over(W.partitionBy("grp", *goal).orderBy("d", "id"))).where(F.col("r") <= tried + 1)
-            others = pairs.withColumnRenamed(f"g_{own}", "grp").join(rows, ["grp", *goal]).where(f"id <> {own}").select("a", "b", "id", "d", "lat", "lon", "weakest", path(own, "via", "id").alias("path"))
+            others = pairs.withColumnRenamed(f"g_{own}", "grp").join(rows, ["grp", *goal]).where(f"lat <> lat_{own} OR lon <> lon_{own}").select("a", "b", "id", "d", "lat", "lon", "weakest", path(own, "via", "id").alias("path"))
             itself = pairs.select("a", "b", F.col(own).alias("id"), far(f"lat_{own}", f"lon_{own}").alias("d"), F.col(f"lat_{own}").alias("lat"), F.col(f"lon_{own}").alias("lon"), F.lit(float("inf")).alias("weakest"), path(own).alias("path"))
             ranked = others.unionByName(itself).withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy("d", "id"))).where(F.col("r") <= tried)
             return ranked.select("a", "b", F.col("weakest").alias(f"w_{own}"), F.col("path").alias(f"p_{own}"), F.col("lat").alias(f"{own}_lat"), F.col("lon").alias(f"{own}_lon"))
 
-        gap = F.concat_ws("/", *(F.col(c).cast("string") for c in ("a_lat", "a_lon", "b_lat", "b_lon")))
-        attempts = kept(nearest("a", "b").join(nearest("b", "a"), ["a", "b"]).withColumn("gap", gap))
-        gaps = attempts.select("gap", F.col("a_lat").alias("lat1"), F.col("a_lon").alias("lon1"), F.col("b_lat").alias("lat2"), F.col("b_lon").alias("lon2"), F.lit(target).alias("target")).dropDuplicates(["gap"])
+        gap = F.concat_ws("/", F.lit(str(target)), *(F.col(c).cast("string") for c in ("a_lat", "a_lon", "b_lat", "b_lon")))
+        here = kept(nearest("a", "b").join(nearest("b", "a"), ["a", "b"]).withColumns({"gap": gap, "target": F.lit(target)}))
+        attempts = here if attempts is None else attempts.unionByName(here)
+    if attempts is not None:
+        gaps = attempts.select("gap", F.col("a_lat").alias("lat1"), F.col("a_lon").alias("lon1"), F.col("b_lat").alias("lat2"), F.col("b_lon").alias("lon2"), "target").dropDuplicates(["gap"])
         bridges = bridged(gaps, ground, radio, **search)
-        made = attempts.join(bridges, "gap").select("a", "b", "sites", F.least("weakest", "w_a", "w_b").alias("weakest"), F.lit(target).alias("target"), F.col("p_a").alias("path_a"), F.reverse("p_b").alias("path_b"))
-        found = kept(found.unionByName(made))
+        made = attempts.join(bridges, "gap").select("a", "b", "sites", F.least("weakest", "w_a", "w_b").alias("weakest"), "target", F.col("p_a").alias("path_a"), F.reverse("p_b").alias("path_b"))
+        found = found.unionByName(made)
     return distinct_routes(found, options, good)
 
 

@@ -12,14 +12,15 @@ from .terrain_queries import tiles
 
 @query("r11_new_routes")
 def r11_new_routes(t):
-    """Every room server towards the node after it, over model links of the terrain or with new sites."""
+    """Every room server towards the node after it, over model links of the terrain or with new sites: all distinct routes
+    of the search as it is by default."""
     ground = tiles(t)
     placed = t.mesh_nodes.where("lat IS NOT NULL").select(F.col("k").alias("id"), "lat", "lon", "role")
     ends = placed.where("role = 'room_server'").join(placed.selectExpr("id - 1 AS id", "id AS b"), "id").selectExpr("id AS a", "b")
     repeaters = placed.where("role = 'repeater'").unionByName(placed.where("role <> 'repeater'").join(ends.selectExpr("a AS id").unionByName(ends.selectExpr("b AS id")), "id", "left_semi"))
     sites = repeaters.selectExpr("id", "lat", "lon", "10.0D AS height_m", "CAST(NULL AS DOUBLE) AS power_dbm", "1 AS channel", "8 AS sf")
-    known, members = coverage.kind_links(sites, ground, RADIO, 15.0)
-    found = planning.connected(ends, placed, kept(known), ground, RADIO, members=members, targets=(6.0,), most_hops=3, tried=1, beam=2, reach=2, steps=3, rings=1, angles=6, most_new=2)
+    known, members = coverage.kind_links(sites, ground, RADIO)
+    found = planning.connected(ends, placed, kept(known), ground, RADIO, members=members, most_hops=64, options=None)
     spot = F.array_join(F.transform("sites", lambda s: F.format_string("%.4f:%.4f", s["lat"], s["lon"])), " ")
     return found.select("a", "b", "rank", "n_new", F.round("weakest", 4).alias("weakest"), "target", spot.alias("sites"), F.array_join("path_a", "-").alias("path_a"), F.array_join("path_b", "-").alias("path_b"))
 
