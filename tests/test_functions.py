@@ -222,3 +222,14 @@ def test_overlaps_equal_all_pairs_in_tasks_dealt_by_pairs(spark, monkeypatch):
         assert found.rdd.getNumPartitions() > 4 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_overlaps_come_in_runs_of_a_transmission(spark):
+    """A file holds repeated values as runs: the pairs of one transmission follow each other, on one side of it at a time."""
+    import random
+
+    ids = random.Random(4).sample(range(1000), 40)
+    heard = [("x", i, k, k, 500) for k, i in enumerate(ids)]
+    rows = reports.overlapping(spark.createDataFrame(heard, "listener string, id long, node long, start_ms long, air_ms long"), 1000).collect()
+    assert len(rows) == 40 * 39 // 2 and {(r.a, r.b) for r in rows} == {(min(i, j), max(i, j)) for i in ids for j in ids if i != j}
+    assert sum(x.a != y.a and x.b != y.b for x, y in zip(rows, rows[1:], strict=False)) < 80
