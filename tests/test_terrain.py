@@ -241,3 +241,17 @@ def test_crowded_places_are_traced_once(spark, monkeypatch):
     crowd = nodes.select(F.col("node").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), (ground(F.col("lat"), F.col("lon")) + 5).alias("tx_m"))
     best = coverage.bounded_best_server(crowd, at, ground, radio, 60.0).collect()
     assert best and all(r.traced <= 5 and r.site < 5 for r in best)
+
+
+def test_sites_and_parts_never_go_through_the_driver(spark):
+    """The files of both are small for their number of rows, so that the planner would broadcast them."""
+    from wavemesh.plans import terrain_queries
+    from wavemesh.plans.views import Tables
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sites = spark.range(50).selectExpr("id", "56.0D + id % 5 AS lat", "-4.0D AS lon", "CAST(NULL AS DOUBLE) AS height_m", "CAST(NULL AS DOUBLE) AS power_dbm", "1 AS channel", "8 AS sf")
+    _, members = coverage.kind_links(sites, lambda lat, lon: lat * 0, geo.Radio())
+    assert members.count() == 50 and "Broadcast" not in plan(members)
+    assert "Broadcast" not in plan(terrain_queries.stored_tiles(Tables(spark, "/root/testdata/sf0.001")))
+    lists = links.expanded(spark.createDataFrame([(0, 0)], "a long, b long"), members)
+    assert lists.count() == 90  # 10 at the position of 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import coverage, terrain
+from ..operators import coverage, links, terrain
 from .registry import DUCK_MARGIN, RADIO, duck_haversine, query
 
 #: The fixture's tiles: zoom, and the first and last x and y. One in four isn't stored.
@@ -21,7 +21,8 @@ def stored_tiles(t) -> DataFrame:
     pixels = t.spark.createDataFrame(places, "x int, y int").select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("i"))
     gx, gy = F.col("x") * size + F.col("i") % size, F.col("y") * size + F.floor(F.col("i") / size)
     named = pixels.withColumn("part", (gx * 31 + gy * 17) % n)
-    high = named.join(t.part.select(F.col("p_partkey").alias("part"), (F.col("p_size") * 2.0).alias("m")), "part")
+    # parts grow with the tables, pixels don't: by the size of its file the table seems small enough to be broadcast
+    high = named.join(t.part.select(F.col("p_partkey").alias("part"), (F.col("p_size") * 2.0).alias("m")).hint("merge"), "part")
     rows = high.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("e"))
     return rows.select(F.lit(ZOOM).alias("z"), "x", "y", F.transform("e", lambda e: e["m"].cast("float")).alias("elev"))
 
@@ -152,4 +153,6 @@ links AS (SELECT a, b, sf, margin + coalesce(power, 22) - 22 AS margin FROM m)
 SELECT a, b, round(margin, 5) AS margin, round(margin - 7.5 - 2.5 * (sf - 7), 5) AS snr FROM links WHERE margin >= 0""")
 def g9_terrain_links(t):
     sites = t.mesh_nodes.where("lat IS NOT NULL").selectExpr("k AS id", "lat", "lon", "CAST(1 + k % 5 * 3 AS DOUBLE) AS height_m", "CASE WHEN k % 4 = 0 THEN 14.0D END AS power_dbm", "k % 3 AS channel", "CAST(7 + k % 6 AS INT) AS sf")
-    return coverage.terrain_links(sites, tiles(t), RADIO, 20.0).select("a", "b", F.round("margin", 5).alias("margin"), F.round("snr", 5).alias("snr"))
+    found, members = coverage.kind_links(sites, tiles(t), RADIO, 20.0)
+    # rounded once for each two kinds, not in each row that they make
+    return links.expanded(found.select("a", "b", F.round("margin", 5).alias("margin"), F.round("snr", 5).alias("snr")), members)
