@@ -221,3 +221,17 @@ def test_components_that_end_too_early_raise(spark):
 
     with pytest.raises(RuntimeError):
         components(spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long"), most_rounds=1)
+
+
+def test_line_words_are_split_and_hashed_as_plain_code_splits_them():
+    """Words of many texts are hashed together, each different one once: long words, none at all, odd spaces."""
+    import pyarrow as pa
+
+    from wavemesh.llm import line_dedup
+
+    texts = ["", " ", " a  b\x0bc\x0c\rd\te ", "ß ü\x85w \x1c q\x00k", "a b a", *("x" * n + " " + "y" * n for n in (1, 63, 64, 65, 5000)), "k " * 70_000]
+    got, sizes = line_dedup.word_hashes(pa.array(texts, pa.large_string()))
+    plain = [w for t in texts for w in t.encode().split()]
+    assert sizes.tolist() == [len(t.encode().split()) for t in texts] and len(got) == len(plain)
+    assert len(set(zip(plain, got.tolist(), strict=True))) == len(set(plain)) == len(set(got.tolist()))
+    assert [len(x) for x in line_dedup.word_hashes(pa.array([], pa.large_string()))] == [0, 0]
